@@ -55,21 +55,24 @@ def first_line(text: Column) -> Column:
     return F.split_part(text, F.lit("\n"), F.lit(1))
 
 
-def public_function(code: Column) -> Column:
+def public_function(code: Column, parses: Column | None = None) -> Column:
     """Public top-level function: the only one, the only one without a leading
-    underscore, ``execute`` if defined, else the first."""
+    underscore, ``execute`` if defined, else the first. Code that does not parse
+    (``parses`` false) gives its first one."""
     names = F.regexp_extract_all(
         F.replace(code, F.lit(fixed.FUTURE_IMPORT), F.lit("")),
         F.lit(r"(?m)^(?:async\s+)?def\s+([a-zA-Z_]\w*)\s*\("),
         F.lit(1),
     )
     public = F.filter(names, lambda n: ~n.startswith("_"))
+    first = F.get(names, F.lit(0))
     return (
         F.when(F.size(names) == 0, "")
-        .when(F.size(names) == 1, names[0])
-        .when(F.size(public) == 1, public[0])
+        .when(F.lit(False) if parses is None else ~parses, first)
+        .when(F.size(names) == 1, first)
+        .when(F.size(public) == 1, F.get(public, F.lit(0)))
         .when(F.array_contains(names, "execute"), "execute")
-        .otherwise(F.get(names, F.lit(0)))
+        .otherwise(first)
     )
 
 
@@ -92,29 +95,48 @@ def is_called(code: Column, name: Column) -> Column:
 
 # --- signature and docstring ----------------------------------------------------------
 
-def json_type(type_text: Column, depth: int = 3) -> Column:
-    """JSON-schema text of a declared type, nested lists to ``depth``."""
-    t = F.lower(F.replace(strip(type_text), F.lit(" "), F.lit("")))
-    named = F.lit("string")
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once per row, also inside loops over arrays."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def normal_type(type_text: Column) -> Column:
+    return F.lower(F.replace(strip(type_text), F.lit(" "), F.lit("")))
+
+
+WRAPPER = r"(optional\[|(?:typing\.)?list\[)"
+
+
+def json_type(normalized: Column) -> Column:
+    """JSON-schema text of a normalized declared type. Leading ``optional[`` and
+    ``list[`` are peeled as far as closing brackets match them; what is left is a
+    mapping, a tuple, a known name, or a string."""
+    opened = F.regexp_extract_all(F.regexp_extract(normalized, f"^{WRAPPER}+", 0), F.lit(WRAPPER), F.lit(1))
+
+    def peel(x: Column) -> Column:
+        matched = F.least(F.size(x["opened"]), F.length(F.regexp_extract(x["t"], r"\]*$", 0)))
+        whole = F.length(F.array_join(F.slice(x["opened"], F.lit(1), matched), "")) + matched == F.length(x["t"])
+        return F.struct(x["t"].alias("t"), F.slice(x["opened"], F.lit(1), F.when(whole, F.greatest(matched - 1, F.lit(0))).otherwise(matched)).alias("kept"))
+
+    def write(x: Column) -> Column:
+        before = F.length(F.array_join(x["kept"], ""))
+        core = F.substr(x["t"], before + 1, F.length(x["t"]) - before - F.size(x["kept"]))
+        lists = F.size(F.filter(x["kept"], lambda w: w.contains("list")))
+        return F.concat(F.repeat(F.lit('{"type":"array","items":'), lists), F.lit('{"type":"'), let(core, core_type), F.lit('"}'), F.repeat(F.lit("}"), lists))
+
+    known = let(F.struct(normalized.alias("t"), opened.alias("opened")), lambda x: let(peel(x), write))
+    return F.when(normalized.isNull(), '{"type":"string"}').otherwise(known)
+
+
+def core_type(t: Column) -> Column:
+    named = F.when(t.rlike(r"^(?:typing\.)?(?:dict|mapping)\[.+\]$"), "object").when(t.rlike(r"^(?:typing\.)?tuple\[.+\]$"), "array")
     for name, target in fixed.TYPE_NAMES.items():
-        named = F.when(t == name, target).otherwise(named)
-    plain = F.concat(F.lit('{"type":"'), F.when(t.isNull(), "string").otherwise(named), F.lit('"}'))
-    if depth == 0:
-        return plain
-    inner_optional = json_type(F.regexp_extract(t, r"^optional\[(.+)\]$", 1), depth - 1)
-    inner_list = json_type(F.regexp_extract(t, r"^(?:typing\.)?list\[(.+)\]$", 1), depth - 1)
-    return (
-        F.when(t.rlike(r"^optional\[.+\]$"), inner_optional)
-        .when(t.rlike(r"^(?:typing\.)?list\[.+\]$"), F.concat(F.lit('{"type":"array","items":'), inner_list, F.lit("}")))
-        .when(t.rlike(r"^(?:typing\.)?(?:dict|mapping)\[.+\]$"), '{"type":"object"}')
-        .when(t.rlike(r"^(?:typing\.)?tuple\[.+\]$"), '{"type":"array"}')
-        .otherwise(plain)
-    )
+        named = named.when(t == name, target)
+    return named.otherwise("string")
 
 
-def is_optional(type_text: Column) -> Column:
-    t = F.lower(F.replace(strip(type_text), F.lit(" "), F.lit("")))
-    return F.coalesce(t.startswith("optional["), F.lit(False))
+def is_optional(normalized: Column) -> Column:
+    return F.coalesce(normalized.startswith("optional["), F.lit(False))
 
 
 def signature_params(code: Column) -> Column:
@@ -151,32 +173,43 @@ def splits_a_type(code: Column) -> Column:
 
 
 def doc_params(code: Column) -> Column:
-    """Array of (name, type_text, description) of the docstring's argument section."""
-    lines = F.split(code, r"\r?\n")
-    start = F.array_position(F.transform(lines, lambda l: l.rlike(fixed.DOC_ARGS_LINE)), True)
-    after = F.when(start > 0, F.slice(lines, (start + 1).cast("int"), F.size(lines)))
-    numbered = F.transform(after, lambda l, i: F.struct(l.alias("line"), i.alias("i")))
-    first = F.array_min(
-        F.transform(
-            F.filter(numbered, lambda x: x.line.rlike(fixed.DOC_PARAM_LINE) & ~x.line.rlike(fixed.DOC_SECTION_LINE)),
-            lambda x: x.i,
+    """Array of (name, type_text, description) of the docstring's argument section:
+    the lines after its heading up to the next heading, or the first blank line
+    once a parameter was read."""
+
+    def after_heading(lines: Column) -> Column:
+        start = F.array_position(F.transform(lines, lambda l: l.rlike(fixed.DOC_ARGS_LINE)), True)
+        rest = F.when(start > 0, F.slice(lines, (start + 1).cast("int"), F.size(lines))).otherwise(F.array().cast("array<string>"))
+        return F.transform(
+            rest,
+            lambda l, i: F.struct(
+                i.alias("i"), l.alias("line"), l.rlike(fixed.DOC_SECTION_LINE).alias("heading"),
+                l.rlike(fixed.DOC_PARAM_LINE).alias("param"), (strip(l) == "").alias("blank"),
+            ),
         )
-    )
-    end = F.array_min(
-        F.transform(
-            F.filter(numbered, lambda x: x.line.rlike(fixed.DOC_SECTION_LINE) | ((strip(x.line) == "") & (x.i > first))),
-            lambda x: x.i,
+
+    def positions(rows: Column, test) -> Column:
+        return F.transform(F.filter(rows, test), lambda r: r["i"])
+
+    def with_first(rows: Column) -> Column:
+        first = F.array_min(positions(rows, lambda r: r["param"] & ~r["heading"]))
+        return let(F.struct(rows.alias("rows"), first.alias("first")), with_end)
+
+    def with_end(x: Column) -> Column:
+        end = F.array_min(positions(x["rows"], lambda r: r["heading"] | (r["blank"] & (r["i"] > x["first"]))))
+        return let(F.struct(x["rows"].alias("rows"), F.coalesce(end, F.size(x["rows"])).alias("end")), read)
+
+    def read(x: Column) -> Column:
+        return F.transform(
+            F.filter(x["rows"], lambda r: r["param"] & (r["i"] < x["end"])),
+            lambda r: F.struct(
+                F.regexp_extract(r["line"], fixed.DOC_PARAM_LINE, 1).alias("name"),
+                F.nullif(strip(F.regexp_extract(r["line"], fixed.DOC_PARAM_LINE, 2)), F.lit("")).alias("type_text"),
+                strip(F.regexp_extract(r["line"], fixed.DOC_PARAM_LINE, 3)).alias("description"),
+            ),
         )
-    )
-    body = F.filter(numbered, lambda x: x.line.rlike(fixed.DOC_PARAM_LINE) & (end.isNull() | (x.i < end)))
-    return F.transform(
-        body,
-        lambda x: F.struct(
-            F.regexp_extract(x.line, fixed.DOC_PARAM_LINE, 1).alias("name"),
-            F.nullif(strip(F.regexp_extract(x.line, fixed.DOC_PARAM_LINE, 2)), F.lit("")).alias("type_text"),
-            strip(F.regexp_extract(x.line, fixed.DOC_PARAM_LINE, 3)).alias("description"),
-        ),
-    )
+
+    return let(F.split(code, r"\r?\n"), lambda lines: let(after_heading(lines), with_first))
 
 
 def summary_line(code: Column) -> Column:
@@ -195,27 +228,31 @@ def merge_params(signature: Column, documented: Column) -> Column:
     """Array of (name, json_type, description, required): the signature decides
     which parameters exist, a documented type overrides the declared one, and a
     function without parameters takes one free-form input."""
-    merged = F.transform(signature, lambda p: _merged_param(p, documented))
-    generic = F.array(
-        F.struct(
-            F.lit("input").alias("name"),
-            F.lit('{"type":"string"}').alias("json_type"),
-            F.lit("Free-form input").alias("description"),
-            F.lit(True).alias("required"),
+
+    def with_doc(p: Column) -> Column:
+        return F.struct(p.alias("p"), F.try_element_at(F.filter(documented, lambda d: d["name"] == p["name"]), F.lit(-1)).alias("doc"))
+
+    def with_type(x: Column) -> Column:
+        return F.struct(
+            x["p"].alias("p"),
+            F.coalesce(x["doc"]["description"], F.lit("")).alias("description"),
+            normal_type(F.coalesce(x["doc"]["type_text"], x["p"]["type_text"])).alias("t"),
         )
-    )
-    return F.when(F.size(merged) > 0, merged).otherwise(generic)
 
+    def final(x: Column) -> Column:
+        return F.struct(
+            x["p"]["name"].alias("name"),
+            json_type(x["t"]).alias("json_type"),
+            x["description"].alias("description"),
+            (~x["p"]["has_default"] & ~is_optional(x["t"])).alias("required"),
+        )
 
-def _merged_param(param: Column, documented: Column) -> Column:
-    doc = F.try_element_at(F.filter(documented, lambda d: d["name"] == param["name"]), F.lit(-1))
-    chosen = F.coalesce(doc["type_text"], param["type_text"])
-    return F.struct(
-        param["name"].alias("name"),
-        json_type(chosen).alias("json_type"),
-        F.coalesce(doc["description"], F.lit("")).alias("description"),
-        (~param["has_default"] & ~is_optional(chosen)).alias("required"),
+    generic = F.struct(
+        F.lit("input").alias("name"), F.lit('{"type":"string"}').alias("json_type"),
+        F.lit("Free-form input").alias("description"), F.lit(True).alias("required"),
     )
+    merged = F.transform(F.transform(F.transform(signature, with_doc), with_type), final)
+    return F.when(F.size(signature) == 0, F.array(generic)).otherwise(merged)
 
 
 # --- syntax -----------------------------------------------------------------------------

@@ -87,5 +87,15 @@ IMPORT_LINE = r"^\s*(?:import\s+\S+|from\s+\S+\s+import\s+.+)"
 LIBRARY_FILES = "*_final_openai_tools.json"
 BLUEPRINT_FILE = "blueprint_sibs.json"
 
+# --- fixed values: transcript marks ---------------------------------------------
+USER_LINE = "**User:** "
+ASSISTANT_LINE = "**Assistant:** "
+CALL_LINE = "  🔧 Called tool: "
+RESULT_LINE = "  📋 Tool result: "
+ROLE_ICONS = {"user": "👤", "assistant": "🤖", "tool": "🔧"}
+OTHER_ICON = "❓"
+RULE = "=" * 60
+CALLS_HEADING = "\n🔧 TOOL CALLS:"
+
 # --- fixed values: characters stripped as white space -------------------------
 BLANK = " \t\n\r\x0b\x0c"

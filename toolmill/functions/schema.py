@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from toolmill.functions import fixed
 
 ENTRIES = "map<string,variant>"
+READ_DEPTH = 24
 
 
 def kind(v: Column) -> Column:
@@ -134,9 +135,9 @@ def schema_errors(tools: DataFrame, info: str = "info", depth: int = fixed.SCHEM
 
 # --- budgets ------------------------------------------------------------------------------
 
-def schema_nodes(tools: DataFrame, parameters: str = "parameters", depth: int = fixed.SCHEMA_MAX_DEPTH + 1) -> DataFrame:
+def schema_nodes(tools: DataFrame, parameters: str = "parameters", depth: int = READ_DEPTH) -> DataFrame:
     """Every schema node of a parameters tree: ``(tool_id, depth, node)`` through
-    properties, items, compositions and definitions, one level past the limit."""
+    properties, items, compositions and definitions, down to ``depth`` levels."""
     level_type = "array<variant>"
     nodes = tools.select("tool_id", F.col(parameters).alias("_p")).withColumn(
         "_n1", F.when(F.col("_p").isNotNull(), F.array("_p")).otherwise(F.array().cast(level_type))
@@ -156,7 +157,10 @@ def schema_nodes(tools: DataFrame, parameters: str = "parameters", depth: int =
 
     for i in range(1, depth):
         nodes = nodes.withColumn(f"_n{i + 1}", F.flatten(F.transform(f"_n{i}", children)))
-    tagged = [F.transform(f"_n{i}", lambda n, i=i: F.struct(F.lit(i).alias("depth"), n.alias("node"))) for i in range(1, depth + 1)]
+    def tag(i: int) -> Column:
+        return F.transform(f"_n{i}", lambda n: F.struct(F.lit(i).alias("depth"), n.alias("node")))
+
+    tagged = [tag(i) for i in range(1, depth + 1)]
     return nodes.select("tool_id", F.explode(F.concat(*tagged)).alias("_x")).select("tool_id", "_x.*")
 
 

@@ -146,7 +146,7 @@ def compare_runs(stats: DataFrame, key: str, left: str, right: str, on: list[str
 
 def expand_attempts(questions: DataFrame, k: int) -> DataFrame:
     """k rows per question with ids ``<question>_<attempt>``."""
-    return questions.select("*", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).cast("bigint").alias("attempt")).withColumn(
+    return questions.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(k - 1).cast("bigint"))).alias("attempt")).withColumn(
         "id", F.concat_ws("_", F.col("question_id").cast("string"), F.col("attempt").cast("string"))
     )
 

@@ -72,11 +72,16 @@ def pages(df: DataFrame, position: str, size: int = PAGE) -> DataFrame:
     return df.withColumn("page", F.floor(F.col(position) / size))
 
 
+def _seeded(key: str, seed: int) -> Column:
+    return F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
+
+
 def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """Repeatable sample of n rows: order by a seeded hash, then limit."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(n)
+    """Repeatable sample of n rows: order by a seeded digest, then limit. Each task
+    keeps n rows, so nothing is sorted as a whole."""
+    return df.orderBy(_seeded(key, seed), F.col(key)).limit(n)
 
 
 def seeded_sample_per_group(df: DataFrame, keys: list[str], key: str, n: int, seed: int = 42) -> DataFrame:
-    hashed = df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed)))
+    hashed = df.withColumn("_h", _seeded(key, seed))
     return top_per_group(hashed, keys, [F.col("_h"), F.col(key)], n).drop("_h", "rank")

@@ -29,7 +29,9 @@ def read_json_lines(spark: SparkSession, path: str, schema: str | T.StructType,
     """JSON lines; a bad line keeps its text in ``_corrupt_record``, or fails the job if ``strict``."""
     if strict:
         return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
-    return spark.read.schema(_with_corrupt(schema)).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    lines = spark.read.text(path).where(F.btrim("value", F.lit(fixed.BLANK)) != "")
+    return lines.select(F.from_json("value", _with_corrupt(schema), options).alias("_r")).select("_r.*")
 
 
 def good_rows(df: DataFrame) -> DataFrame:
