@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from toolmill.functions import fixed
 
 ENTRIES = "map<string,variant>"
-READ_DEPTH = 24
+READ_DEPTH = 100
 
 
 def kind(v: Column) -> Column:
@@ -51,13 +51,26 @@ def _is_object_schema(v: Column) -> Column:
     return (text_at(v, "$.type") == "object") & at(v, "$.properties").isNotNull()
 
 
+def unfold(roots: Column, children, node_type: str, depth: int) -> Column:
+    """Array of (depth, node) of every node below ``roots``, level by level, at most
+    ``depth`` levels. One expression for any depth; a row's tree stays in its row."""
+    found_type = f"array<struct<depth:int,node:{node_type}>>"
+    start = F.struct(F.array().cast(found_type).alias("found"), roots.alias("level"))
+
+    def next_level(acc: Column, i: Column) -> Column:
+        placed = F.transform(acc["level"], lambda n: F.struct(i.cast("int").alias("depth"), n.alias("node")))
+        return F.struct(F.concat(acc["found"], placed).alias("found"), F.flatten(F.transform(acc["level"], children)).alias("level"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), start, next_level)["found"]
+
+
 # --- rules ------------------------------------------------------------------------------
 
 def _issue(test: Column, error_type: str, prop: Column, detail: Column) -> Column:
     return F.when(test, F.struct(F.lit(error_type).alias("error_type"), prop.alias("property"), detail.alias("detail")))
 
 
-def schema_errors(tools: DataFrame, info: str = "info", depth: int = fixed.SCHEMA_MAX_DEPTH) -> DataFrame:
+def schema_errors(tools: DataFrame, info: str = "info", depth: int = READ_DEPTH) -> DataFrame:
     """One row per violation ``(tool_id, error_type, property, detail)``."""
     nothing = F.lit("")
     v, function = F.col(info), at(F.col(info), "$.function")
@@ -72,21 +85,16 @@ def schema_errors(tools: DataFrame, info: str = "info", depth: int = fixed.SCHEM
     )
 
     # objects whose own structure is checked: the root, then nested object properties
-    node_type = "array<struct<path:string,node:variant>>"
-    level = F.when(F.col("_checkable"), F.array(F.struct(F.lit("").alias("path"), parameters.alias("node")))).otherwise(F.array().cast(node_type))
-    nodes = checked.withColumn("_level0", level)
-    for i in range(depth):
-        nested = F.flatten(
-            F.transform(
-                F.col(f"_level{i}"),
-                lambda n: F.transform(
-                    F.filter(property_entries(n["node"]), lambda e: _is_object_schema(e["value"])),
-                    lambda e: F.struct(F.concat_ws(".", F.nullif(n["path"], F.lit("")), e["key"]).alias("path"), e["value"].alias("node")),
-                ),
-            )
+    node_type = "struct<path:string,node:variant>"
+    root = F.when(F.col("_checkable"), F.array(F.struct(F.lit("").alias("path"), parameters.alias("node")))).otherwise(F.array().cast(f"array<{node_type}>"))
+
+    def nested(n: Column) -> Column:
+        return F.transform(
+            F.filter(property_entries(n["node"]), lambda e: _is_object_schema(e["value"])),
+            lambda e: F.struct(F.concat_ws(".", F.nullif(n["path"], F.lit("")), e["key"]).alias("path"), e["value"].alias("node")),
         )
-        nodes = nodes.withColumn(f"_level{i + 1}", nested)
-    found_objects = F.concat(*[F.col(f"_level{i}") for i in range(depth + 1)])
+
+    objects = F.transform(unfold(root, nested, node_type, depth), lambda x: x["node"])
 
     flat_info = F.col("_info")
     top_issues = F.array(
@@ -127,7 +135,7 @@ def schema_errors(tools: DataFrame, info: str = "info", depth: int = fixed.SCHEM
         F.flatten(F.transform("_objects", property_issues)),
     )
     return (
-        nodes.select("tool_id", top_issues.alias("_top"), found_objects.alias("_objects"))
+        checked.select("tool_id", top_issues.alias("_top"), objects.alias("_objects"))
         .select("tool_id", F.explode(F.filter(issues, lambda x: x.isNotNull())).alias("e"))
         .select("tool_id", "e.*")
     )
@@ -138,14 +146,11 @@ def schema_errors(tools: DataFrame, info: str = "info", depth: int = fixed.SCHEM
 def schema_nodes(tools: DataFrame, parameters: str = "parameters", depth: int = READ_DEPTH) -> DataFrame:
     """Every schema node of a parameters tree: ``(tool_id, depth, node)`` through
     properties, items, compositions and definitions, down to ``depth`` levels."""
-    level_type = "array<variant>"
-    nodes = tools.select("tool_id", F.col(parameters).alias("_p")).withColumn(
-        "_n1", F.when(F.col("_p").isNotNull(), F.array("_p")).otherwise(F.array().cast(level_type))
-    )
+    none = F.array().cast("array<variant>")
+    root = F.when(F.col(parameters).isNotNull(), F.array(parameters)).otherwise(none)
 
     def children(n: Column) -> Column:
         values = lambda path: F.transform(entries(at(n, path)), lambda e: e["value"])
-        none = F.array().cast(level_type)
         return F.concat(
             F.when(text_at(n, "$.type") == "object", values("$.properties")).otherwise(none),
             F.when((text_at(n, "$.type") == "array") & at(n, "$.items").isNotNull(), F.array(at(n, "$.items"))).otherwise(none),
@@ -155,31 +160,36 @@ def schema_nodes(tools: DataFrame, parameters: str = "parameters", depth: int =
             values("$.definitions"),
         )
 
-    for i in range(1, depth):
-        nodes = nodes.withColumn(f"_n{i + 1}", F.flatten(F.transform(f"_n{i}", children)))
-    def tag(i: int) -> Column:
-        return F.transform(f"_n{i}", lambda n: F.struct(F.lit(i).alias("depth"), n.alias("node")))
-
-    tagged = [tag(i) for i in range(1, depth + 1)]
-    return nodes.select("tool_id", F.explode(F.concat(*tagged)).alias("_x")).select("tool_id", "_x.*")
+    return tools.select("tool_id", F.explode(unfold(root, children, "variant", depth)).alias("_x")).select("tool_id", "_x.*")
 
 
 def schema_budgets(tools: DataFrame, parameters: str = "parameters") -> DataFrame:
     """Depth, property count, text size and enum size of each tree."""
     node = F.col("node")
     names = F.transform(entries(at(node, "$.properties")), lambda e: e["key"])
-    own_names = F.when(text_at(node, "$.type") == "object", names).otherwise(F.array().cast("array<string>"))
     defs = F.concat(*[F.transform(entries(at(node, p)), lambda e: e["key"]) for p in ("$['$defs']", "$.definitions")])
-    enum = items(at(node, "$.enum"))
-    enum_texts = F.transform(F.filter(enum, lambda x: kind(x) == "STRING"), lambda x: F.try_variant_get(x, "$", "string"))
-    length = lambda texts: F.aggregate(texts, F.lit(0).cast("bigint"), lambda acc, t: acc + F.length(t))
-    measured = schema_nodes(tools, parameters).select(
+    read = schema_nodes(tools, parameters).select(
+        "tool_id",
+        "depth",
+        F.when(text_at(node, "$.type") == "object", names).otherwise(F.array().cast("array<string>")).alias("names"),
+        defs.alias("defs"),
+        items(at(node, "$.enum")).alias("enum"),
+        F.coalesce(F.length(text_at(node, "$.const")), F.lit(0)).alias("const"),
+    )
+    texts = F.transform(F.filter("enum", lambda x: kind(x) == "STRING"), lambda x: F.length(F.try_variant_get(x, "$", "string")))
+    total = lambda lengths: F.aggregate(lengths, F.lit(0).cast("bigint"), lambda acc, n: acc + n)
+    length = lambda column: total(F.transform(column, F.length))
+    measured = read.withColumn("texts", texts).select(
         "tool_id",
         "depth",
-        F.size(own_names).alias("props"),
-        (length(own_names) + length(defs) + length(enum_texts) + F.coalesce(F.length(text_at(node, "$.const")), F.lit(0))).alias("text"),
-        F.size(enum).alias("enums"),
-        F.when((F.size(enum) > fixed.SCHEMA_ENUM_COUNT) & (F.size(enum) == F.size(enum_texts)), length(enum_texts)).otherwise(0).alias("enum_text"),
+        F.size("names").alias("props"),
+        F.size("enum").alias("enums"),
+        (length("names") + length("defs") + F.col("const")).alias("name_text"),
+        total("texts").alias("enum_text"),
+        (F.size("enum") == F.size("texts")).alias("all_text"),
+    ).select(
+        "tool_id", "depth", "props", "enums", (F.col("name_text") + F.col("enum_text")).alias("text"),
+        F.when((F.col("enums") > fixed.SCHEMA_ENUM_COUNT) & F.col("all_text"), F.col("enum_text")).otherwise(0).alias("enum_text"),
     )
     return measured.groupBy("tool_id").agg(
         F.max("depth").cast("bigint").alias("max_depth"),
