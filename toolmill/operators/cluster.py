@@ -124,7 +124,7 @@ def apply_operations(nodes: DataFrame, edges: DataFrame, operations: DataFrame)
     parent, add_children)``. A link counts only if its parent existed when the
     operation ran; a child is linked to a parent once, at its first operation.
     Unknown nodes and actions change nothing, and applying a log twice is the
-    same as applying it once.
+    same as applying it once. Edges keep the ``seq`` they carry, -1 without one.
     """
     adds = operations.where(F.col("action") == "ADD_NODE")
     existing = nodes.select("id", "level", "parent", F.lit(-1).cast("bigint").alias("born"))
@@ -138,7 +138,8 @@ def apply_operations(nodes: DataFrame, edges: DataFrame, operations: DataFrame)
     )
     births = all_nodes.select(F.col("id").alias("parent"), "born")
     valid = linked.join(births, "parent").where(F.col("born") <= F.col("seq")).drop("born")
-    merged = edges.select("parent", "child", (F.lit(-1)).cast("bigint").alias("seq")).unionByName(valid)
+    before = F.col("seq") if "seq" in edges.columns else F.lit(-1)
+    merged = edges.select("parent", "child", before.cast("bigint").alias("seq")).unionByName(valid)
     all_edges = merged.groupBy("parent", "child").agg(F.min("seq").alias("seq"))
     return all_nodes.drop("born"), all_edges
 
