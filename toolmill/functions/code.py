@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from toolmill.functions import fixed
-from toolmill.functions.text import strip
+from toolmill.functions.text import let, strip
 
 
 # --- names ---------------------------------------------------------------------
@@ -95,11 +95,6 @@ def is_called(code: Column, name: Column) -> Column:
 
 # --- signature and docstring ----------------------------------------------------------
 
-def let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once per row, also inside loops over arrays."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def normal_type(type_text: Column) -> Column:
     return F.lower(F.replace(strip(type_text), F.lit(" "), F.lit("")))
 

@@ -13,34 +13,56 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from toolmill.functions import fixed
+from toolmill.functions.text import let
 
 ENTRIES = "map<string,variant>"
-READ_DEPTH = 100
-
-
-def kind(v: Column) -> Column:
-    """OBJECT / ARRAY / STRING / BOOLEAN / … of a VARIANT; null for null."""
-    return F.regexp_extract(F.schema_of_variant(v), r"^[A-Z]+", 0)
+JSON_DEPTH = 1_000  # nesting at which the JSON parser itself gives up
 
 
 def at(v: Column, path: str) -> Column:
     return F.try_variant_get(v, path, "variant")
 
 
+def is_object(v: Column) -> Column:
+    """False for absent values. A shallow cast decides; no schema of the tree is inferred."""
+    return F.try_variant_get(v, "$", ENTRIES).isNotNull()
+
+
+def is_array(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "array<variant>").isNotNull()
+
+
+def is_null(v: Column) -> Column:
+    """Absent, or JSON null."""
+    return v.isNull() | F.is_variant_null(v)
+
+
+def is_string(v: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(v) == "STRING", F.lit(False))
+
+
+def is_boolean(v: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(v) == "BOOLEAN", F.lit(False))
+
+
 def text_at(v: Column, path: str) -> Column:
     """A member that is a JSON string; null for any other kind."""
-    return F.when(kind(at(v, path)) == "STRING", F.try_variant_get(v, path, "string"))
+    return F.when(is_string(at(v, path)), F.try_variant_get(v, path, "string"))
+
+
+def has_type(v: Column, name: str) -> Column:
+    return F.coalesce(F.try_variant_get(v, "$.type", "string") == name, F.lit(False))
 
 
 def entries(v: Column) -> Column:
     """(key, value) array of an object; empty for anything else."""
-    return F.when(kind(v) == "OBJECT", F.map_entries(F.try_variant_get(v, "$", ENTRIES))).otherwise(
-        F.array().cast("array<struct<key:string,value:variant>>")
+    return F.coalesce(
+        F.map_entries(F.try_variant_get(v, "$", ENTRIES)), F.array().cast("array<struct<key:string,value:variant>>")
     )
 
 
 def items(v: Column) -> Column:
-    return F.when(kind(v) == "ARRAY", F.try_variant_get(v, "$", "array<variant>")).otherwise(F.array().cast("array<variant>"))
+    return F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array().cast("array<variant>"))
 
 
 def property_entries(v: Column) -> Column:
@@ -48,11 +70,17 @@ def property_entries(v: Column) -> Column:
 
 
 def _is_object_schema(v: Column) -> Column:
-    return (text_at(v, "$.type") == "object") & at(v, "$.properties").isNotNull()
+    return has_type(v, "object") & at(v, "$.properties").isNotNull()
+
 
+def depth_bound(text: Column) -> Column:
+    """No tree is deeper than its text has objects; one more level for what they hold."""
+    objects = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("{"), F.lit("")))
+    return F.least(F.coalesce(objects, F.lit(0)) + 1, F.lit(JSON_DEPTH))
 
-def unfold(roots: Column, children, node_type: str, depth: int) -> Column:
-    """Array of (depth, node) of every node below ``roots``, level by level, at most
+
+def unfold(roots: Column, children, node_type: str, depth: Column) -> Column:
+    """Array of (depth, node) of every node below ``roots``, level by level, for
     ``depth`` levels. One expression for any depth; a row's tree stays in its row."""
     found_type = f"array<struct<depth:int,node:{node_type}>>"
     start = F.struct(F.array().cast(found_type).alias("found"), roots.alias("level"))
@@ -61,7 +89,7 @@ def unfold(roots: Column, children, node_type: str, depth: int) -> Column:
         placed = F.transform(acc["level"], lambda n: F.struct(i.cast("int").alias("depth"), n.alias("node")))
         return F.struct(F.concat(acc["found"], placed).alias("found"), F.flatten(F.transform(acc["level"], children)).alias("level"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), start, next_level)["found"]
+    return F.aggregate(F.sequence(F.lit(1), depth), start, next_level)["found"]
 
 
 # --- rules ------------------------------------------------------------------------------
@@ -70,18 +98,18 @@ def _issue(test: Column, error_type: str, prop: Column, detail: Column) -> Colum
     return F.when(test, F.struct(F.lit(error_type).alias("error_type"), prop.alias("property"), detail.alias("detail")))
 
 
-def schema_errors(tools: DataFrame, info: str = "info", depth: int = READ_DEPTH) -> DataFrame:
-    """One row per violation ``(tool_id, error_type, property, detail)``."""
+def schema_errors(tools: DataFrame, info: str = "info") -> DataFrame:
+    """One row per violation ``(tool_id, error_type, property, detail)`` of the schema texts."""
     nothing = F.lit("")
-    v, function = F.col(info), at(F.col(info), "$.function")
+    v = F.col("_info")
     parameters = F.col("_parameters")
-    top = tools.select("tool_id", v.alias("_info"), function.alias("_function"), at(v, "$.function.parameters").alias("_parameters"))
-    has_info = v.isNotNull() & (kind(v) != "VOID")
-    is_object = kind(F.col("_info")) == "OBJECT"
-    function_object = kind(F.col("_function")) == "OBJECT"
+    parsed = tools.select("tool_id", F.try_parse_json(info).alias("_info"), depth_bound(F.col(info)).alias("_depth"))
+    top = parsed.select("tool_id", "_info", "_depth", at(v, "$.function").alias("_function"), at(v, "$.function.parameters").alias("_parameters"))
+    info_object = is_object(F.col("_info"))
+    function_object = is_object(F.col("_function"))
     bad_words = F.filter(F.transform(entries(parameters), lambda e: e["key"]), lambda k: k.isin(*fixed.INVALID_TOP_KEYWORDS))
     checked = top.withColumn("_bad_words", F.array_sort(bad_words)).withColumn(
-        "_checkable", (kind(parameters) == "OBJECT") & (F.size("_bad_words") == 0)
+        "_checkable", is_object(parameters) & (F.size("_bad_words") == 0)
     )
 
     # objects whose own structure is checked: the root, then nested object properties
@@ -94,37 +122,38 @@ def schema_errors(tools: DataFrame, info: str = "info", depth: int = READ_DEPTH)
             lambda e: F.struct(F.concat_ws(".", F.nullif(n["path"], F.lit("")), e["key"]).alias("path"), e["value"].alias("node")),
         )
 
-    objects = F.transform(unfold(root, nested, node_type, depth), lambda x: x["node"])
+    objects = F.transform(unfold(root, nested, node_type, F.col("_depth")), lambda x: x["node"])
 
     flat_info = F.col("_info")
+    empty = info_object & (F.size(entries(flat_info)) == 0)
     top_issues = F.array(
-        _issue(flat_info.isNull() | (kind(flat_info) == "VOID") | (F.to_json(flat_info) == "{}"), "schema_missing_field", nothing, F.lit("tool_info")),
-        _issue(flat_info.isNotNull() & ~is_object & (kind(flat_info) != "VOID"), "schema_invalid_type", nothing, F.lit("tool_info")),
-        _issue(is_object & (F.to_json(flat_info) != "{}") & F.col("_function").isNull(), "schema_missing_field", nothing, F.lit("function")),
-        _issue(is_object & F.col("_function").isNotNull() & ~function_object, "schema_invalid_type", nothing, F.lit("function")),
+        _issue(is_null(flat_info) | empty, "schema_missing_field", nothing, F.lit("tool_info")),
+        _issue(~is_null(flat_info) & ~info_object, "schema_invalid_type", nothing, F.lit("tool_info")),
+        _issue(info_object & ~empty & F.col("_function").isNull(), "schema_missing_field", nothing, F.lit("function")),
+        _issue(info_object & F.col("_function").isNotNull() & ~function_object, "schema_invalid_type", nothing, F.lit("function")),
         *[
             _issue(function_object & at(F.col("_function"), f"$.{field}").isNull(), "schema_missing_field", nothing, F.lit(field))
             for field in fixed.REQUIRED_FUNCTION_FIELDS
         ],
-        _issue(parameters.isNotNull() & (kind(parameters) != "OBJECT"), "schema_parameters_wrong_type", nothing, F.lit("parameters")),
+        _issue(parameters.isNotNull() & ~is_object(parameters), "schema_parameters_wrong_type", nothing, F.lit("parameters")),
         _issue(F.size("_bad_words") > 0, "schema_parameters_invalid_keywords", nothing, F.concat_ws(",", "_bad_words")),
     )
 
     def object_issues(n: Column) -> Column:
         node, path = n["node"], n["path"]
         return F.array(
-            _issue(F.coalesce(text_at(node, "$.type"), F.lit("")) != "object", "schema_invalid_type", path, F.lit("type")),
+            _issue(~has_type(node, "object"), "schema_invalid_type", path, F.lit("type")),
             _issue(at(node, "$.properties").isNull(), "schema_missing_field", path, F.lit("properties")),
         )
 
     def property_issues(n: Column) -> Column:
         return F.flatten(
             F.transform(
-                F.filter(property_entries(n["node"]), lambda e: kind(e["value"]) == "OBJECT"),
+                F.filter(property_entries(n["node"]), lambda e: is_object(e["value"])),
                 lambda e: F.array(
-                    _issue((text_at(e["value"], "$.type") == "array") & at(e["value"], "$.items").isNull(), "schema_array_missing_items", e["key"], F.lit("items")),
-                    _issue(kind(at(e["value"], "$.type")) == "ARRAY", "schema_type_array", e["key"], F.lit("type")),
-                    *[_issue(kind(at(e["value"], f"$.{f}")) == "BOOLEAN", "schema_invalid_value_type", e["key"], F.lit(f)) for f in fixed.VALUE_FIELDS],
+                    _issue(has_type(e["value"], "array") & at(e["value"], "$.items").isNull(), "schema_array_missing_items", e["key"], F.lit("items")),
+                    _issue(is_array(at(e["value"], "$.type")), "schema_type_array", e["key"], F.lit("type")),
+                    *[_issue(is_boolean(at(e["value"], f"$.{f}")), "schema_invalid_value_type", e["key"], F.lit(f)) for f in fixed.VALUE_FIELDS],
                 ),
             )
         )
@@ -143,24 +172,26 @@ def schema_errors(tools: DataFrame, info: str = "info", depth: int = READ_DEPTH)
 
 # --- budgets ------------------------------------------------------------------------------
 
-def schema_nodes(tools: DataFrame, parameters: str = "parameters", depth: int = READ_DEPTH) -> DataFrame:
-    """Every schema node of a parameters tree: ``(tool_id, depth, node)`` through
-    properties, items, compositions and definitions, down to ``depth`` levels."""
+def schema_nodes(tools: DataFrame, parameters: str = "parameters") -> DataFrame:
+    """Every schema node of a parameters text: ``(tool_id, depth, node)`` through
+    properties, items, compositions and definitions."""
     none = F.array().cast("array<variant>")
-    root = F.when(F.col(parameters).isNotNull(), F.array(parameters)).otherwise(none)
 
     def children(n: Column) -> Column:
         values = lambda path: F.transform(entries(at(n, path)), lambda e: e["value"])
         return F.concat(
-            F.when(text_at(n, "$.type") == "object", values("$.properties")).otherwise(none),
-            F.when((text_at(n, "$.type") == "array") & at(n, "$.items").isNotNull(), F.array(at(n, "$.items"))).otherwise(none),
+            F.when(has_type(n, "object"), values("$.properties")).otherwise(none),
+            F.when(has_type(n, "array") & at(n, "$.items").isNotNull(), F.array(at(n, "$.items"))).otherwise(none),
             items(at(n, "$.anyOf")),
             items(at(n, "$.oneOf")),
             values("$['$defs']"),
             values("$.definitions"),
         )
 
-    return tools.select("tool_id", F.explode(unfold(root, children, "variant", depth)).alias("_x")).select("tool_id", "_x.*")
+    def tree(root: Column) -> Column:
+        return unfold(F.when(root.isNotNull(), F.array(root)).otherwise(none), children, "variant", depth_bound(F.col(parameters)))
+
+    return tools.select("tool_id", F.explode(let(F.try_parse_json(parameters), tree)).alias("_x")).select("tool_id", "_x.*")
 
 
 def schema_budgets(tools: DataFrame, parameters: str = "parameters") -> DataFrame:
@@ -171,12 +202,12 @@ def schema_budgets(tools: DataFrame, parameters: str = "parameters") -> DataFram
     read = schema_nodes(tools, parameters).select(
         "tool_id",
         "depth",
-        F.when(text_at(node, "$.type") == "object", names).otherwise(F.array().cast("array<string>")).alias("names"),
+        F.when(has_type(node, "object"), names).otherwise(F.array().cast("array<string>")).alias("names"),
         defs.alias("defs"),
         items(at(node, "$.enum")).alias("enum"),
         F.coalesce(F.length(text_at(node, "$.const")), F.lit(0)).alias("const"),
     )
-    texts = F.transform(F.filter("enum", lambda x: kind(x) == "STRING"), lambda x: F.length(F.try_variant_get(x, "$", "string")))
+    texts = F.transform(F.filter("enum", is_string), lambda x: F.length(F.try_variant_get(x, "$", "string")))
     total = lambda lengths: F.aggregate(lengths, F.lit(0).cast("bigint"), lambda acc, n: acc + n)
     length = lambda column: total(F.transform(column, F.length))
     measured = read.withColumn("texts", texts).select(
@@ -203,13 +234,13 @@ def schema_budgets(tools: DataFrame, parameters: str = "parameters") -> DataFram
 def strict_errors(tools: DataFrame, parameters: str = "parameters") -> DataFrame:
     """Root strictness (no additional properties, all properties required) and
     budgets over their limit, one row per violation."""
-    p = F.col(parameters)
+    p = F.col("_p")
     names = F.transform(property_entries(p), lambda e: e["key"])
     required = F.transform(items(at(p, "$.required")), lambda x: F.try_variant_get(x, "$", "string"))
     missing = F.array_except(names, required)
-    has_list = F.coalesce(kind(at(p, "$.required")) == "ARRAY", F.lit(False))
+    has_list = is_array(at(p, "$.required"))
     closed = F.coalesce(F.try_variant_get(p, "$.additionalProperties", "boolean") == F.lit(False), F.lit(False))
-    rooted = tools.where(text_at(p, "$.type") == "object").select(
+    rooted = tools.select("tool_id", F.try_parse_json(parameters).alias("_p")).where(has_type(p, "object")).select(
         "tool_id",
         F.explode(
             F.filter(

@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from toolmill.functions import fixed
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once per row, also inside loops over arrays."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(s: Column) -> Column:
     return F.btrim(s, F.lit(fixed.BLANK))
 
@@ -192,28 +197,16 @@ def suggestion_field(s: Column) -> Column:
     return F.regexp_extract(s, r'"modification_suggestions":\s*"([^"]*)"', 1)
 
 
-def is_json_object(v: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
-
-
-def is_json_array(v: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(v).startswith("ARRAY"), F.lit(False))
-
-
 def operation_list(reply: Column) -> Column:
     """Operations of a reply (a list or an object with one), one level flattened,
     objects only; an empty array if the reply is not JSON."""
     v = F.try_parse_json(reply)
-    listed = F.when(is_json_array(v), F.try_variant_get(v, "$", "array<variant>")).otherwise(
-        F.try_variant_get(v, "$.operations", "array<variant>")
-    )
-    flat = F.flatten(
-        F.transform(
-            F.coalesce(listed, F.array().cast("array<variant>")),
-            lambda x: F.when(is_json_array(x), F.try_variant_get(x, "$", "array<variant>")).otherwise(F.array(x)),
-        )
-    )
-    return F.filter(flat, is_json_object)
+    def as_list(x: Column, path: str = "$") -> Column:
+        return F.try_variant_get(x, path, "array<variant>")
+
+    listed = F.coalesce(as_list(v), as_list(v, "$.operations"), F.array().cast("array<variant>"))
+    flat = F.flatten(F.transform(listed, lambda x: F.coalesce(as_list(x), F.array(x))))
+    return F.filter(flat, lambda x: F.try_variant_get(x, "$", "map<string,variant>").isNotNull())
 
 
 # --- lists inside replies -------------------------------------------------------------

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from toolmill.functions import fixed
 from toolmill.functions.code import definition_count
+from toolmill.functions.schema import is_array, is_object, items
 from toolmill.operators.ordering import first_rows, last_rows
 
 
@@ -33,10 +34,7 @@ def unify_formats(tools: DataFrame) -> DataFrame:
 
 def first_object(v: Column) -> Column:
     """A description given as a list becomes its first object; null if it has none."""
-    objects = F.filter(
-        F.try_variant_get(v, "$", "array<variant>"), lambda x: F.schema_of_variant(x).startswith("OBJECT")
-    )
-    return F.when(F.schema_of_variant(v).startswith("ARRAY"), F.get(objects, F.lit(0))).otherwise(v)
+    return F.when(is_array(v), F.get(F.filter(items(v), is_object), F.lit(0))).otherwise(v)
 
 
 def summary_json(info: Column, tag: Column) -> Column:
@@ -69,7 +67,7 @@ def call_form(info: Column) -> Column:
 
 def embedding_text(tool_id: Column, fmt: Column, info: Column) -> Column:
     function = F.try_variant_get(info, "$.function", "variant")
-    has_function = F.coalesce(F.schema_of_variant(function).startswith("OBJECT"), F.lit(False))
+    has_function = is_object(function)
     name = F.coalesce(json_string(info, "$.function.name"), F.concat(F.lit("tool_"), tool_id))
     description = F.coalesce(json_string(info, "$.function.description"), F.lit(fixed.NO_DESCRIPTION))
     bad = F.when(fmt == "v2", "Invalid tool_info function format").otherwise("Invalid description format")

@@ -32,35 +32,21 @@ def resolve_targets(assignments: DataFrame, nodes: DataFrame) -> DataFrame:
     Existence is judged against the completed hierarchy only.
     """
     path = F.coalesce(F.col("cluster_ids"), F.array().cast("array<string>"))
-    tagged = assignments.select(
+    steps = F.concat(F.array("cluster_id"), F.reverse(path))
+    candidates = assignments.select("tool_id", F.col("cluster_id").alias("own"), path.alias("path"), F.posexplode(steps).alias("step", "id"))
+    known = candidates.join(nodes.select("id", F.lit(True).alias("known")), "id", "left")
+    # the tool decides own id and path; as grouping keys they leave a numeric buffer, so no task sorts
+    nearest = known.groupBy("tool_id", "own", "path").agg(F.min(F.when(F.col("known"), F.col("step"))).alias("step"))
+    last = F.try_element_at("path", F.lit(-1))
+    return nearest.select(
         "tool_id",
-        F.col("cluster_id").alias("own"),
-        F.try_element_at(path, F.lit(-1)).alias("last"),
-        F.concat(
-            F.array(F.struct(F.lit(0).alias("step"), F.col("cluster_id").alias("id"))),
-            F.transform(path, lambda c, i: F.struct((F.size(path) - i).alias("step"), c.alias("id"))),
-        ).alias("candidates"),
-    )
-    exploded = tagged.select("tool_id", "own", "last", F.explode("candidates").alias("c")).select("tool_id", "own", "last", "c.*")
-    known = nodes.select("id", F.lit(True).alias("_known"))
-    return (
-        exploded.join(known, "id", "left")
-        .groupBy("tool_id")
-        .agg(
-            F.min(F.when(F.col("_known"), F.struct("step", "id"))).alias("_hit"),
-            F.first("own").alias("_own"),
-            F.first("last").alias("_last"),
-        )
-        .select(
-            "tool_id",
-            F.coalesce("_hit.id", "_last", "_own").alias("target"),
-            F.when(F.col("_hit.step") == 0, "exact")
-            .when(F.col("_hit.step") > 0, "path")
-            .when(F.col("_last").isNotNull(), "new_from_path")
-            .when(F.col("_own").isNotNull(), "new_from_own")
-            .otherwise("reject")
-            .alias("rule"),
-        )
+        F.when(F.col("step") == 0, F.col("own")).otherwise(F.coalesce(F.try_element_at("path", -F.col("step")), last, "own")).alias("target"),
+        F.when(F.col("step") == 0, "exact")
+        .when(F.col("step") > 0, "path")
+        .when(last.isNotNull(), "new_from_path")
+        .when(F.col("own").isNotNull(), "new_from_own")
+        .otherwise("reject")
+        .alias("rule"),
     )
 
 

@@ -275,7 +275,7 @@ def coverage_references(spark, folder):
 @query("a26_token_estimates", """SELECT lang, count(*) AS documents, CAST(sum(t) AS BIGINT) AS tokens, round(sum(t) / 1e6 * 2.0 + sum(t) / 1e6 * 8.0, 6) AS cost_o3, 0.0 + 0 AS cost_other FROM (
     SELECT lang, CAST(floor(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) * CAST(1.3 AS DOUBLE)) AS BIGINT) AS t FROM documents) GROUP BY lang""".replace("0.0 + 0 AS", "CAST(0 AS DOUBLE) AS"))
 def token_estimates(spark, folder):
-    tokens = table(spark, folder, "documents").select("lang", logs.token_estimate(F.col("text")).alias("t"))
+    tokens = roles.documents(spark, folder).select("lang", logs.token_estimate(F.col("text")).alias("t"))
     sums = tokens.groupBy("lang").agg(F.count("*").alias("documents"), F.sum("t").alias("tokens"))
     return sums.withColumn("cost_o3", F.round(logs.cost(F.lit("o3"), F.col("tokens"), F.col("tokens")), 6)).withColumn(
         "cost_other", logs.cost(F.lit("other"), F.col("tokens"), F.col("tokens"))

@@ -8,7 +8,7 @@ from toolmill.functions import code as pycode
 from toolmill.functions import fixed, text
 from toolmill.plans import roles
 from toolmill.plans.registry import query
-from toolmill.sources.readers import table
+from toolmill.sources.readers import spread, table
 
 B = "' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)"
 
@@ -24,7 +24,7 @@ FENCED = """CASE doc_id % 7 WHEN 0 THEN text WHEN 1 THEN concat('
 
 
 def fenced(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", F.expr(FENCED).alias("s"))
+    return roles.documents(spark, folder).select("doc_id", F.expr(FENCED).alias("s"))
 
 
 F_SQL = f"(SELECT doc_id, {FENCED} AS s FROM documents)"
@@ -59,7 +59,7 @@ def first_program(spark, folder):
 @query("x4_texts_between_tags", "SELECT doc_id, CAST(0 AS BIGINT) AS i, text AS part FROM documents UNION ALL SELECT doc_id, 1, CAST(doc_id AS VARCHAR) FROM documents")
 def texts_between_tags(spark, folder):
     tagged = F.concat(F.lit("x <output>"), F.col("text"), F.lit("</output> y <output>"), F.col("doc_id").cast("string"), F.lit("</output> <output>open"))
-    found = table(spark, folder, "documents").select("doc_id", F.posexplode(text.between_tags(tagged, "<output>", "</output>")).alias("i", "part"))
+    found = roles.documents(spark, folder).select("doc_id", F.posexplode(text.between_tags(tagged, "<output>", "</output>")).alias("i", "part"))
     return found.select("doc_id", F.col("i").cast("bigint").alias("i"), "part")
 
 
@@ -90,7 +90,7 @@ SEARCH = """CASE doc_id % 6 WHEN 0 THEN concat('Search Query: "', text, '"') WHE
     SELECT doc_id, text, CASE WHEN contains(s, 'Search Query:') THEN trim(split_part(s, 'Search Query:', -1), {B}) ELSE s END AS m FROM (
     SELECT doc_id, text, trim({SEARCH}, {B}) AS s FROM documents)))""")
 def search_queries(spark, folder):
-    docs = table(spark, folder, "documents")
+    docs = roles.documents(spark, folder)
     return docs.select("doc_id", text.clean_search_query(F.expr(SEARCH), F.col("text")).alias("query"))
 
 
@@ -107,7 +107,7 @@ def _any(words) -> str:
     + ", ".join(f"len(string_split(l, '{w}')) - 1 AS {w}_mentions" for w in fixed.COUNTED_WORDS)
     + f" FROM (SELECT doc_id, {REPORT} AS r, lower({REPORT}) AS l FROM documents)")
 def report_indicators(spark, folder):
-    reports = table(spark, folder, "documents").select("doc_id", F.expr(REPORT).alias("r"))
+    reports = roles.documents(spark, folder).select("doc_id", F.expr(REPORT).alias("r"))
     return reports.select("doc_id", *text.report_indicators(F.col("r")))
 
 
@@ -117,13 +117,13 @@ EXPERIENCE = "concat('EFFECTIVENESS_STATUS: ', CASE WHEN doc_id % 2 = 0 THEN 'EF
 @query("x10_experience", f"SELECT doc_id, trim(text, {B}) AS experience, doc_id % 2 = 0 AS effective FROM documents")
 def experience(spark, folder):
     s = F.expr(EXPERIENCE)
-    return table(spark, folder, "documents").select("doc_id", text.experience_list(s).alias("experience"), text.is_effective(s).alias("effective"))
+    return roles.documents(spark, folder).select("doc_id", text.experience_list(s).alias("experience"), text.is_effective(s).alias("effective"))
 
 
 @query("x11_equal_outputs", "SELECT doc_id, doc_id % 3 <> 0 OR translate(text, chr(10), '') = translate(text, chr(10), ' ') AS same FROM documents")
 def equal_outputs(spark, folder):
     other = F.when(F.col("doc_id") % 3 == 0, F.translate("text", "\n", " ")).when(F.col("doc_id") % 3 == 1, F.translate("text", "\n", "\r")).otherwise(F.translate("text", "\n", ""))
-    return table(spark, folder, "documents").select("doc_id", text.same_without_line_breaks(F.col("text"), other).alias("same"))
+    return roles.documents(spark, folder).select("doc_id", text.same_without_line_breaks(F.col("text"), other).alias("same"))
 
 
 REPORT_JSON = """CASE doc_id % 4 WHEN 0 THEN concat(text, '<final_report> {"is_SIB_helpful": "PASS", "modification_suggestions": "use ', source, '"} </final_report>')
@@ -132,7 +132,7 @@ REPORT_JSON = """CASE doc_id % 4 WHEN 0 THEN concat(text, '<final_report> {"is_S
 
 @query("x12_report_json", """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'use ' || source WHEN 1 THEN 'drop ' || lang ELSE '' END AS suggestion, CASE doc_id % 4 WHEN 0 THEN 'PASS' ELSE '' END AS status FROM documents""")
 def report_json(spark, folder):
-    parsed = table(spark, folder, "documents").select("doc_id", text.report_json(F.expr(REPORT_JSON)).alias("v"))
+    parsed = roles.documents(spark, folder).select("doc_id", text.report_json(F.expr(REPORT_JSON)).alias("v"))
     value = lambda path: F.coalesce(F.try_variant_get("v", path, "string"), F.lit(""))
     return parsed.select("doc_id", value("$.modification_suggestions").alias("suggestion"), value("$.is_SIB_helpful").alias("status"))
 
@@ -144,7 +144,7 @@ OPERATIONS = """CASE event_id % 4 WHEN 0 THEN concat('[{"action":"ADD_NODE","nod
 @query("x13_operation_lists", """SELECT event_id, CAST(0 AS BIGINT) AS i, 'ADD_NODE' AS action, 'a' || event_id AS node_id FROM events WHERE event_id % 4 < 2
     UNION ALL SELECT event_id, 1, 'MODIFY_NODE', 'b' || user_id FROM events WHERE event_id % 4 < 2""")
 def operation_lists(spark, folder):
-    listed = table(spark, folder, "events").select("event_id", F.posexplode(text.operation_list(F.expr(OPERATIONS))).alias("i", "op"))
+    listed = spread(table(spark, folder, "events").select("event_id", "user_id"), "event_id").select("event_id", F.posexplode(text.operation_list(F.expr(OPERATIONS))).alias("i", "op"))
     value = lambda path: F.try_variant_get("op", path, "string")
     return listed.select("event_id", F.col("i").cast("bigint").alias("i"), value("$.action").alias("action"), value("$.node_id").alias("node_id"))
 
@@ -160,13 +160,13 @@ INDICES = """concat('<answer>[', CAST(event_id % 35 AS STRING), ', -3, ', CAST(u
 @query("x15_answer_indices", """SELECT DISTINCT event_id, i FROM (SELECT event_id, unnest([event_id % 35, user_id % 40, event_id % 11, user_id % 7]) AS i FROM events) WHERE i < 30""")
 def answer_indices(spark, folder):
     found = text.answer_indices(F.expr(INDICES), F.lit(30))
-    return table(spark, folder, "events").select("event_id", F.explode(found).alias("i"))
+    return spread(table(spark, folder, "events").select("event_id", "user_id"), "event_id").select("event_id", F.explode(found).alias("i"))
 
 
 @query("x16_comma_items", f"""SELECT doc_id, i - 1 AS i, item FROM (SELECT doc_id, unnest(items) AS item, generate_subscripts(items, 1) AS i FROM (
     SELECT doc_id, list_filter([trim(x, {B}) for x in string_split(text, ',')], lambda x: x <> '') AS items FROM documents))""")
 def comma_items(spark, folder):
-    listed = table(spark, folder, "documents").select("doc_id", F.posexplode(text.comma_items(F.col("text"))).alias("i", "item"))
+    listed = roles.documents(spark, folder).select("doc_id", F.posexplode(text.comma_items(F.col("text"))).alias("i", "item"))
     return listed.select("doc_id", F.col("i").cast("bigint").alias("i"), "item")
 
 

@@ -35,7 +35,7 @@ PROPERTY = "json_extract(o, '$.properties.\"' || k || '\"')"
     UNION ALL SELECT tool_id, 'schema_type_array', k, 'type' FROM props WHERE json_type(d, '$.type') = 'ARRAY'
     UNION ALL SELECT tool_id, 'schema_invalid_value_type', k, field FROM props, (SELECT unnest(['default', 'minimum', 'maximum']) AS field) WHERE json_type(d, '$.' || field) = 'BOOLEAN'""")
 def schema_errors(spark, folder):
-    return schema.schema_errors(roles.parsed_tools(spark, folder))
+    return schema.schema_errors(roles.tools(spark, folder))
 
 
 NESTED_OPEN = '{"type":"object","properties":{"inner":'
@@ -49,8 +49,7 @@ TREES_SQL = TREES.replace("AS STRING", "AS VARCHAR")
 
 
 def trees(spark, folder):
-    rows = table(spark, folder, "part").select(F.col("p_partkey").alias("tool_id"), F.expr(TREES).alias("p"))
-    return rows.select("tool_id", F.try_parse_json("p").alias("parameters"))
+    return roles.part(spark, folder).select(F.col("p_partkey").alias("tool_id"), F.expr(TREES).alias("parameters"))
 
 
 def _values(path: str) -> str:
@@ -177,7 +176,7 @@ def f', CAST(doc_id AS STRING), '():
 @query("q6_tool_blocks", f"""SELECT doc_id AS question_id, CAST(0 AS BIGINT) AS "index", '1' AS tool_number, 'first' AS tag, 'def f' || doc_id || '():' || chr(10) || '    pass' AS code FROM documents
     UNION ALL SELECT doc_id, 2, '3', 'third', trim('raw </tool4> ' || text, {B}) FROM documents""")
 def tool_blocks(spark, folder):
-    replies = table(spark, folder, "documents").select(F.col("doc_id").alias("question_id"), F.expr(BLOCK_REPLY).alias("response"))
+    replies = roles.documents(spark, folder).select(F.col("doc_id").alias("question_id"), F.expr(BLOCK_REPLY).alias("response"))
     return extraction.tool_blocks(replies)
 
 
@@ -191,7 +190,7 @@ zzz 99 </SIB> tail <SIB>  </SIB><SIB>', lang, ' only')"""
 @query("q7_blueprint_blocks", f"""SELECT doc_id, CAST(1 AS BIGINT) AS sib_index, trim(text, {B}) || chr(10) || '[Covered Tools]' || chr(10) || 'Tool 3, tool ' || (doc_id % 20) || ' and 12, x7' || chr(10) || '[Next]' || chr(10) || 'zzz 99' AS content,
     array_to_string(list_sort(list_distinct([3, doc_id % 20, 12])), ',') AS covered FROM documents UNION ALL SELECT doc_id, 3, lang || ' only', '' FROM documents""".replace("trim(text, ", "ltrim(text, "))
 def blueprint_blocks(spark, folder):
-    texts = table(spark, folder, "documents").select(F.col("doc_id").alias("cluster_name"), F.expr(BLUEPRINT).alias("text"))
+    texts = roles.documents(spark, folder).select(F.col("doc_id").alias("cluster_name"), F.expr(BLUEPRINT).alias("text"))
     parsed = blocks.parse_blocks(texts)
     return parsed.select(
         F.col("cluster_name").alias("doc_id"), F.col("sib_index").cast("bigint").alias("sib_index"), "content",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from toolmill.operators.ordering import number_rows
-from toolmill.sources.readers import table
+from toolmill.sources.readers import spread, table
 
 # --- expressions both engines read -------------------------------------------------------
 
@@ -219,8 +219,18 @@ def replies(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def part(spark: SparkSession, folder: str) -> DataFrame:
+    """Parts on all cores: composing and reading their texts is the work."""
+    return spread(table(spark, folder, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size"), "p_partkey")
+
+
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents on all cores, for expressions that read every character."""
+    return spread(table(spark, folder, "documents"), "doc_id")
+
+
 def tools(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "part").select(
+    return part(spark, folder).select(
         F.col("p_partkey").alias("tool_id"),
         F.col("p_partkey").alias("pos"),
         F.expr(TOOL_NAME).alias("name"),

@@ -10,7 +10,7 @@ from toolmill.plans import roles
 from toolmill.plans.registry import query
 from toolmill.session import run_folder
 from toolmill.sources import readers, writers
-from toolmill.sources.readers import table
+from toolmill.sources.readers import spread, table
 
 EVENT_SCHEMA = "event_id bigint, user_id bigint, event_type string, value double"
 EVENT_COLUMNS = ["event_id", "user_id", "event_type", "value"]
@@ -115,7 +115,7 @@ CLUSTER_DOCUMENT = """CASE o_orderkey % 4
     UNION ALL SELECT o_orderkey, 'cluster_1', 0, 'w' FROM orders WHERE o_orderkey % 4 = 1 UNION ALL SELECT o_orderkey, 'cluster_1', 1, 'x' FROM orders WHERE o_orderkey % 4 = 1
     UNION ALL SELECT o_orderkey, 'other', 0, 'y' FROM orders WHERE o_orderkey % 4 = 2""")
 def cluster_shapes(spark, folder):
-    documents = table(spark, folder, "orders").select(F.col("o_orderkey").alias("doc_id"), F.expr(CLUSTER_DOCUMENT).alias("body"))
+    documents = spread(table(spark, folder, "orders").select("o_orderkey", "o_custkey"), "o_orderkey").select(F.col("o_orderkey").alias("doc_id"), F.expr(CLUSTER_DOCUMENT).alias("body"))
     rows = readers.clusters_long(documents)
     return rows.select("doc_id", "cluster_name", F.col("pos").cast("bigint").alias("pos"), F.try_variant_get("tool", "$", "string").alias("tool"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from toolmill.functions import fixed
-from toolmill.functions.schema import at, entries, items, kind, text_at
+from toolmill.functions.schema import at, entries, is_array, is_object, is_string, items, text_at
 
 CORRUPT = "_corrupt_record"
 LIBRARY_SCHEMA = "cluster_name string, tools array<struct<tool_info:string,tool_code:string>>"
@@ -55,6 +55,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows over all cores where the files give fewer splits than there are cores
+    (one small file, heavy work per row); a larger table is returned as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 # --- library files ------------------------------------------------------------------------
 
 def read_library(spark: SparkSession, folder: str, pattern: str = fixed.LIBRARY_FILES) -> DataFrame:
@@ -95,7 +102,7 @@ def clusters_long(documents: DataFrame, body: str = "body") -> DataFrame:
             items(listed),
             lambda c, i: F.struct(
                 F.coalesce(text_at(c, "$.cluster_name"), F.concat(F.lit("cluster_"), i.cast("string"))).alias("name"),
-                F.when(kind(c) == "ARRAY", items(c)).otherwise(items(at(c, "$.tools"))).alias("tools"),
+                F.when(is_array(c), items(c)).otherwise(items(at(c, "$.tools"))).alias("tools"),
             ),
         )
 
@@ -103,10 +110,10 @@ def clusters_long(documents: DataFrame, body: str = "body") -> DataFrame:
         return F.transform(entries(named), lambda e: F.struct(e["key"].alias("name"), items(e["value"]).alias("tools")))
 
     pairs = (
-        F.when(kind(clusters) == "ARRAY", from_list(clusters))
-        .when(kind(clusters) == "OBJECT", from_names(clusters))
-        .when(kind(v) == "ARRAY", from_list(v))
-        .when(kind(v) == "OBJECT", from_names(v))
+        F.when(is_array(clusters), from_list(clusters))
+        .when(is_object(clusters), from_names(clusters))
+        .when(is_array(v), from_list(v))
+        .when(is_object(v), from_names(v))
         .otherwise(F.array().cast(pair))
     )
     return (
@@ -121,9 +128,9 @@ def extracted_tools(results: DataFrame) -> DataFrame:
     """Tools of extraction results: the result text is an object with
     ``final_tools``, a bare list, or a JSON string of either. Status is not looked at."""
     v = F.try_parse_json("agent_result")
-    unwrapped = F.when(kind(v) == "STRING", F.try_parse_json(F.try_variant_get(v, "$", "string"))).otherwise(v)
+    unwrapped = F.when(is_string(v), F.try_parse_json(F.try_variant_get(v, "$", "string"))).otherwise(v)
     parsed = results.withColumn("_v", unwrapped)
-    listed = F.when(kind(F.col("_v")) == "ARRAY", items(F.col("_v"))).otherwise(items(at(F.col("_v"), "$.final_tools")))
+    listed = F.when(is_array(F.col("_v")), items(F.col("_v"))).otherwise(items(at(F.col("_v"), "$.final_tools")))
     return parsed.select("qa_id", "question", "answer", F.posexplode(listed).alias("index", "t")).select(
         "qa_id",
         "index",
@@ -141,7 +148,7 @@ def unreadable_results(results: DataFrame) -> DataFrame:
 def single_reasoning(column: str = "reasoning") -> Column:
     """A reasoning given as a JSON list becomes its first element."""
     v = F.try_parse_json(column)
-    return F.when(kind(v) == "ARRAY", F.try_variant_get(v, "$[0]", "string")).otherwise(F.col(column))
+    return F.when(is_array(v), F.try_variant_get(v, "$[0]", "string")).otherwise(F.col(column))
 
 
 # --- finished work -----------------------------------------------------------------------------
