@@ -18,7 +18,8 @@ def score_choices(replies: DataFrame, eval_type: str = "multiple_choice", marker
     tail = F.col("pred_answer")
     scored = replies.withColumn("pred_answer", answer_tail(F.col("response"), marker))
     if eval_type == "number":
-        return scored.withColumn("correctness", grade_number(tail, truth).cast("bigint"))
+        value = F.ltrim(tail, F.lit(": "))  # the marker may end in a colon
+        return scored.withColumn("correctness", grade_number(value, truth).cast("bigint"))
     return (
         scored.withColumn("pred_choice", first_choice(tail))
         .withColumn("correct_contains", F.contains(F.lower(tail), F.lower(truth)).cast("bigint"))
