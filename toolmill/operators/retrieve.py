@@ -18,6 +18,7 @@ from toolmill.operators.ordering import top_per_group
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 BLOCK_ROWS = 4_096
+QUERY_CHUNK = 1_024
 RESULT = "query_id bigint, tool_id bigint, score double"
 
 
@@ -53,39 +54,58 @@ def _matrix(ids: pa.Array, vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return keys, rows / np.where(length == 0, 1.0, length)[:, None]
 
 
-def _best(query_ids: np.ndarray, scores: np.ndarray, tool_ids: np.ndarray, k: int) -> pa.RecordBatch:
-    """k best tools of each query (row of ``scores``), all ties decided by id."""
+def _scores(queries: np.ndarray, tools: np.ndarray) -> np.ndarray:
+    return np.round(queries @ tools.T, SCORE_PLACES) + 0.0
+
+
+def _keep(qi: np.ndarray, tool_ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best rows of each query number, equal scores by lower tool id."""
+    order = np.lexsort((tool_ids, -scores, qi))
+    qi, tool_ids, scores = qi[order], tool_ids[order], scores[order]
+    kept = np.arange(len(qi)) - np.searchsorted(qi, qi) < k
+    return qi[kept], tool_ids[kept], scores[kept]
+
+
+def _candidates(scores: np.ndarray, tool_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of a score block (queries by tools) that can be among the k best, all
+    ties with the k-th included."""
     if scores.shape[1] > k:
         cut = np.partition(scores, -k, axis=1)[:, -k]
         qi, ti = np.nonzero(scores >= cut[:, None])
     else:
         qi, ti = np.nonzero(np.ones_like(scores, dtype=bool))
-    found = scores[qi, ti]
-    order = np.lexsort((tool_ids[ti], -found, qi))
-    qi, ti, found = qi[order], ti[order], found[order]
-    position = np.arange(len(qi)) - np.searchsorted(qi, qi)
-    keep = position < k
+    return qi, tool_ids[ti], scores[qi, ti]
+
+
+def _result(query_ids: np.ndarray, best: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
+    qi, tool_ids, scores = best
     return pa.RecordBatch.from_arrays(
-        [pa.array(query_ids[qi[keep]], pa.int64()), pa.array(tool_ids[ti[keep]], pa.int64()), pa.array(found[keep], pa.float64())],
+        [pa.array(query_ids[qi], pa.int64()), pa.array(tool_ids, pa.int64()), pa.array(scores, pa.float64())],
         names=["query_id", "tool_id", "score"],
     )
 
 
-def _scores(queries: np.ndarray, tools: np.ndarray) -> np.ndarray:
-    return np.round(queries @ tools.T, SCORE_PLACES) + 0.0
-
-
 def _with_shared_queries(tools: DataFrame, query_ids: np.ndarray, queries: np.ndarray, k: int) -> DataFrame:
-    """Each task multiplies its batches of tools with all (few) queries and sends
-    k rows per query and batch; the tools are not shuffled."""
+    """Each task multiplies its batches of tools with all (few) queries, a chunk of
+    queries at a time, and keeps the k best of every query over its batches: it
+    sends k rows per query, however many tools it read. Tools are not shuffled."""
     shared = tools.sparkSession.sparkContext.broadcast((query_ids, queries))
 
     def block_topk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, matrix = shared.value
+        starts = range(0, len(ids), QUERY_CHUNK)
+        best: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            if batch.num_rows:
-                tool_ids, rows = _matrix(batch.column("tool_id"), batch.column("vec"))
-                yield _best(ids, _scores(matrix, rows), tool_ids, k)
+            if not batch.num_rows:
+                continue
+            tool_ids, rows = _matrix(batch.column("tool_id"), batch.column("vec"))
+            for start in starts:
+                found = _candidates(_scores(matrix[start:start + QUERY_CHUNK], rows), tool_ids, k)
+                if start in best:
+                    found = tuple(np.concatenate(pair) for pair in zip(best[start], found))
+                best[start] = _keep(*found, k)
+        for start in best:
+            yield _result(ids[start:start + QUERY_CHUNK], best[start])
 
     return tools.select("tool_id", "vec").mapInArrow(block_topk, RESULT)
 
@@ -108,7 +128,8 @@ def _in_blocks(tools: DataFrame, queries: DataFrame, k: int, tool_blocks: int, q
             return pa.table({"query_id": pa.array([], pa.int64()), "tool_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         tool_ids, tool_rows = _matrix(left["tool_id"].combine_chunks(), left["vec"].combine_chunks())
         query_ids, query_rows = _matrix(right["query_id"].combine_chunks(), right["vec"].combine_chunks())
-        return pa.Table.from_batches([_best(query_ids, _scores(query_rows, tool_rows), tool_ids, k)])
+        best = _keep(*_candidates(_scores(query_rows, tool_rows), tool_ids, k), k)
+        return pa.Table.from_batches([_result(query_ids, best)])
 
     return t.groupBy("tb", "qb").cogroup(q.groupBy("tb", "qb")).applyInArrow(block_topk, RESULT)
 

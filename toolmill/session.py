@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def build_session(app: str = "toolmill", master: str | None = None, partitions: int | None = None) -> SparkSession:
@@ -21,6 +22,7 @@ def build_session(app: str = "toolmill", master: str | None = None, partitions:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.streaming.stateStore.providerClass", STATE_STORE)  # state may exceed the heap
     )
     if master:
         builder = builder.master(master)
