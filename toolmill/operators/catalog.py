@@ -55,12 +55,21 @@ def tool_name(info: Column, plain_name: Column) -> Column:
 
 def call_form(info: Column) -> Column:
     """Struct a model's function-calling interface takes; empty function if absent."""
+    return call_form_of(
+        json_string(info, "$.function.name"),
+        json_string(info, "$.function.description"),
+        F.to_json(F.try_variant_get(info, "$.function.parameters", "variant")),
+    )
+
+
+def call_form_of(name: Column, description: Column, parameters: Column) -> Column:
+    """The same struct from separate columns (expected tools, registered tools)."""
     return F.struct(
         F.lit("function").alias("type"),
         F.struct(
-            F.coalesce(json_string(info, "$.function.name"), F.lit("")).alias("name"),
-            F.coalesce(json_string(info, "$.function.description"), F.lit("")).alias("description"),
-            F.coalesce(F.to_json(F.try_variant_get(info, "$.function.parameters", "variant")), F.lit("{}")).alias("parameters"),
+            F.coalesce(name, F.lit("")).alias("name"),
+            F.coalesce(description, F.lit("")).alias("description"),
+            F.coalesce(parameters, F.lit("{}")).alias("parameters"),
         ).alias("function"),
     )
 
@@ -96,11 +105,9 @@ def pool(tools: DataFrame, columns: list[str]) -> DataFrame:
     return first_rows(tools, ["name"], F.col("pos"), columns)
 
 
-def library_totals(tools: DataFrame) -> DataFrame:
-    return tools.agg(
-        F.count("*").alias("total_tools"),
-        F.countDistinct("name").alias("distinct_names"),
-    )
+def library_totals(tools: DataFrame, approximate: bool = False) -> DataFrame:
+    distinct = F.approx_count_distinct if approximate else F.countDistinct
+    return tools.agg(F.count("*").alias("total_tools"), distinct("name").alias("distinct_names"))
 
 
 def set_fingerprint(tools: DataFrame, keys: list[str], position: str) -> DataFrame:

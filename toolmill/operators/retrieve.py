@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from toolmill.functions.schema import is_object, items
 from toolmill.functions.vectors import SCORE_PLACES, norm, or_zero_vector
 from toolmill.operators.ordering import top_per_group
 
@@ -193,6 +194,14 @@ def new_per_round(retrievals: DataFrame) -> DataFrame:
 
 # --- recall ---------------------------------------------------------------------------------
 
+def expected_names(questions: DataFrame, column: str = "extracted_tools") -> DataFrame:
+    """``(question_id, name)`` of the expected tools a question carries as a JSON
+    list of objects with a ``function_name``; other entries are passed over."""
+    entries = items(F.try_parse_json(column))
+    names = F.transform(F.filter(entries, is_object), lambda t: F.try_variant_get(t, "$.function_name", "string"))
+    return questions.select("question_id", F.explode(names).alias("name")).where(F.col("name").isNotNull())
+
+
 def hits(retrieved: DataFrame, truth: DataFrame) -> DataFrame:
     """Each expected name of a question with its best rank, null if not retrieved."""
     best = retrieved.groupBy("question_id", "name").agg(F.min("rank").alias("rank"))

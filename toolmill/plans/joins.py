@@ -99,6 +99,15 @@ def truth_hits(spark, folder):
     return retrieve.hits(retrieved_names(spark, folder), roles.truth(spark, folder))
 
 
+EXPECTED = """concat('[{"function_name":"t', CAST(user_id AS STRING), '","parameters":{}},{"name":"other"},7,{"function_name":"', event_type, '"}]')"""
+
+
+@query("j10_expected_names", "SELECT event_id AS question_id, 't' || user_id AS name FROM events UNION ALL SELECT event_id, event_type FROM events")
+def expected_names(spark, folder):
+    questions = table(spark, folder, "events").select(F.col("event_id").alias("question_id"), F.expr(EXPECTED).alias("extracted_tools"))
+    return retrieve.expected_names(questions)
+
+
 @query("j11_unsolved_problems", """SELECT subfield, iter, problem_id, rank, problem_text FROM (SELECT *, row_number() OVER (PARTITION BY subfield, iter ORDER BY problem_id) AS rank
     FROM r_problems WHERE problem_id NOT IN (SELECT problem_id FROM r_calls)) WHERE rank <= 10""")
 def unsolved_problems(spark, folder):

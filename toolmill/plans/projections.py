@@ -37,6 +37,12 @@ def normalized_descriptions(spark, folder):
     )
 
 
+@query("p5_call_form_of_columns", """SELECT tool_id, 'function' AS type, name, description_text AS description, '{}' AS parameters FROM r_tools""")
+def call_form_of_columns(spark, folder):
+    form = catalog.call_form_of(F.col("name"), F.col("description_text"), F.lit(None).cast("string"))
+    return roles.tools(spark, folder).select("tool_id", form.alias("c")).select("tool_id", "c.type", "c.function.*")
+
+
 FORMATS_SQL = """SELECT tool_id, info, code, CASE WHEN tool_id % 5 = 4 OR info IS NULL THEN 'unknown' WHEN tool_id % 2 = 0 THEN 'v2' ELSE 'valid_science' END AS format FROM r_tools"""
 
 
