@@ -224,8 +224,11 @@ def merge_params(signature: Column, documented: Column) -> Column:
     which parameters exist, a documented type overrides the declared one, and a
     function without parameters takes one free-form input."""
 
-    def with_doc(p: Column) -> Column:
-        return F.struct(p.alias("p"), F.try_element_at(F.filter(documented, lambda d: d["name"] == p["name"]), F.lit(-1)).alias("doc"))
+    def with_docs(documented: Column) -> Column:
+        def with_doc(p: Column) -> Column:
+            return F.struct(p.alias("p"), F.try_element_at(F.filter(documented, lambda d: d["name"] == p["name"]), F.lit(-1)).alias("doc"))
+
+        return F.transform(signature, with_doc)
 
     def with_type(x: Column) -> Column:
         return F.struct(
@@ -246,7 +249,7 @@ def merge_params(signature: Column, documented: Column) -> Column:
         F.lit("input").alias("name"), F.lit('{"type":"string"}').alias("json_type"),
         F.lit("Free-form input").alias("description"), F.lit(True).alias("required"),
     )
-    merged = F.transform(F.transform(F.transform(signature, with_doc), with_type), final)
+    merged = F.transform(F.transform(let(documented, with_docs), with_type), final)
     return F.when(F.size(signature) == 0, F.array(generic)).otherwise(merged)
 
 

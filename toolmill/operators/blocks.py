@@ -169,10 +169,10 @@ def merged_library(sources: DataFrame) -> DataFrame:
     aggregate, bodies never leave their row."""
     lines = F.split("code", r"\r?\n")
     future, imports = F.lit(fixed.FUTURE_LINE), F.lit(fixed.IMPORT_LINE)
-    placed = sources.select(
-        "cluster_name", "sib_index", F.posexplode(F.filter(F.transform(
-            lines, lambda l, i: F.struct(i.alias("line_no"), l.alias("l"))), lambda r: F.rlike(r["l"], imports))).alias("_i", "_r")
-    ).select("cluster_name", "sib_index", F.col("_r.line_no").alias("line_no"), strip(F.col("_r.l")).alias("text"))
+    numbered = F.transform(lines, lambda l, i: F.struct(i.alias("line_no"), l.alias("line")))
+    placed = sources.select("cluster_name", "sib_index", F.inline(F.filter(numbered, lambda r: F.rlike(r["line"], imports)))).select(
+        "cluster_name", "sib_index", "line_no", strip(F.col("line")).alias("text")
+    )
     hoisted = (
         placed.withColumn("part", F.when(F.rlike("text", future), 1).otherwise(2))
         .groupBy("cluster_name", "part", "text")

@@ -88,11 +88,14 @@ def apply_assignments(batches: DataFrame, replies: DataFrame) -> DataFrame:
     """Cluster per (batch_id, batch_index) from reply texts: indices outside the
     batch are ignored, the last entry of a reply wins, tools nobody mentioned keep
     a null cluster and the reason."""
-    entries = (
-        replies.select("batch_id", F.posexplode(F.from_json("reply", ASSIGNMENT_REPLY)["assignments"]).alias("entry", "a"))
-        .select("batch_id", "entry", F.col("a.tool_index").alias("batch_index"), F.col("a.assigned_cluster_id").alias("cluster_id"), F.coalesce("a.reasoning", F.lit("")).alias("reasoning"))
-        .where(F.col("batch_index").isNotNull())
+    listed = F.transform(
+        F.from_json("reply", ASSIGNMENT_REPLY)["assignments"],
+        lambda a, i: F.struct(
+            i.alias("entry"), a["tool_index"].alias("batch_index"), a["assigned_cluster_id"].alias("cluster_id"),
+            F.coalesce(a["reasoning"], F.lit("")).alias("reasoning"),
+        ),
     )
+    entries = replies.select("batch_id", F.inline(listed)).where(F.col("batch_index").isNotNull())
     chosen = entries.groupBy("batch_id", "batch_index").agg(
         F.max_by(F.struct("cluster_id", "reasoning"), "entry").alias("_a")
     )

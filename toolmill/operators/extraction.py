@@ -13,20 +13,22 @@ def tool_blocks(replies: DataFrame, reply: str = "response") -> DataFrame:
     """``<toolN>…</toolN>`` blocks of a reply that hold a tag and code; ``index`` is
     the block's place in the reply, fenced code loses its fence."""
     pattern = F.lit(r"(?s)<tool(\d+)>(.*?)</tool\1>")
-    found = F.arrays_zip(
-        F.regexp_extract_all(reply, pattern, F.lit(1)).alias("number"),
-        F.regexp_extract_all(reply, pattern, F.lit(2)).alias("content"),
+    found = F.zip_with(
+        F.regexp_extract_all(reply, pattern, F.lit(1)),
+        F.regexp_extract_all(reply, pattern, F.lit(2)),
+        lambda number, content: F.struct(number.alias("tool_number"), content.alias("content")),
     )
-    content = F.col("b.content")
+    placed = F.transform(found, lambda b, i: F.struct(i.cast("bigint").alias("index"), b["tool_number"].alias("tool_number"), b["content"].alias("content")))
+    content = F.col("content")
     code = F.regexp_extract(content, r"(?s)<code>(.*?)</code>", 1)
     fenced = F.split_part(F.split_part(code, F.lit("```python"), F.lit(2)), F.lit("```"), F.lit(1))
     return (
-        replies.select("question_id", F.posexplode(found).alias("index", "b"))
+        replies.select("question_id", F.inline(placed))
         .where(content.rlike(r"(?s)<tag>.*?</tag>") & content.rlike(r"(?s)<code>.*?</code>"))
         .select(
             "question_id",
-            F.col("index").cast("bigint").alias("index"),
-            F.col("b.number").alias("tool_number"),
+            "index",
+            "tool_number",
             strip(F.regexp_extract(content, r"(?s)<tag>(.*?)</tag>", 1)).alias("tag"),
             strip(F.when(F.contains(code, F.lit("```python\n")), fenced).otherwise(code)).alias("code"),
         )
@@ -47,10 +49,14 @@ def tool_schemas(sources: DataFrame, code: str = "code") -> DataFrame:
 
 
 def schema_parameters(schemas: DataFrame) -> DataFrame:
-    return schemas.select(
-        "tool_id", "name", "description", "type_was_split", F.posexplode("params").alias("position", "p")
-    ).select("tool_id", "name", "description", "type_was_split", F.col("position").cast("bigint").alias("position"),
-             F.col("p.name").alias("param"), "p.json_type", F.col("p.description").alias("param_description"), "p.required")
+    placed = F.transform(
+        "params",
+        lambda p, i: F.struct(
+            i.cast("bigint").alias("position"), p["name"].alias("param"), p["json_type"].alias("json_type"),
+            p["description"].alias("param_description"), p["required"].alias("required"),
+        ),
+    )
+    return schemas.select("tool_id", "name", "description", "type_was_split", F.inline(placed))
 
 
 def schema_json(schemas: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-SPAN = 65_536
+SPAN = 1_048_576
 PAGE = 1_000
 
 

@@ -70,7 +70,7 @@ def request_batches(spark, folder):
 @query("w7_embedding_batches", """SELECT label, vec_id, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) // 500 AS batch_id,
     (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) % 500 AS batch_index FROM embeddings""")
 def embedding_batches(spark, folder):
-    rows = table(spark, folder, "embeddings").select(F.col("label").cast("bigint").alias("label"), "vec_id")
+    rows = table(spark, folder, "embeddings").select("label", "vec_id")
     placed = ordering.number_rows(rows, ["label"], "vec_id")
     return ordering.fixed_batches(placed, "pos0", fixed.EMBEDDING_BATCH).drop("pos0")
 

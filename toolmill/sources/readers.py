@@ -117,8 +117,8 @@ def clusters_long(documents: DataFrame, body: str = "body") -> DataFrame:
         .otherwise(F.array().cast(pair))
     )
     return (
-        parsed.select("doc_id", F.explode(pairs).alias("c"))
-        .select("doc_id", F.col("c.name").alias("cluster_name"), F.posexplode("c.tools").alias("pos", "tool"))
+        parsed.select("doc_id", F.inline(pairs))
+        .select("doc_id", F.col("name").alias("cluster_name"), F.posexplode("tools").alias("pos", "tool"))
     )
 
 
