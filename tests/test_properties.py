@@ -61,6 +61,23 @@ def test_every_top_k_path_equals_brute_force(spark, k, block_rows):
         assert sorted((r["query_id"], r["tool_id"], r["rank"]) for r in got) == expected
 
 
+def test_top_k_over_many_small_batches(spark, monkeypatch):
+    """Best rows are carried over batches and query chunks of a task."""
+    rng = np.random.default_rng(5)
+    tools = [(i, v.tolist()) for i, v in enumerate(rng.integers(-2, 3, size=(80, 4)).astype(float))]
+    queries = [(i, v) for i, v in tools[:23]]
+    monkeypatch.setattr(retrieve, "QUERY_CHUNK", 5)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        t = spark.createDataFrame(tools, "tool_id bigint, vec array<float>").repartition(2)
+        q = spark.createDataFrame(queries, "query_id bigint, vec array<float>")
+        got = retrieve.top_k(t, q, 4).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert sorted((r["query_id"], r["tool_id"], r["rank"]) for r in got) == brute_force(tools, queries, 4)
+
+
 @FEW
 @given(data=st.lists(st.lists(st.booleans(), min_size=4, max_size=6), min_size=1, max_size=8))
 def test_pass_at_k_grows_with_k(spark, data):
