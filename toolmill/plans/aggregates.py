@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from toolmill.functions.text import helpful_status, report_indicators, suggestion_field
-from toolmill.functions import fixed
 from toolmill.operators import blocks, catalog, cluster, extraction, logs, metrics, retrieve, usage
 from toolmill.plans import roles
 from toolmill.plans.registry import query
@@ -82,7 +80,7 @@ def tool_count_histogram(spark, folder):
 
 @query("a9_most_retrieved_tools", """SELECT model, rank, name, frequency, round(frequency * 100.0 / n, 4) AS percentage FROM (
     SELECT model, name, count(*) AS frequency, row_number() OVER (PARTITION BY model ORDER BY count(*) DESC, name) AS rank FROM r_attempt_tools GROUP BY model, name)
-    JOIN (SELECT model, count(*) AS n FROM events_m GROUP BY model) USING (model) WHERE rank <= 20""".replace("events_m", "r_attempts"))
+    JOIN (SELECT model, count(*) AS n FROM r_attempts GROUP BY model) USING (model) WHERE rank <= 20""")
 def most_retrieved_tools(spark, folder):
     return rounded(metrics.most_retrieved(roles.with_retrieved(roles.plain_attempts(spark, folder)), 20), "percentage")
 
@@ -272,8 +270,8 @@ def coverage_references(spark, folder):
     return blocks.coverage_references(roles.cover(spark, folder), ["cluster_name"])
 
 
-@query("a26_token_estimates", """SELECT lang, count(*) AS documents, CAST(sum(t) AS BIGINT) AS tokens, round(sum(t) / 1e6 * 2.0 + sum(t) / 1e6 * 8.0, 6) AS cost_o3, 0.0 + 0 AS cost_other FROM (
-    SELECT lang, CAST(floor(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) * CAST(1.3 AS DOUBLE)) AS BIGINT) AS t FROM documents) GROUP BY lang""".replace("0.0 + 0 AS", "CAST(0 AS DOUBLE) AS"))
+@query("a26_token_estimates", """SELECT lang, count(*) AS documents, CAST(sum(t) AS BIGINT) AS tokens, round(sum(t) / 1e6 * 2.0 + sum(t) / 1e6 * 8.0, 6) AS cost_o3, CAST(0 AS DOUBLE) AS cost_other FROM (
+    SELECT lang, CAST(floor(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) * CAST(1.3 AS DOUBLE)) AS BIGINT) AS t FROM documents) GROUP BY lang""")
 def token_estimates(spark, folder):
     tokens = roles.documents(spark, folder).select("lang", logs.token_estimate(F.col("text")).alias("t"))
     sums = tokens.groupBy("lang").agg(F.count("*").alias("documents"), F.sum("t").alias("tokens"))
@@ -304,9 +302,6 @@ def validated_tools(spark, folder):
     return extraction.validated_count(tools, extraction.syntax_errors(tools))
 
 
-SOURCE_CLUSTER = "concat(p_brand, '_', CAST(p_size AS STRING))"
-
-
 @query("a30_merged_library", r"""WITH s AS (SELECT description_text AS cluster_name, tool_id AS sib_index, string_split(code, chr(10)) AS lines FROM r_tools),
     l AS (SELECT cluster_name, sib_index, unnest(lines) AS line, generate_subscripts(lines, 1) - 1 AS line_no FROM s),
     i AS (SELECT *, trim(line) AS text, CASE WHEN regexp_matches(line, '^\s*from\s+__future__\s+import\s+.+') THEN 1 ELSE 2 END AS part FROM l

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from toolmill.operators import blocks, cluster, metrics, ordering, retrieve, usage
 from toolmill.plans import roles
-from toolmill.plans.aggregates import QUESTIONS_SQL, completed_nodes, question_ids, questions_with_results, retrieved_names, rounded
+from toolmill.plans.aggregates import QUESTIONS_SQL, completed_nodes, questions_with_results, retrieved_names, rounded
 from toolmill.plans.registry import query
 from toolmill.sources.readers import table
 

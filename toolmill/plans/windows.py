@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from toolmill.functions import fixed
-from toolmill.operators import cluster, metrics, ordering, retrieve, usage
+from toolmill.operators import catalog, cluster, metrics, ordering, retrieve, usage
 from toolmill.plans import roles
 from toolmill.plans.aggregates import LOSS_SQL, losses, resolved_members, rounded
 from toolmill.plans.joins import similarity_top5
@@ -35,7 +35,7 @@ def chunk_sizes(spark, folder):
 
 
 @query("w3_successes_in_first_k", """SELECT model, question_id, k, CAST(coalesce(sum(correctness) FILTER (attempt < k), 0) AS BIGINT) AS successes
-    FROM r_attempts, (SELECT unnest([CAST(1 AS BIGINT), 2, 3, 4]) AS k) GROUP BY ALL""".replace("r_attempts, (SELECT unnest([CAST(1 AS BIGINT), 2, 3, 4]) AS k)", "(SELECT model, question_id, correctness, attempt, kk.k AS k FROM r_attempts, (SELECT unnest([CAST(1 AS BIGINT), 2, 3, 4]) AS k) kk)"))
+    FROM (SELECT a.model, a.question_id, a.correctness, a.attempt, ks.k AS k FROM r_attempts a, (SELECT unnest([CAST(1 AS BIGINT), 2, 3, 4]) AS k) ks) GROUP BY ALL""")
 def successes_in_first_k(spark, folder):
     return metrics.successes_in_first(roles.attempts(spark, folder), [1, 2, 3, 4])
 
@@ -82,16 +82,12 @@ def first_wins(spark, folder):
 
 @query("w9_registry_last_wins", "SELECT name, arg_max(tool_id, pos) AS tool_id, arg_max(code, pos) AS code FROM r_tools GROUP BY name")
 def registry_last_wins(spark, folder):
-    from toolmill.operators.catalog import registry
-
-    return registry(roles.tools(spark, folder), ["tool_id", "code"])
+    return catalog.registry(roles.tools(spark, folder), ["tool_id", "code"])
 
 
 @query("w9_pool_first_wins", "SELECT name, arg_min(tool_id, pos) AS tool_id, arg_min(code, pos) AS code FROM r_tools GROUP BY name")
 def pool_first_wins(spark, folder):
-    from toolmill.operators.catalog import pool
-
-    return pool(roles.tools(spark, folder), ["tool_id", "code"])
+    return catalog.pool(roles.tools(spark, folder), ["tool_id", "code"])
 
 
 @query("w10_rollbacks", f"""WITH l AS (SELECT subfield, iter, loss FROM ({LOSS_SQL})),
