@@ -91,13 +91,18 @@ def shingle_sets(texts: list[bytes | None]) -> list[np.ndarray]:
     return out
 
 
-def _minhashes(hashes: np.ndarray) -> np.ndarray:
+def minhashes(hashes: np.ndarray) -> np.ndarray:
     least = np.full(4 * SIDE, np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(hashes), 20_000):
         least = np.minimum(least, ((hashes[i : i + 20_000, None] ^ _XOR) * _MUL).min(axis=0))
     return least
 
 
+def signature_pairs(least: np.ndarray) -> np.ndarray:
+    """Two minhashes each: the first ``SIDE`` are one collection, the rest the other."""
+    return _mix(_mix(least[0::2]) * np.uint64(MULTIPLIER) + least[1::2]).view(np.int64)
+
+
 def _identity(hashes: np.ndarray) -> tuple[int, int]:
     """128 bits that name the set."""
     first, second = _mix(hashes + np.uint64(0x51)).sum(dtype=np.uint64), _mix(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)
@@ -110,8 +115,8 @@ def signatures(docs: DataFrame) -> DataFrame:
     def one(batch: pa.RecordBatch) -> dict:
         out = {k: [] for k in ("n_shingles", "s1", "s2", "u", "v", "sketch")}
         for hashes in shingle_sets(text_of(batch.column("text"))):
-            least = _minhashes(hashes)
-            pairs = _mix(_mix(least[0::2]) * np.uint64(MULTIPLIER) + least[1::2]).view(np.int64)
+            least = minhashes(hashes)
+            pairs = signature_pairs(least)
             s1, s2 = _identity(hashes)
             for name, value in (("n_shingles", len(hashes)), ("s1", s1), ("s2", s2), ("u", pairs[:SIDE]), ("v", pairs[SIDE:]), ("sketch", (least >> np.uint64(48)).astype(np.uint16).view(np.int16))):
                 out[name].append(value)

@@ -92,7 +92,7 @@ BASE = (
 )
 RULES = BASE + (
     Rule("few_symbols", lambda m: 10 * m.n_symbols <= m.n_words),
-    Rule("few_equal_lines", lambda m: 10 * m.n_dup_lines <= 3 * len(m.lines)),
+    Rule("few_equal_lines", lambda m: m.n_dup_lines < 4 or 10 * m.n_dup_lines <= 3 * len(m.lines)),
     Rule("word_length", lambda m: 2 * m.n_words <= m.word_chars <= 16 * m.n_words),
     Rule("lettered_words", lambda m: 10 * m.n_lettered >= 7 * m.n_words),
 )

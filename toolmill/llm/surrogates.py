@@ -69,8 +69,12 @@ def luhn(digits: str) -> int:
 
 def canonical(kind: str, text: str) -> str:
     """The form in which mentions of one entity agree."""
+    digits = "".join(c for c in text if c.isdigit())
+    if kind == "phone" and text[0] == "+":  # the country's code apart, as far as it is set apart
+        code = regex.match(r"\+\d{1,3}(?=\D)|\+\d", text).group()
+        return f"{code} {digits[len(code) - 1 :]}"
     if kind in ("card", "phone"):
-        return "".join(c for c in text if c.isdigit())
+        return digits
     if kind == "iban":
         return text.replace(" ", "")
     return text.lower() if kind in ("email",) or kind.startswith("name") else text
@@ -127,7 +131,7 @@ def draw(key: bytes, kind: str, entity: str, attempt: int) -> str:
     if kind == "ip":
         return ".".join(str(1 + (next(source) << 8 | next(source)) % 254) for _ in range(4))
     keep = len(entity) - len(entity.rsplit("@", 1)[-1]) + entity.rsplit("@", 1)[-1].rfind(".") if kind == "email" else len(entity)
-    fixed = 1 if kind == "card" else 2 if kind == "iban" else 0  # the network's digit, the country
+    fixed = 1 if kind == "card" else 2 if kind == "iban" else entity.find(" ") + 1 if kind == "phone" else 0  # the network's digit, the country
     low_hex = kind == "secret" and all(c in "0123456789abcdef" for c in entity)
     out = []
     for i, c in enumerate(entity):
@@ -149,7 +153,7 @@ def draw(key: bytes, kind: str, entity: str, attempt: int) -> str:
 def fitted(replacement: str, kind: str, mention: str) -> str:
     """A replacement in the format of one mention: its separators, its case."""
     if kind in ("card", "phone", "iban"):
-        letters = iter(replacement)
+        letters = iter([c for c in replacement if c.isalnum()])
         return "".join(next(letters, c) if c.isalnum() else c for c in mention)
     if kind.startswith("name"):
         return replacement.upper() if mention.isupper() and len(mention) > 1 else replacement[:1].upper() + replacement[1:]

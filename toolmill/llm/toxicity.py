@@ -7,7 +7,8 @@ states that is turned into a deterministic automaton step by step and kept, so a
 distinct word costs a few table steps and misspelt terms are found within the edits that
 their length allows.
 
-Every match counts the term's weight, less per edit, changed by its window of words:
+Every exact match counts the term's weight; of misspelt ones, which chance makes in long
+texts, the strongest counts, less per edit. Weights are changed by the window of words:
 quotation marks around it or reporting words make it a quotation, words of address make
 it abuse. A logistic model of both sums, fitted on the same sample, gives the score.
 
@@ -26,19 +27,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from toolmill.llm import near
 from toolmill.llm.common import fold, kept_with, map_texts, slices, text_of
 from toolmill.session import materialize
 
 SAMPLE_LABELS = 20_000
 LEXICON = 300
 SHORTEST, LONGEST_STEM = 4, 8
-LEAST_ODDS = 3.0  # natural log
+LEAST_GAIN = 20.0  # log likelihood ratio against chance, natural log; far above the log of the number of terms tried
+LEAST_PRECISION = 0.9  # share of toxic documents among those with the term
 CANDIDATES = 20_000
+COPY_TESTS = 4
 EDIT_LENGTHS = (5, 9)  # one edit from the first length on, two from the second
-EDIT_DISCOUNT = 0.7
+EDIT_DISCOUNT = 0.5
 WINDOW = 6
 QUOTED, ADDRESSED = 0.3, 1.5
 SEEN_WORDS = 400_000
@@ -146,7 +150,7 @@ class Matcher:
     def __init__(self, terms: list[tuple[str, bool, float]]):
         self.lexicon = Lexicon(terms)
         self.seen: set[bytes] = set()
-        self.hits: dict[bytes, float] = {}
+        self.hits: dict[bytes, tuple[float, bool]] = {}
 
     def evidence(self, raw: bytes | None) -> tuple[float, float]:
         tokens = (raw or b"").lower().split()
@@ -158,17 +162,20 @@ class Matcher:
         for token in new:
             found = self.lexicon.match(plain(token))
             if found:
-                self.hits[token] = self.lexicon.terms[found[0]][2] * EDIT_DISCOUNT ** found[1]
+                self.hits[token] = (self.lexicon.terms[found[0]][2] * EDIT_DISCOUNT ** found[1], found[1] > 0)
         self.seen |= new
-        hits, direct, quoted = self.hits, 0.0, 0.0
+        hits = self.hits
+        sums, misspelt = [0.0, 0.0], [0.0, 0.0]  # direct, quoted
         for i in [i for i, t in enumerate(tokens) if t in hits]:
-            weight, (quotation, address) = hits[tokens[i]], self.context(tokens, i)
-            if quotation:
-                quoted += weight
-                direct += weight * QUOTED
-            else:
-                direct += weight * (ADDRESSED if address else 1.0)
-        return direct, quoted
+            weight, inexact = hits[tokens[i]]
+            quotation, address = self.context(tokens, i)
+            shares = (QUOTED, 1.0) if quotation else (ADDRESSED if address else 1.0, 0.0)
+            for k in (0, 1):
+                if inexact:
+                    misspelt[k] = max(misspelt[k], weight * shares[k])
+                else:
+                    sums[k] += weight * shares[k]
+        return sums[0] + misspelt[0], sums[1] + misspelt[1]
 
     @staticmethod
     def context(tokens: list[bytes], i: int) -> tuple[bool, bool]:
@@ -183,11 +190,28 @@ class Matcher:
 
 def labelled(docs: DataFrame, labels: DataFrame, folds: int, held: int, rows: int = SAMPLE_LABELS) -> DataFrame:
     """(text, toxic) of at most ``rows`` labelled training documents, chosen by a hash of
-    the id; equal texts count once. The chosen ids are few by that bound and are broadcast."""
+    the id. The chosen ids are few by that bound and are broadcast."""
     per_doc = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = per_doc.where(fold(folds, "_id") != held).orderBy(F.xxhash64("_id"), "_id").limit(rows)
-    found = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).where("text IS NOT NULL").select("text", "toxic")
-    return found.withColumn("_name", F.xxhash64("text")).dropDuplicates(["_name", "toxic"]).drop("_name")
+    return docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).where("text IS NOT NULL").select("text", "toxic")
+
+
+def without_copies(sample: DataFrame) -> DataFrame:
+    """The sample with near copies thinned out, so that the words of one much-copied text
+    don't look like terms: of rows with a common two-minhash signature one stays, for each
+    of ``COPY_TESTS`` signatures in turn."""
+    names = [f"u{i}" for i in range(COPY_TESTS)]
+
+    def sign(batch: pa.RecordBatch) -> dict:
+        raw = text_of(batch.column("text"))
+        pairs = [near.signature_pairs(near.minhashes(h))[:COPY_TESTS] for h in near.shingle_sets(raw)]
+        return {"text": batch.column("text"), "toxic": batch.column("toxic")} | {n: [int(p[i]) for p in pairs] for i, n in enumerate(names)}
+
+    found = map_texts(sample, sign, "text string, toxic int, " + ", ".join(f"{n} long" for n in names))
+    for name in names:
+        first = Window.partitionBy(name).orderBy(F.xxhash64("text"), "text")
+        found = found.withColumn("_rank", F.row_number().over(first)).where("_rank = 1").drop("_rank")
+    return found.select("text", "toxic")
 
 
 def candidates(sample: DataFrame, n_toxic: int, n_clean: int, limit: int = CANDIDATES) -> list[tuple[str, bool, int, int, float]]:
@@ -207,9 +231,10 @@ def candidates(sample: DataFrame, n_toxic: int, n_clean: int, limit: int = CANDI
 
     sums = sample.mapInArrow(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     odds = F.log((F.col("toxic") + 0.5) / F.lit(n_toxic + 1.0)) - F.log((F.col("clean") + 0.5) / F.lit(n_clean + 1.0))
-    least = max(3, n_toxic // 200)
-    good = sums.where(F.col("toxic") >= least).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS)
-    rows = good.orderBy((F.col("toxic") * F.col("odds")).desc(), F.length("term").desc(), "term").limit(limit).collect()
+    share, n = n_toxic / (n_toxic + n_clean), F.col("toxic") + F.col("clean")
+    gain = F.col("toxic") * F.log(F.col("toxic") / (n * share)) + F.when(F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / (n * (1 - share)))).otherwise(0.0)
+    good = sums.where((F.col("toxic") > 0) & (F.col("toxic") >= LEAST_PRECISION * n)).where(gain >= LEAST_GAIN).withColumn("odds", odds)
+    rows = good.orderBy((F.col("toxic") * F.col("odds")).desc(), F.length(F.rtrim("term", F.lit("*"))).desc(), F.col("term").desc()).limit(limit).collect()
     return [(r["term"].rstrip("*"), r["term"].endswith("*"), r["toxic"], r["clean"], r["odds"]) for r in rows]
 
 
@@ -248,7 +273,7 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 30, ridge: float = 0.05) ->
 
 def learn(docs: DataFrame, labels: DataFrame, folds: int, held: int, rows: int = SAMPLE_LABELS) -> tuple[list[tuple[str, bool, float]], np.ndarray]:
     """The lexicon and the coefficients of the model."""
-    sample = materialize(labelled(docs, labels, folds, held, rows).repartition(16), "toxic-sample")
+    sample = materialize(without_copies(labelled(docs, labels, folds, held, rows)).repartition(16), "toxic-sample")
     n, n_toxic = (x or 0 for x in sample.agg(F.count("*"), F.sum("toxic")).first())
     if not n_toxic or n == n_toxic:
         return [], np.array([60.0 if n_toxic else -60.0, 0.0, 0.0])
