@@ -7,11 +7,12 @@ minhashes cost only 4 x ``SIDE`` minhash computations. A link with similarity 0.
 common bucket with a probability under 6 in 10,000, one of 0.9 under 2 in a million.
 
 Equal sets are one class first; only class representatives go on. In a bucket, members
-are compared with its lowest member, then, if the bucket still holds more than one
-component, with its next 7, next 56, … until one component is left or every pair was
-compared: no bucket is capped, and a group of copies costs one comparison per member.
-Pairs are dropped unseen only if their sizes rule a link out, or if fewer than
-``AGREE`` of all 32 minhashes agree (a link is lost so with probability 1e-5).
+are compared with its lowest member; if the bucket still holds more than one component, with
+the next 63, the next 4,032, … until one component is left or every pair was considered:
+no bucket is capped, and a group of copies costs one comparison per member. Pairs are
+dropped unseen only if their sizes rule a link out, if what they share beyond the first
+member's set can't be enough (``_may_link``, exact), or if fewer than ``AGREE`` of all 32
+minhashes agree (a link is lost so with probability 1e-5).
 What is left is decided by exact set intersections. Components come from contraction
 by random order, each step a few plain aggregations and joins.
 
@@ -25,7 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from toolmill.llm.common import BLANKS, map_texts, text_of
@@ -35,7 +36,8 @@ SIDE = 8
 AGREE = 14
 LINK = (80, 100)  # least share of the union
 WIDTH = 4
-HUB_GROWTH = 8
+HUB_GROWTH = 64
+BITS = 4  # times 64: hash bits of a member's differences from its bucket's first set
 MULTIPLIER, INVERSE = 0xD6E8FEB86659FD93, pow(0xD6E8FEB86659FD93, -1, 1 << 64)
 SIGNATURES = "doc_id long, n_shingles long, s1 long, s2 long, u array<long>, v array<long>, sketch array<short>"
 
@@ -153,20 +155,58 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     return materialize(both, f"{name}-labels")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs whose full sets are similar enough."""
-    common = F.size(F.array_intersect("hashes", "hashes_b"))
-    either = F.size("hashes") + F.size("hashes_b") - common
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, both sets, shared): exact comparison of full sets."""
     left, right = sets.withColumnRenamed("cls", "a"), sets.select(F.col("cls").alias("b"), F.col("hashes").alias("hashes_b"))
-    return pairs.join(left, "a").join(right, "b").where(LINK[1] * common >= LINK[0] * either).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").withColumn("shared", F.size(F.array_intersect("hashes", "hashes_b")))
+
+
+def _is_link() -> Column:
+    return LINK[1] * F.col("shared") >= LINK[0] * (F.size("hashes") + F.size("hashes_b") - F.col("shared"))
+
+
+def _differences(compared: DataFrame) -> DataFrame:
+    """Of a bucket's first hub (a) and a member (b): the hub's size, the elements only one
+    of them has, their weighted sum, and ``BITS`` hash bits of them, and whether they are linked."""
+    found = compared.withColumn("only", F.concat(F.array_except("hashes", "hashes_b"), F.array_except("hashes_b", "hashes")))
+    place = lambda x: F.pmod(x, F.lit(64 * BITS))
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(x, F.lit(64)).cast("int"))
+
+    def word(k: int) -> Column:
+        own = F.filter("only", lambda x: F.floor(place(x) / 64) == k)
+        return F.aggregate(own, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(bit(x))).alias(f"bits{k}")
+
+    lacking, added = F.size("hashes") - F.col("shared"), F.size("hashes_b") - F.col("shared")
+    return found.select(
+        F.col("a").alias("first"), F.col("b").alias("cls"), F.size("hashes").cast("long").alias("first_n"), F.size("only").cast("long").alias("n_only"),
+        (5 * lacking + 4 * added).cast("long").alias("weight"), *map(word, range(BITS)), _is_link().alias("linked"),
+    )
+
+
+def _may_link() -> Column:
+    """Whether a member and a hub of one bucket can be linked: they aren't connected yet,
+    and what both share beyond their bucket's first set can be enough. With C that set and
+    m, d the elements a set lacks of it and adds to it, a link asks for
+    9 x shared differences >= 5 (m + m') + 4 (d + d') - |C|; shared differences are at
+    most the common bits and the differences that share a bit with others."""
+    common = sum((F.bit_count(F.col(f"bits{k}").bitwiseAND(F.col(f"hub_bits{k}"))) for k in range(BITS)), F.lit(0))
+    spare = lambda p: F.col(f"{p}n_only") - sum((F.bit_count(f"{p}bits{k}") for k in range(BITS)), F.lit(0))
+    enough = 9 * (common + F.least(spare(""), spare("hub_"))) >= F.col("weight") + F.col("hub_weight") - F.col("first_n")
+    return (F.col("label") != F.col("hub_label")) & F.coalesce(enough, F.lit(True))
 
 
 def _hubs(buckets: DataFrame, low: int, high: int) -> DataFrame:
-    """Members ranked ``low`` < rank <= ``high`` of their bucket."""
-    from pyspark.sql import Window
+    """Members ranked ``low`` < rank <= ``high`` of their bucket, their columns as hub's."""
+    ranked = buckets.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("cls"))).where(F.col("rank") <= high).where(F.col("rank") > low)
+    named = {"cls": "hub", "n_shingles": "hub_n", "first": None, "first_n": None, "key": "key"}
+    return ranked.select(*[F.col(c).alias(named.get(c, f"hub_{c}")) for c in buckets.columns if named.get(c, "") is not None])
 
-    ranked = buckets.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("cls"))).where(F.col("rank") <= high)
-    return ranked.where(F.col("rank") > low).select("key", F.col("cls").alias("hub"), F.col("n_shingles").alias("hub_n"), F.col("sketch").alias("hub_sketch"))
+
+def _still_open(buckets: DataFrame, labels: DataFrame, hubs: int) -> DataFrame:
+    """Rows of the buckets that have pairs beyond their first ``hubs`` members and more than one component."""
+    named = buckets.join(labels, buckets["cls"] == labels["node"], "left").select("key", F.coalesce("label", "cls").alias("label"))
+    still = named.groupBy("key").agg(F.count("*").alias("members"), F.min("label").alias("least"), F.max("label").alias("most"))
+    return buckets.join(still.where((F.col("members") > hubs + 1) & (F.col("least") < F.col("most"))).select("key"), "key", "left_semi")
 
 
 def link_classes(docs: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -185,30 +225,31 @@ def link_classes(docs: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataFra
     sets = materialize(sets, "near-sets")
 
     agree = F.aggregate(F.zip_with("sketch", "hub_sketch", lambda x, y: (x == y).cast("int")), F.lit(0), lambda x, y: x + y)
-    fits = (LINK[1] * F.least("n_shingles", "hub_n") >= LINK[0] * F.greatest("n_shingles", "hub_n")) & (agree >= AGREE)
-    links, labels, open_buckets, low, high = None, None, buckets, 0, 1
-    while True:
-        hubs = _hubs(open_buckets, low, high)
-        members = open_buckets
-        if labels is not None:  # within a component there is nothing to find
-            members = members.join(labels, members["cls"] == labels["node"], "left").select(*buckets.columns, F.coalesce("label", "cls").alias("label"))
-            hubs = hubs.join(labels, hubs["hub"] == labels["node"], "left").select(*hubs.columns, F.coalesce("label", "hub").alias("hub_label"))
-            fits_now = fits & (F.col("label") != F.col("hub_label"))
-        else:
-            fits_now = fits
-        pairs = members.join(hubs, (members["key"] == hubs["key"]) & (F.col("cls") > F.col("hub")) & fits_now).select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct()
-        new = materialize(_linked(pairs, sets), "near-links")
-        if links is None or not new.isEmpty():
-            links = new if links is None else links.union(new)
+    sizes = LINK[1] * F.least("n_shingles", "hub_n") >= LINK[0] * F.greatest("n_shingles", "hub_n")
+
+    def pairs_with(members: DataFrame, hubs: DataFrame, also: Column) -> DataFrame:
+        met = members.join(hubs, (members["key"] == hubs["key"]) & (F.col("cls") > F.col("hub")) & sizes & also & (agree >= AGREE))
+        return met.select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct()
+
+    # every member with the first of its bucket
+    known = materialize(_differences(_compared(pairs_with(buckets, _hubs(buckets, 0, 1), F.lit(True)), sets)), "near-first")
+    links = known.where("linked").select(F.col("first").alias("a"), F.col("cls").alias("b"))
+    labels = components(links)
+    open_buckets = _still_open(buckets, labels, 1)
+    heads_of = open_buckets.groupBy("key").agg(F.min("cls").alias("first"))
+    open_buckets = materialize(open_buckets.join(heads_of, "key").join(known.drop("linked"), ["first", "cls"], "left"), "near-open")
+    low, high = 1, HUB_GROWTH
+    while not open_buckets.isEmpty():
+        labelled = open_buckets.join(labels, open_buckets["cls"] == labels["node"], "left").select(*open_buckets.columns, F.coalesce("label", "cls").alias("label"))
+        hubs = _hubs(labelled, low, high)
+        new = _compared(pairs_with(labelled, hubs, _may_link()), sets)
+        new = materialize(new.where(_is_link()).select("a", "b"), "near-links")
+        if not new.isEmpty():
+            links = links.union(new)
             labels = components(links)
-        # a bucket stays open while it has pairs beyond the hubs and more than one component
-        named = open_buckets.join(labels, open_buckets["cls"] == labels["node"], "left").select("key", F.coalesce("label", "cls").alias("label"))
-        still = named.groupBy("key").agg(F.count("*").alias("members"), F.min("label").alias("least"), F.max("label").alias("most"))
-        still = still.where((F.col("members") > high + 1) & (F.col("least") < F.col("most"))).select("key")
-        open_buckets = materialize(open_buckets.join(still, "key", "left_semi"), "near-open")
-        if open_buckets.isEmpty():
-            return classes, labels
+        open_buckets = materialize(_still_open(open_buckets, labels, high), "near-open")
         low, high = high, high * HUB_GROWTH
+    return classes, labels
 
 
 def mark(docs: DataFrame) -> DataFrame:
