@@ -79,6 +79,7 @@ class Encoder:
         self.pattern = regex.compile(PATTERN)
         self.vocabulary = vocabulary
         self.library = None
+        self.lengths = False  # whether to keep token lengths too
         self.special = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         self.follows: dict[int, bool] = {}
         self.words: dict[str, tuple[str, int, bytes, bytes]] = {}
@@ -173,7 +174,8 @@ class Encoder:
         return out
 
     def learn(self, words: set[str]) -> None:
-        """Puts words into the cache: ids as text, their number, decoded bytes, token lengths in bytes."""
+        """Puts words into the cache: ids as text, their number, decoded bytes, and if
+        wanted token lengths in bytes."""
         new = words.difference(self.words)
         if len(self.words) + len(new) > CACHED_WORDS:
             self.words.clear()
@@ -182,8 +184,8 @@ class Encoder:
         for w in new:
             chain = [self.added[w]] if w in self.added else coded[w.encode()]
             decoded = self.decode(chain)
-            lengths = [len(self.bytes_of[t]) for t in chain]
-            self.words[w] = (",".join(map(str, chain)), len(chain), decoded, bytes(min(x, 255) for x in lengths))
+            lengths = bytes([len(self.bytes_of[t]) for t in chain]) if self.lengths else b""
+            self.words[w] = (",".join(map(str, chain)), len(chain), decoded, lengths)
 
 
 def encoder_of(shared) -> Encoder:

@@ -25,6 +25,17 @@ def fold(modulus: int, key: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % modulus, F.lit(-1))
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """Names like ``names`` that ``df`` has no column of."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def shards_for(rows: int, rows_per_shard: int) -> int:
     return max(1, math.ceil(rows / rows_per_shard))
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from toolmill.llm.common import BLANK_RUN, shards_for
+from toolmill.llm.common import BLANK_RUN, free, shards_for
 from toolmill.session import materialize
 
 ROWS_PER_SHARD = 20_000
@@ -170,10 +170,11 @@ def mark(docs: DataFrame, rows_per_shard: int = ROWS_PER_SHARD) -> DataFrame:
 def drop_duplicates(docs: DataFrame, rows_per_shard: int = ROWS_PER_SHARD) -> DataFrame:
     """``docs`` with one row of each group of equal texts, all columns as they are."""
     _, groups = duplicate_groups(docs, rows_per_shard)
-    winners = groups.select(F.col("keep_id").alias("_keep"), F.col("digest").alias("_winner")).hint("shuffle_hash")
-    marked = docs.withColumn("_digest", F.unhex(F.sha2(normalised(F.col("text")), 256)))
-    stays = marked.join(winners, F.col("doc_id").eqNullSafe(F.col("_keep")) & (F.col("_digest") == F.col("_winner")), "left_semi")
-    return stays.dropDuplicates(["doc_id", "_digest"]).drop("_digest")
+    keep, winner, digest = free(docs, "_keep", "_winner", "_digest")
+    winners = groups.select(F.col("keep_id").alias(keep), F.col("digest").alias(winner)).hint("shuffle_hash")
+    marked = docs.withColumn(digest, F.unhex(F.sha2(normalised(F.col("text")), 256)))
+    stays = marked.join(winners, F.col("doc_id").eqNullSafe(F.col(keep)) & (F.col(digest) == F.col(winner)), "left_semi")
+    return stays.dropDuplicates(["doc_id", digest]).drop(digest)
 
 
 def brute_force(rows: Iterator[tuple[int | None, str | None]]) -> list[tuple]:

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from toolmill.llm.common import WORD
+from toolmill.llm.common import WORD, free
 from toolmill.session import materialize
 
 WEIGHTS = (5, 2, 1)
@@ -90,6 +90,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """``docs`` in the mix's proportions: a document comes once for each time it is taken, in full or in part."""
-    taken = mix(docs, **options).where("taken > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.ceil(F.col("taken") / F.col("size"))).alias("_copies"))
-    joined = docs.join(taken.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*[docs[c] for c in docs.columns])
+    own, copies, copy = free(docs, "_id", "_copies", "_copy")
+    taken = mix(docs, **options).where("taken > 0").groupBy(F.col("doc_id").alias(own)).agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias(copies))
+    joined = docs.join(taken.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(own)))
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from toolmill.llm.common import BLANKS, map_texts, text_of
+from toolmill.llm.common import BLANKS, free, map_texts, text_of
 from toolmill.session import materialize
 
 SIDE = 8
@@ -267,8 +267,9 @@ def mark(docs: DataFrame) -> DataFrame:
 
 def drop_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each component, all columns as they are."""
-    kept = mark(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    (name,) = free(docs, "_kept")
+    kept = mark(docs).where("kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")
 
 
 def brute_force(rows: list[tuple[int, str | None]]) -> list[tuple]:

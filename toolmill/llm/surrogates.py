@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from toolmill.llm.common import slices, text_of
+from toolmill.llm.common import free, slices, text_of
 from toolmill.session import materialize
 
 DRAWS = 50
@@ -190,9 +190,9 @@ def assign(entities: DataFrame, key: bytes, draws: int = DRAWS) -> DataFrame:
     raise ValueError(f"entities are left without a free replacement after {draws} draws; their format has too few values")
 
 
-def _mentions(docs: DataFrame) -> DataFrame:
+def _mentions(docs: DataFrame, name: str) -> DataFrame:
     """All columns, and the mentions of the text."""
-    schema = T.StructType([*docs.schema.fields, T.StructField("_mentions", MENTION)])
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, MENTION)])
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = to_arrow_type(MENTION)
@@ -200,7 +200,7 @@ def _mentions(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             found = [[dict(zip(("kind", "entity", "start", "finish"), x)) for x in find((t or b"").decode())] for t in text_of(part.column("text"))]
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, kind)], names=[*part.schema.names, "_mentions"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, kind)], names=[*part.schema.names, name])
 
     return docs.mapInArrow(run, schema)
 
@@ -208,26 +208,27 @@ def _mentions(docs: DataFrame) -> DataFrame:
 def replace(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with surrogates in ``text``, and ``n_entities``, the mentions replaced."""
     columns = docs.columns
-    found = _mentions(docs)
-    touched = materialize(found.where(F.size("_mentions") > 0).withColumn("_row", F.monotonically_increasing_id()), "pii-texts")
-    mentions = touched.select("_row", F.explode("_mentions").alias("m")).select("_row", "m.*")
+    held, row, spans, row_of = free(docs, "_mentions", "_row", "_spans", "_row_of")
+    found = _mentions(docs, held)
+    touched = materialize(found.where(F.size(held) > 0).withColumn(row, F.monotonically_increasing_id()), "pii-texts")
+    mentions = touched.select(F.col(row).alias("_row"), F.explode(held).alias("m")).select("_row", "m.*")
     settled = assign(mentions, key.encode())
-    spans = mentions.join(settled, ["kind", "entity"]).groupBy("_row").agg(F.collect_list(F.struct("start", "finish", "kind", "replacement")).alias("_spans"))
-    joined = touched.drop("_mentions").join(spans, "_row").drop("_row")
+    drawn_for = mentions.join(settled, ["kind", "entity"]).groupBy(F.col("_row").alias(row_of)).agg(F.collect_list(F.struct("start", "finish", "kind", "replacement")).alias(spans))
+    joined = touched.drop(held).join(drawn_for, F.col(row) == F.col(row_of)).drop(row, row_of)
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             texts = []
-            for text, spans_ in zip(part.column("text").to_pylist(), part.column("_spans").to_pylist()):
+            for text, spans_ in zip(part.column("text").to_pylist(), part.column(spans).to_pylist()):
                 out, at = [], 0
                 for s in sorted(spans_, key=lambda s: s["start"]):
                     out += [text[at : s["start"]], fitted(s["replacement"], s["kind"], text[s["start"] : s["finish"]])]
                     at = s["finish"]
                 texts.append("".join([*out, text[at:]]))
-            counts = pa.array([len(s) for s in part.column("_spans").to_pylist()], pa.int64())
+            counts = pa.array([len(s) for s in part.column(spans).to_pylist()], pa.int64())
             arrays = [pa.array(texts, part.schema.field("text").type) if n == "text" else part.column(n) for n in columns]
             yield pa.RecordBatch.from_arrays([*arrays, counts], names=[*columns, "n_entities"])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("n_entities", T.LongType())])
     untouched: Column = F.lit(0).cast("long").alias("n_entities")
-    return joined.mapInArrow(rewrite, schema).unionByName(found.where(F.size("_mentions") == 0).select(*[F.col(c) for c in columns], untouched))
+    return joined.mapInArrow(rewrite, schema).unionByName(found.where(F.size(held) == 0).select(*[F.col(c) for c in columns], untouched))

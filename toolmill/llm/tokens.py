@@ -40,6 +40,9 @@ def line_starts(raw: bytes) -> np.ndarray:
 
 def token_ends(coder: Encoder, words: list[str]) -> np.ndarray:
     """End of every token in bytes, from the lengths kept with each word."""
+    if not coder.lengths:
+        coder.lengths = True
+        coder.words.clear()
     coder.learn(set(words))
     return np.cumsum(np.frombuffer(b"".join([coder.words[w][3] for w in words]), np.uint8).astype(np.int64))
 
