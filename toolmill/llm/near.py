@@ -8,10 +8,10 @@ common bucket with a probability under 6 in 10,000, one of 0.9 under 2 in a mill
 
 Equal sets are one class first; only class representatives go on. In a bucket, members
 are compared with its lowest member; if the bucket still holds more than one component, with
-the next 63, the next 4,032, … until one component is left or every pair was considered:
+the next 15, the next 240, … until one component is left or every pair was considered:
 no bucket is capped, and a group of copies costs one comparison per member. Pairs are
-dropped unseen only if their sizes rule a link out, if what they share beyond the first
-member's set can't be enough (``_may_link``, exact), or if fewer than ``AGREE`` of all 32
+dropped unseen only if their sizes rule a link out, if both were compared with the same
+hub and what they share beyond its set can't be enough (``_may_link``, exact), or if fewer than ``AGREE`` of all 32
 minhashes agree (a link is lost so with probability 1e-5).
 What is left is decided by exact set intersections. Components come from contraction
 by random order, each step a few plain aggregations and joins.
@@ -36,8 +36,8 @@ SIDE = 8
 AGREE = 14
 LINK = (80, 100)  # least share of the union
 WIDTH = 4
-HUB_GROWTH = 64
-BITS = 4  # times 64: hash bits of a member's differences from its bucket's first set
+HUB_GROWTH = 16
+BITS = 8  # times 64: hash bits of a set's differences from a hub
 MULTIPLIER, INVERSE = 0xD6E8FEB86659FD93, pow(0xD6E8FEB86659FD93, -1, 1 << 64)
 SIGNATURES = "doc_id long, n_shingles long, s1 long, s2 long, u array<long>, v array<long>, sketch array<short>"
 
@@ -166,8 +166,8 @@ def _is_link() -> Column:
 
 
 def _differences(compared: DataFrame) -> DataFrame:
-    """Of a bucket's first hub (a) and a member (b): the hub's size, the elements only one
-    of them has, their weighted sum, and ``BITS`` hash bits of them, and whether they are linked."""
+    """Of a bucket's first hub (a) and a member (b): the hub's size, the elements only one of
+    them has, their weighted sum and hash bits, and whether the two are linked."""
     found = compared.withColumn("only", F.concat(F.array_except("hashes", "hashes_b"), F.array_except("hashes_b", "hashes")))
     place = lambda x: F.pmod(x, F.lit(64 * BITS))
     bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(x, F.lit(64)).cast("int"))
@@ -185,20 +185,20 @@ def _differences(compared: DataFrame) -> DataFrame:
 
 def _may_link() -> Column:
     """Whether a member and a hub of one bucket can be linked: they aren't connected yet,
-    and what both share beyond their bucket's first set can be enough. With C that set and
-    m, d the elements a set lacks of it and adds to it, a link asks for
+    and, if both were compared with the same hub, what they share beyond its set can be
+    enough. With C that set and m, d the elements a set lacks of it and adds to it, a link asks for
     9 x shared differences >= 5 (m + m') + 4 (d + d') - |C|; shared differences are at
     most the common bits and the differences that share a bit with others."""
     common = sum((F.bit_count(F.col(f"bits{k}").bitwiseAND(F.col(f"hub_bits{k}"))) for k in range(BITS)), F.lit(0))
     spare = lambda p: F.col(f"{p}n_only") - sum((F.bit_count(f"{p}bits{k}") for k in range(BITS)), F.lit(0))
     enough = 9 * (common + F.least(spare(""), spare("hub_"))) >= F.col("weight") + F.col("hub_weight") - F.col("first_n")
-    return (F.col("label") != F.col("hub_label")) & F.coalesce(enough, F.lit(True))
+    return (F.col("label") != F.col("hub_label")) & F.coalesce(enough | (F.col("first") != F.col("hub_first")), F.lit(True))
 
 
 def _hubs(buckets: DataFrame, low: int, high: int) -> DataFrame:
     """Members ranked ``low`` < rank <= ``high`` of their bucket, their columns as hub's."""
     ranked = buckets.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("cls"))).where(F.col("rank") <= high).where(F.col("rank") > low)
-    named = {"cls": "hub", "n_shingles": "hub_n", "first": None, "first_n": None, "key": "key"}
+    named = {"cls": "hub", "n_shingles": "hub_n", "first_n": None, "key": "key"}
     return ranked.select(*[F.col(c).alias(named.get(c, f"hub_{c}")) for c in buckets.columns if named.get(c, "") is not None])
 
 
@@ -236,8 +236,10 @@ def link_classes(docs: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataFra
     links = known.where("linked").select(F.col("first").alias("a"), F.col("cls").alias("b"))
     labels = components(links)
     open_buckets = _still_open(buckets, labels, 1)
-    heads_of = open_buckets.groupBy("key").agg(F.min("cls").alias("first"))
-    open_buckets = materialize(open_buckets.join(heads_of, "key").join(known.drop("linked"), ["first", "cls"], "left"), "near-open")
+    busiest = Window.partitionBy("cls").orderBy(F.col("met").desc(), "first")
+    known = known.join(known.groupBy("first").agg(F.count("*").alias("met")), "first")
+    known = known.withColumn("rank", F.row_number().over(busiest)).where("rank = 1").drop("rank", "linked", "met")
+    open_buckets = materialize(open_buckets.join(known, "cls", "left"), "near-open")
     low, high = 1, HUB_GROWTH
     while not open_buckets.isEmpty():
         labelled = open_buckets.join(labels, open_buckets["cls"] == labels["node"], "left").select(*open_buckets.columns, F.coalesce("label", "cls").alias("label"))
