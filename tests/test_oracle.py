@@ -27,4 +27,4 @@ def test_entry(spark):
     import __spark_entry__ as driver
 
     assert driver.entry(spark).count() == 3
-    assert driver.queries().keys() == driver.oracle_sql().keys()
+    assert set(QUERIES) <= driver.oracle_sql().keys() <= driver.queries().keys()  # corpus queries may lack SQL

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from toolmill.functions import code as pycode
 from toolmill.functions import schema, scoring, text, vectors
-from toolmill.operators import blocks, catalog, cluster, extraction, metrics, retrieve, usage
+from toolmill.operators import blocks, catalog, cluster, extraction, metrics, ordering, retrieve, usage
 from toolmill.sources import readers
 
 
@@ -382,3 +382,17 @@ def test_extraction_keeps_results_of_any_status(rows):
     results = rows("qa_id bigint, agent_result string, question string, answer string", [(1, '{"status":"max_iterations_reached","final_tools":[{"tool_info":{"n":1},"code":"c"}]}', "q", "a"), (2, "{bad", "q", "a"), (3, None, "q", "a")])
     assert values(readers.extracted_tools(results), "qa_id", "index", "code") == [(1, 0, "c")]
     assert values(readers.unreadable_results(results), "qa_id") == [(2,)]
+
+
+def test_positions_keep_null_keys_and_null_orders(rows):
+    table = rows("k string, o long", [(None, 1), (None, 2), ("a", 3), ("a", None), ("a", 5_000_000)])
+    found = {(r["k"], r["o"]): (r["pos0"], r["n"]) for r in ordering.number_rows(table, ["k"], "o", total="n").collect()}
+    assert found == {(None, 1): (0, 2), (None, 2): (1, 2), ("a", 3): (0, 3), ("a", 5_000_000): (1, 3), ("a", None): (2, 3)}
+
+
+def test_loss_keeps_groups_without_tools(rows):
+    problems = rows("iter int, subfield string, problem_id long, is_correct boolean", [(0, "s", 1, True), (0, "s", 2, False)])
+    calls = rows("iter int, subfield string, problem_id long, tool_id long, is_correct boolean, seq long", [])
+    tools = rows("subfield string, tool_id long", [("other", 1)])
+    found = usage.iteration_loss(problems, calls, tools).collect()
+    assert [(r["subfield"], r["n"]) for r in found] == [("s", 0)] and found[0]["q_tools"] == 10

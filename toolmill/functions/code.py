@@ -255,9 +255,6 @@ def merge_params(signature: Column, documented: Column) -> Column:
 
 # --- syntax -----------------------------------------------------------------------------
 
-MAX_SOURCE = 2_000_000
-
-
 SYNTAX = T.StructType([
     T.StructField("valid", T.BooleanType()),
     T.StructField("error_type", T.StringType()),
@@ -267,14 +264,11 @@ SYNTAX = T.StructType([
 
 @F.pandas_udf(SYNTAX)
 def python_syntax(codes: pd.Series) -> pd.DataFrame:
-    """Whether a source text parses. Blank text is valid; text over MAX_SOURCE
-    characters is reported, not parsed."""
+    """Whether a source text parses, however long it is. Blank text is valid."""
 
     def check(code: str | None) -> tuple[bool, str | None, int | None]:
         if not code or not code.strip():
             return True, None, None
-        if len(code) > MAX_SOURCE:
-            return False, "SourceTooLong", None
         try:
             ast.parse(code)
         except SyntaxError as error:

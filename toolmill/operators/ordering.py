@@ -3,12 +3,16 @@ owns a large share of the rows."""
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 SPAN = 1_048_576
 PAGE = 1_000
+LAST_SPAN = (1 << 63) - 1  # of rows without an order
 
 
 def number_rows(df: DataFrame, keys: list[str], order: str, out: str = "pos0", total: str | None = None, span: int = SPAN) -> DataFrame:
@@ -16,20 +20,23 @@ def number_rows(df: DataFrame, keys: list[str], order: str, out: str = "pos0", t
 
     A plain window would sort a whole key in one task. Here a key is cut into
     spans of ``order``: rows are numbered inside their span (at most ``span``
-    rows) and the span's offset comes from pre-aggregated counts.
+    rows) and the span's offset comes from pre-aggregated counts. Null is a key
+    like any other; rows without an order come last in their key.
     """
-    cut = df.withColumn("_span", F.floor(F.col(order) / span))
+    cut = df.withColumn("_span", F.coalesce(F.floor(F.col(order) / span), F.lit(LAST_SPAN)))
     counts = cut.groupBy(*keys, "_span").agg(F.count("*").alias("_rows"))
     by_key = W.partitionBy(*keys)
     before = by_key.orderBy("_span").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.withColumn("_offset", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
     if total:
         offsets = offsets.withColumn(total, F.sum("_rows").over(by_key))
-    inside = W.partitionBy(*keys, "_span").orderBy(order)
+    offsets = offsets.drop("_rows").withColumnsRenamed({k: f"_of_{k}" for k in [*keys, "_span"]})
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys], F.col("_span") == F.col("_of__span"))
+    inside = W.partitionBy(*keys, "_span").orderBy(F.col(order).asc_nulls_last())
     return (
-        cut.join(offsets.drop("_rows"), [*keys, "_span"])
+        cut.join(offsets, same)
         .withColumn(out, F.col("_offset") + F.row_number().over(inside) - 1)
-        .drop("_span", "_offset")
+        .drop("_span", "_offset", *[f"_of_{k}" for k in [*keys, "_span"]])
     )
 
 

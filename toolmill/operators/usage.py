@@ -82,7 +82,8 @@ def iteration_loss(problems: DataFrame, calls: DataFrame, tools: DataFrame) -> D
         iteration_accuracy(problems, calls)
         .join(changes, ["subfield", "iter"], "left")
         .withColumn("ratios", F.sum(F.coalesce("change", F.lit(0.0))).over(so_far))
-        .join(n_tools, "subfield")
+        .join(n_tools, "subfield", "left")  # a group without tools is padded like any small one
+        .withColumn("n", F.coalesce("n", F.lit(0)))
     )
     target = fixed.LOSS_TARGET_TOOLS
     per_tool = F.col("len_questions") / F.greatest(F.lit(1), F.col("n"))
