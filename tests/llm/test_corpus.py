@@ -243,6 +243,29 @@ def test_near_group_around_a_template(spark, monkeypatch):
     assert got == {x[0]: x for x in near.brute_force(docs)}
 
 
+def test_near_groups_with_links_inside(spark):
+    """Copies of two templates with few to many edits, and copies of those: links of every kind of weight."""
+    rnd = random.Random(77)
+    docs = []
+    for template in range(2):
+        words = [f"t{template}w{i}" for i in range(90)]
+        for _ in range(130):
+            own = list(words)
+            for i in rnd.sample(range(90), rnd.choice([0, 1, 2, 3, 4, 6, 8, 12])):
+                own[i] = rnd.choice(["", f"v{rnd.randrange(6)}", f"n{rnd.randrange(10**6)}"])
+            docs.append(own)
+            if rnd.random() < 0.4:
+                again = list(own)
+                for i in rnd.sample(range(90), rnd.choice([1, 2, 3])):
+                    again[i] = f"v{rnd.randrange(40)}"
+                docs.append(again)
+    rnd.shuffle(docs)
+    docs = [(i, " ".join(w for w in d if w)) for i, d in enumerate(docs)]
+    got = {r["doc_id"]: tuple(r) for r in near.mark(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    want = {x[0]: x for x in near.brute_force(docs)}
+    assert got == want and 2 < len({x[2] for x in want.values()}) < len(docs) - 50
+
+
 def test_components_of_a_path(spark):
     order = list(range(200))
     random.Random(2).shuffle(order)

@@ -7,12 +7,14 @@ minhashes cost only 4 x ``SIDE`` minhash computations. A link with similarity 0.
 common bucket with a probability under 6 in 10,000, one of 0.9 under 2 in a million.
 
 Equal sets are one class first; only class representatives go on. In a bucket, members
-are compared with its lowest member; if the bucket still holds more than one component, with
-the next 15, the next 240, … until one component is left or every pair was considered:
-no bucket is capped, and a group of copies costs one comparison per member. Pairs are
-dropped unseen only if their sizes rule a link out, if both were compared with the same
-hub and what they share beyond its set can't be enough (``_may_link``, exact), or if fewer than ``AGREE`` of all 32
-minhashes agree (a link is lost so with probability 1e-5).
+are compared with its lowest member. Where more than one component is left in a bucket,
+classes that met in such comparisons form groups, and a group's pairs are found by
+their differences from what most of its sets hold (``_group_links``, exact): copies of one
+text that are too far apart to be linked share few of these, so they don't meet. Pairs of one
+bucket but two groups are compared with its next 15 members, the next 240, … until every
+pair was considered: no bucket is capped, and a group of copies costs one comparison per
+member. Pairs are dropped unseen only if their sizes or differences rule a link out, or
+if fewer than ``AGREE`` of all 32 minhashes agree (a link is lost so with probability 1e-5).
 What is left is decided by exact set intersections. Components come from contraction
 by random order, each step a few plain aggregations and joins.
 
@@ -37,7 +39,6 @@ AGREE = 14
 LINK = (80, 100)  # least share of the union
 WIDTH = 4
 HUB_GROWTH = 16
-BITS = 8  # times 64: hash bits of a set's differences from a hub
 MULTIPLIER, INVERSE = 0xD6E8FEB86659FD93, pow(0xD6E8FEB86659FD93, -1, 1 << 64)
 SIGNATURES = "doc_id long, n_shingles long, s1 long, s2 long, u array<long>, v array<long>, sketch array<short>"
 
@@ -165,48 +166,74 @@ def _is_link() -> Column:
     return LINK[1] * F.col("shared") >= LINK[0] * (F.size("hashes") + F.size("hashes_b") - F.col("shared"))
 
 
-def _differences(compared: DataFrame) -> DataFrame:
-    """Of a bucket's first hub (a) and a member (b): the hub's size, the elements only one of
-    them has, their weighted sum and hash bits, and whether the two are linked."""
-    found = compared.withColumn("only", F.concat(F.array_except("hashes", "hashes_b"), F.array_except("hashes_b", "hashes")))
-    place = lambda x: F.pmod(x, F.lit(64 * BITS))
-    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(x, F.lit(64)).cast("int"))
-
-    def word(k: int) -> Column:
-        own = F.filter("only", lambda x: F.floor(place(x) / 64) == k)
-        return F.aggregate(own, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(bit(x))).alias(f"bits{k}")
-
-    lacking, added = F.size("hashes") - F.col("shared"), F.size("hashes_b") - F.col("shared")
-    return found.select(
-        F.col("a").alias("first"), F.col("b").alias("cls"), F.size("hashes").cast("long").alias("first_n"), F.size("only").cast("long").alias("n_only"),
-        (5 * lacking + 4 * added).cast("long").alias("weight"), *map(word, range(BITS)), _is_link().alias("linked"),
-    )
-
-
-def _may_link() -> Column:
-    """Whether a member and a hub of one bucket can be linked: they aren't connected yet,
-    and, if both were compared with the same hub, what they share beyond its set can be
-    enough. With C that set and m, d the elements a set lacks of it and adds to it, a link asks for
-    9 x shared differences >= 5 (m + m') + 4 (d + d') - |C|; shared differences are at
-    most the common bits and the differences that share a bit with others."""
-    common = sum((F.bit_count(F.col(f"bits{k}").bitwiseAND(F.col(f"hub_bits{k}"))) for k in range(BITS)), F.lit(0))
-    spare = lambda p: F.col(f"{p}n_only") - sum((F.bit_count(f"{p}bits{k}") for k in range(BITS)), F.lit(0))
-    enough = 9 * (common + F.least(spare(""), spare("hub_"))) >= F.col("weight") + F.col("hub_weight") - F.col("first_n")
-    return (F.col("label") != F.col("hub_label")) & F.coalesce(enough | (F.col("first") != F.col("hub_first")), F.lit(True))
+def _differences(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of each class (cls, grp): what its set and its group's common set have alone
+    (``only``), and ``weight``, 5 for each element it lacks and 4 for each it adds.
+    Common is what over half of a group's sets hold: at most twice their mean size."""
+    held = members.join(sets, "cls")
+    sizes = members.groupBy("grp").agg(F.count("*").alias("members")).where("members > 1")
+    counts = held.select("grp", F.explode("hashes").alias("h")).groupBy("grp", "h").agg(F.count("*").alias("n"))
+    common = counts.join(sizes, "grp").where("2 * n > members").groupBy("grp").agg(F.collect_list("h").alias("common"))
+    found = held.join(sizes.select("grp"), "grp", "left_semi").join(common, "grp", "left").withColumn("common", F.coalesce("common", F.array().cast("array<long>")))
+    found = found.withColumn("lacks", F.array_except("common", "hashes")).withColumn("adds", F.array_except("hashes", "common"))
+    weight = (5 * F.size("lacks") + 4 * F.size("adds")).cast("long")
+    return found.select("grp", "cls", F.size("common").cast("long").alias("n_common"), weight.alias("weight"), F.concat("lacks", "adds").alias("only"))
+
+
+def _group_links(apart: DataFrame, heads: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(links, pairs left to compare) inside groups; no other pair of a group can matter.
+
+    Two sets that share ``c`` differences from the common set C are linked if and only if
+    9 c >= weight + weight' - |C|. The lightest set is thus linked with every set whose weight
+    allows it without any shared difference (``inner`` ones). All other pairs need a shared
+    difference, and each side knows a least number: 5 c >= weight - |C| for any
+    partner, 9 c > weight - lightest for an outer partner. So such pairs meet in the rarest of
+    their differences, all but that number less one (prefix filter)."""
+    lightest = apart.groupBy("grp").agg(F.min(F.struct("weight", "cls")).alias("l")).select("grp", F.col("l.weight").alias("least"), F.col("l.cls").alias("star"))
+    apart = apart.join(lightest, "grp").withColumn("free", F.col("weight") + F.col("least") <= F.col("n_common"))
+    links = apart.where("free AND cls <> star").select(F.col("star").alias("a"), F.col("cls").alias("b"))
+    outer = ~F.col("free") & (F.col("cls") != F.col("star"))
+    any_partner = F.greatest(F.lit(1), F.ceil((F.col("weight") - F.col("n_common")) / 5))
+    outer_partner = F.greatest(any_partner, F.floor((F.col("weight") - F.col("least")) / 9) + 1)
+    held = F.size("only")
+    info = apart.select("grp", "cls", outer.alias("outer"), held.alias("held"), (held - outer_partner + 1).alias("near"), F.when(outer, held - any_partner + 1).otherwise(held - outer_partner + 1).alias("far"))
+    listed = apart.select("grp", "cls", F.explode("only").alias("h"))
+    often = listed.groupBy("grp", "h").agg(F.count("*").alias("n")).where("n > 1")
+    ordered = listed.join(often, ["grp", "h"]).groupBy("grp", "cls").agg(F.array_sort(F.collect_list(F.struct("n", "h"))).alias("order"))
+    # differences that nobody shares come first in the order and meet no one
+    placed = info.join(ordered, ["grp", "cls"]).withColumn("alone", F.col("held") - F.size("order"))
+    entries = placed.select("grp", "cls", "outer", "near", "alone", F.posexplode(F.slice("order", F.lit(1), F.greatest(F.lit(0), F.col("far") - F.col("alone")).cast("int"))).alias("i", "o"))
+    entries = entries.select("grp", "cls", "outer", F.col("o.h").alias("h"), (F.col("alone") + F.col("i") < F.col("near")).alias("near"))
+    known = heads.select("cls", "n_shingles", "sketch").join(labels, F.col("cls") == F.col("node"), "left").select("cls", "n_shingles", "sketch", F.coalesce("label", "cls").alias("label"))
+    entries = materialize(entries.join(known, "cls"), "near-entries")
+    hubs = entries.select("grp", "h", *[F.col(c).alias(f"hub_{c}") for c in ("outer", "near", "sketch", "label")], F.col("n_shingles").alias("hub_n"), F.col("cls").alias("hub"))
+    both = F.col("near") & F.col("hub_near") & (F.col("cls") < F.col("hub"))
+    met = entries.where("outer").join(hubs, (entries["grp"] == hubs["grp"]) & (entries["h"] == hubs["h"]) & (~F.col("hub_outer") | both) & (F.col("label") != F.col("hub_label")) & _alike())
+    return links, met.select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct()
+
+
+def _alike() -> Column:
+    """Sizes and minhashes of a class and a hub allow a link."""
+    agree = F.aggregate(F.zip_with("sketch", "hub_sketch", lambda x, y: (x == y).cast("int")), F.lit(0), lambda x, y: x + y)
+    return (LINK[1] * F.least("n_shingles", "hub_n") >= LINK[0] * F.greatest("n_shingles", "hub_n")) & (agree >= AGREE)
 
 
 def _hubs(buckets: DataFrame, low: int, high: int) -> DataFrame:
     """Members ranked ``low`` < rank <= ``high`` of their bucket, their columns as hub's."""
     ranked = buckets.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("cls"))).where(F.col("rank") <= high).where(F.col("rank") > low)
-    named = {"cls": "hub", "n_shingles": "hub_n", "first_n": None, "key": "key"}
-    return ranked.select(*[F.col(c).alias(named.get(c, f"hub_{c}")) for c in buckets.columns if named.get(c, "") is not None])
+    named = {"cls": "hub", "n_shingles": "hub_n", "key": "key"}
+    return ranked.select(*[F.col(c).alias(named.get(c, f"hub_{c}")) for c in buckets.columns])
 
 
 def _still_open(buckets: DataFrame, labels: DataFrame, hubs: int) -> DataFrame:
-    """Rows of the buckets that have pairs beyond their first ``hubs`` members and more than one component."""
-    named = buckets.join(labels, buckets["cls"] == labels["node"], "left").select("key", F.coalesce("label", "cls").alias("label"))
-    still = named.groupBy("key").agg(F.count("*").alias("members"), F.min("label").alias("least"), F.max("label").alias("most"))
-    return buckets.join(still.where((F.col("members") > hubs + 1) & (F.col("least") < F.col("most"))).select("key"), "key", "left_semi")
+    """Rows of the buckets that have pairs beyond their first ``hubs`` members and more than
+    one component, and more than one group if groups are given."""
+    named = buckets.join(labels, buckets["cls"] == labels["node"], "left").withColumn("label", F.coalesce("label", "cls"))
+    marks = [c for c in ("label", "grp") if c in named.columns]
+    still = named.groupBy("key").agg(F.count("*").alias("members"), *[f(c).alias(f"{n}_{c}") for c in marks for n, f in (("least", F.min), ("most", F.max))])
+    for c in marks:
+        still = still.where(F.col(f"least_{c}") < F.col(f"most_{c}"))
+    return buckets.join(still.where(F.col("members") > hubs + 1).select("key"), "key", "left_semi")
 
 
 def link_classes(docs: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -224,27 +251,29 @@ def link_classes(docs: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataFra
     sets = full_sets(texts).join(wanted.select("s1", "s2", "cls"), ["s1", "s2"]).dropDuplicates(["cls"]).select("cls", "hashes")
     sets = materialize(sets, "near-sets")
 
-    agree = F.aggregate(F.zip_with("sketch", "hub_sketch", lambda x, y: (x == y).cast("int")), F.lit(0), lambda x, y: x + y)
-    sizes = LINK[1] * F.least("n_shingles", "hub_n") >= LINK[0] * F.greatest("n_shingles", "hub_n")
-
     def pairs_with(members: DataFrame, hubs: DataFrame, also: Column) -> DataFrame:
-        met = members.join(hubs, (members["key"] == hubs["key"]) & (F.col("cls") > F.col("hub")) & sizes & also & (agree >= AGREE))
+        met = members.join(hubs, (members["key"] == hubs["key"]) & (F.col("cls") > F.col("hub")) & also & _alike())
         return met.select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct()
 
     # every member with the first of its bucket
-    known = materialize(_differences(_compared(pairs_with(buckets, _hubs(buckets, 0, 1), F.lit(True)), sets)), "near-first")
-    links = known.where("linked").select(F.col("first").alias("a"), F.col("cls").alias("b"))
+    known = materialize(_compared(pairs_with(buckets, _hubs(buckets, 0, 1), F.lit(True)), sets).select("a", "b", _is_link().alias("linked")), "near-first")
+    links = known.where("linked").select("a", "b")
+    labels = components(links)
+    open_buckets = materialize(_still_open(buckets, labels, 1), "near-open")
+    # classes compared with one hub, or with hubs that were, are a group; inside it, differences from what it has in common
+    members = open_buckets.select("cls").distinct()
+    groups = components(known.join(members, F.col("b") == F.col("cls"), "left_semi"), "near-groups")
+    members = materialize(members.join(groups, F.col("cls") == F.col("node"), "left").select("cls", F.coalesce("label", "cls").alias("grp")), "near-members")
+    free_links, pairs = _group_links(materialize(_differences(members, sets), "near-apart"), heads, labels)
+    links = links.union(materialize(free_links.union(_compared(pairs, sets).where(_is_link()).select("a", "b")), "near-links"))
     labels = components(links)
-    open_buckets = _still_open(buckets, labels, 1)
-    busiest = Window.partitionBy("cls").orderBy(F.col("met").desc(), "first")
-    known = known.join(known.groupBy("first").agg(F.count("*").alias("met")), "first")
-    known = known.withColumn("rank", F.row_number().over(busiest)).where("rank = 1").drop("rank", "linked", "met")
-    open_buckets = materialize(open_buckets.join(known, "cls", "left"), "near-open")
+    # pairs of one bucket that are in two groups
     low, high = 1, HUB_GROWTH
+    open_buckets = materialize(_still_open(open_buckets.join(members, "cls"), labels, low), "near-open")
     while not open_buckets.isEmpty():
         labelled = open_buckets.join(labels, open_buckets["cls"] == labels["node"], "left").select(*open_buckets.columns, F.coalesce("label", "cls").alias("label"))
-        hubs = _hubs(labelled, low, high)
-        new = _compared(pairs_with(labelled, hubs, _may_link()), sets)
+        apart = (F.col("label") != F.col("hub_label")) & (F.col("grp") != F.col("hub_grp"))
+        new = _compared(pairs_with(labelled, _hubs(labelled, low, high), apart), sets)
         new = materialize(new.where(_is_link()).select("a", "b"), "near-links")
         if not new.isEmpty():
             links = links.union(new)
