@@ -100,6 +100,31 @@ def test_chunk_sizes(spark, n, sizes):
     assert [c["cluster_name"] for c in chunks] == (["c"] if len(sizes) == 1 else [f"c_{i}" for i in range(len(sizes))])
 
 
+def test_public_function_is_not_read_from_text(spark):
+    text_first = 'NOTE = """\ndef fake(y):\n"""\n# """\ndef real(x):\n    return "it\'s"\n\ndef _own(z):\n    pass'
+    assert one(spark, pycode.public_function(F.col("c")), c=text_first) == "real"
+    assert one(spark, pycode.public_function(F.col("c")), c="def a(x):\n    return '" + "\\\\" * 400 + "q" * 50_000 + "'\n") == "a"
+
+
+def test_tools_of_another_width_take_no_part(rows):
+    tools = rows("tool_id bigint, vec array<double>", [(1, [1.0, 0.0]), (2, [0.0, 1.0, 0.0]), (3, [0.0, 1.0, 0.0, 1.0])])
+    queries = rows("query_id bigint, vec array<double>", [(7, [0.0, 2.0, 0.0])])
+    for limit in (0, 1 << 20):
+        assert values(retrieve.top_k(tools, queries, 3, broadcast_bytes=limit), "query_id", "tool_id", "score") == [(7, 2, 1.0)]
+    with pytest.raises(ValueError):
+        retrieve.top_k(tools, tools.withColumnRenamed("tool_id", "query_id"), 1)
+
+
+def test_recall_summary_counts_questions_without_truth_as_zero(rows):
+    questions = rows("question_id bigint", [(1,), (2,), (3,)])
+    retrieved = rows("question_id bigint, name string, rank bigint", [(1, "a", 1), (2, "b", 1), (2, "c", 2)])
+    truth = rows("question_id bigint, name string", [(1, "a"), (2, "c"), (2, "x")])
+    got = retrieve.recall_summary(retrieve.recall_at(questions, retrieved, truth, (1, 3)), (1, 3))
+    assert [tuple(round(x, 4) for x in r) for r in got.collect()] == [(1, 0.3333, 0.4714, 0.0, 1.0, 1, 2), (3, 0.5, 0.4082, 0.0, 1.0, 1, 1)]
+    total = retrieve.retrieval_totals(retrieve.recall(questions, retrieved, truth)).first()
+    assert (total["total_attempts"], total["successful_retrievals"], total["total_ground_truth_tools"], total["avg_retrieved_tools"]) == (3, 2, 3, 1.5)
+
+
 def test_small_and_braced_clusters_are_dropped(rows):
     sizes = rows("cluster_id string, n bigint", [("a", 50), ("b", 49), ("c}", 900)])
     assert values(sizes.where(cluster.eligible(F.col("cluster_id"), F.col("n"))), "cluster_id") == [("a",)]

@@ -43,6 +43,10 @@ def first_function(code: Column) -> Column:
     return F.regexp_extract(code, r"def\s+([a-zA-Z_][a-zA-Z0-9_]*)", 1)
 
 
+# runs of plain characters are possessive, so that long literals need no deep recursion
+LITERALS = r"""(?s)\"{3}.*?\"{3}|'{3}.*?'{3}|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'|#[^\n]*"""
+
+
 def first_class(code: Column) -> Column:
     return F.regexp_extract(code, r"class\s+([a-zA-Z_][a-zA-Z0-9_]*)", 1)
 
@@ -51,6 +55,11 @@ def docstring(code: Column, keyword: str = "def") -> Column:
     return strip(F.regexp_extract(code, rf'(?s){keyword}\s.*?:\s*(?:"""(.*?)""")?', 1))
 
 
+def without_literals(code: Column) -> Column:
+    """Code with its comments gone and its string literals empty."""
+    return F.regexp_replace(code, LITERALS, '""')
+
+
 def first_line(text: Column) -> Column:
     return F.split_part(text, F.lit("\n"), F.lit(1))
 
@@ -60,7 +69,7 @@ def public_function(code: Column, parses: Column | None = None) -> Column:
     underscore, ``execute`` if defined, else the first. Code that does not parse
     (``parses`` false) gives its first one."""
     names = F.regexp_extract_all(
-        F.replace(code, F.lit(fixed.FUTURE_IMPORT), F.lit("")),
+        without_literals(F.replace(code, F.lit(fixed.FUTURE_IMPORT), F.lit(""))),
         F.lit(r"(?m)^(?:async\s+)?def\s+([a-zA-Z_]\w*)\s*\("),
         F.lit(1),
     )

@@ -140,11 +140,15 @@ def top_k(tools: DataFrame, queries: DataFrame, k: int, broadcast_bytes: int = B
 
     Rows without a vector take no part (see ``first_k_without_vector``). The
     queries' size is measured first: up to ``broadcast_bytes`` they go to every
-    task, beyond that both sides are cut into blocks of about ``block_rows``.
+    task, beyond that both sides are cut into blocks of about ``block_rows``. Queries
+    must be of one width; tools of another take no part (``dimension_errors`` lists them).
     """
     tools = tools.where(F.col("vec").isNotNull())
     queries = queries.where(F.col("vec").isNotNull())
-    size = queries.agg(F.count("*").alias("n"), F.sum(F.size("vec").cast("bigint")).alias("cells")).first()
+    size = queries.agg(F.count("*").alias("n"), F.sum(F.size("vec").cast("bigint")).alias("cells"), F.min(F.size("vec")).alias("least"), F.max(F.size("vec")).alias("most")).first()
+    if size["least"] != size["most"]:
+        raise ValueError(f"query vectors of {size['least']} to {size['most']} numbers; see dimension_errors")
+    tools = tools.where(F.size("vec") == size["most"])
     if not size["n"]:
         candidates = tools.sparkSession.createDataFrame([], RESULT)
     elif size["cells"] * 8 <= broadcast_bytes:
@@ -232,3 +236,36 @@ def recall_at(questions: DataFrame, retrieved: DataFrame, truth: DataFrame, ks:
         *[(F.count_if(F.col("rank") <= k) / F.count("*")).alias(f"recall_at_{k}") for k in ks]
     )
     return questions.select("question_id").join(per_question, "question_id", "left").fillna(0.0)
+
+
+def recall_summary(recalls: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
+    """Per k, over all questions of ``recall_at``: mean, population deviation, least and
+    greatest recall, and how many are perfect or zero (no expected names: zero). One
+    pass, one row per task; no questions, null statistics and zero counts."""
+    stats = recalls.agg(*[
+        F.struct(
+            F.lit(k).cast("bigint").alias("k"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"), F.min(c).alias("least"), F.max(c).alias("most"),
+            F.count_if(F.col(c) == 1).alias("count_perfect"), F.count_if(F.col(c) == 0).alias("count_zero"),
+        ).alias(c)
+        for k in ks for c in [f"recall_at_{k}"]
+    ])
+    return stats.select(F.inline(F.array(*[f"recall_at_{k}" for k in ks])))
+
+
+def retrieval_totals(recalls: DataFrame) -> DataFrame:
+    """Totals of a run over the rows of ``recall``. A retrieval succeeded if it returned
+    anything; expected and retrieved tools count for successful ones only."""
+    ok = F.col("retrieved_count") > 0
+    totals = recalls.select(ok.alias("ok"), F.when(ok, F.col("truth_count")).alias("truth"), "retrieved_count").agg(
+        F.count("*").alias("total_attempts"),
+        F.count_if("ok").alias("successful_retrievals"),
+        F.count_if(F.col("truth") > 0).alias("questions_with_ground_truth"),
+        F.coalesce(F.sum("truth"), F.lit(0)).alias("total_ground_truth_tools"),
+        F.coalesce(F.sum("retrieved_count"), F.lit(0)).alias("total_retrieved_tools"),
+    )
+    share = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    return (
+        totals.withColumn("retrieval_success_rate", share("successful_retrievals", "total_attempts"))
+        .withColumn("avg_ground_truth_tools", share("total_ground_truth_tools", "questions_with_ground_truth"))
+        .withColumn("avg_retrieved_tools", share("total_retrieved_tools", "successful_retrievals"))
+    )

@@ -11,7 +11,7 @@ from toolmill.operators.ordering import ordered_text, pages
 
 
 def _calls() -> Column:
-    return F.coalesce(F.col("tool_calls"), F.array().cast("array<struct<name:string,arguments:string>>"))
+    return F.coalesce(F.col("tool_calls"), F.array().cast("array<struct<id:string,name:string,arguments:string>>"))
 
 
 def _lines_of_message() -> Column:
@@ -32,7 +32,9 @@ def analysis_transcript(messages: DataFrame) -> DataFrame:
 
 
 def reading_transcript(messages: DataFrame) -> DataFrame:
-    """Numbered messages with a mark per role and their tool calls spelled out."""
+    """Numbered messages with a mark per role and their tool calls spelled out.
+    Ids come from ``id`` of a call and ``tool_call_id`` of a message, ``unknown`` where
+    there is none."""
     icon = F.lit(fixed.OTHER_ICON)
     for role, mark in fixed.ROLE_ICONS.items():
         icon = F.when(F.col("role") == role, mark).otherwise(icon)
@@ -41,7 +43,7 @@ def reading_transcript(messages: DataFrame) -> DataFrame:
     call_lines = F.transform(
         _calls(),
         lambda c, i: F.concat(
-            F.lit("  Tool Call "), (i + 1).cast("string"), F.lit(":\n    Function: "), c["name"], F.lit("\n    Arguments: "), c["arguments"]
+            F.lit("  Tool Call "), (i + 1).cast("string"), F.lit(":\n    ID: "), F.coalesce(c["id"], F.lit("unknown")), F.lit("\n    Function: "), c["name"], F.lit("\n    Arguments: "), c["arguments"]
         ),
     )
     parts = F.array(
@@ -50,6 +52,7 @@ def reading_transcript(messages: DataFrame) -> DataFrame:
         F.lit(fixed.RULE),
         F.when(has_content, F.concat(F.lit("Content:\n"), F.col("content"))),
         F.when(F.col("tool_calls").isNotNull(), F.concat_ws("\n", F.lit(fixed.CALLS_HEADING), call_lines)),
+        F.when(F.col("role") == "tool", F.concat(F.lit("Tool Call ID: "), F.coalesce("tool_call_id", F.lit("unknown")))),
         F.when((F.col("role") == "tool") & has_content, F.concat(F.lit("Tool Result:\n"), F.col("content"))),
         F.lit(""),
     )

@@ -140,21 +140,21 @@ def usage_examples(calls: DataFrame) -> DataFrame:
 
 
 def select_problems(members: DataFrame, knowledge: DataFrame, large: int = fixed.SMALL_CLUSTER) -> DataFrame:
-    """Problem ids of a subfield: all of its small clusters; from clusters over
-    ``large`` ids only those with exactly one knowledge row, of that subfield."""
-    sizes = members.groupBy("subfield", "cluster").agg(F.count("*").alias("size"))
+    """Problem ids of a field's subfield: all of its small clusters; from clusters over
+    ``large`` ids only those with exactly one knowledge row, of that field and subfield."""
+    sizes = members.groupBy("field", "subfield", "cluster").agg(F.count("*").alias("size"))
     single = (
-        knowledge.groupBy("id").agg(F.count("*").alias("n"), F.min("subfield").alias("subfield"))
-        .where(F.col("n") == 1).select("id", "subfield", F.lit(True).alias("single"))
+        knowledge.groupBy("id").agg(F.count("*").alias("n"), F.min("field").alias("field"), F.min("subfield").alias("subfield"))
+        .where(F.col("n") == 1).select("id", "field", "subfield", F.lit(True).alias("single"))
     )
     return (
-        members.join(sizes, ["subfield", "cluster"]).join(single, ["id", "subfield"], "left")
+        members.join(sizes, ["field", "subfield", "cluster"]).join(single, ["id", "field", "subfield"], "left")
         .where((F.col("size") <= large) | F.col("single"))
-        .select("subfield", "cluster", "id")
+        .select("field", "subfield", "cluster", "id")
     )
 
 
 def key_points(problems: DataFrame, knowledge: DataFrame) -> DataFrame:
-    """Key points of the first knowledge row that matches a problem's id and subfield."""
-    first = first_rows(knowledge, ["id", "subfield"], F.col("seq"), ["keypoints"])
-    return problems.join(first, ["id", "subfield"], "left").withColumn("keypoints", F.coalesce("keypoints", F.lit("")))
+    """Key points of the first knowledge row that matches a problem's id, field and subfield."""
+    first = first_rows(knowledge, ["id", "field", "subfield"], F.col("seq"), ["keypoints"])
+    return problems.join(first, ["id", "field", "subfield"], "left").withColumn("keypoints", F.coalesce("keypoints", F.lit("")))

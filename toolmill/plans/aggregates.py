@@ -1,4 +1,4 @@
-"""Aggregations (A1-A31)."""
+"""Aggregations (A1-A32)."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from toolmill.operators import blocks, catalog, cluster, extraction, logs, metrics, retrieve, usage
 from toolmill.plans import roles
-from toolmill.plans.registry import query
+from toolmill.plans.registry import ORACLES, query
 from toolmill.sources.readers import table
 
 KS = [1, 2, 3, 4]
@@ -129,6 +129,23 @@ def recall_at_k(spark, folder):
     return rounded(found, "recall_at_1", "recall_at_3", "recall_at_5", "recall_at_10", places=6)
 
 
+RECALLS_SQL = ORACLES["a13_recall_at_k"]
+
+
+@query("a32_recall_summary", " UNION ALL ".join(
+    f"""SELECT CAST({k} AS BIGINT) AS k, round(avg(recall_at_{k}), 5) AS mean, round(stddev_pop(recall_at_{k}), 5) AS std, min(recall_at_{k}) AS least, max(recall_at_{k}) AS most,
+    count(*) FILTER (recall_at_{k} = 1) AS count_perfect, count(*) FILTER (recall_at_{k} = 0) AS count_zero FROM ({RECALLS_SQL})""" for k in (1, 3, 5, 10)))
+def recall_summary(spark, folder):
+    return rounded(retrieve.recall_summary(recall_at_k(spark, folder)), "mean", "std", places=5)
+
+
+@query("a32_retrieval_totals", f"""SELECT count(*) AS total_attempts, count(*) AS successful_retrievals, count(*) FILTER (truth_count > 0) AS questions_with_ground_truth,
+    CAST(sum(truth_count) AS BIGINT) AS total_ground_truth_tools, CAST(sum(retrieved_count) AS BIGINT) AS total_retrieved_tools, CAST(1 AS DOUBLE) AS retrieval_success_rate,
+    round(sum(truth_count) / count(*) FILTER (truth_count > 0), 6) AS avg_ground_truth_tools, round(sum(retrieved_count) / count(*), 6) AS avg_retrieved_tools FROM ({ORACLES["a12_tool_recall"]})""")
+def retrieval_totals(spark, folder):
+    return rounded(retrieve.retrieval_totals(tool_recall(spark, folder)), "avg_ground_truth_tools", "avg_retrieved_tools", places=6)
+
+
 PERFORMANCE = """SELECT cluster_name, sib_index, coalesce(o, 0) AS original_tools, coalesce(n, 0) AS questions_optimized, coalesce(s, 0) AS questions_successful,
     coalesce(f, 0) AS questions_failed, coalesce(o, 0) - coalesce(n, 0) AS questions_unoptimized, round(coalesce(s / n, 0), 6) AS success_rate
     FROM (SELECT DISTINCT cluster_name, sib_index FROM r_cover)

@@ -129,21 +129,22 @@ def usage_examples(spark, folder):
     return usage.usage_examples(roles.calls(spark, folder))
 
 
-@query("j14_selected_problems", """WITH m AS (SELECT *, count(*) OVER (PARTITION BY subfield, cluster) AS size FROM r_problem_clusters),
-    k AS (SELECT id, min(subfield) AS f FROM r_knowledge GROUP BY id HAVING count(*) = 1)
-    SELECT subfield, cluster, id FROM m WHERE size <= 35 OR id IN (SELECT id FROM k WHERE k.f = m.subfield)""")
+@query("j14_selected_problems", """WITH m AS (SELECT *, count(*) OVER (PARTITION BY field, subfield, cluster) AS size FROM r_problem_clusters),
+    k AS (SELECT id, min(field) AS f, min(subfield) AS s FROM r_knowledge GROUP BY id HAVING count(*) = 1)
+    SELECT field, subfield, cluster, id FROM m WHERE size <= 35 OR id IN (SELECT id FROM k WHERE k.f = m.field AND k.s = m.subfield)""")
 def selected_problems(spark, folder):
     return usage.select_problems(roles.problem_clusters(spark, folder), roles.knowledge(spark, folder))
 
 
-@query("j15_key_points", """SELECT p.id, p.subfield, coalesce(k.keypoints, '') AS keypoints FROM (SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'A' WHEN 'O' THEN 'N' ELSE 'R' END AS subfield FROM orders) p
-    LEFT JOIN (SELECT l_orderkey AS id, l_returnflag AS subfield, arg_min('kp_' || l_partkey || '_' || l_suppkey, [l_partkey, l_suppkey, l_linenumber]) AS keypoints FROM lineitem GROUP BY ALL) k USING (id, subfield)""")
+@query("j15_key_points", """SELECT p.id, p.field, p.subfield, coalesce(k.keypoints, '') AS keypoints FROM (SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'F' ELSE 'O' END AS field, CASE o_orderstatus WHEN 'F' THEN 'A' WHEN 'O' THEN 'N' ELSE 'R' END AS subfield FROM orders) p
+    LEFT JOIN (SELECT l_orderkey AS id, l_linestatus AS field, l_returnflag AS subfield, arg_min('kp_' || l_partkey || '_' || l_suppkey, [l_partkey, l_suppkey, l_linenumber]) AS keypoints FROM lineitem GROUP BY ALL) k USING (id, field, subfield)""")
 def key_points(spark, folder):
     problems = table(spark, folder, "orders").select(
-        F.col("o_orderkey").alias("id"), F.expr("CASE o_orderstatus WHEN 'F' THEN 'A' WHEN 'O' THEN 'N' ELSE 'R' END").alias("subfield")
+        F.col("o_orderkey").alias("id"), F.expr("CASE o_orderstatus WHEN 'F' THEN 'F' ELSE 'O' END").alias("field"),
+        F.expr("CASE o_orderstatus WHEN 'F' THEN 'A' WHEN 'O' THEN 'N' ELSE 'R' END").alias("subfield")
     )
     knowledge = table(spark, folder, "lineitem").select(
-        F.col("l_orderkey").alias("id"), F.col("l_returnflag").alias("subfield"), F.struct("l_partkey", "l_suppkey", "l_linenumber").alias("seq"),
+        F.col("l_orderkey").alias("id"), F.col("l_linestatus").alias("field"), F.col("l_returnflag").alias("subfield"), F.struct("l_partkey", "l_suppkey", "l_linenumber").alias("seq"),
         F.expr("concat('kp_', CAST(l_partkey AS STRING), '_', CAST(l_suppkey AS STRING))").alias("keypoints"),
     )
     return usage.key_points(problems, knowledge)

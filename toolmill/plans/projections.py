@@ -193,15 +193,15 @@ def numbered_functions(spark, folder):
 
 
 @query("p20_analysis_transcripts", """SELECT conv_id, turn // 1000 AS page, string_agg(CASE role WHEN 'user' THEN '**User:** ' || content
-    ELSE '**Assistant:** ' || content || coalesce(chr(10) || chr(10) || '  🔧 Called tool: ' || call_name || '(' || call_arguments || ')', '') END, chr(10) || chr(10) ORDER BY turn) AS text
-    FROM r_messages WHERE role IN ('user', 'assistant') GROUP BY ALL""")
+    WHEN 'tool' THEN '  📋 Tool result: ' || content ELSE '**Assistant:** ' || content || coalesce(chr(10) || chr(10) || '  🔧 Called tool: ' || call_name || '(' || call_arguments || ')', '') END, chr(10) || chr(10) ORDER BY turn) AS text
+    FROM r_messages WHERE role IN ('user', 'assistant', 'tool') GROUP BY ALL""")
 def analysis_transcripts(spark, folder):
     return transcripts.analysis_transcript(roles.messages(spark, folder))
 
 
-@query("p20_reading_transcripts", """SELECT conv_id, turn // 1000 AS page, string_agg(chr(10) || repeat('=', 60) || chr(10) || 'Message ' || (turn + 1) || ': ' || CASE role WHEN 'user' THEN '👤' WHEN 'assistant' THEN '🤖' ELSE '❓' END
+@query("p20_reading_transcripts", """SELECT conv_id, turn // 1000 AS page, string_agg(chr(10) || repeat('=', 60) || chr(10) || 'Message ' || (turn + 1) || ': ' || CASE role WHEN 'user' THEN '👤' WHEN 'assistant' THEN '🤖' WHEN 'tool' THEN '🔧' ELSE '❓' END
     || ' ' || upper(role) || chr(10) || repeat('=', 60) || chr(10) || 'Content:' || chr(10) || content
-    || coalesce(chr(10) || chr(10) || '🔧 TOOL CALLS:' || chr(10) || '  Tool Call 1:' || chr(10) || '    Function: ' || call_name || chr(10) || '    Arguments: ' || call_arguments, '') || chr(10), chr(10) ORDER BY turn) AS text
+    || coalesce(chr(10) || chr(10) || '🔧 TOOL CALLS:' || chr(10) || '  Tool Call 1:' || chr(10) || '    ID: ' || coalesce(call_id, 'unknown') || chr(10) || '    Function: ' || call_name || chr(10) || '    Arguments: ' || call_arguments, '') || CASE WHEN role = 'tool' THEN chr(10) || 'Tool Call ID: ' || coalesce(answers, 'unknown') || chr(10) || 'Tool Result:' || chr(10) || content ELSE '' END || chr(10), chr(10) ORDER BY turn) AS text
     FROM r_messages GROUP BY ALL""")
 def reading_transcripts(spark, folder):
     return transcripts.reading_transcript(roles.messages(spark, folder))

@@ -154,10 +154,11 @@ ROLE_SQL: dict[str, str] = {
     "r_usage": """SELECT subfield, tool_id, iter, sum(f) OVER w AS freq, sum(t) OVER w AS tsr FROM (
         SELECT subfield, tool_id, iter, count(*) AS f, sum(CAST(is_correct AS BIGINT)) AS t FROM r_calls GROUP BY ALL)
         WINDOW w AS (PARTITION BY subfield, tool_id ORDER BY iter)""",
-    "r_knowledge": "SELECT DISTINCT l_orderkey AS id, l_returnflag AS subfield FROM lineitem",
-    "r_problem_clusters": """SELECT DISTINCT l_returnflag AS subfield, CASE WHEN l_partkey % 2 = 0 THEN 'p' || l_partkey ELSE 's' || l_suppkey END AS cluster,
+    "r_knowledge": "SELECT DISTINCT l_orderkey AS id, l_linestatus AS field, l_returnflag AS subfield FROM lineitem",
+    "r_problem_clusters": """SELECT DISTINCT l_linestatus AS field, l_returnflag AS subfield, CASE WHEN l_partkey % 2 = 0 THEN 'p' || l_partkey ELSE 's' || l_suppkey END AS cluster,
         l_orderkey AS id FROM lineitem""",
-    "r_messages": """SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, role, text AS content,
+    "r_messages": """SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, CASE WHEN turn % 6 = 2 THEN 'tool' ELSE role END AS role, text AS content,
+        CASE WHEN turn % 2 = 1 THEN 'call_' || turn END AS call_id, CASE WHEN turn % 12 = 2 THEN 'call_' || (turn - 1) END AS answers,
         CASE WHEN role = 'assistant' AND turn % 3 = 1 THEN 'lookup' END AS call_name, '{"turn": ' || turn || '}' AS call_arguments FROM conversations""",
     "r_pairs": """SELECT q.vec_id AS query_id, t.vec_id AS tool_id,
         round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(t.embedding AS DOUBLE[])), 6) + 0.0 AS score FROM embeddings q, embeddings t""",
@@ -354,11 +355,12 @@ def subfield_tools(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def knowledge(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_returnflag").alias("subfield")).distinct()
+    return table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linestatus").alias("field"), F.col("l_returnflag").alias("subfield")).distinct()
 
 
 def problem_clusters(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "lineitem").select(
+        F.col("l_linestatus").alias("field"),
         F.col("l_returnflag").alias("subfield"),
         F.expr("CASE WHEN l_partkey % 2 = 0 THEN 'p' || l_partkey ELSE 's' || l_suppkey END").alias("cluster"),
         F.col("l_orderkey").alias("id"),
@@ -366,12 +368,19 @@ def problem_clusters(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def messages(spark: SparkSession, folder: str) -> DataFrame:
-    """Messages with their tool calls; the turn is the position."""
+    """Messages with their tool calls and tool results, some without an id; the turn is the position."""
+    number = F.col("turn").cast("string")
     call = F.when(
         (F.col("role") == "assistant") & (F.col("turn") % 3 == 1),
-        F.array(F.struct(F.lit("lookup").alias("name"), F.concat(F.lit('{"turn": '), F.col("turn").cast("string"), F.lit("}")).alias("arguments"))),
+        F.array(F.struct(
+            F.when(F.col("turn") % 2 == 1, F.concat(F.lit("call_"), number)).alias("id"), F.lit("lookup").alias("name"),
+            F.concat(F.lit('{"turn": '), number, F.lit("}")).alias("arguments"),
+        )),
+    )
+    return table(spark, folder, "conversations").select(
+        "conv_id", "turn", F.when(F.col("turn") % 6 == 2, "tool").otherwise(F.col("role")).alias("role"), F.col("text").alias("content"), call.alias("tool_calls"),
+        F.when(F.col("turn") % 12 == 2, F.concat(F.lit("call_"), (F.col("turn") - 1).cast("string"))).alias("tool_call_id"),
     )
-    return table(spark, folder, "conversations").select("conv_id", "turn", "role", F.col("text").alias("content"), call.alias("tool_calls"))
 
 
 def embeddings(spark: SparkSession, folder: str) -> DataFrame:
