@@ -136,6 +136,14 @@ def test_missing_children_become_nodes(rows):
     assert values(cluster.complete_nodes(nodes, edges).fillna("-"), "id", "level", "parent") == [("m", 1, "r"), ("n", 1, "r"), ("r", 0, "-"), ("x", 2, "n")]
 
 
+def test_children_of_missing_children_become_nodes(rows):
+    nodes = rows("id string, level bigint, parent string", [("r", 0, None)])
+    edges = rows("parent string, child string, seq bigint", [("r", "a", 0), ("a", "b", 1), ("b", "a", 2), ("b", "c", 3), ("ghost", "y", 4)])
+    whole = cluster.complete_nodes(nodes, edges)
+    assert values(whole.fillna("-"), "id", "level", "parent") == [("a", 1, "r"), ("b", 2, "a"), ("c", 3, "b"), ("r", 0, "-")]
+    assert values(cluster.unreached_edges(whole, edges), "parent", "child") == [("ghost", "y")]
+
+
 OPERATION = "seq bigint, action string, node_id string, level bigint, parent string, add_children array<string>"
 
 

@@ -11,17 +11,31 @@ from pyspark.sql import functions as F
 
 from toolmill.functions import fixed
 from toolmill.operators.ordering import first_rows, number_rows
+from toolmill.session import materialize
 
 
 def complete_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Nodes plus every child that has no row of its own (level of parent + 1,
-    first parent by edge order)."""
-    listed = edges.join(nodes.select(F.col("id").alias("parent"), F.col("level").alias("_level")), "parent")
-    missing = listed.join(nodes.select(F.col("id").alias("child")), "child", "left_anti")
-    added = first_rows(
-        missing.withColumn("level", F.col("_level") + 1), ["child"], F.struct("seq", "parent"), ["level", "parent"]
-    )
-    return nodes.select("id", "level", "parent").unionByName(added.withColumnRenamed("child", "id"))
+    """Nodes plus every child that has no row of its own (level of parent + 1, first
+    parent by edge order), then the children of those, until no edge leads further. Each
+    step is a table in the shared folder, and there are as many as unlisted levels.
+    Edges that no listed node leads to add nothing (``unreached_edges``)."""
+    known = nodes.select("id", "level", "parent")
+    newest = known
+    while True:
+        listed = edges.join(newest.select(F.col("id").alias("parent"), F.col("level").alias("_level")), "parent")
+        missing = listed.join(known.select(F.col("id").alias("child")), "child", "left_anti")
+        added = first_rows(
+            missing.withColumn("level", F.col("_level") + 1), ["child"], F.struct("seq", "parent"), ["level", "parent"]
+        )
+        newest = materialize(added.withColumnRenamed("child", "id"), "tree-level")
+        if newest.isEmpty():
+            return known
+        known = known.unionByName(newest)
+
+
+def unreached_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Edges whose parent is in no node of a completed tree."""
+    return edges.join(nodes.select(F.col("id").alias("parent")), "parent", "left_anti")
 
 
 def resolve_targets(assignments: DataFrame, nodes: DataFrame) -> DataFrame:

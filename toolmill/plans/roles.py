@@ -118,10 +118,12 @@ ROLE_SQL: dict[str, str] = {
         UNION ALL SELECT 'n' || n_nationkey, 1, 'r' || n_regionkey FROM nation WHERE n_nationkey % 5 <> 4
         UNION ALL SELECT 'c' || c_custkey, CASE WHEN c_custkey % 97 = 0 THEN 5 ELSE 2 END, 'n' || c_nationkey FROM customer WHERE c_custkey % 4 <> 3""",
     "r_edges": """SELECT 'r' || n_regionkey AS parent, 'n' || n_nationkey AS child, CAST(n_nationkey AS BIGINT) AS seq FROM nation
-        UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey, c_custkey + 100 FROM customer WHERE c_nationkey % 5 <> 4""",
-    "r_complete": """SELECT id, level, parent FROM r_nodes UNION ALL
-        SELECT child, arg_min(p.level + 1, e.seq), arg_min(e.parent, e.seq) FROM r_edges e JOIN r_nodes p ON p.id = e.parent
+        UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey, c_custkey + 100 FROM customer""",
+    "r_children": """SELECT child AS id, arg_min(p.level + 1, e.seq) AS level, arg_min(e.parent, e.seq) AS parent FROM r_edges e JOIN r_nodes p ON p.id = e.parent
         WHERE child NOT IN (SELECT id FROM r_nodes) GROUP BY child""",
+    "r_complete": """SELECT id, level, parent FROM r_nodes UNION ALL SELECT id, level, parent FROM r_children UNION ALL
+        SELECT child, arg_min(p.level + 1, e.seq), arg_min(e.parent, e.seq) FROM r_edges e JOIN r_children p ON p.id = e.parent
+        WHERE child NOT IN (SELECT id FROM r_nodes) AND child NOT IN (SELECT id FROM r_children) GROUP BY child""",
     "r_assignments": """SELECT o_orderkey AS tool_id, o_orderkey AS pos, n_nationkey, n_regionkey, o_custkey,
         CASE WHEN o_orderkey % 101 = 0 THEN NULL WHEN o_orderkey % 7 = 0 THEN 'x' || o_custkey WHEN o_orderkey % 11 = 0 THEN 'y' || (o_custkey % 50)
              WHEN o_orderkey % 13 = 0 THEN 'w}' || (o_custkey % 3) ELSE 'n' || n_nationkey END AS cluster_id,
@@ -266,7 +268,7 @@ def edges(spark: SparkSession, folder: str) -> DataFrame:
     nation, customer = table(spark, folder, "nation"), table(spark, folder, "customer")
     name = lambda prefix, key: F.concat(F.lit(prefix), F.col(key).cast("string"))
     top = nation.select(name("r", "n_regionkey").alias("parent"), name("n", "n_nationkey").alias("child"), F.col("n_nationkey").cast("bigint").alias("seq"))
-    low = customer.where("c_nationkey % 5 <> 4").select(
+    low = customer.select(
         name("n", "c_nationkey").alias("parent"), name("c", "c_custkey").alias("child"), (F.col("c_custkey") + 100).alias("seq")
     )
     return top.unionByName(low)
