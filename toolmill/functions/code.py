@@ -148,8 +148,7 @@ def signature_params(code: Column) -> Column:
     split on every comma, so ``Dict[str, int]`` loses its second half."""
     blob = strip(F.regexp_extract(code, fixed.SIGNATURE_PATTERN, 2))
     raws = F.filter(F.transform(F.split(blob, r",\s*"), strip), lambda r: ~r.isin("", "*", "**"))
-    typed = r"^([a-zA-Z_]\w*)\s*:\s*([^=]+?)(?:\s*=\s*(.+))?$"
-    defaulted = r"^([a-zA-Z_]\w*)\s*=\s*(.+)$"
+    typed, defaulted = fixed.TYPED_PARAMETER, fixed.DEFAULTED_PARAMETER
 
     def parse(raw: Column) -> Column:
         return F.when(

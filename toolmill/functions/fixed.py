@@ -79,6 +79,8 @@ TYPE_NAMES = {
 
 # --- fixed values: patterns ---------------------------------------------------
 SIGNATURE_PATTERN = r"(?s)def\s+([a-zA-Z_]\w*)\s*\((.*?)\)(?:\s*->\s*[^:]+)?\s*:"
+TYPED_PARAMETER = r"^([a-zA-Z_]\w*)\s*:\s*([^=]+?)(?:\s*=\s*(.+))?$"
+DEFAULTED_PARAMETER = r"^([a-zA-Z_]\w*)\s*=\s*(.+)$"
 DOC_ARGS_LINE = r"^\s*Args\s*:\s*$"
 DOC_SECTION_LINE = r"^\s*(Returns?|Raises|Examples?|Notes?|See Also|References?)\s*:\s*$"
 DOC_PARAM_LINE = r"^\s*-?\s*([a-zA-Z_]\w*)\s*(?:\(([^)]+)\))?\s*:\s*(.*)$"

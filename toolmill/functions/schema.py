@@ -174,14 +174,16 @@ def schema_errors(tools: DataFrame, info: str = "info") -> DataFrame:
 
 def schema_nodes(tools: DataFrame, parameters: str = "parameters") -> DataFrame:
     """Every schema node of a parameters text: ``(tool_id, depth, node)`` through
-    properties, items, compositions and definitions."""
+    properties, items (one schema or a list of them), compositions and definitions."""
     none = F.array().cast("array<variant>")
 
     def children(n: Column) -> Column:
         values = lambda path: F.transform(entries(at(n, path)), lambda e: e["value"])
         return F.concat(
             F.when(has_type(n, "object"), values("$.properties")).otherwise(none),
-            F.when(has_type(n, "array") & at(n, "$.items").isNotNull(), F.array(at(n, "$.items"))).otherwise(none),
+            F.when(has_type(n, "array") & is_array(at(n, "$.items")), items(at(n, "$.items")))
+            .when(has_type(n, "array") & at(n, "$.items").isNotNull(), F.array(at(n, "$.items")))
+            .otherwise(none),
             items(at(n, "$.anyOf")),
             items(at(n, "$.oneOf")),
             values("$['$defs']"),
@@ -196,6 +198,11 @@ def schema_nodes(tools: DataFrame, parameters: str = "parameters") -> DataFrame:
 
 def schema_budgets(tools: DataFrame, parameters: str = "parameters") -> DataFrame:
     """Depth, property count, text size and enum size of each tree."""
+    return _measured_trees(tools, parameters).drop("enums_over")
+
+
+def _measured_trees(tools: DataFrame, parameters: str) -> DataFrame:
+    """The budgets of each tree and the text size of each of its enums over the limit."""
     node = F.col("node")
     names = F.transform(entries(at(node, "$.properties")), lambda e: e["key"])
     defs = F.concat(*[F.transform(entries(at(node, p)), lambda e: e["key"]) for p in ("$['$defs']", "$.definitions")])
@@ -228,12 +235,13 @@ def schema_budgets(tools: DataFrame, parameters: str = "parameters") -> DataFram
         F.sum("text").alias("total_text"),
         F.sum("enums").alias("enum_count"),
         F.max("enum_text").alias("largest_enum_text"),
+        F.collect_list(F.when(F.col("enum_text") > fixed.SCHEMA_ENUM_TEXT, F.col("enum_text"))).alias("enums_over"),
     )
 
 
 def strict_errors(tools: DataFrame, parameters: str = "parameters") -> DataFrame:
     """Root strictness (no additional properties, all properties required) and
-    budgets over their limit, one row per violation."""
+    budgets over their limit, one row per violation (of enum text: per enum)."""
     p = F.col("_p")
     names = F.transform(property_entries(p), lambda e: e["key"])
     required = F.transform(items(at(p, "$.required")), lambda x: F.try_variant_get(x, "$", "string"))
@@ -258,17 +266,11 @@ def strict_errors(tools: DataFrame, parameters: str = "parameters") -> DataFrame
         ("total_props", fixed.SCHEMA_MAX_PROPERTIES, "schema_property_limit_exceeded"),
         ("total_text", fixed.SCHEMA_MAX_TEXT, "schema_string_budget_exceeded"),
         ("enum_count", fixed.SCHEMA_MAX_ENUM, "schema_enum_count_exceeded"),
-        ("largest_enum_text", fixed.SCHEMA_ENUM_TEXT, "schema_enum_string_budget_exceeded"),
     )
-    over = schema_budgets(tools, parameters).select(
-        "tool_id",
-        F.explode(
-            F.filter(
-                F.array(*[F.when(F.col(c) > limit, F.struct(F.lit(e).alias("error_type"), F.col(c).cast("string").alias("detail"))) for c, limit, e in limits]),
-                lambda x: x.isNotNull(),
-            )
-        ).alias("e"),
-    ).select("tool_id", "e.*")
+    violation = lambda e, size: F.struct(F.lit(e).alias("error_type"), size.cast("string").alias("detail"))
+    of_trees = F.filter(F.array(*[F.when(F.col(c) > limit, violation(e, F.col(c))) for c, limit, e in limits]), lambda x: x.isNotNull())
+    of_enums = F.transform("enums_over", lambda size: violation("schema_enum_string_budget_exceeded", size))
+    over = _measured_trees(tools, parameters).select("tool_id", F.explode(F.concat(of_trees, of_enums)).alias("e")).select("tool_id", "e.*")
     return rooted.unionByName(over)
 
 

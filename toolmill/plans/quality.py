@@ -41,8 +41,8 @@ def schema_errors(spark, folder):
 NESTED_OPEN = '{"type":"object","properties":{"inner":'
 TREES = f"""CASE p_partkey % 6
  WHEN 0 THEN concat('{NESTED_OPEN * 12}', '{{"type":"string"}}', '{"}}" * 12}')
- WHEN 1 THEN concat('{{"type":"object","additionalProperties":false,"required":["e"],"properties":{{"e":{{"type":"string","enum":[', repeat(concat('"', repeat(p_brand, 8), '",'), 300), '"z"]}}}}}}')
- WHEN 2 THEN concat('{{"type":"object","required":["a"],"properties":{{"a":{{"type":"array","items":{{"type":"object","properties":{{"n', CAST(p_size AS STRING), '":{{"const":"fixed"}}}}}}}},"b":{{"anyOf":[{{"type":"string"}},{{"oneOf":[{{"enum":[1,"two"]}}]}}]}}}},"definitions":{{"shape":{{"type":"object","properties":{{"side":{{"type":"number"}}}}}}}}}}')
+ WHEN 1 THEN concat('{{"type":"object","additionalProperties":false,"required":["e"],"properties":{{"e":{{"type":"string","enum":[', repeat(concat('"', repeat(p_brand, 8), '",'), 300), '"z"]}},"f":{{"enum":[', repeat(concat('"', repeat(p_brand, 9), '",'), 260), '"y"]}}}}}}')
+ WHEN 2 THEN concat('{{"type":"object","required":["a"],"properties":{{"a":{{"type":"array","items":{{"type":"object","properties":{{"n', CAST(p_size AS STRING), '":{{"const":"fixed"}}}}}}}},"b":{{"anyOf":[{{"type":"string"}},{{"oneOf":[{{"enum":[1,"two"]}}]}}]}},"c":{{"type":"array","items":[{{"enum":["x","yz"]}},{{"type":"object","properties":{{"deep":{{}}}}}}]}}}},"definitions":{{"shape":{{"type":"object","properties":{{"side":{{"type":"number"}}}}}}}}}}')
  WHEN 3 THEN concat('{{"type":"object","additionalProperties":true,"properties":{{"x":{{"enum":[', repeat('1,', 1000), '2]}}}}}}')
  ELSE {roles.VALID_PARAMS} END"""
 TREES_SQL = TREES.replace("AS STRING", "AS VARCHAR")
@@ -56,16 +56,18 @@ def _values(path: str) -> str:
     return f"coalesce([json_extract(n, '{path}.\"' || k || '\"') for k in json_keys(n, '{path}')], [])"
 
 
-BUDGET_SQL = f"""WITH RECURSIVE nodes AS (SELECT p_partkey AS tool_id, 1 AS depth, CAST({TREES_SQL} AS JSON) AS n FROM part
+MEASURED_SQL = f"""WITH RECURSIVE nodes AS (SELECT p_partkey AS tool_id, 1 AS depth, CAST({TREES_SQL} AS JSON) AS n FROM part
         UNION ALL SELECT tool_id, depth + 1, c FROM (SELECT tool_id, depth, unnest(list_concat(list_concat(list_concat(
             CASE WHEN json_extract_string(n, '$.type') = 'object' THEN {_values('$.properties')} ELSE [] END,
-            CASE WHEN json_extract_string(n, '$.type') = 'array' AND json_type(n, '$.items') IS NOT NULL THEN [json_extract(n, '$.items')] ELSE [] END),
+            CASE WHEN json_extract_string(n, '$.type') = 'array' AND json_type(n, '$.items') = 'ARRAY' THEN json_extract(n, '$.items[*]')
+                 WHEN json_extract_string(n, '$.type') = 'array' AND json_type(n, '$.items') IS NOT NULL THEN [json_extract(n, '$.items')] ELSE [] END),
             list_concat(coalesce(json_extract(n, '$.anyOf[*]'), []), coalesce(json_extract(n, '$.oneOf[*]'), []))), {_values('$.definitions')})) AS c FROM nodes)),
     m AS (SELECT tool_id, depth, CASE WHEN json_extract_string(n, '$.type') = 'object' THEN coalesce(json_keys(n, '$.properties'), []) ELSE [] END AS names,
         coalesce(json_keys(n, '$.definitions'), []) AS defs, coalesce(json_extract(n, '$.enum[*]'), []) AS enums,
         [json_extract_string(x, '$') for x in coalesce(json_extract(n, '$.enum[*]'), []) if json_type(x) = 'VARCHAR'] AS texts, coalesce(length(json_extract_string(n, '$.const')), 0) AS c FROM nodes),
     s AS (SELECT tool_id, depth, len(names) AS props, coalesce(list_sum([length(x) for x in list_concat(list_concat(names, defs), texts)]), 0) + c AS text, len(enums) AS enums,
-        CASE WHEN len(enums) > 250 AND len(texts) = len(enums) THEN list_sum([length(x) for x in texts]) ELSE 0 END AS enum_text FROM m)
+        CASE WHEN len(enums) > 250 AND len(texts) = len(enums) THEN list_sum([length(x) for x in texts]) ELSE 0 END AS enum_text FROM m)"""
+BUDGET_SQL = MEASURED_SQL + """
     SELECT tool_id, CAST(max(depth) AS BIGINT) AS max_depth, CAST(sum(props) AS BIGINT) AS total_props, CAST(sum(text) AS BIGINT) AS total_text, CAST(sum(enums) AS BIGINT) AS enum_count,
     CAST(max(enum_text) AS BIGINT) AS largest_enum_text FROM s GROUP BY tool_id"""
 
@@ -75,7 +77,7 @@ def schema_budgets(spark, folder):
     return schema.schema_budgets(trees(spark, folder))
 
 
-@query("q2_strict_errors", f"""WITH b AS ({BUDGET_SQL}), p AS (SELECT p_partkey AS tool_id, CAST({TREES_SQL} AS JSON) AS j FROM part),
+@query("q2_strict_errors", f"""WITH b AS ({BUDGET_SQL}), e AS ({MEASURED_SQL} SELECT tool_id, enum_text FROM s WHERE enum_text > 15000), p AS (SELECT p_partkey AS tool_id, CAST({TREES_SQL} AS JSON) AS j FROM part),
     miss AS (SELECT tool_id, string_agg(k, ',' ORDER BY k) AS names FROM (SELECT tool_id, j, unnest(json_keys(j, '$.properties')) AS k FROM p WHERE json_type(j, '$.required') = 'ARRAY')
         WHERE NOT list_contains(CAST(json_extract(j, '$.required') AS VARCHAR[]), k) GROUP BY 1)
     SELECT tool_id, 'schema_missing_additional_properties' AS error_type, '' AS detail FROM p WHERE coalesce(json_extract_string(j, '$.additionalProperties'), '') <> 'false'
@@ -85,7 +87,7 @@ def schema_budgets(spark, folder):
     UNION ALL SELECT tool_id, 'schema_property_limit_exceeded', CAST(total_props AS VARCHAR) FROM b WHERE total_props > 5000
     UNION ALL SELECT tool_id, 'schema_string_budget_exceeded', CAST(total_text AS VARCHAR) FROM b WHERE total_text > 120000
     UNION ALL SELECT tool_id, 'schema_enum_count_exceeded', CAST(enum_count AS VARCHAR) FROM b WHERE enum_count > 1000
-    UNION ALL SELECT tool_id, 'schema_enum_string_budget_exceeded', CAST(largest_enum_text AS VARCHAR) FROM b WHERE largest_enum_text > 15000""")
+    UNION ALL SELECT tool_id, 'schema_enum_string_budget_exceeded', CAST(CAST(enum_text AS BIGINT) AS VARCHAR) FROM e""")
 def strict_errors(spark, folder):
     return schema.strict_errors(trees(spark, folder))
 
@@ -113,8 +115,7 @@ def repaired_schemas(spark, folder):
 # --- signatures ---------------------------------------------------------------------------
 
 SIGNATURE = fixed.SIGNATURE_PATTERN
-TYPED = r"^([a-zA-Z_]\w*)\s*:\s*([^=]+?)(?:\s*=\s*(.+))?$"
-DEFAULTED = r"^([a-zA-Z_]\w*)\s*=\s*(.+)$"
+TYPED, DEFAULTED = fixed.TYPED_PARAMETER, fixed.DEFAULTED_PARAMETER
 
 
 def _type_sql(t: str, depth: int = 3) -> str:
