@@ -336,6 +336,22 @@ def test_repair(rows):
     assert tree["properties"]["param_1"] == {"minimum": 1, "oneOf": [{"type": "a"}, {"type": "b"}]}
 
 
+def test_info_that_is_no_object_stays(rows):
+    listed = '[{"function":{"name":"n","parameters":{"type":"object","properties":{}}}}]'
+    tools = rows("tool_id bigint, info string", [(1, listed), (2, None), (3, "{}"), (4, '"x"'), (5, '{"type":"function"}')])
+    repaired = tools.select("tool_id", schema.repair_function(F.try_parse_json("info"), F.lit("t")).alias("f"))
+    assert values(repaired.where("f IS NOT NULL"), "tool_id") == [(5,)]
+
+
+def test_enum_and_item_budgets(rows):
+    enum = '{"enum":[%s]}' % ",".join(f'"{"e" * 60}{i:04d}"' for i in range(260))
+    tree = '{"type":"object","properties":{"a":%s,"b":%s,"c":{"type":"array","items":[{"enum":["x","y"]},{"const":"z"}]}}}' % (enum, enum)
+    trees = rows("tool_id bigint, parameters string", [(1, tree)])
+    assert values(schema.schema_budgets(trees), "max_depth", "enum_count", "largest_enum_text") == [(3, 522, 260 * 64)]
+    errors = values(schema.strict_errors(trees), "error_type", "detail")
+    assert errors.count(("schema_enum_string_budget_exceeded", str(260 * 64))) == 2
+
+
 # --- vectors ---------------------------------------------------------------------------------------
 
 def test_zero_vector_stays_with_score_zero(rows):

@@ -314,9 +314,11 @@ def repair_parameters(texts: pd.Series) -> pd.Series:
 
 
 def repair_function(info: Column, tool_id: Column) -> Column:
-    """Name, description and repaired parameters of a schema, defaults where absent."""
-    return F.struct(
+    """Name, description and repaired parameters of a schema, defaults where absent.
+    Null for info that is absent, empty or no object: it stays as it is."""
+    repaired = F.struct(
         F.coalesce(text_at(info, "$.function.name"), F.concat(F.lit("tool_function_"), tool_id)).alias("name"),
         F.coalesce(text_at(info, "$.function.description"), F.lit(fixed.AUTO_DESCRIPTION)).alias("description"),
         repair_parameters(F.to_json(at(info, "$.function.parameters"))).alias("parameters"),
     )
+    return F.when(F.size(entries(info)) > 0, repaired)

@@ -35,12 +35,12 @@ def tool_blocks(replies: DataFrame, reply: str = "response") -> DataFrame:
     )
 
 
-def tool_schemas(sources: DataFrame, code: str = "code") -> DataFrame:
+def tool_schemas(sources: DataFrame, code: str = "code", keys: tuple[str, ...] = ("tool_id",)) -> DataFrame:
     """Name, summary and parameters (array in order) read from each source text.
     Signature and docstring are parsed once per row and merged from columns."""
     parsed = sources.withColumn("_signature", signature_params(F.col(code))).withColumn("_documented", doc_params(F.col(code)))
     return parsed.select(
-        "tool_id",
+        *keys,
         function_name(F.col(code)).alias("name"),
         summary_line(F.col(code)).alias("description"),
         splits_a_type(F.col(code)).alias("type_was_split"),
@@ -59,7 +59,7 @@ def schema_parameters(schemas: DataFrame) -> DataFrame:
     return schemas.select("tool_id", "name", "description", "type_was_split", F.inline(placed))
 
 
-def schema_json(schemas: DataFrame) -> DataFrame:
+def schema_json(schemas: DataFrame, keys: tuple[str, ...] = ("tool_id",)) -> DataFrame:
     """Function-calling JSON of each schema."""
     def quoted(text):
         return F.regexp_extract(F.to_json(F.struct(text.alias("t"))), r'(?s)^\{"t":(.*)\}$', 1)
@@ -71,7 +71,13 @@ def schema_json(schemas: DataFrame) -> DataFrame:
 
     properties = F.concat(F.lit("{"), F.array_join(F.transform("params", prop), ","), F.lit("}"))
     required = F.transform(F.filter("params", lambda p: p["required"]), lambda p: p["name"])
-    return schemas.select("tool_id", "name", properties.alias("properties"), F.to_json(required).alias("required"))
+    return schemas.select(*keys, "name", properties.alias("properties"), F.to_json(required).alias("required"))
+
+
+def block_schemas(replies: DataFrame, reply: str = "response") -> DataFrame:
+    """The function schema of each tool block of a reply, read from the block's code."""
+    keys = ("question_id", "index", "tag")
+    return schema_json(tool_schemas(tool_blocks(replies, reply), keys=keys), (*keys, "description"))
 
 
 def syntax_errors(tools: DataFrame, code: str = "code") -> DataFrame:

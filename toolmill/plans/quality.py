@@ -92,21 +92,23 @@ def strict_errors(spark, folder):
     return schema.strict_errors(trees(spark, folder))
 
 
-@query("q3_repaired_schemas", """SELECT tool_id, CASE WHEN tool_id % 12 BETWEEN 6 AND 9 THEN 'tool_function_' || tool_id ELSE name END AS name,
-    CASE WHEN tool_id % 12 BETWEEN 6 AND 9 THEN 'Auto-generated tool function' ELSE description_text END AS description, CASE WHEN tool_id % 12 = 2 THEN 'array' ELSE 'object' END AS type,
+@query("q3_repaired_schemas", """SELECT tool_id, CASE WHEN tool_id % 12 IN (8, 9) THEN NULL WHEN tool_id % 12 IN (6, 7) THEN 'tool_function_' || tool_id ELSE name END AS name,
+    CASE WHEN tool_id % 12 IN (8, 9) THEN NULL WHEN tool_id % 12 IN (6, 7) THEN 'Auto-generated tool function' ELSE description_text END AS description,
+    CASE WHEN tool_id % 12 IN (8, 9) THEN NULL WHEN tool_id % 12 = 2 THEN 'array' ELSE 'object' END AS type, CASE WHEN tool_id % 12 IN (8, 9) THEN info END AS kept_info,
     CASE tool_id % 12 WHEN 0 THEN 'param_1,param_2' WHEN 2 THEN 'x' || p_size WHEN 4 THEN 'a' || p_size || ',b,c' WHEN 5 THEN 'cfg,plain' WHEN 7 THEN 'x,y' WHEN 10 THEN 'x,y' WHEN 11 THEN 'x,y' ELSE '' END AS props,
     CASE tool_id % 12 WHEN 0 THEN 'param_1,param_2' WHEN 5 THEN 'cfg' WHEN 7 THEN 'x' WHEN 10 THEN 'x' WHEN 11 THEN 'x' ELSE '' END AS required,
     CAST(tool_id % 12 IN (0, 4) AS BIGINT) AS one_of, CAST(tool_id % 12 = 2 AS BIGINT) AS with_items, CAST(tool_id % 12 = 4 AS BIGINT) AS zero_minimum
     FROM r_tools JOIN part ON p_partkey = tool_id""")
 def repaired_schemas(spark, folder):
-    fixed_tools = roles.parsed_tools(spark, folder).select("tool_id", schema.repair_function(F.col("info"), F.col("tool_id").cast("string")).alias("f"))
+    fixed_tools = roles.tools(spark, folder).select("tool_id", "info", schema.repair_function(F.try_parse_json("info"), F.col("tool_id").cast("string")).alias("f"))
     v = F.col("v")
-    parsed = fixed_tools.select("tool_id", "f.name", "f.description", F.try_parse_json("f.parameters").alias("v"))
+    kept = F.when(F.col("f").isNull(), F.col("info")).alias("kept_info")
+    parsed = fixed_tools.select("tool_id", kept, "f.name", "f.description", F.try_parse_json("f.parameters").alias("v"))
     names = F.array_sort(F.transform(schema.property_entries(v), lambda e: e["key"]))
     required = F.array_sort(F.transform(schema.items(schema.at(v, "$.required")), lambda x: F.try_variant_get(x, "$", "string")))
     count = lambda test: F.size(F.filter(schema.property_entries(v), lambda e: test(e["value"]))).cast("bigint")
     return parsed.select(
-        "tool_id", "name", "description", schema.text_at(v, "$.type").alias("type"), F.array_join(names, ",").alias("props"), F.array_join(required, ",").alias("required"),
+        "tool_id", "kept_info", "name", "description", schema.text_at(v, "$.type").alias("type"), F.array_join(names, ",").alias("props"), F.array_join(required, ",").alias("required"),
         count(lambda p: schema.at(p, "$.oneOf").isNotNull()).alias("one_of"), count(lambda p: schema.at(p, "$.items").isNotNull()).alias("with_items"),
         count(lambda p: F.try_variant_get(p, "$.minimum", "int") == 0).alias("zero_minimum"),
     )
@@ -156,9 +158,12 @@ def signature_parameters(spark, folder):
     return extraction.schema_parameters(extraction.tool_schemas(roles.tools(spark, folder)))
 
 
-@query("q4_function_schemas", f"""SELECT tool_id, name, '{{' || string_agg('"' || param || '":' || CASE WHEN param_description = '' THEN json_type
+FUNCTION_SQL = """SELECT tool_id, name{0}, '{{' || string_agg('"' || param || '":' || CASE WHEN param_description = '' THEN json_type
     ELSE left(json_type, length(json_type) - 1) || ',"description":' || CAST(to_json(param_description) AS VARCHAR) || '}}' END, ',' ORDER BY position) || '}}' AS properties,
-    '[' || coalesce(string_agg('"' || param || '"', ',' ORDER BY position) FILTER (required), '') || ']' AS required FROM ({PARAMS_SQL}) GROUP BY tool_id, name""")
+    '[' || coalesce(string_agg('"' || param || '"', ',' ORDER BY position) FILTER (required), '') || ']' AS required FROM ({1}) GROUP BY tool_id, name{2}"""
+
+
+@query("q4_function_schemas", FUNCTION_SQL.format("", PARAMS_SQL, ""))
 def function_schemas(spark, folder):
     return extraction.schema_json(extraction.tool_schemas(roles.tools(spark, folder)))
 
@@ -174,11 +179,26 @@ def f', CAST(doc_id AS STRING), '():
 ``` rest</code></tool1> <tool2>no tag <code>x</code></tool2><tool3><tag>third</tag><code> raw </tool4> ', text, '</code></tool3> <tool5><tag>cut')"""
 
 
-@query("q6_tool_blocks", f"""SELECT doc_id AS question_id, CAST(0 AS BIGINT) AS "index", '1' AS tool_number, 'first' AS tag, 'def f' || doc_id || '():' || chr(10) || '    pass' AS code FROM documents
-    UNION ALL SELECT doc_id, 2, '3', 'third', trim('raw </tool4> ' || text, {B}) FROM documents""")
+BLOCKS_SQL = f"""SELECT doc_id AS question_id, CAST(0 AS BIGINT) AS "index", '1' AS tool_number, 'first' AS tag, 'def f' || doc_id || '():' || chr(10) || '    pass' AS code FROM documents
+    UNION ALL SELECT doc_id, 2, '3', 'third', trim('raw </tool4> ' || text, {B}) FROM documents"""
+
+
+def block_replies(spark, folder):
+    return roles.documents(spark, folder).select(F.col("doc_id").alias("question_id"), F.expr(BLOCK_REPLY).alias("response"))
+
+
+@query("q6_tool_blocks", BLOCKS_SQL)
 def tool_blocks(spark, folder):
-    replies = roles.documents(spark, folder).select(F.col("doc_id").alias("question_id"), F.expr(BLOCK_REPLY).alias("response"))
-    return extraction.tool_blocks(replies)
+    return extraction.tool_blocks(block_replies(spark, folder))
+
+
+BLOCK_PARAMS_SQL = PARAMS_SQL.replace("FROM r_tools)", f"""FROM (SELECT question_id || ':' || "index" AS tool_id, code FROM ({BLOCKS_SQL})))""")
+
+
+@query("q6_block_schemas", f"""SELECT CAST(split_part(tool_id, ':', 1) AS BIGINT) AS question_id, CAST(split_part(tool_id, ':', 2) AS BIGINT) AS "index", CASE split_part(tool_id, ':', 2) WHEN '0' THEN 'first' ELSE 'third' END AS tag,
+    name, description, properties, required FROM ({FUNCTION_SQL.format(', description', BLOCK_PARAMS_SQL, ', description')})""")
+def block_schemas(spark, folder):
+    return extraction.block_schemas(block_replies(spark, folder))
 
 
 BLUEPRINT = """concat('intro <SIB> ', text, '
