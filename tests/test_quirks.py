@@ -343,6 +343,14 @@ def test_info_that_is_no_object_stays(rows):
     assert values(repaired.where("f IS NOT NULL"), "tool_id") == [(5,)]
 
 
+def test_list_lines(rows):
+    tools = rows("tool_id bigint, info string, tag string, name string", [(1, '{"function":{"name":"f","description":"d"}}', None, "n"), (2, '{"function":{}}', "t", None), (3, "{}", "t", None), (4, None, None, None)])
+    lines = tools.select("tool_id", catalog.list_line(F.try_parse_json("info"), F.col("tag")).alias("line"))
+    assert values(lines, "tool_id", "line") == [(1, "- f: d"), (2, "- unknown: No description"), (3, "- unknown_tool: t"), (4, "- unknown_tool: No tag")]
+    entries = tools.select("tool_id", catalog.function_entry(F.col("tool_id"), F.col("name"), F.lit(None).cast("string")).alias("e"))
+    assert values(entries.where("tool_id < 3"), "e") == [("# Function 2: n\n# Description: Function: n\n",), ("# Function 3: tool_3\n# Description: Function: tool_3\n",)]
+
+
 def test_enum_and_item_budgets(rows):
     enum = '{"enum":[%s]}' % ",".join(f'"{"e" * 60}{i:04d}"' for i in range(260))
     tree = '{"type":"object","properties":{"a":%s,"b":%s,"c":{"type":"array","items":[{"enum":["x","y"]},{"const":"z"}]}}}' % (enum, enum)

@@ -29,6 +29,11 @@ UNKNOWN_NAME = "Unknown"
 NO_TAG = "No tag provided"
 BAD_DESCRIPTION = "Error processing tool description"
 NO_DESCRIPTION = "No description available"
+LIST_NAME = "unknown"
+LIST_DESCRIPTION = "No description"
+LIST_WITHOUT_INFO = "unknown_tool"
+LIST_NO_TAG = "No tag"
+EMPTY_CLUSTER = "No tools found in this cluster."
 NOT_ASSIGNED = "Tool was not assigned by the API."
 GENERATED_NAME = "generated_function"
 GENERATED_SUMMARY = "Generated function from comment"

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from toolmill.functions import fixed
 from toolmill.functions.code import definition_count
-from toolmill.functions.schema import is_array, is_object, items
-from toolmill.operators.ordering import first_rows, last_rows
+from toolmill.functions.schema import entries, is_array, is_object, items
+from toolmill.operators.ordering import first_rows, last_rows, ordered_text
 
 
 def json_string(v: Column, path: str) -> Column:
@@ -87,6 +87,29 @@ def embedding_text(tool_id: Column, fmt: Column, info: Column) -> Column:
     )
 
 
+def list_line(info: Column, tag: Column) -> Column:
+    """``- name: description`` of a schema VARIANT; the tag where there is no schema."""
+    name = F.coalesce(json_string(info, "$.function.name"), F.lit(fixed.LIST_NAME))
+    description = F.coalesce(json_string(info, "$.function.description"), F.lit(fixed.LIST_DESCRIPTION))
+    tagged = F.concat(F.lit(f"- {fixed.LIST_WITHOUT_INFO}: "), F.coalesce(tag, F.lit(fixed.LIST_NO_TAG)))
+    return F.when(F.size(entries(info)) > 0, F.concat(F.lit("- "), name, F.lit(": "), description)).otherwise(tagged)
+
+
+def function_entry(position: Column, name: Column, description: Column) -> Column:
+    """Heading and description of the tool at a zero-based place of a listing."""
+    number = (position + 1).cast("string")
+    named = F.coalesce(name, F.concat(F.lit("tool_"), number))
+    described = F.coalesce(description, F.concat(F.lit("Function: "), named))
+    return F.concat(F.lit("# Function "), number, F.lit(": "), named, F.lit("\n# Description: "), described, F.lit("\n"))
+
+
+def function_listing(clusters: DataFrame, tools: DataFrame, keys: list[str], position: str) -> DataFrame:
+    """``clusters`` with the ``text`` that lists their tools (keys, position, name,
+    description) in order. A row of ``clusters`` has to be a bounded group: a chunk or batch."""
+    texts = ordered_text(tools, keys, position, function_entry(F.col(position), F.col("name"), F.col("description")))
+    return clusters.join(texts, keys, "left").withColumn("text", F.coalesce("text", F.lit(fixed.EMPTY_CLUSTER)))
+
+
 def library_rows(tools: DataFrame) -> DataFrame:
     """Rows a library keeps: the named function is defined exactly once; the
     future import is taken out of the code."""

@@ -185,11 +185,28 @@ def tool_lists(spark, folder):
 @query("p19_numbered_functions", """SELECT cluster_name, string_agg('# Function ' || i || ': tool_' || tool_id || chr(10) || '# Description: order ' || pos || chr(10), chr(10) ORDER BY i) AS text
     FROM (SELECT *, row_number() OVER (PARTITION BY cluster_name ORDER BY pos) AS i FROM r_chunks) GROUP BY cluster_name""")
 def numbered_functions(spark, folder):
-    line = F.concat(
-        F.lit("# Function "), (F.col("chunk_pos") + 1).cast("string"), F.lit(": tool_"), F.col("tool_id").cast("string"),
-        F.lit("\n# Description: order "), F.col("pos").cast("string"), F.lit("\n"),
+    members = chunked_members(spark, folder)
+    line = catalog.function_entry(F.col("chunk_pos"), F.concat(F.lit("tool_"), F.col("tool_id").cast("string")), F.concat(F.lit("order "), F.col("pos").cast("string")))
+    return ordering.ordered_text(members, ["cluster_name"], "chunk_pos", line)
+
+
+@query("p18_schema_lists", """SELECT tool_id // 20 AS batch_id, string_agg(CASE WHEN json_type(info) = 'OBJECT' THEN '- ' || coalesce(json_extract_string(info, '$.function.name'), 'unknown') || ': '
+    || coalesce(json_extract_string(info, '$.function.description'), 'No description') ELSE '- unknown_tool: ' || tag END, chr(10) ORDER BY tool_id) AS text FROM r_tools GROUP BY 1""")
+def schema_lists(spark, folder):
+    batches = ordering.fixed_batches(roles.parsed_tools(spark, folder), "pos", fixed.REQUEST_BATCH)
+    return ordering.ordered_text(batches, ["batch_id"], "batch_index", catalog.list_line(F.col("info"), F.col("tag")))
+
+
+@query("p19_batch_listings", """WITH t AS (SELECT tool_id // 20 AS batch_id, tool_id % 20 + 1 AS i, json_extract_string(info, '$.function.name') AS n, json_extract_string(info, '$.function.description') AS d FROM r_tools),
+    l AS (SELECT batch_id, string_agg('# Function ' || i || ': ' || coalesce(n, 'tool_' || i) || chr(10) || '# Description: ' || coalesce(d, 'Function: ' || coalesce(n, 'tool_' || i)) || chr(10), chr(10) ORDER BY i) AS text FROM t GROUP BY 1)
+    SELECT batch_id, coalesce(text, 'No tools found in this cluster.') AS text FROM (SELECT 2 * s_suppkey AS batch_id FROM supplier) LEFT JOIN l USING (batch_id)""")
+def batch_listings(spark, folder):
+    """Every second batch; those beyond the last tool are empty."""
+    wanted = table(spark, folder, "supplier").select((2 * F.col("s_suppkey")).alias("batch_id"))
+    named = roles.parsed_tools(spark, folder).select(
+        "pos", catalog.json_string(F.col("info"), "$.function.name").alias("name"), catalog.json_string(F.col("info"), "$.function.description").alias("description"),
     )
-    return ordering.ordered_text(chunked_members(spark, folder), ["cluster_name"], "chunk_pos", line)
+    return catalog.function_listing(wanted, ordering.fixed_batches(named, "pos", fixed.REQUEST_BATCH), ["batch_id"], "batch_index")
 
 
 @query("p20_analysis_transcripts", """SELECT conv_id, turn // 1000 AS page, string_agg(CASE role WHEN 'user' THEN '**User:** ' || content
