@@ -343,6 +343,14 @@ def test_info_that_is_no_object_stays(rows):
     assert values(repaired.where("f IS NOT NULL"), "tool_id") == [(5,)]
 
 
+def test_batches_of_sparse_ids(rows):
+    ids = [(n * n * 10**12,) for n in range(50)] + [(None,)]
+    batches = ordering.request_batches(rows("id bigint", ids[::-1]), "id", 20)
+    found = [(r["id"], r["batch_id"], r["batch_index"]) for r in batches.orderBy("batch_id", "batch_index").collect()]
+    assert found == [(i, n // 20, n % 20) for n, (i,) in enumerate(ids)]
+    assert ordering.request_batches(rows("id bigint", []), "id", 20).count() == 0
+
+
 def test_list_lines(rows):
     tools = rows("tool_id bigint, info string, tag string, name string", [(1, '{"function":{"name":"f","description":"d"}}', None, "n"), (2, '{"function":{}}', "t", None), (3, "{}", "t", None), (4, None, None, None)])
     lines = tools.select("tool_id", catalog.list_line(F.try_parse_json("info"), F.col("tag")).alias("line"))

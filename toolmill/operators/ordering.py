@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from toolmill.session import materialize
+
 SPAN = 1_048_576
 PAGE = 1_000
 LAST_SPAN = (1 << 63) - 1  # of rows without an order
@@ -67,6 +69,25 @@ def fixed_batches(df: DataFrame, position: str, size: int) -> DataFrame:
     return df.withColumn("batch_id", F.floor(F.col(position) / size)).withColumn("batch_index", F.col(position) % size)
 
 
+def place_rows(df: DataFrame, order: str, out: str = "pos0") -> DataFrame:
+    """Zero-based position of each row in the whole table, whatever gaps the unique
+    ``order`` has; rows without an order come last. One range shuffle cuts the rows into
+    parts of about equal number, which are stored so that the input is read once; a
+    part's offset comes from the counts of the parts before it."""
+    by_order = F.col(order).asc_nulls_last()
+    parts = materialize(df.repartitionByRange(by_order).withColumn("_part", F.spark_partition_id()), "placed-rows")
+    counts = parts.groupBy("_part").agg(F.count("*").alias("_rows"))
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # a row per part
+    offsets = counts.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
+    place = F.col("_offset") + F.row_number().over(W.partitionBy("_part").orderBy(by_order)) - 1
+    return parts.join(offsets, "_part").withColumn(out, place).drop("_part", "_offset")
+
+
+def request_batches(df: DataFrame, order: str, size: int) -> DataFrame:
+    """Consecutive batches of ``size`` rows in order, the last one perhaps smaller."""
+    return fixed_batches(place_rows(df, order, "_place"), "_place", size).drop("_place")
+
+
 def ordered_text(df: DataFrame, keys: list[str], position: str, line: Column, out: str = "text", separator: str = "\n") -> DataFrame:
     """Lines of a group joined in order. ``keys`` must name bounded groups: a
     chunk, a batch, or a page of a position."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from toolmill.functions import fixed
 from toolmill.operators import blocks, cluster, metrics, ordering, retrieve, usage
 from toolmill.plans import roles
 from toolmill.plans.aggregates import QUESTIONS_SQL, completed_nodes, questions_with_results, retrieved_names, rounded
@@ -152,10 +153,10 @@ def key_points(spark, folder):
 
 def request_batches(spark, folder):
     orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey")
-    return ordering.fixed_batches(orders, "o_orderkey", 20)
+    return ordering.request_batches(orders, "o_orderkey", fixed.REQUEST_BATCH)
 
 
-@query("j16_applied_assignments", """WITH b AS (SELECT o_orderkey, o_custkey, o_orderkey // 20 AS batch_id, o_orderkey % 20 AS batch_index FROM orders),
+@query("j16_applied_assignments", """WITH b AS (SELECT o_orderkey, o_custkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 20 AS batch_id, (row_number() OVER (ORDER BY o_orderkey) - 1) % 20 AS batch_index FROM orders),
     r AS (SELECT batch_id, (batch_index * batch_index) % 22 AS target, arg_max('n' || (o_custkey % 25), batch_index) AS cluster_id, arg_max('because ' || o_orderkey, batch_index) AS reasoning FROM b GROUP BY ALL)
     SELECT b.batch_id, b.batch_index, b.o_orderkey, b.o_custkey, r.cluster_id, coalesce(r.reasoning, 'Tool was not assigned by the API.') AS reasoning
     FROM b LEFT JOIN r ON r.batch_id = b.batch_id AND r.target = b.batch_index""")

@@ -136,11 +136,11 @@ def decayed_statistics(spark, folder):
     return usage.decayed(needs_modification(spark, folder))
 
 
-@query("p13_request_table", f"""SELECT tool_id // 20 AS batch_id, string_agg('Tool ' || (tool_id % 20) || ': ' || CAST(json_object('name', coalesce(fn, 'Unknown'), 'tags', tag, 'description', coalesce(fd, 'Error processing tool description')) AS VARCHAR), chr(10) ORDER BY tool_id) AS tools
-    FROM ({NAMED}) GROUP BY 1""")
+@query("p13_request_table", f"""SELECT place // 20 AS batch_id, string_agg('Tool ' || (place % 20) || ': ' || CAST(json_object('name', coalesce(fn, 'Unknown'), 'tags', tag, 'description', coalesce(fd, 'Error processing tool description')) AS VARCHAR), chr(10) ORDER BY tool_id) AS tools
+    FROM (SELECT *, row_number() OVER (ORDER BY pos) - 1 AS place FROM ({NAMED})) GROUP BY 1""")
 def request_table(spark, folder):
     tools = roles.parsed_tools(spark, folder).select("pos", catalog.summary_json(F.col("info"), F.col("tag")).alias("summary"))
-    batches = ordering.fixed_batches(tools, "pos", fixed.REQUEST_BATCH)
+    batches = ordering.request_batches(tools, "pos", fixed.REQUEST_BATCH)
     line = F.concat(F.lit("Tool "), F.col("batch_index").cast("string"), F.lit(": "), F.col("summary"))
     return ordering.ordered_text(batches, ["batch_id"], "batch_index", line, "tools")
 

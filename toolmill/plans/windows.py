@@ -62,9 +62,9 @@ def first_clusters_and_tools(spark, folder):
     return ordering.top_per_group(kept, ["cluster_name"], [F.col("o_orderkey")], 10, "n").select("cluster_name", (F.col("n") - 1).alias("pos"), "o_orderkey")
 
 
-@query("w7_request_batches", "SELECT o_orderkey, o_orderkey // 20 AS batch_id, o_orderkey % 20 AS batch_index FROM orders")
+@query("w7_request_batches", "SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 20 AS batch_id, (row_number() OVER (ORDER BY o_orderkey) - 1) % 20 AS batch_index FROM orders")
 def request_batches(spark, folder):
-    return ordering.fixed_batches(table(spark, folder, "orders").select("o_orderkey"), "o_orderkey", fixed.REQUEST_BATCH)
+    return ordering.request_batches(table(spark, folder, "orders").select("o_orderkey"), "o_orderkey", fixed.REQUEST_BATCH)
 
 
 @query("w7_embedding_batches", """SELECT label, vec_id, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) // 500 AS batch_id,
