@@ -220,6 +220,20 @@ def test_toxicity_held_out(spark):
     assert all(held(r["doc_id"], 5) == 0 for r in rows) and sum(r["predicted"] == toxic[r["doc_id"]] for r in rows) >= 0.95 * len(rows)
 
 
+def test_toxicity_misspelt_words_of_a_chosen_stem(spark):
+    """Singular and plural in toxic texts: their stem ranks first, both words keep their edits."""
+    rng = random.Random(9)
+    noise = lambda: " ".join("".join(rng.choice("bcdfgklmnpr") for _ in range(9)) for _ in range(30))
+    insults = ["idiot"] * 60 + ["idiots"] * 5
+    docs = [(i, f"{noise()} {insults[i]} {noise()}") for i in range(65)] + [(i, noise()) for i in range(65, 265)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 65)) for i, _ in docs], "doc_id long, toxic int")
+    terms, _ = toxicity.learn(frame, labels, 5, -2)
+    assert any(stem and "idiots".startswith(term) for term, stem, _ in terms) and {"idiot", "idiots"} <= {term for term, stem, _ in terms if not stem}
+    lexicon = toxicity.Lexicon(terms)
+    assert all(lexicon.match(word)[1] == 1 for word in ("idi0t", "ibiot", "ibiots")) and lexicon.match("idiotic")[1] == 0
+
+
 def test_near_duplicates(spark, texts, edge, none):
     got = {r["doc_id"]: tuple(r) for r in QUERIES["op9_near_dedup"](spark, SMALL).collect()}
     assert got == {x[0]: x for x in near.brute_force(list(texts.items()))}

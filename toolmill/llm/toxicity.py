@@ -68,7 +68,7 @@ def edits_for(length: int) -> int:
 
 class Lexicon:
     """Terms with weights, and the automaton over their trie. A stem matches, without
-    edits, every word that begins with it."""
+    edits, every word that begins with it; words with edits are terms of their own."""
 
     def __init__(self, terms: list[tuple[str, bool, float]]):
         self.terms = terms
@@ -214,8 +214,9 @@ def without_copies(sample: DataFrame) -> DataFrame:
     return found.select("text", "toxic")
 
 
-def candidates(sample: DataFrame, n_toxic: int, n_clean: int, limit: int = CANDIDATES) -> list[tuple[str, bool, int, int, float]]:
-    """Words and stems with the documents of each class that have them, best first."""
+def candidates(sample: DataFrame, n_toxic: int, n_clean: int, limit: int = CANDIDATES) -> tuple[list[tuple[str, bool, int, int, float]], list[tuple[str, float]]]:
+    """Words and stems with the documents of each class that have them, best first; and the
+    words too rare for that, with their odds, that begin with one of these stems."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of: tuple[Counter, Counter] = (Counter(), Counter())
@@ -233,28 +234,35 @@ def candidates(sample: DataFrame, n_toxic: int, n_clean: int, limit: int = CANDI
     odds = F.log((F.col("toxic") + 0.5) / F.lit(n_toxic + 1.0)) - F.log((F.col("clean") + 0.5) / F.lit(n_clean + 1.0))
     share, n = n_toxic / (n_toxic + n_clean), F.col("toxic") + F.col("clean")
     gain = F.col("toxic") * F.log(F.col("toxic") / (n * share)) + F.when(F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / (n * (1 - share)))).otherwise(0.0)
-    good = sums.where((F.col("toxic") > 0) & (F.col("toxic") >= LEAST_PRECISION * n)).where(gain >= LEAST_GAIN).withColumn("odds", odds)
+    precise = materialize(sums.where((F.col("toxic") > 0) & (F.col("toxic") >= LEAST_PRECISION * n)).withColumn("odds", odds).withColumn("gain", gain), "toxic-terms")
+    good = precise.where(F.col("gain") >= LEAST_GAIN)
     rows = good.orderBy((F.col("toxic") * F.col("odds")).desc(), F.length(F.rtrim("term", F.lit("*"))).desc(), F.col("term").desc()).limit(limit).collect()
-    return [(r["term"].rstrip("*"), r["term"].endswith("*"), r["toxic"], r["clean"], r["odds"]) for r in rows]
-
-
-def choose(ranked: list[tuple[str, bool, int, int, float]], size: int = LEXICON) -> list[tuple[str, bool, float]]:
-    """The best terms; none that a chosen stem covers, and no stem that stands for little
-    more than a chosen term."""
+    words = precise.where((F.col("gain") < LEAST_GAIN) & ~F.col("term").endswith("*"))
+    starts = F.transform(F.sequence(F.lit(SHORTEST), F.lit(LONGEST_STEM)), lambda k: F.concat(F.expr("term").substr(F.lit(1), k), F.lit("*")))
+    begun = words.select(F.col("term").alias("word"), F.col("odds").alias("word_odds"), F.explode(starts).alias("term"))
+    rarer = begun.join(good.select("term"), "term", "left_semi").select("word", "word_odds").distinct().orderBy("word").collect()
+    return [(r["term"].rstrip("*"), r["term"].endswith("*"), r["toxic"], r["clean"], r["odds"]) for r in rows], [tuple(r) for r in rarer]
+
+
+def choose(ranked: list[tuple[str, bool, int, int, float]], rarer: list[tuple[str, float]] = (), size: int = LEXICON) -> list[tuple[str, bool, float]]:
+    """The best terms; every whole word, but no stem that a chosen stem covers or that
+    stands for little more than a chosen term. A word takes its own edits beside the stem
+    that covers it, so its misspelt forms are found too; it doesn't count for ``size``.
+    Of the ``rarer`` words those follow that a chosen stem stands for."""
     stems: set[str] = set()
     prefixes: dict[str, int] = {}
-    out = []
+    out, counted = [], 0
     for term, stem, toxic, _, odds in ranked:
-        if any(term[:k] in stems for k in range(SHORTEST, len(term) + 1)) or stem and prefixes.get(term, -1) * 1.1 >= toxic:
+        covered = any(term[:k] in stems for k in range(SHORTEST, len(term) + 1))
+        if stem and (covered or prefixes.get(term, -1) * 1.1 >= toxic) or not covered and counted == size:
             continue
         out.append((term, stem, float(odds)))
+        counted += not covered
         if stem:
             stems.add(term)
         for k in range(SHORTEST, len(term) + 1):
             prefixes[term[:k]] = max(prefixes.get(term[:k], 0), toxic)
-        if len(out) == size:
-            break
-    return out
+    return out + [(word, False, float(odds)) for word, odds in rarer if any(word[:k] in stems for k in range(SHORTEST, len(word) + 1))]
 
 
 def features(direct: float, quoted: float) -> list[float]:
@@ -277,7 +285,7 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int, held: int, rows: int =
     n, n_toxic = (x or 0 for x in sample.agg(F.count("*"), F.sum("toxic")).first())
     if not n_toxic or n == n_toxic:
         return [], np.array([60.0 if n_toxic else -60.0, 0.0, 0.0])
-    terms = choose(candidates(sample, n_toxic, n - n_toxic))
+    terms = choose(*candidates(sample, n_toxic, n - n_toxic))
 
     def measure(batch: pa.RecordBatch) -> dict:
         matcher = Matcher(terms)
