@@ -234,6 +234,22 @@ def test_toxicity_misspelt_words_of_a_chosen_stem(spark):
     assert all(lexicon.match(word)[1] == 1 for word in ("idi0t", "ibiot", "ibiots")) and lexicon.match("idiotic")[1] == 0
 
 
+def test_toxicity_terms_joined_inside_tokens():
+    matcher = toxicity.Matcher([("idiot", False, 5.0), ("stupid", False, 4.0), ("scum", False, 3.0), ("ass", False, 2.0), ("白痴", False, 6.0), ("stup", True, 4.0)])
+    cases = [("l'idiot", 5), ("idiot/loser", 5), ("stupid-clown", 4), ("trash,scum", 3), ("x idiot/scum", 8), ("dumb-ass", 2), ("滚开！白痴。", 6), ("(idi0t)", 2.5), ("x/idi0t", 2.5), ("stupidly-x", 4), ("fass as", 0)]
+    assert [matcher.evidence(text.encode())[0] for text, _ in cases] == [want for _, want in cases]
+
+
+def test_toxicity_learns_short_terms_and_all_of_them(spark):
+    """More than 300 terms, those of under four letters among them."""
+    letters = "bcdfghklmnprstvwz"
+    terms = [a + b + c for a in letters[:8] for b in "aeiou" for c in letters[:9]]
+    docs = [(i, " ".join(f"{t}/" for t in terms[k * 36 : k * 36 + 36]) + f" q{i}") for i, k in enumerate(k for k in range(10) for _ in range(12))]
+    docs += [(i, f"good day to all q{i}") for i in range(120, 720)]
+    frame = spark.createDataFrame([(i, t, int(i < 120)) for i, t in docs], "doc_id long, text string, toxic int")
+    assert {t for t, _, _ in toxicity.choose(*toxicity.candidates(frame, 120, 600))} >= set(terms) and len(set(terms)) == 360
+
+
 def test_near_duplicates(spark, texts, edge, none):
     got = {r["doc_id"]: tuple(r) for r in QUERIES["op9_near_dedup"](spark, SMALL).collect()}
     assert got == {x[0]: x for x in near.brute_force(list(texts.items()))}

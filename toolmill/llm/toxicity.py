@@ -7,6 +7,10 @@ states that is turned into a deterministic automaton step by step and kept, so a
 distinct word costs a few table steps and misspelt terms are found within the edits that
 their length allows.
 
+Words are runs of letters, in learning and in matching; runs are
+also matched with the few signs between them, for misspellings with signs inside. Words too short for edits are exact.
+The lexicon has every term that passes the tests of gain and precision.
+
 Every exact match counts the term's weight; of misspelt ones, which chance makes in long
 texts, the strongest counts, less per edit. Weights are changed by the window of words:
 quotation marks around it or reporting words make it a quotation, words of address make
@@ -35,11 +39,9 @@ from toolmill.llm.common import fold, kept_with, map_texts, slices, text_of
 from toolmill.session import materialize
 
 SAMPLE_LABELS = 20_000
-LEXICON = 300
-SHORTEST, LONGEST_STEM = 4, 8
+SHORTEST, LONGEST_STEM = 4, 8  # letters of stems
 LEAST_GAIN = 20.0  # log likelihood ratio against chance, natural log; far above the log of the number of terms tried
 LEAST_PRECISION = 0.9  # share of toxic documents among those with the term
-CANDIDATES = 20_000
 COPY_TESTS = 4
 EDIT_LENGTHS = (5, 9)  # one edit from the first length on, two from the second
 EDIT_DISCOUNT = 0.5
@@ -54,7 +56,7 @@ REPORTS = frozenset("said says wrote called term word quote quoted sagte schrieb
 ADDRESS = frozenset("you your yourself du dich dein euch ihr tu te toi ton vous tú ti usted vosotros".split())
 
 _EDGES = regex.compile(r"^[^\p{L}]+|[^\p{L}]+$")
-_WORDS = regex.compile(r"\p{L}{4,}")
+_WORDS = regex.compile(r"\p{L}+")
 
 
 def plain(word: bytes) -> str:
@@ -150,7 +152,25 @@ class Matcher:
     def __init__(self, terms: list[tuple[str, bool, float]]):
         self.lexicon = Lexicon(terms)
         self.seen: set[bytes] = set()
-        self.hits: dict[bytes, tuple[float, bool]] = {}
+        self.hits: dict[bytes, tuple[float, float]] = {}
+
+    def weights(self, token: bytes) -> tuple[float, float]:
+        """Sum of a token's exact matches and its strongest misspelt one: of its letter runs, as
+        the lexicon is learned, and of runs with the signs between them, at most as many as edits."""
+        whole = plain(token)
+        runs = [m.span() for m in _WORDS.finditer(whole)]
+        found = [self.lexicon.match(whole[a:b]) for a, b in runs]
+        exact = [bool(x) and not x[1] for x in found]
+        most = self.lexicon.reach[0]
+        for i in range(len(runs)):
+            signs = 0
+            for j in range(i + 1, len(runs)):
+                signs += runs[j][0] - runs[j - 1][1]
+                if signs > most or exact[i] or exact[j]:
+                    break
+                found.append(self.lexicon.match(whole[runs[i][0] : runs[j][1]]))
+        weight = [(self.lexicon.terms[x[0]][2] * EDIT_DISCOUNT ** x[1], x[1]) for x in found if x]
+        return sum(w for w, edits in weight if not edits), max((w for w, edits in weight if edits), default=0.0)
 
     def evidence(self, raw: bytes | None) -> tuple[float, float]:
         tokens = (raw or b"").lower().split()
@@ -160,21 +180,19 @@ class Matcher:
             self.hits.clear()
             new = set(tokens)
         for token in new:
-            found = self.lexicon.match(plain(token))
-            if found:
-                self.hits[token] = (self.lexicon.terms[found[0]][2] * EDIT_DISCOUNT ** found[1], found[1] > 0)
+            found = self.weights(token)
+            if any(found):
+                self.hits[token] = found
         self.seen |= new
         hits = self.hits
         sums, misspelt = [0.0, 0.0], [0.0, 0.0]  # direct, quoted
         for i in [i for i, t in enumerate(tokens) if t in hits]:
-            weight, inexact = hits[tokens[i]]
+            exact, inexact = hits[tokens[i]]
             quotation, address = self.context(tokens, i)
             shares = (QUOTED, 1.0) if quotation else (ADDRESSED if address else 1.0, 0.0)
             for k in (0, 1):
-                if inexact:
-                    misspelt[k] = max(misspelt[k], weight * shares[k])
-                else:
-                    sums[k] += weight * shares[k]
+                sums[k] += exact * shares[k]
+                misspelt[k] = max(misspelt[k], inexact * shares[k])
         return sums[0] + misspelt[0], sums[1] + misspelt[1]
 
     @staticmethod
@@ -214,7 +232,7 @@ def without_copies(sample: DataFrame) -> DataFrame:
     return found.select("text", "toxic")
 
 
-def candidates(sample: DataFrame, n_toxic: int, n_clean: int, limit: int = CANDIDATES) -> tuple[list[tuple[str, bool, int, int, float]], list[tuple[str, float]]]:
+def candidates(sample: DataFrame, n_toxic: int, n_clean: int) -> tuple[list[tuple[str, bool, int, int, float]], list[tuple[str, float]]]:
     """Words and stems with the documents of each class that have them, best first; and the
     words too rare for that, with their odds, that begin with one of these stems."""
 
@@ -236,7 +254,7 @@ def candidates(sample: DataFrame, n_toxic: int, n_clean: int, limit: int = CANDI
     gain = F.col("toxic") * F.log(F.col("toxic") / (n * share)) + F.when(F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / (n * (1 - share)))).otherwise(0.0)
     precise = materialize(sums.where((F.col("toxic") > 0) & (F.col("toxic") >= LEAST_PRECISION * n)).withColumn("odds", odds).withColumn("gain", gain), "toxic-terms")
     good = precise.where(F.col("gain") >= LEAST_GAIN)
-    rows = good.orderBy((F.col("toxic") * F.col("odds")).desc(), F.length(F.rtrim("term", F.lit("*"))).desc(), F.col("term").desc()).limit(limit).collect()
+    rows = good.orderBy((F.col("toxic") * F.col("odds")).desc(), F.length(F.rtrim("term", F.lit("*"))).desc(), F.col("term").desc()).collect()
     words = precise.where((F.col("gain") < LEAST_GAIN) & ~F.col("term").endswith("*"))
     starts = F.transform(F.sequence(F.lit(SHORTEST), F.lit(LONGEST_STEM)), lambda k: F.concat(F.expr("term").substr(F.lit(1), k), F.lit("*")))
     begun = words.select(F.col("term").alias("word"), F.col("odds").alias("word_odds"), F.explode(starts).alias("term"))
@@ -244,20 +262,18 @@ def candidates(sample: DataFrame, n_toxic: int, n_clean: int, limit: int = CANDI
     return [(r["term"].rstrip("*"), r["term"].endswith("*"), r["toxic"], r["clean"], r["odds"]) for r in rows], [tuple(r) for r in rarer]
 
 
-def choose(ranked: list[tuple[str, bool, int, int, float]], rarer: list[tuple[str, float]] = (), size: int = LEXICON) -> list[tuple[str, bool, float]]:
-    """The best terms; every whole word, but no stem that a chosen stem covers or that
-    stands for little more than a chosen term. A word takes its own edits beside the stem
-    that covers it, so its misspelt forms are found too; it doesn't count for ``size``.
-    Of the ``rarer`` words those follow that a chosen stem stands for."""
+def choose(ranked: list[tuple[str, bool, int, int, float]], rarer: list[tuple[str, float]] = ()) -> list[tuple[str, bool, float]]:
+    """Every whole word, and every stem that no chosen stem covers and that stands for more
+    than little beside a chosen term. A word takes its own edits beside the stem that covers
+    it, so its misspelt forms are found too. Of the ``rarer`` words those follow that a
+    chosen stem stands for."""
     stems: set[str] = set()
     prefixes: dict[str, int] = {}
-    out, counted = [], 0
+    out = []
     for term, stem, toxic, _, odds in ranked:
-        covered = any(term[:k] in stems for k in range(SHORTEST, len(term) + 1))
-        if stem and (covered or prefixes.get(term, -1) * 1.1 >= toxic) or not covered and counted == size:
+        if stem and (any(term[:k] in stems for k in range(SHORTEST, len(term) + 1)) or prefixes.get(term, -1) * 1.1 >= toxic):
             continue
         out.append((term, stem, float(odds)))
-        counted += not covered
         if stem:
             stems.add(term)
         for k in range(SHORTEST, len(term) + 1):
