@@ -365,6 +365,26 @@ def test_surrogates(spark, edge, none):
     assert surrogates.replace(edge, "secret").columns == [*edge.columns, "n_entities"] and surrogates.replace(none, "secret").count() == 0
 
 
+def test_surrogates_of_untitled_mentions(spark):
+    """By surname or given name only, with an ending, before the title, in capitals, in other scripts; not inside other words or in lower case."""
+    cases = [
+        ("Mr. John Smith came. Smith left, John stayed.", ["john", "smith", "smith", "john"]),
+        ("Smith's car: Mr Smith's, SMITH, O'Brien-Smith, Smithson, smith, Smith2 (Smith)", ["smith"] * 5),
+        ("Frau O’Hara-Lee und Lee; O'Hara-Lee, O'Hara", ["o'hara-lee", "o'hara-lee"]),
+        ("Mr. Kim Lee, Ms. Lee Kim. Kim", ["kim", "lee", "lee", "kim", "kim"]),
+        ("Господин Иванов ушёл. Иванов, мистер", ["иванов", "иванов"]),
+        ("Mr. Smith: smith@x.org, Smith@x.org", ["smith", "smith@x.org", "smith@x.org"]),
+        ("Smith and John", []),
+    ]
+    for text, want in cases:
+        assert [e for _, e, _, _ in surrogates.find(text)] == want, text
+    assert [k for k, *_ in surrogates.find(cases[3][0])] == ["name-given-m", "name-family", "name-given-f", "name-family", "name-family"]
+    rows = surrogates.replace(spark.createDataFrame([(1, cases[0][0]), (2, "Smith met John")], "doc_id long, text string"), "k").orderBy("doc_id").collect()
+    given, family, again, last = re.fullmatch(r"Mr\. (\w+) (\w+) came\. (\w+) left, (\w+) stayed\.", rows[0]["text"]).groups()
+    assert (given, family) == (last, again) and not {given, family} & {"John", "Smith"} and rows[0]["n_entities"] == 4
+    assert (rows[1]["text"], rows[1]["n_entities"]) == ("Smith met John", 0)  # no title in this text
+
+
 def test_surrogate_collisions_are_resolved(spark, monkeypatch):
     """Entities of a narrow format: 200 of the 254 to the fourth addresses are forced onto few draws."""
     real = surrogates.draw

@@ -5,8 +5,10 @@ after a title are found by pattern and check digit. Each distinct entity gets a
 replacement drawn from a keyed stream (HMAC-SHA256 of key, kind, entity, attempt) that
 keeps type and format: digits stay digits, letters letters of the same case and script,
 separators stay, card numbers keep their length and check digit, names the gender of
-their title. The parts of a name are entities of their own, so a later mention by
-surname only still fits.
+their title. The parts of a name are entities of their own and their other mentions in
+the same text, capitalised and without a title, are mentions of them too: by surname
+only, by given name only, with an ending such as 's, or before the title. A part that
+names several entities is the last one named before, or else the first one.
 
 Collisions are checked over the corpus: of the entities of one kind that drew the same
 replacement, or one that is itself an entity of the corpus, all but the first by code
@@ -22,6 +24,7 @@ finds go to the kind listed first; repeated rows are treated alike; all columns
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import hmac
 from collections.abc import Iterator
@@ -53,6 +56,9 @@ CONSONANTS = {"latin": "bcdfglmnprstv", "cyrillic": "бвгдклмнпрст",
 
 _FINDERS = {kind: regex.compile(p) for kind, p in PATTERNS.items()}
 _MAYBE = regex.compile(r"[0-9@]|\b(?:" + "|".join(sorted(MALE | set("Mrs Ms Miss Frau Madame Mme Señora Госпожа Κυρία".split()))) + r")\b|(?i:token|secret|passw|key)")
+_PIECES = regex.compile(r"(?<![\p{L}\p{M}\p{N}])\p{L}[\p{L}\p{M}]*(?![\p{L}\p{M}\p{N}])")
+_JOINED = frozenset("'’-")
+_ENDING = regex.compile(r"(?i:['’]s)?['’-]*$")  # not of the name
 MENTION = T.ArrayType(
     T.StructType([T.StructField("kind", T.StringType()), T.StructField("entity", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("finish", T.IntegerType())])
 )
@@ -77,7 +83,35 @@ def canonical(kind: str, text: str) -> str:
         return digits
     if kind == "iban":
         return text.replace(" ", "")
-    return text.lower() if kind in ("email",) or kind.startswith("name") else text
+    if kind.startswith("name"):
+        return text.lower().replace("’", "'")
+    return text.lower() if kind == "email" else text
+
+
+def later(text: str, names: list[tuple[str, str, int, int]], used: bytearray) -> list[tuple[str, str, int, int]]:
+    """Mentions without a title of the parts of names found in a text: whole words, or words joined
+    by hyphens and apostrophes, that begin with a capital and lie outside of what is ``used``."""
+    known: dict[str, list[tuple[int, str]]] = {}
+    for kind, entity, start, _ in sorted(names, key=lambda x: x[2]):
+        known.setdefault(entity, []).append((start, kind))
+    longest = max((len(regex.findall(r"['’-]", entity)) + 1 for entity in known), default=0)
+    pieces = [m.span() for m in _PIECES.finditer(text)] if known else []
+    out, i = [], 0
+    while i < len(pieces):
+        start, j = pieces[i][0], i + 1
+        while j < len(pieces) and j - i < longest and pieces[j][0] - pieces[j - 1][1] == 1 and text[pieces[j][0] - 1] in _JOINED:
+            j += 1
+        while j > i:
+            finish = pieces[j - 1][1]
+            entity = canonical("name", text[start:finish])
+            if entity in known and text[start].isupper() and not any(used[start:finish]):
+                places = known[entity]
+                at = bisect.bisect(places, start, key=lambda x: x[0])
+                out.append((places[max(0, at - 1)][1], entity, start, finish))
+                break
+            j -= 1
+        i = max(j, i + 1)
+    return out
 
 
 def find(text: str) -> list[tuple[str, str, int, int]]:
@@ -85,6 +119,7 @@ def find(text: str) -> list[tuple[str, str, int, int]]:
     if not text or not _MAYBE.search(text):
         return []
     taken: list[tuple[str, str, int, int]] = []
+    names: list[tuple[str, str, int, int]] = []
     used = bytearray(len(text))
     for kind, finder in _FINDERS.items():
         for m in finder.finditer(text):
@@ -100,10 +135,11 @@ def find(text: str) -> list[tuple[str, str, int, int]]:
                 named = parts[1:] if len(parts) > 1 else []
                 for k, part in enumerate(named):
                     what = "name-family" if k == len(named) - 1 else f"name-given-{gender}"
-                    taken.append((what, canonical(what, part.group()), start + part.start(), start + part.end()))
+                    name = _ENDING.sub("", part.group())
+                    names.append((what, canonical(what, name), start + part.start(), start + part.start() + len(name)))
             else:
                 taken.append((kind, canonical(kind, found), start, end))
-    return sorted(taken, key=lambda x: x[2])
+    return sorted(taken + names + later(text, names, used), key=lambda x: x[2])
 
 
 def stream(key: bytes, kind: str, entity: str, attempt: int) -> Iterator[int]:
