@@ -344,6 +344,42 @@ def test_token_rules_at_borders():
     assert np.allclose(tokens.allocate(ends, starts, "share")[0], [1 + 2 / 3, 1 + 1 / 3])
 
 
+def by_offsets(library, text, rule):
+    """Tokens of each line of a text, and those that cross a border, from the library's offsets in characters."""
+    at = np.concatenate([[0], np.cumsum([len(c.encode()) for c in text])]).astype(int)
+    lines = [len(line.encode()) for line in re.findall(r"[^\n]*\n|[^\n]+", text)]
+    owner = np.repeat(np.arange(len(lines)), lines)
+    counts, crossing = np.zeros(len(lines)), 0
+    for a, b in library.encode(text, add_special_tokens=False).offsets:
+        of = owner[at[a] : at[b]]
+        crossing += of[0] != of[-1]
+        for section, share in zip(*np.unique(of, return_counts=True)):
+            counts[section] += share / len(of) if rule == "share" else section == (of[-1] if rule == "end" else of[0])
+    return lines, counts, crossing
+
+
+@pytest.mark.parametrize("rule", tokens.RULES)
+def test_sections_equal_library_offsets(spark, small, texts, rule):
+    """Rows of the query, and of its digest, against the library; texts of ASCII, where offsets in characters cut no token."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(VOCABULARY)
+    found = QUERIES["op7_token_counts"](spark, SMALL) if rule == "start" else tokens.by_section(small, VOCABULARY, rule)
+    rows, digests = collections.defaultdict(list), {r["doc_id"]: r for r in tokens.by_document(small, VOCABULARY, rule).collect()}
+    for r in found.orderBy("doc_id", "section").collect():
+        rows[r["doc_id"]].append(r)
+    assert len(digests) == len(texts) and set(rows) == {i for i, t in texts.items() if t}
+    tested = [(i, t) for i, t in texts.items() if t and t.isascii()]
+    assert len(tested) > 20 and sum("\n" in t for _, t in tested) > 10
+    for i, text in tested:
+        lines, counts, crossing = by_offsets(library, text, rule)
+        assert [(r["section"], r["first_byte"], r["n_bytes"]) for r in rows[i]] == [(k, sum(lines[:k]), n) for k, n in enumerate(lines)]
+        assert np.allclose([r["n_tokens"] for r in rows[i]], counts)
+        d = digests[i]
+        assert (d["n_sections"], d["n_crossing"]) == (len(lines), crossing) and math.isclose(d["largest_tokens"], counts.max()) and math.isclose(d["n_tokens"], counts.sum())
+        assert math.isclose(rows[i][d["largest"]]["n_tokens"], counts.max())
+
+
 PII = "Mail Ann.Lee@mail1.example.com or ann.lee@mail1.example.com, call +1 (017) 555-7713, from 97.51.17.173, card 4539 1488 0343 6467, token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\". Frau Müller met Mr. John Smith; Ms Smith left."
 
 

@@ -42,7 +42,7 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.by_document(documents(spark, sf_dir), VOCABULARY)
+    return tokens.by_section(documents(spark, sf_dir), VOCABULARY)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,8 @@ starts inside a character.
 
 Defined results: a null or empty text has no section and gives no row in ``by_section``,
 and zeros in ``by_document``; counts of a document's sections add up to its tokens under
-every rule; repeated rows give repeated rows.
+every rule; ``by_document`` is the digest of ``by_section``; repeated rows give repeated
+rows.
 """
 
 from __future__ import annotations
@@ -81,16 +82,12 @@ def by_section(docs: DataFrame, path: str, rule: str = "start", sections: Callab
     vocabulary = load(docs.sparkSession, path)
 
     def one(batch: pa.RecordBatch) -> dict:
-        coder, out = encoder_of(vocabulary), {k: [] for k in ("doc_id", "section", "first_byte", "n_bytes", "n_tokens")}
-        ids = batch.column("doc_id").to_pylist()
-        for doc_id, (raw, ends, starts) in zip(ids, _encoded(coder, batch, sections)):
-            counts, _ = allocate(ends, starts, rule)
-            out["doc_id"] += [doc_id] * len(starts)
-            out["section"] += range(len(starts))
-            out["first_byte"] += starts.tolist()
-            out["n_bytes"] += np.diff(np.append(starts, len(raw))).tolist()
-            out["n_tokens"] += counts.tolist()
-        return out
+        coder, rows = encoder_of(vocabulary), []
+        for raw, ends, starts in _encoded(coder, batch, sections):
+            rows.append((np.arange(len(starts)), starts, np.diff(np.append(starts, len(raw))), allocate(ends, starts, rule)[0]))
+        of = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
+        out = {name: pa.array(np.concatenate(parts)) for name, parts in zip(("section", "first_byte", "n_bytes", "n_tokens"), zip(*rows))}
+        return out | {"doc_id": batch.column("doc_id").take(pa.array(of, pa.int64()))}
 
     return map_texts(docs.select(F.col("doc_id").cast("long"), "text"), one, "doc_id long, section long, first_byte long, n_bytes long, n_tokens double")
 
