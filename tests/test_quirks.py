@@ -461,3 +461,14 @@ def test_loss_keeps_groups_without_tools(rows):
     tools = rows("subfield string, tool_id long", [("other", 1)])
     found = usage.iteration_loss(problems, calls, tools).collect()
     assert [(r["subfield"], r["n"]) for r in found] == [("s", 0)] and found[0]["q_tools"] == 10
+
+
+def test_every_tool_is_listed(spark):
+    """Odd batches too, and a batch beyond the last one."""
+    from toolmill.plans import QUERIES, roles
+
+    folder = "/root/testdata/sf0.01"
+    rows = {r["batch_id"]: r["text"] for r in QUERIES["p19_every_batch_listing"](spark, folder).collect()}
+    tools = roles.parsed_tools(spark, folder).count()
+    assert sum(text.count("# Function ") for text in rows.values()) == tools
+    assert set(range(-(-tools // 20))) < set(rows) and "No tools found in this cluster." in rows.values()

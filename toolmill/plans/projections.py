@@ -209,6 +209,20 @@ def batch_listings(spark, folder):
     return catalog.function_listing(wanted, ordering.fixed_batches(named, "pos", fixed.REQUEST_BATCH), ["batch_id"], "batch_index")
 
 
+@query("p19_every_batch_listing", """WITH t AS (SELECT tool_id // 20 AS batch_id, tool_id % 20 + 1 AS i, json_extract_string(info, '$.function.name') AS n, json_extract_string(info, '$.function.description') AS d FROM r_tools),
+    l AS (SELECT batch_id, string_agg('# Function ' || i || ': ' || coalesce(n, 'tool_' || i) || chr(10) || '# Description: ' || coalesce(d, 'Function: ' || coalesce(n, 'tool_' || i)) || chr(10), chr(10) ORDER BY i) AS text FROM t GROUP BY 1)
+    SELECT batch_id, coalesce(text, 'No tools found in this cluster.') AS text FROM (SELECT 2 * s_suppkey AS batch_id FROM supplier UNION SELECT batch_id FROM t) LEFT JOIN l USING (batch_id)""")
+def every_batch_listing(spark, folder):
+    """Every batch of the tools, and twice the suppliers' numbers; those beyond the last tool are empty."""
+    named = roles.parsed_tools(spark, folder).select(
+        "pos", catalog.json_string(F.col("info"), "$.function.name").alias("name"), catalog.json_string(F.col("info"), "$.function.description").alias("description"),
+    )
+    batches = ordering.fixed_batches(named, "pos", fixed.REQUEST_BATCH)
+    numbers = table(spark, folder, "supplier").select((2 * F.col("s_suppkey")).alias("batch_id"))
+    wanted = numbers.unionByName(batches.select("batch_id")).distinct()
+    return catalog.function_listing(wanted, batches, ["batch_id"], "batch_index")
+
+
 @query("p20_analysis_transcripts", """SELECT conv_id, turn // 1000 AS page, string_agg(CASE role WHEN 'user' THEN '**User:** ' || content
     WHEN 'tool' THEN '  📋 Tool result: ' || content ELSE '**Assistant:** ' || content || coalesce(chr(10) || chr(10) || '  🔧 Called tool: ' || call_name || '(' || call_arguments || ')', '') END, chr(10) || chr(10) ORDER BY turn) AS text
     FROM r_messages WHERE role IN ('user', 'assistant', 'tool') GROUP BY ALL""")
