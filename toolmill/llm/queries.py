@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from toolmill.llm import bpe, exact, hmm, language, mixing, near, quality, surrogates, tokens, toxicity
+from toolmill.llm import bpe, exact, hmm, language, mixing, near, quality, sharding, surrogates, tokens, toxicity, variants
 from toolmill.llm.common import documents
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -57,10 +57,19 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), VOCABULARY)
 
 
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(documents(spark, sf_dir))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group_spellings(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_language, op3_mixing, op4_surrogates, op5_exact_dedup, op6_lm_scoring, op7_token_counts, op8_toxicity, op9_near_dedup, op10_bpe,
+        op12_sharding, op13_spelling_variants,
     )
 }
 
