@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from toolmill.llm import bpe, exact, hmm, language, mixing, near, quality, sharding, surrogates, tokens, toxicity, variants
+from toolmill.llm import bpe, exact, hmm, language, mixing, near, quality, search, sharding, surrogates, tokens, toxicity, variants
 from toolmill.llm.common import documents
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -57,6 +57,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), VOCABULARY)
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir))
 
@@ -69,12 +73,14 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_language, op3_mixing, op4_surrogates, op5_exact_dedup, op6_lm_scoring, op7_token_counts, op8_toxicity, op9_near_dedup, op10_bpe,
-        op12_sharding, op13_spelling_variants,
+        op11_lexical_search, op12_sharding, op13_spelling_variants,
     )
 }
 
 WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+TERMS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
 ORACLES: dict[str, str] = {
     "op5_exact_dedup": r"""
 WITH named AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
@@ -100,4 +106,14 @@ SELECT doc_id, size, source_size, target,
        CAST(CASE WHEN source_size = 0 THEN 0 ELSE (budget // source_size) * size
             + greatest(0, least(size, budget - (budget // source_size) * source_size - start)) END AS BIGINT) AS taken
 FROM laid""",
+    "op11_lexical_search": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {TERMS_SQL} AS terms FROM documents),
+figures AS (SELECT CAST(count(*) FILTER (len(terms) > 0) AS BIGINT) AS held, CAST(sum(len(terms)) AS BIGINT) AS total FROM d),
+asked AS (SELECT DISTINCT i, item_id, term FROM (SELECT i, item_id, unnest(terms) AS term FROM (SELECT row_number() OVER () AS i, item_id, {TERMS_SQL} AS terms FROM benchmark))),
+postings AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(terms) AS n, unnest(terms) AS term FROM d) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weights AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * held + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM postings, figures GROUP BY term, held),
+parts AS (SELECT r, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * held) // total))) AS part FROM postings JOIN weights USING (term), figures),
+scored AS (SELECT i, item_id, r, doc_id, CAST(sum(part) AS BIGINT) AS score FROM asked JOIN parts USING (term) GROUP BY ALL HAVING sum(part) > 0),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank FROM scored)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50""",
 }
