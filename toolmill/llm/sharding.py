@@ -73,7 +73,7 @@ def _splitters(rows: DataFrame, ranges: DataFrame, fan: int, draws: int, level:
 
 def ranged(rows: DataFrame, rows_per_range: int = ROWS_PER_RANGE, fan: int = FAN, draws: int = DRAWS) -> DataFrame:
     """``rows`` with the number of their range, in key order."""
-    rows, level = rows.withColumn("range", F.lit(0).cast("long")), 0
+    rows, level = materialize(rows.withColumn("range", F.lit(0).cast("long")), "shard-keys"), 0
     while True:
         ranges = rows.groupBy("range").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
         over = ranges.where(F.col("n") > (rows_per_range if level else 0))
@@ -92,29 +92,30 @@ def _offsets(ranged_rows: DataFrame) -> DataFrame:
     return sums.select("range", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}0") for c in ("b", "r")], F.sum("b").over(Window.partitionBy()).alias("total"))
 
 
-def _whole_groups(placed: DataFrame, shards: int, whole: float) -> DataFrame:
-    """(h, first): groups of equal texts that borders cut and that are small enough to stay
-    whole, with the shard they start in. At most one group per border is looked at."""
-    edges = placed.groupBy("shard").agg(F.min_by("h", "at").alias("first_h"), F.max_by("h", "at").alias("last_h"), F.first("total").alias("total"))
-    cut = edges.select(F.col("last_h").alias("h"), "total").join(edges.select(F.col("first_h").alias("h")), "h", "left_semi")
-    sizes = placed.join(cut.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.sum("size").alias("held"), F.min("shard").alias("first"), F.max("shard").alias("last"), F.first("total").alias("total"))
-    return sizes.where((F.col("first") < F.col("last")) & (F.col("held") * shards <= F.col("total") * F.lit(whole))).select("h", "first")
+def _whole_groups(placed: DataFrame, shards: int, whole: float) -> dict[int, int]:
+    """Text hashes of groups that borders cut and that are small enough to stay whole, with the
+    shard they start in: at most one per border."""
+    edges = placed.groupBy("shard").agg(F.min_by("h", "at").alias("first"), F.max_by("h", "at").alias("last"), F.first("total").alias("total")).orderBy("shard").collect()  # a row per shard
+    cut = [a["last"] for a, b in zip(edges, edges[1:]) if a["last"] == b["first"]]
+    if not cut:
+        return {}
+    groups = placed.where(F.col("h").isin(cut)).groupBy("h").agg(F.sum("size").alias("held"), F.min("shard").alias("home")).collect()
+    return {g["h"]: g["home"] for g in groups if g["held"] * shards <= edges[0]["total"] * whole}
 
 
 def place(docs: DataFrame, shards: int = SHARDS, rows_per_range: int = ROWS_PER_RANGE, whole: float = WHOLE, fan: int = FAN, draws: int = DRAWS) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, ordering key (h, k, row), its shard
     and its slot in the shard, in key order."""
-    rows = ranged(materialize(keyed(docs), "shard-keys"), rows_per_range, fan, draws)
+    rows = ranged(keyed(docs), rows_per_range, fan, draws)
     inside = Window.partitionBy("range").orderBy(*KEY).rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("b0") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     at = F.col("r0") + F.coalesce(F.count("size").over(inside), F.lit(0))
     placed = rows.join(_offsets(rows), "range").withColumn("start", start).withColumn("at", at)
     middle = F.col("start") + F.expr("size div 2")  # a document on a border goes where most of it lies
     placed = materialize(placed.withColumn("shard", F.least(F.lit(shards - 1), F.floor(middle * F.lit(float(shards)) / F.col("total"))).cast("int")), "shard-places")
-    if whole > 0:
-        moved = placed.join(_whole_groups(placed, shards, whole), "h", "left").withColumn("shard", F.coalesce("first", "shard"))
-    else:
-        moved = placed
+    moved, stay = placed, _whole_groups(placed, shards, whole)
+    for h, home in stay.items():
+        moved = moved.withColumn("shard", F.when(F.col("h") == h, home).otherwise(F.col("shard")))
     first = moved.groupBy("shard").agg(F.min("at").alias("at0"))
     return moved.join(first, "shard").select("doc_id", "size", "text_crc32", *KEY, "shard", (F.col("at") - F.col("at0")).alias("slot"))
 
