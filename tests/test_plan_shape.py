@@ -34,7 +34,7 @@ def test_filters_reach_the_scan(spark):
 
 def test_top_k_is_limited_before_the_shuffle(spark):
     text = plan(retrieve.top_k(roles.embeddings(spark, FOLDER), roles.queries(spark, FOLDER), 5))
-    assert text.count("WindowGroupLimit") == 2 and "Partial" in text
+    assert text.count("WindowGroupLimit") >= 4 and "Partial" in text  # at the nearest pivot, then over all
 
 
 def test_pass_at_k_combines_before_the_shuffle(spark):

@@ -46,8 +46,8 @@ def brute_force(tools, queries, k):
 
 
 @pytest.mark.parametrize("k", [1, 4, 1000])
-@pytest.mark.parametrize("block_rows", [7, 4096])
-def test_every_top_k_path_equals_brute_force(spark, k, block_rows):
+@pytest.mark.parametrize(("pivots", "cell_rows"), [(1, 7), (8, 4), (32, 1024)])
+def test_top_k_equals_brute_force(spark, k, pivots, cell_rows):
     rng = np.random.default_rng(3)
     base = rng.integers(-2, 3, size=(60, 8)).astype(float)  # small integers give many ties
     base[5] = 0
@@ -55,10 +55,22 @@ def test_every_top_k_path_equals_brute_force(spark, k, block_rows):
     queries = [(100 + i, v.tolist()) for i, v in enumerate(base[:17])]
     t = spark.createDataFrame(tools, "tool_id bigint, vec array<float>").repartition(5)
     q = spark.createDataFrame(queries, "query_id bigint, vec array<float>")
-    expected = brute_force(tools, queries, k)
-    for limit in (retrieve.BROADCAST_BYTES, 0):
-        got = retrieve.top_k(t, q, k, broadcast_bytes=limit, block_rows=block_rows).collect()
-        assert sorted((r["query_id"], r["tool_id"], r["rank"]) for r in got) == expected
+    got = retrieve.top_k(t, q, k, pivots, cell_rows).collect()
+    assert sorted((r["query_id"], r["tool_id"], r["rank"]) for r in got) == brute_force(tools, queries, k)
+
+
+def test_pivots_skip_most_pairs_of_clustered_vectors(spark):
+    """Forty clusters: exact results from under a third of all pairs."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(40, 16))
+    points = centres[rng.integers(0, 40, 1_500)] + 0.1 * rng.normal(size=(1_500, 16))
+    tools = [(i, v.tolist()) for i, v in enumerate(points)]
+    t = spark.createDataFrame(tools, "tool_id bigint, vec array<double>").repartition(3)
+    q = t.where("tool_id % 15 = 0").withColumnRenamed("tool_id", "query_id")
+    got = retrieve.top_k(t, q, 5).collect()
+    assert sorted((r["query_id"], r["tool_id"], r["rank"]) for r in got) == brute_force(tools, [x for x in tools if x[0] % 15 == 0], 5)
+    pairs = retrieve.pairs_multiplied(t, q, 5).first()
+    assert 3 * pairs["multiplied"] < pairs["pairs"] == 150_000
 
 
 def test_top_k_over_many_small_batches(spark, monkeypatch):

@@ -109,10 +109,19 @@ def test_public_function_is_not_read_from_text(spark):
 def test_tools_of_another_width_take_no_part(rows):
     tools = rows("tool_id bigint, vec array<double>", [(1, [1.0, 0.0]), (2, [0.0, 1.0, 0.0]), (3, [0.0, 1.0, 0.0, 1.0])])
     queries = rows("query_id bigint, vec array<double>", [(7, [0.0, 2.0, 0.0])])
-    for limit in (0, 1 << 20):
-        assert values(retrieve.top_k(tools, queries, 3, broadcast_bytes=limit), "query_id", "tool_id", "score") == [(7, 2, 1.0)]
-    with pytest.raises(ValueError):
-        retrieve.top_k(tools, tools.withColumnRenamed("tool_id", "query_id"), 1)
+    assert values(retrieve.top_k(tools, queries, 3), "query_id", "tool_id", "score") == [(7, 2, 1.0)]
+    own = retrieve.top_k(tools, tools.withColumnRenamed("tool_id", "query_id"), 1)
+    assert values(own, "query_id", "tool_id", "score") == [(1, 1, 1.0), (2, 2, 1.0), (3, 3, 1.0)]
+
+
+def test_vectors_that_are_no_numbers_take_no_part(rows):
+    """They are listed as errors, whatever their width, and never rank."""
+    nan, inf = float("nan"), float("inf")
+    tools = rows("tool_id bigint, vec array<float>", [(1, [nan, 1.0]), (2, [0.0, 1.0]), (3, [None, 1.0]), (4, [inf, 0.0]), (5, None), (6, []), (7, [1.0, 0.0]), (8, [1.0, 1.0, 1.0])])
+    queries = rows("query_id bigint, vec array<float>", [(1, [0.0, 1.0]), (2, [nan, 0.0]), (3, None), (4, [1e30, 1e30])])
+    found = values(retrieve.top_k(tools, queries, 5), "query_id", "tool_id", "score")
+    assert found == [(1, 2, 1.0), (1, 7, 0.0), (4, 2, 0.707107), (4, 7, 0.707107)]
+    assert values(retrieve.dimension_errors(tools, 2), "tool_id") == [(1,), (3,), (4,), (6,), (8,)]
 
 
 def test_recall_summary_counts_questions_without_truth_as_zero(rows):
@@ -374,8 +383,7 @@ def test_zero_vector_stays_with_score_zero(rows):
     tools = rows("tool_id bigint, vec array<float>", [(1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, -2.0])])
     queries = rows("query_id bigint, vec array<float>", [(9, [0.0, 1.0])])
     expected = [(1, 1, 0.0), (2, 2, 0.0), (3, 3, -1.0)]
-    for limit in (retrieve.BROADCAST_BYTES, 0):
-        assert values(retrieve.top_k(tools, queries, 5, broadcast_bytes=limit), "rank", "tool_id", "score") == expected
+    assert values(retrieve.top_k(tools, queries, 5), "rank", "tool_id", "score") == expected
     scored = tools.select(vectors.score(F.col("vec"), F.array(F.lit(0.0), F.lit(1.0))).alias("s"))
     assert sorted(r["s"] for r in scored.collect()) == [-1.0, 0.0, 0.0]
 

@@ -38,5 +38,11 @@ def score(a: Column, b: Column) -> Column:
     return F.round(cosine(a, b), SCORE_PLACES) + F.lit(0.0)
 
 
+def is_finite(v: Column) -> Column:
+    """A vector with at least one element, all of them finite numbers; false for null."""
+    numbers = F.forall(v, lambda x: x.isNotNull() & (F.abs(x.cast("double")) < F.lit(float("inf"))))
+    return F.coalesce((F.size(v) > 0) & numbers, F.lit(False))
+
+
 def or_zero_vector(v: Column, dimension: int) -> Column:
     return F.coalesce(v, F.array_repeat(F.lit(0.0).cast("float"), dimension))

@@ -1,12 +1,13 @@
 """Exact vector retrieval and its recall.
 
 ``tools(tool_id, vec)`` and ``queries(query_id, vec)`` are keyed tables. Scores
-are cosines rounded to six places, ties go to the lower tool id, so every path
-below returns the same rows."""
+are cosines rounded to six places, ties go to the lower tool id, so results
+don't depend on how rows are dealt."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -14,13 +15,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from toolmill.functions.schema import is_object, items
-from toolmill.functions.vectors import SCORE_PLACES, norm, or_zero_vector
+from toolmill.functions.vectors import SCORE_PLACES, is_finite, norm, or_zero_vector
 from toolmill.operators.ordering import top_per_group
 
-BROADCAST_BYTES = 64 * 1024 * 1024
-BLOCK_ROWS = 4_096
-QUERY_CHUNK = 1_024
-RESULT = "query_id bigint, tool_id bigint, score double"
+PIVOTS = 32
+CELL_ROWS = 1_024
+QUERY_CHUNK = 512
+ZERO = -1  # the pivot of zero vectors
+NO_SCORE = -2.0  # below every cosine
+SLACK = 2e-6  # scores are rounded to six places
+CELL = "width int, pivot int, low double, high double, tool_ids array<bigint>, tool_rows binary"
+ASKED = "width int, pivot int, query_ids array<bigint>, query_rows binary, least array<double>"
+RESULT = "query_id bigint, tool_id bigint, score double, multiplied bigint"
+SCORED = pa.schema([("query_id", pa.int64()), ("tool_id", pa.int64()), ("score", pa.float64()), ("multiplied", pa.int64())])
 
 
 # --- keyed embedding tables -----------------------------------------------------------
@@ -39,126 +46,203 @@ def complete_vectors(tools: DataFrame, embeddings: DataFrame, dimension: int) ->
 
 
 def dimension_errors(embeddings: DataFrame, dimension: int) -> DataFrame:
-    return embeddings.where(F.size("vec") != dimension).select("tool_id", F.size("vec").cast("bigint").alias("dimension"))
+    """Vectors of another width, and vectors with an element that is null or no finite number."""
+    wrong = F.col("vec").isNotNull() & ((F.size("vec") != dimension) | ~is_finite(F.col("vec")))
+    return embeddings.where(wrong).select("tool_id", F.size("vec").cast("bigint").alias("dimension"))
 
 
 # --- top-k -----------------------------------------------------------------------------
+#
+# Tools are dealt to the nearest of a few pivots and packed into cells: rows of one pivot with
+# the interval of their angles to it. A query at angle t to a pivot has an angle of at least
+# t - high or low - t to every vector of a cell, so a cell whose best possible cosine is
+# below the k-th score the query already has is skipped. No skip changes a result.
+
+@dataclass(frozen=True)
+class Pivots:
+    """Unit pivots by vector width; a width without any has its first axis."""
+
+    rows: dict[int, np.ndarray]
+
+    def of(self, width: int) -> np.ndarray:
+        return self.rows[width] if width in self.rows else np.eye(1, width)
+
+    def nearest(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number of each row's nearest pivot and the angle to it; zero rows, which are
+        similar to nothing, have number ``ZERO`` and angle 0."""
+        cosine = unit @ self.of(unit.shape[1]).T
+        near = cosine.argmax(axis=1)
+        zero = ~unit.any(axis=1)
+        angle = np.arccos(np.clip(cosine[np.arange(len(unit)), near], -1, 1))
+        return np.where(zero, ZERO, near), np.where(zero, 0.0, angle)
+
+    def bound(self, unit: np.ndarray, pivot: int, low: float, high: float) -> np.ndarray:
+        """The greatest cosine each row can have with a vector of the interval."""
+        if pivot == ZERO:
+            return np.zeros(len(unit))
+        angle = np.arccos(np.clip(unit @ self.of(unit.shape[1])[pivot], -1, 1))
+        best = np.cos(np.clip(np.maximum(angle - high, low - angle), 0, np.pi))
+        return np.where(unit.any(axis=1), best, 0.0)
+
+
+def _by_width(batch: pa.RecordBatch, key: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(positions, ids, unit rows; zero rows stay zero) of a batch for each width in it."""
+    width = np.asarray(pa.compute.list_value_length(batch.column("vec")))
+    for w in np.unique(width).tolist():
+        at = np.flatnonzero(width == w)
+        part = batch.take(pa.array(at))
+        rows = part.column("vec").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), w)
+        rows = rows / np.maximum(np.abs(rows).max(axis=1), 1e-300)[:, None]  # so that no square over- or underflows
+        length = np.sqrt(np.einsum("ij,ij->i", rows, rows))
+        yield at, part.column(key).to_numpy(zero_copy_only=False), rows / np.where(length == 0, 1.0, length)[:, None]
+
+
+def choose_pivots(tools: DataFrame, count: int) -> Pivots:
+    """Up to ``count`` pivots per width, far from each other, out of ``16 * count`` tools drawn by hash."""
+    drawn = tools.orderBy(F.xxhash64("tool_id"), "tool_id").select("tool_id", "vec").limit(16 * count).toArrow().combine_chunks()
+    rows = {}
+    for batch in drawn.to_batches():
+        for _, _, unit in _by_width(batch, "tool_id"):
+            unit = unit[unit.any(axis=1)]
+            if not len(unit):
+                continue
+            chosen, closest = [0], unit @ unit[0]
+            while len(chosen) < min(count, len(unit)) and closest.min() < 0.999:
+                chosen.append(int(closest.argmin()))
+                closest = np.maximum(closest, unit @ unit[chosen[-1]])
+            rows[unit.shape[1]] = unit[chosen]
+    return Pivots(rows)
 
-def _matrix(ids: pa.Array, vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and unit rows (zero rows stay zero) of an Arrow column of equal-length lists."""
-    keys = ids.to_numpy(zero_copy_only=False)
-    if not len(keys):
-        return keys, np.zeros((0, 0))
-    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    rows = flat.reshape(len(keys), -1)
-    length = np.sqrt(np.einsum("ij,ij->i", rows, rows))
-    return keys, rows / np.where(length == 0, 1.0, length)[:, None]
 
+def _packed(pivot: np.ndarray, angle: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """Positions by pivot and angle, cut into runs of one pivot with at most ``most`` rows."""
+    order = np.lexsort((angle, pivot))
+    for run in np.split(order, np.flatnonzero(np.diff(pivot[order])) + 1):
+        yield from (run[i : i + most] for i in range(0, len(run), most))
 
-def _scores(queries: np.ndarray, tools: np.ndarray) -> np.ndarray:
-    return np.round(queries @ tools.T, SCORE_PLACES) + 0.0
 
+def _cells(tools: DataFrame, pivots: Pivots, most: int) -> DataFrame:
+    """Each task packs its own batches: no tool is shuffled before it is in a cell."""
 
-def _keep(qi: np.ndarray, tool_ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best rows of each query number, equal scores by lower tool id."""
-    order = np.lexsort((tool_ids, -scores, qi))
-    qi, tool_ids, scores = qi[order], tool_ids[order], scores[order]
-    kept = np.arange(len(qi)) - np.searchsorted(qi, qi) < k
-    return qi[kept], tool_ids[kept], scores[kept]
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.compute  # noqa: F401
 
+        for batch in batches:
+            for _, ids, unit in _by_width(batch, "tool_id"):
+                near, angle = pivots.nearest(unit)
+                runs = list(_packed(near, angle, most))
+                yield pa.RecordBatch.from_pydict({
+                    "width": pa.array([unit.shape[1]] * len(runs), pa.int32()), "pivot": pa.array([near[r[0]] for r in runs], pa.int32()),
+                    "low": pa.array([angle[r[0]] for r in runs], pa.float64()), "high": pa.array([angle[r[-1]] for r in runs], pa.float64()),
+                    "tool_ids": pa.array([ids[r] for r in runs], pa.list_(pa.int64())), "tool_rows": pa.array([unit[r].tobytes() for r in runs], pa.binary()),
+                })
 
-def _candidates(scores: np.ndarray, tool_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of a score block (queries by tools) that can be among the k best, all
-    ties with the k-th included."""
-    if scores.shape[1] > k:
-        cut = np.partition(scores, -k, axis=1)[:, -k]
-        qi, ti = np.nonzero(scores >= cut[:, None])
-    else:
-        qi, ti = np.nonzero(np.ones_like(scores, dtype=bool))
-    return qi, tool_ids[ti], scores[qi, ti]
-
-
-def _result(query_ids: np.ndarray, best: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
-    qi, tool_ids, scores = best
-    return pa.RecordBatch.from_arrays(
-        [pa.array(query_ids[qi], pa.int64()), pa.array(tool_ids, pa.int64()), pa.array(scores, pa.float64())],
-        names=["query_id", "tool_id", "score"],
-    )
+    return tools.select("tool_id", "vec").mapInArrow(pack, CELL)
 
 
-def _with_shared_queries(tools: DataFrame, query_ids: np.ndarray, queries: np.ndarray, k: int) -> DataFrame:
-    """Each task multiplies its batches of tools with all (few) queries, a chunk of
-    queries at a time, and keeps the k best of every query over its batches: it
-    sends k rows per query, however many tools it read. Tools are not shuffled."""
-    shared = tools.sparkSession.sparkContext.broadcast((query_ids, queries))
+def _intervals(cells: DataFrame) -> list[tuple[int, int, float, float]]:
+    """Angles that occur at each pivot: a row per pivot and width."""
+    return [tuple(r) for r in cells.groupBy("width", "pivot").agg(F.min("low"), F.max("high")).collect()]
+
+
+def _asked(queries: DataFrame, pivots: Pivots, intervals: list[tuple[int, int, float, float]], further: bool) -> DataFrame:
+    """Queries packed by the pivots whose cells they need: at first their nearest pivot that
+    has tools, then (``further``) all others that may hold a score of at least ``least``."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.compute  # noqa: F401
 
-    def block_topk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, matrix = shared.value
-        starts = range(0, len(ids), QUERY_CHUNK)
-        best: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            tool_ids, rows = _matrix(batch.column("tool_id"), batch.column("vec"))
-            for start in starts:
-                found = _candidates(_scores(matrix[start:start + QUERY_CHUNK], rows), tool_ids, k)
-                if start in best:
-                    found = tuple(np.concatenate(pair) for pair in zip(best[start], found))
-                best[start] = _keep(*found, k)
-        for start in best:
-            yield _result(ids[start:start + QUERY_CHUNK], best[start])
-
-    return tools.select("tool_id", "vec").mapInArrow(block_topk, RESULT)
-
-
-def _in_blocks(tools: DataFrame, queries: DataFrame, k: int, tool_blocks: int, query_blocks: int) -> DataFrame:
-    """Both sides are cut into blocks by a hash of their unique key; each pair of
-    blocks is one bounded group, multiplied and reduced to k rows per query."""
-    t = tools.select("tool_id", "vec", F.pmod(F.xxhash64("tool_id"), F.lit(tool_blocks)).alias("tb")).withColumn(
-        "qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))
-    )
-    q = queries.select("query_id", "vec", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).alias("qb")).withColumn(
-        "tb", F.explode(F.sequence(F.lit(0), F.lit(tool_blocks - 1)))
-    )
-    t = t.withColumn("qb", F.col("qb").cast("bigint"))
-    q = q.withColumn("tb", F.col("tb").cast("bigint"))
+            for at, ids, unit in _by_width(batch, "query_id"):
+                width = unit.shape[1]
+                here = [i[1:] for i in intervals if i[0] == width]
+                if not here:
+                    continue
+                bounds = np.stack([pivots.bound(unit, *i) for i in here], axis=1)
+                home = bounds.argmax(axis=1)
+                least = np.asarray(batch.column("least"), np.float64)[at]
+                out: dict[str, list] = {f: [] for f in ("width", "pivot", "query_ids", "query_rows", "least")}
+                for j, (pivot, _, _) in enumerate(here):
+                    wanted = np.flatnonzero((home != j) & (bounds[:, j] + SLACK >= least) if further else home == j)
+                    for start in range(0, len(wanted), QUERY_CHUNK):
+                        part = wanted[start : start + QUERY_CHUNK]
+                        for name, value in (("width", width), ("pivot", pivot), ("query_ids", ids[part]), ("query_rows", unit[part].tobytes()), ("least", least[part])):
+                            out[name].append(value)
+                yield pa.RecordBatch.from_pydict({
+                    "width": pa.array(out["width"], pa.int32()), "pivot": pa.array(out["pivot"], pa.int32()), "query_ids": pa.array(out["query_ids"], pa.list_(pa.int64())),
+                    "query_rows": pa.array(out["query_rows"], pa.binary()), "least": pa.array(out["least"], pa.list_(pa.float64())),
+                })
+
+    return queries.select("query_id", "vec", "least").mapInArrow(pack, ASKED)
 
-    def block_topk(left: pa.Table, right: pa.Table) -> pa.Table:
-        left, right = left.combine_chunks(), right.combine_chunks()
-        if not left.num_rows or not right.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "tool_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        tool_ids, tool_rows = _matrix(left["tool_id"].combine_chunks(), left["vec"].combine_chunks())
-        query_ids, query_rows = _matrix(right["query_id"].combine_chunks(), right["vec"].combine_chunks())
-        best = _keep(*_candidates(_scores(query_rows, tool_rows), tool_ids, k), k)
-        return pa.Table.from_batches([_result(query_ids, best)])
 
-    return t.groupBy("tb", "qb").cogroup(q.groupBy("tb", "qb")).applyInArrow(block_topk, RESULT)
+def _scores(queries: np.ndarray, tools: np.ndarray) -> np.ndarray:
+    return np.round(queries @ tools.T, SCORE_PLACES) + 0.0
+
+
+def _candidates(scores: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cells of a score block (queries by tools) that can be among the k best, ties with the k-th included."""
+    if scores.shape[1] > k:
+        least = np.maximum(least, np.partition(scores, -k, axis=1)[:, -k])
+    return np.nonzero(scores >= least[:, None])
+
 
+def _met(asked: DataFrame, cells: DataFrame) -> DataFrame:
+    return asked.join(cells, ["width", "pivot"])
 
-def top_k(tools: DataFrame, queries: DataFrame, k: int, broadcast_bytes: int = BROADCAST_BYTES, block_rows: int = BLOCK_ROWS) -> DataFrame:
+
+def _products(met: DataFrame, pivots: Pivots, k: int) -> DataFrame:
+    """Scores of each pack of queries with a cell, without the queries that the cell can't
+    serve; and a row without a tool that counts the pairs."""
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                queries = np.frombuffer(row["query_rows"]).reshape(-1, row["width"])
+                least, ids = np.array(row["least"]), np.array(row["query_ids"], np.int64)
+                open_rows = np.flatnonzero(pivots.bound(queries, row["pivot"], row["low"], row["high"]) + SLACK >= least)
+                tools, tool_ids = np.frombuffer(row["tool_rows"]).reshape(-1, row["width"]), np.array(row["tool_ids"], np.int64)
+                scores = _scores(queries[open_rows], tools)
+                qi, ti = _candidates(scores, least[open_rows], k)
+                count = pa.RecordBatch.from_pylist([{"multiplied": scores.size}], schema=SCORED)  # no candidate: a row of its own
+                yield count
+                yield pa.RecordBatch.from_arrays([pa.array(ids[open_rows[qi]], pa.int64()), pa.array(tool_ids[ti], pa.int64()), pa.array(scores[qi, ti], pa.float64()), pa.nulls(len(qi), pa.int64())], schema=SCORED)
+
+    return met.select("width", "pivot", "low", "high", "tool_ids", "tool_rows", "query_ids", "query_rows", "least").mapInArrow(multiply, RESULT)
+
+
+def _phases(tools: DataFrame, queries: DataFrame, k: int, n_pivots: int, cell_rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Scores at each query's own pivot, their k best, and scores at the pivots that may add to these."""
+    tools = tools.where(is_finite(F.col("vec")) & F.col("tool_id").isNotNull()).select("tool_id", "vec")
+    queries = queries.where(is_finite(F.col("vec"))).select("query_id", "vec")
+    pivots = choose_pivots(tools, n_pivots)
+    cells = _cells(tools, pivots, cell_rows)
+    intervals = _intervals(cells)
+    nothing = F.lit(NO_SCORE)
+    first = _products(_met(_asked(queries.withColumn("least", nothing), pivots, intervals, False), cells), pivots, k)
+    best = top_per_group(first.where("tool_id IS NOT NULL"), ["query_id"], [F.desc("score"), F.col("tool_id")], k)
+    reached = best.where(F.col("rank") == k).select(F.col("query_id").alias("_id"), F.col("score").alias("least"))
+    known = queries.join(reached, F.col("query_id") == F.col("_id"), "left").select("query_id", "vec", F.coalesce("least", nothing).alias("least"))
+    return first, best, _products(_met(_asked(known, pivots, intervals, True), cells), pivots, k)
+
+
+def top_k(tools: DataFrame, queries: DataFrame, k: int, pivots: int = PIVOTS, cell_rows: int = CELL_ROWS) -> DataFrame:
     """The k most similar tools of each query with score and rank, exact.
 
-    Rows without a vector take no part (see ``first_k_without_vector``). The
-    queries' size is measured first: up to ``broadcast_bytes`` they go to every
-    task, beyond that both sides are cut into blocks of about ``block_rows``. Queries
-    must be of one width; tools of another take no part (``dimension_errors`` lists them).
+    Rows without a vector take no part (see ``first_k_without_vector``), nor do vectors with an
+    element that is null or no finite number (see ``dimension_errors``). Vectors are compared
+    with those of their own width. ``pivots`` and ``cell_rows`` change what is skipped, never the result.
     """
-    tools = tools.where(F.col("vec").isNotNull())
-    queries = queries.where(F.col("vec").isNotNull())
-    size = queries.agg(F.count("*").alias("n"), F.sum(F.size("vec").cast("bigint")).alias("cells"), F.min(F.size("vec")).alias("least"), F.max(F.size("vec")).alias("most")).first()
-    if size["least"] != size["most"]:
-        raise ValueError(f"query vectors of {size['least']} to {size['most']} numbers; see dimension_errors")
-    tools = tools.where(F.size("vec") == size["most"])
-    if not size["n"]:
-        candidates = tools.sparkSession.createDataFrame([], RESULT)
-    elif size["cells"] * 8 <= broadcast_bytes:
-        table = queries.select("query_id", "vec").toArrow().combine_chunks()
-        ids, matrix = _matrix(table["query_id"].combine_chunks(), table["vec"].combine_chunks())
-        candidates = _with_shared_queries(tools, ids, matrix, k)
-    else:
-        n_tools = tools.count()
-        candidates = _in_blocks(tools, queries, k, -(-max(n_tools, 1) // block_rows), -(-size["n"] // block_rows))
-    return top_per_group(candidates, ["query_id"], [F.desc("score"), F.col("tool_id")], k)
+    _, best, rest = _phases(tools, queries, k, pivots, cell_rows)
+    scored = best.drop("multiplied", "rank").unionByName(rest.where("tool_id IS NOT NULL").drop("multiplied"))
+    return top_per_group(scored, ["query_id"], [F.desc("score"), F.col("tool_id")], k)
+
+
+def pairs_multiplied(tools: DataFrame, queries: DataFrame, k: int, pivots: int = PIVOTS, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """How many pairs ``top_k`` scores, and how many there are."""
+    first, _, rest = _phases(tools, queries, k, pivots, cell_rows)
+    counted = first.unionByName(rest).agg(F.coalesce(F.sum("multiplied"), F.lit(0)).alias("multiplied"))
+    return counted.withColumn("pairs", F.lit(tools.count() * queries.count()))
 
 
 def first_k_without_vector(tools: DataFrame, queries: DataFrame, k: int) -> DataFrame:

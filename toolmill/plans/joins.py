@@ -91,8 +91,8 @@ def similarity_top5(spark, folder):
 
 @query("j9_similarity_in_blocks", TOP_SQL)
 def similarity_in_blocks(spark, folder):
-    """The path for query sets over the shared-size bound."""
-    return retrieve.top_k(roles.embeddings(spark, folder), roles.queries(spark, folder), 5, broadcast_bytes=0)
+    """A single pivot and cells of 256 rows: nothing is skipped by pivot, all cells are multiplied."""
+    return retrieve.top_k(roles.embeddings(spark, folder), roles.queries(spark, folder), 5, pivots=1, cell_rows=256)
 
 
 @query("j10_truth_hits", "SELECT t.question_id, t.name, r.rank FROM (SELECT DISTINCT question_id, name FROM r_truth) t LEFT JOIN r_retrieved r USING (question_id, name)")

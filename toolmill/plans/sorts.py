@@ -13,8 +13,8 @@ from toolmill.sources.readers import table
 
 @query("t1_top_k_small_blocks", "SELECT query_id, tool_id, score, rank FROM r_top5")
 def top_k_small_blocks(spark, folder):
-    """Top 5 with blocks of 128 rows: many blocks give the same rows as one."""
-    return retrieve.top_k(roles.embeddings(spark, folder), roles.queries(spark, folder), 5, broadcast_bytes=0, block_rows=128)
+    """Top 5 with many pivots and cells of 16 rows: the same rows as from large ones."""
+    return retrieve.top_k(roles.embeddings(spark, folder), roles.queries(spark, folder), 5, pivots=128, cell_rows=16)
 
 
 @query("t2_most_common", """SELECT name, count(*) AS frequency FROM r_attempt_tools GROUP BY name ORDER BY frequency DESC, name LIMIT 10""")
