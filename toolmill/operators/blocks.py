@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from toolmill.functions import fixed
 from toolmill.functions.text import outcome, strip
-from toolmill.operators.ordering import first_rows, number_rows, ordered_text, pages
+from toolmill.operators.ordering import PAGE_CHARS, first_rows, ordered_text, pages
 
 UNIT = ["cluster_name", "sib_index"]
 
@@ -139,13 +139,12 @@ def coverage_references(cover: DataFrame, keys: list[str]) -> DataFrame:
     return cover.groupBy(*keys).agg(F.count("*").alias("coverage_references"))
 
 
-def suggestions(rows: DataFrame) -> DataFrame:
+def suggestions(rows: DataFrame, page_chars: int = PAGE_CHARS) -> DataFrame:
     """``- From Tool<i>: …`` lines of a block in tool order, tools numbered from 1
-    before empty suggestions drop out; pages of 1,000 tools keep texts bounded."""
-    numbered = number_rows(rows, UNIT, "pos", "tool_pos")
-    said = pages(numbered, "tool_pos").where(F.col("suggestion") != "")
-    line = F.concat(F.lit("- From Tool"), (F.col("tool_pos") + 1).cast("string"), F.lit(": "), F.col("suggestion"))
-    return ordered_text(said, [*UNIT, "page"], "tool_pos", line, "suggestions")
+    before empty suggestions drop out; pages of about ``page_chars`` characters keep texts bounded."""
+    said = pages(rows, UNIT, "pos", F.col("suggestion"), page_chars).where(F.col("suggestion") != "")
+    line = F.concat(F.lit("- From Tool"), (F.col("page_pos") + 1).cast("string"), F.lit(": "), F.col("suggestion"))
+    return ordered_text(said, [*UNIT, "page", "n_pages"], "page_pos", line, "suggestions")
 
 
 def pending_units(planned: DataFrame, completed: DataFrame) -> DataFrame:

@@ -16,21 +16,28 @@ from toolmill.session import materialize
 
 def complete_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes plus every child that has no row of its own (level of parent + 1, first
-    parent by edge order), then the children of those, until no edge leads further. Each
-    step is a table in the shared folder, and there are as many as unlisted levels.
+    parent by edge order), then the children of those, until no edge leads further.
+    The tables are read once: only edges to unlisted children are kept, and after the first level
+    only those whose parent is unlisted too are looked at, level by level.
     Edges that no listed node leads to add nothing (``unreached_edges``)."""
     known = nodes.select("id", "level", "parent")
-    newest = known
-    while True:
-        listed = edges.join(newest.select(F.col("id").alias("parent"), F.col("level").alias("_level")), "parent")
-        missing = listed.join(known.select(F.col("id").alias("child")), "child", "left_anti")
-        added = first_rows(
-            missing.withColumn("level", F.col("_level") + 1), ["child"], F.struct("seq", "parent"), ["level", "parent"]
-        )
-        newest = materialize(added.withColumnRenamed("child", "id"), "tree-level")
+    listed = known.select(F.col("id").alias("parent"), (F.col("level") + 1).alias("level"))
+    missing = edges.select("parent", "child", "seq").join(known.select(F.col("id").alias("child")), "child", "left_anti")
+    missing = materialize(missing.join(listed, "parent", "left"), "tree-missing")
+    found = newest = _first_parents(missing.where("level IS NOT NULL"))
+    deeper = missing.where("level IS NULL").drop("level")
+    while not deeper.isEmpty():
+        deeper = deeper.join(newest.select(F.col("id").alias("child")), "child", "left_anti")
+        newest = materialize(_first_parents(deeper.join(newest.select(F.col("id").alias("parent"), (F.col("level") + 1).alias("level")), "parent")), "tree-level")
         if newest.isEmpty():
-            return known
-        known = known.unionByName(newest)
+            break
+        found = found.unionByName(newest)
+    return known.unionByName(found)
+
+
+def _first_parents(listed: DataFrame) -> DataFrame:
+    """Each child with the first of its edges."""
+    return first_rows(listed, ["child"], F.struct("seq", "parent"), ["level", "parent"]).withColumnRenamed("child", "id")
 
 
 def unreached_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:

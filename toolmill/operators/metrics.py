@@ -58,9 +58,16 @@ def _passed(k: int) -> Column:
     return F.count_if((F.col("n") >= k) & (F.col("first_success") < k))
 
 
+def first_attempts(attempts: DataFrame, order: str, n: int) -> DataFrame:
+    """The first n attempts of each question and model by a unique column, numbered from
+    0. Spark keeps n rows of a question before the shuffle too, so no question is numbered as a whole."""
+    ranked = top_per_group(attempts, ["question_id", "model"], [F.col(order)], n, "attempt")
+    return ranked.withColumn("attempt", F.col("attempt") - 1)
+
+
 def pass_at_k(attempts: DataFrame, ks: list[int]) -> DataFrame:
     """Share of questions with a success in the first k attempts; questions with
-    fewer than k attempts stay in the denominator only."""
+    fewer than k attempts stay in the denominator only. The first max(ks) attempts will do."""
     stats = per_question(attempts).groupBy("model").agg(
         F.count("*").alias("questions"),
         F.array(*[F.struct(F.lit(k).cast("bigint").alias("k"), _passed(k).alias("passed")) for k in ks]).alias("_k"),
@@ -105,28 +112,26 @@ def most_retrieved(attempts: DataFrame, n: int) -> DataFrame:
     )
 
 
-def compare_models(attempts: DataFrame) -> DataFrame:
+def compare_models(attempts: DataFrame, first: DataFrame) -> DataFrame:
     """One row per model: accuracy, pass@1, pass@4, average success rate, tools
-    per sample and the most used tool. The attempts are read once for the
-    per-question level and once for tool names."""
+    per sample and the most used tool. ``first`` has the first four attempts of each
+    question; the other figures need no order."""
     questions = attempts.groupBy("model", "question_id").agg(
-        F.count("*").alias("n"),
-        F.sum("correctness").alias("successes"),
-        F.min(F.when(F.col("correctness") == 1, F.col("attempt"))).alias("first_success"),
-        F.sum("tool_count").alias("tools"),
-        F.max("tool_count").alias("max_tools"),
+        F.count("*").alias("n"), F.sum("correctness").alias("successes"), F.sum("tool_count").alias("tools"), F.max("tool_count").alias("max_tools")
     )
     summary = questions.groupBy("model").agg(
         percent(F.sum("successes"), F.sum("n")).alias("overall_accuracy"),
-        percent(_passed(1), F.count("*")).alias("pass_at_1"),
-        percent(_passed(4), F.count("*")).alias("pass_at_4"),
         (F.avg(F.col("successes") / F.col("n")) * 100).alias("average_success_rate"),
         (F.sum("tools") / F.sum("n")).alias("avg_tools"),
         F.max("max_tools").alias("max_tools"),
     )
+    passed = per_question(first).groupBy("model").agg(
+        percent(_passed(1), F.count("*")).alias("pass_at_1"), percent(_passed(4), F.count("*")).alias("pass_at_4")
+    )
     used = attempts.select("model", F.explode("retrieved").alias("name")).groupBy("model", "name").agg(F.count("*").alias("frequency"))
     top = used.groupBy("model").agg(F.min_by("name", F.struct((-F.col("frequency")).alias("f"), "name")).alias("most_used_tool"))
-    return summary.join(top, "model", "left")
+    columns = ["model", "overall_accuracy", "pass_at_1", "pass_at_4", "average_success_rate", "avg_tools", "max_tools", "most_used_tool"]
+    return summary.join(passed, "model", "left").join(top, "model", "left").select(*columns)
 
 
 def answer_diversity(attempts: DataFrame, answer: Column, reasoning: Column) -> DataFrame:

@@ -10,22 +10,54 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from toolmill.session import materialize
+PAGE_CHARS = 1 << 20
+STEP = 32  # ranges are found in two steps of as many comparisons
+RANGES = STEP * STEP
 
-SPAN = 1_048_576
-PAGE = 1_000
-LAST_SPAN = (1 << 63) - 1  # of rows without an order
 
+def _listed(values: list, of: str) -> Column:
+    """A constant array, made of one literal."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{of}>")
 
-def number_rows(df: DataFrame, keys: list[str], order: str, out: str = "pos0", total: str | None = None, span: int = SPAN) -> DataFrame:
+
+def range_splits(df: DataFrame, order: str, ranges: int = RANGES) -> list[int]:
+    """Borders that cut the values of ``order`` into ``ranges`` parts of about equal row
+    numbers: quantiles of a mergeable sketch over that one column, at most ``ranges`` - 1."""
+    shares = [i / ranges for i in range(1, ranges)]
+    if not shares:
+        return []
+    found = df.select(F.percentile_approx(order, _listed(shares, "double"), 10 * ranges)).first()[0]
+    return sorted(set(found or []))
+
+
+def range_of(value: Column, splits: list[int]) -> Column:
+    """Number of borders at or below ``value``."""
+    if not splits:
+        return F.lit(0)
+    below = lambda borders: F.size(F.filter(borders, lambda s: s <= value))
+    coarse = below(_listed(splits[STEP - 1 :: STEP], "bigint")) if len(splits) >= STEP else F.lit(0)
+    return coarse * STEP + below(F.slice(_listed(splits, "bigint"), coarse * STEP + 1, F.lit(STEP)))
+
+
+def _cut(df: DataFrame, order: str, splits: list[int]) -> DataFrame:
+    """``df`` with ``_span``, the range of its order, and ``_tie``, a digest of rows without
+    an order, which come last and are cut by that digest."""
+    values = [f.name for f in df.schema.fields if f.dataType.typeName() not in ("map", "variant")]
+    tie = F.when(F.col(order).isNull(), F.xxhash64(*values))
+    ranged = df.withColumn("_tie", tie)
+    return ranged.withColumn("_span", F.when(F.col(order).isNotNull(), range_of(F.col(order), splits)).otherwise(len(splits) + 1 + F.pmod("_tie", F.lit(RANGES))).cast("long"))
+
+
+def number_rows(df: DataFrame, keys: list[str], order: str, out: str = "pos0", total: str | None = None, ranges: int = RANGES) -> DataFrame:
     """Zero-based position of each row inside its key, by a unique integer column.
 
-    A plain window would sort a whole key in one task. Here a key is cut into
-    spans of ``order``: rows are numbered inside their span (at most ``span``
-    rows) and the span's offset comes from pre-aggregated counts. Null is a key
-    like any other; rows without an order come last in their key.
+    A plain window would sort a whole key in one task. Here all rows are cut into
+    ranges of ``order`` with about equally many rows, whatever gaps its values have: rows are
+    numbered inside their key's part of a range, and that part's offset comes from
+    pre-aggregated counts. Null is a key like any other; rows without an order come last in
+    their key, by a digest of the row.
     """
-    cut = df.withColumn("_span", F.coalesce(F.floor(F.col(order) / span), F.lit(LAST_SPAN)))
+    cut = _cut(df, order, range_splits(df, order, ranges))
     counts = cut.groupBy(*keys, "_span").agg(F.count("*").alias("_rows"))
     by_key = W.partitionBy(*keys)
     before = by_key.orderBy("_span").rowsBetween(W.unboundedPreceding, -1)
@@ -34,11 +66,11 @@ def number_rows(df: DataFrame, keys: list[str], order: str, out: str = "pos0", t
         offsets = offsets.withColumn(total, F.sum("_rows").over(by_key))
     offsets = offsets.drop("_rows").withColumnsRenamed({k: f"_of_{k}" for k in [*keys, "_span"]})
     same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys], F.col("_span") == F.col("_of__span"))
-    inside = W.partitionBy(*keys, "_span").orderBy(F.col(order).asc_nulls_last())
+    inside = W.partitionBy(*keys, "_span").orderBy(F.col(order).asc_nulls_last(), "_tie")
     return (
         cut.join(offsets, same)
         .withColumn(out, F.col("_offset") + F.row_number().over(inside) - 1)
-        .drop("_span", "_offset", *[f"_of_{k}" for k in [*keys, "_span"]])
+        .drop("_span", "_tie", "_offset", *[f"_of_{k}" for k in [*keys, "_span"]])
     )
 
 
@@ -69,18 +101,16 @@ def fixed_batches(df: DataFrame, position: str, size: int) -> DataFrame:
     return df.withColumn("batch_id", F.floor(F.col(position) / size)).withColumn("batch_index", F.col(position) % size)
 
 
-def place_rows(df: DataFrame, order: str, out: str = "pos0") -> DataFrame:
+def place_rows(df: DataFrame, order: str, out: str = "pos0", ranges: int = RANGES) -> DataFrame:
     """Zero-based position of each row in the whole table, whatever gaps the unique
-    ``order`` has; rows without an order come last. One range shuffle cuts the rows into
-    parts of about equal number, which are stored so that the input is read once; a
-    part's offset comes from the counts of the parts before it."""
-    by_order = F.col(order).asc_nulls_last()
-    parts = materialize(df.repartitionByRange(by_order).withColumn("_part", F.spark_partition_id()), "placed-rows")
-    counts = parts.groupBy("_part").agg(F.count("*").alias("_rows"))
-    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # a row per part
-    offsets = counts.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
-    place = F.col("_offset") + F.row_number().over(W.partitionBy("_part").orderBy(by_order)) - 1
-    return parts.join(offsets, "_part").withColumn(out, place).drop("_part", "_offset")
+    ``order`` has; rows without an order come last. Rows are numbered inside ranges of about
+    equal row numbers; a range's offset comes from the counts of the ranges before it."""
+    cut = _cut(df, order, range_splits(df, order, ranges))
+    counts = cut.groupBy("_span").agg(F.count("*").alias("_rows"))
+    before = W.orderBy("_span").rowsBetween(W.unboundedPreceding, -1)  # a row per range
+    offsets = counts.select("_span", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
+    place = F.col("_offset") + F.row_number().over(W.partitionBy("_span").orderBy(F.col(order).asc_nulls_last(), "_tie")) - 1
+    return cut.join(offsets, "_span").withColumn(out, place).drop("_span", "_tie", "_offset")
 
 
 def request_batches(df: DataFrame, order: str, size: int) -> DataFrame:
@@ -96,8 +126,29 @@ def ordered_text(df: DataFrame, keys: list[str], position: str, line: Column, ou
     return rows.groupBy(*keys).agg(F.concat_ws(separator, listed).alias(out))
 
 
-def pages(df: DataFrame, position: str, size: int = PAGE) -> DataFrame:
-    return df.withColumn("page", F.floor(F.col(position) / size))
+def pages(df: DataFrame, keys: list[str], order: str, line: Column, size: int = PAGE_CHARS) -> DataFrame:
+    """Rows with ``page``, ``n_pages``, ``page_pos`` (the row's place in its key, from 0): a page is
+    the lines that begin within ``size`` characters of each other's page, so its text is at
+    most ``size`` characters and one line. Running lengths are prefix sums over
+    the ranges of ``number_rows``, so no key is laid out in one task."""
+    splits = range_splits(df, order)
+    cut = _cut(df.withColumn("_line", line), order, splits).withColumn("_chars", F.coalesce(F.char_length("_line"), F.lit(0)).cast("long"))
+    sums = cut.groupBy(*keys, "_span").agg(F.count("*").alias("_rows"), F.sum("_chars").alias("_held"))
+    before = W.partitionBy(*keys).orderBy("_span").rowsBetween(W.unboundedPreceding, -1)
+    all_spans = W.partitionBy(*keys)
+    offsets = sums.select(
+        *[F.col(k).alias(f"_of_{k}") for k in [*keys, "_span"]], F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_row0"),
+        F.coalesce(F.sum("_held").over(before), F.lit(0)).alias("_char0"), F.sum("_held").over(all_spans).alias("_all"),
+    )
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys], F.col("_span") == F.col("_of__span"))
+    inside = W.partitionBy(*keys, "_span").orderBy(F.col(order).asc_nulls_last(), "_tie")
+    start = F.col("_char0") + F.coalesce(F.sum("_chars").over(inside.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = cut.join(offsets, same).withColumn("page_pos", F.col("_row0") + F.row_number().over(inside) - 1).withColumn("_start", start)
+    return (
+        placed.withColumn("n_pages", F.floor(F.greatest(F.lit(0), F.col("_all") - 1) / size) + 1)
+        .withColumn("page", F.least(F.floor(F.col("_start") / size), F.col("n_pages") - 1))  # empty lines at the end
+        .drop("_line", "_chars", "_span", "_tie", "_row0", "_char0", "_all", "_start", *[f"_of_{k}" for k in [*keys, "_span"]])
+    )
 
 
 def _seeded(key: str, seed: int) -> Column:

@@ -1,5 +1,6 @@
-"""Conversations as text. A conversation is cut into pages of 1,000 messages, so
-one of any length is never gathered whole; page texts in order are the transcript."""
+"""Conversations as text. A conversation is cut into pages by the running length of its
+messages, so one of any length is never gathered whole; the texts of its ``n_pages`` pages
+in order are the transcript. ``page_chars`` bounds a page to that many characters of content and one message."""
 
 from __future__ import annotations
 
@@ -7,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from toolmill.functions import fixed
-from toolmill.operators.ordering import ordered_text, pages
+from toolmill.operators.ordering import PAGE_CHARS, ordered_text, pages
 
 
 def _calls() -> Column:
@@ -26,19 +27,20 @@ def _lines_of_message() -> Column:
     )
 
 
-def analysis_transcript(messages: DataFrame) -> DataFrame:
+def analysis_transcript(messages: DataFrame, page_chars: int = PAGE_CHARS) -> DataFrame:
     lined = messages.withColumn("_lines", _lines_of_message()).where(F.size("_lines") > 0)
-    return ordered_text(pages(lined, "turn"), ["conv_id", "page"], "turn", F.array_join("_lines", "\n\n"), separator="\n\n")
+    paged = pages(lined, ["conv_id"], "turn", F.col("content"), page_chars)
+    return ordered_text(paged, ["conv_id", "page", "n_pages"], "page_pos", F.array_join("_lines", "\n\n"), separator="\n\n")
 
 
-def reading_transcript(messages: DataFrame) -> DataFrame:
-    """Numbered messages with a mark per role and their tool calls spelled out.
+def reading_transcript(messages: DataFrame, page_chars: int = PAGE_CHARS) -> DataFrame:
+    """Messages numbered by their place in the conversation, with a mark per role and their tool calls spelled out.
     Ids come from ``id`` of a call and ``tool_call_id`` of a message, ``unknown`` where
     there is none."""
     icon = F.lit(fixed.OTHER_ICON)
     for role, mark in fixed.ROLE_ICONS.items():
         icon = F.when(F.col("role") == role, mark).otherwise(icon)
-    number = (F.col("turn") + 1).cast("string")
+    number = (F.col("page_pos") + 1).cast("string")
     has_content = F.coalesce(F.col("content"), F.lit("")) != ""
     call_lines = F.transform(
         _calls(),
@@ -56,4 +58,5 @@ def reading_transcript(messages: DataFrame) -> DataFrame:
         F.when((F.col("role") == "tool") & has_content, F.concat(F.lit("Tool Result:\n"), F.col("content"))),
         F.lit(""),
     )
-    return ordered_text(pages(messages, "turn"), ["conv_id", "page"], "turn", F.concat_ws("\n", parts))
+    paged = pages(messages, ["conv_id"], "turn", F.col("content"), page_chars)
+    return ordered_text(paged, ["conv_id", "page", "n_pages"], "page_pos", F.concat_ws("\n", parts))

@@ -60,7 +60,7 @@ def success_distribution(spark, folder):
     round(count(*) FILTER (len(c) >= k AND list_sum(c[1:k]) >= 1) * 100.0 / count(*), 4) AS pass_at_k
     FROM g, (SELECT unnest([CAST(1 AS BIGINT), 2, 3, 4]) AS k) GROUP BY model, k""")
 def pass_at_k(spark, folder):
-    return rounded(metrics.pass_at_k(roles.attempts(spark, folder), KS), "pass_at_k")
+    return rounded(metrics.pass_at_k(roles.first_attempts(spark, folder, max(KS)), KS), "pass_at_k")
 
 
 @query("a7_tool_counts", """SELECT model, round(avg(tool_count), 4) AS avg_tools, max(tool_count) AS max_tools, min(tool_count) AS min_tools
@@ -98,7 +98,7 @@ def accuracy_by_tool_count(spark, folder):
     SELECT model, round(acc, 4) AS overall_accuracy, round(p1, 4) AS pass_at_1, round(p4, 4) AS pass_at_4, round(s, 4) AS average_success_rate,
     round(t, 4) AS avg_tools, m AS max_tools, name AS most_used_tool FROM q JOIN a USING (model) JOIN u USING (model)""")
 def model_comparison(spark, folder):
-    compared = metrics.compare_models(roles.with_retrieved(roles.attempts(spark, folder)))
+    compared = metrics.compare_models(roles.with_retrieved(roles.plain_attempts(spark, folder)), roles.first_attempts(spark, folder, 4))
     return rounded(compared, "overall_accuracy", "pass_at_1", "pass_at_4", "average_success_rate", "avg_tools")
 
 
@@ -331,12 +331,15 @@ def merged_library(spark, folder):
     return merged.select("cluster_name", F.col("part").cast("bigint").alias("part"), "sib_index", F.col("line_no").cast("bigint").alias("line_no"), "text")
 
 
-@query("a31_block_suggestions", """WITH s AS (SELECT cluster_name, y, o_orderkey, answer, row_number() OVER (PARTITION BY cluster_name, y ORDER BY o_orderkey) AS i FROM r_cluster_tools)
-    SELECT cluster_name, CAST(y AS BIGINT) AS sib_index, CAST(0 AS BIGINT) AS page, string_agg('- From Tool' || i || ': improve ' || o_orderkey, chr(10) ORDER BY i) AS suggestions
-    FROM s WHERE answer <> 'O' GROUP BY cluster_name, y""")
+@query("a31_block_suggestions", """WITH s AS (SELECT cluster_name, y, o_orderkey, answer, row_number() OVER w AS i,
+        coalesce(sum(CASE WHEN answer = 'O' THEN 0 ELSE len('improve ' || o_orderkey) END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
+        sum(CASE WHEN answer = 'O' THEN 0 ELSE len('improve ' || o_orderkey) END) OVER (PARTITION BY cluster_name, y) AS held FROM r_cluster_tools WINDOW w AS (PARTITION BY cluster_name, y ORDER BY o_orderkey)),
+    p AS (SELECT *, CAST(greatest(0, held - 1) // 24 + 1 AS BIGINT) AS n_pages FROM s)
+    SELECT cluster_name, CAST(y AS BIGINT) AS sib_index, CAST(least(start // 24, n_pages - 1) AS BIGINT) AS page, n_pages, string_agg('- From Tool' || i || ': improve ' || o_orderkey, chr(10) ORDER BY i) AS suggestions
+    FROM p WHERE answer <> 'O' GROUP BY ALL""")
 def block_suggestions(spark, folder):
     rows = table(spark, folder, "orders").select(
         F.expr(roles.CLUSTER).alias("cluster_name"), F.year("o_orderdate").cast("bigint").alias("sib_index"), F.col("o_orderkey").alias("pos"),
         F.expr("CASE WHEN o_orderstatus = 'O' THEN '' ELSE concat('improve ', CAST(o_orderkey AS STRING)) END").alias("suggestion"),
     )
-    return blocks.suggestions(rows)
+    return blocks.suggestions(rows, page_chars=24)  # short pages, so that blocks have several

@@ -197,22 +197,14 @@ def schema_lists(spark, folder):
     return ordering.ordered_text(batches, ["batch_id"], "batch_index", catalog.list_line(F.col("info"), F.col("tag")))
 
 
-@query("p19_batch_listings", """WITH t AS (SELECT tool_id // 20 AS batch_id, tool_id % 20 + 1 AS i, json_extract_string(info, '$.function.name') AS n, json_extract_string(info, '$.function.description') AS d FROM r_tools),
+BATCH_LISTING_SQL = """WITH t AS (SELECT tool_id // 20 AS batch_id, tool_id % 20 + 1 AS i, json_extract_string(info, '$.function.name') AS n, json_extract_string(info, '$.function.description') AS d FROM r_tools),
     l AS (SELECT batch_id, string_agg('# Function ' || i || ': ' || coalesce(n, 'tool_' || i) || chr(10) || '# Description: ' || coalesce(d, 'Function: ' || coalesce(n, 'tool_' || i)) || chr(10), chr(10) ORDER BY i) AS text FROM t GROUP BY 1)
-    SELECT batch_id, coalesce(text, 'No tools found in this cluster.') AS text FROM (SELECT 2 * s_suppkey AS batch_id FROM supplier) LEFT JOIN l USING (batch_id)""")
-def batch_listings(spark, folder):
-    """Every second batch; those beyond the last tool are empty."""
-    wanted = table(spark, folder, "supplier").select((2 * F.col("s_suppkey")).alias("batch_id"))
-    named = roles.parsed_tools(spark, folder).select(
-        "pos", catalog.json_string(F.col("info"), "$.function.name").alias("name"), catalog.json_string(F.col("info"), "$.function.description").alias("description"),
-    )
-    return catalog.function_listing(wanted, ordering.fixed_batches(named, "pos", fixed.REQUEST_BATCH), ["batch_id"], "batch_index")
+    SELECT batch_id, coalesce(text, 'No tools found in this cluster.') AS text FROM (SELECT 2 * s_suppkey AS batch_id FROM supplier UNION SELECT batch_id FROM t) LEFT JOIN l USING (batch_id)"""
 
 
-@query("p19_every_batch_listing", """WITH t AS (SELECT tool_id // 20 AS batch_id, tool_id % 20 + 1 AS i, json_extract_string(info, '$.function.name') AS n, json_extract_string(info, '$.function.description') AS d FROM r_tools),
-    l AS (SELECT batch_id, string_agg('# Function ' || i || ': ' || coalesce(n, 'tool_' || i) || chr(10) || '# Description: ' || coalesce(d, 'Function: ' || coalesce(n, 'tool_' || i)) || chr(10), chr(10) ORDER BY i) AS text FROM t GROUP BY 1)
-    SELECT batch_id, coalesce(text, 'No tools found in this cluster.') AS text FROM (SELECT 2 * s_suppkey AS batch_id FROM supplier UNION SELECT batch_id FROM t) LEFT JOIN l USING (batch_id)""")
-def every_batch_listing(spark, folder):
+@query("p19_batch_listings", BATCH_LISTING_SQL)
+@query("p19_every_batch_listing", BATCH_LISTING_SQL)
+def batch_listings(spark, folder):
     """Every batch of the tools, and twice the suppliers' numbers; those beyond the last tool are empty."""
     named = roles.parsed_tools(spark, folder).select(
         "pos", catalog.json_string(F.col("info"), "$.function.name").alias("name"), catalog.json_string(F.col("info"), "$.function.description").alias("description"),
@@ -223,16 +215,22 @@ def every_batch_listing(spark, folder):
     return catalog.function_listing(wanted, batches, ["batch_id"], "batch_index")
 
 
-@query("p20_analysis_transcripts", """SELECT conv_id, turn // 1000 AS page, string_agg(CASE role WHEN 'user' THEN '**User:** ' || content
+PAGE_CHARS = 600
+PAGED_SQL = f"""SELECT *, least(n_pages - 1, CAST(start // {PAGE_CHARS} AS BIGINT)) AS page FROM (SELECT *, coalesce(sum(len(content)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
+    CAST(greatest(0, sum(len(content)) OVER (PARTITION BY conv_id) - 1) // {PAGE_CHARS} + 1 AS BIGINT) AS n_pages, row_number() OVER w - 1 AS page_pos
+    FROM r_messages {{which}} WINDOW w AS (PARTITION BY conv_id ORDER BY turn))"""
+
+
+@query("p20_analysis_transcripts", f"""SELECT conv_id, page, n_pages, string_agg(CASE role WHEN 'user' THEN '**User:** ' || content
     WHEN 'tool' THEN '  📋 Tool result: ' || content ELSE '**Assistant:** ' || content || coalesce(chr(10) || chr(10) || '  🔧 Called tool: ' || call_name || '(' || call_arguments || ')', '') END, chr(10) || chr(10) ORDER BY turn) AS text
-    FROM r_messages WHERE role IN ('user', 'assistant', 'tool') GROUP BY ALL""")
+    FROM ({PAGED_SQL.format(which="WHERE role IN ('user', 'assistant', 'tool')")}) GROUP BY ALL""")
 def analysis_transcripts(spark, folder):
-    return transcripts.analysis_transcript(roles.messages(spark, folder))
+    return transcripts.analysis_transcript(roles.messages(spark, folder), PAGE_CHARS)
 
 
-@query("p20_reading_transcripts", """SELECT conv_id, turn // 1000 AS page, string_agg(chr(10) || repeat('=', 60) || chr(10) || 'Message ' || (turn + 1) || ': ' || CASE role WHEN 'user' THEN '👤' WHEN 'assistant' THEN '🤖' WHEN 'tool' THEN '🔧' ELSE '❓' END
+@query("p20_reading_transcripts", f"""SELECT conv_id, page, n_pages, string_agg(chr(10) || repeat('=', 60) || chr(10) || 'Message ' || (page_pos + 1) || ': ' || CASE role WHEN 'user' THEN '👤' WHEN 'assistant' THEN '🤖' WHEN 'tool' THEN '🔧' ELSE '❓' END
     || ' ' || upper(role) || chr(10) || repeat('=', 60) || chr(10) || 'Content:' || chr(10) || content
     || coalesce(chr(10) || chr(10) || '🔧 TOOL CALLS:' || chr(10) || '  Tool Call 1:' || chr(10) || '    ID: ' || coalesce(call_id, 'unknown') || chr(10) || '    Function: ' || call_name || chr(10) || '    Arguments: ' || call_arguments, '') || CASE WHEN role = 'tool' THEN chr(10) || 'Tool Call ID: ' || coalesce(answers, 'unknown') || chr(10) || 'Tool Result:' || chr(10) || content ELSE '' END || chr(10), chr(10) ORDER BY turn) AS text
-    FROM r_messages GROUP BY ALL""")
+    FROM ({PAGED_SQL.format(which="")}) GROUP BY ALL""")
 def reading_transcripts(spark, folder):
-    return transcripts.reading_transcript(roles.messages(spark, folder))
+    return transcripts.reading_transcript(roles.messages(spark, folder), PAGE_CHARS)

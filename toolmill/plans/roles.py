@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from toolmill.operators import metrics
 from toolmill.operators.ordering import number_rows
 from toolmill.sources.readers import spread, table
 
@@ -150,9 +151,8 @@ ROLE_SQL: dict[str, str] = {
     "r_final": "SELECT DISTINCT 'c' || o_custkey AS cluster_name, CAST(year(o_orderdate) AS BIGINT) AS sib_index FROM orders WHERE o_orderstatus = 'P'",
     "r_problems": """SELECT substr(o_orderpriority, 1, 1) AS subfield, CAST(year(o_orderdate) AS BIGINT) AS iter, o_orderkey AS problem_id,
         o_orderstatus = 'F' AS is_correct, o_orderpriority || ' ' || o_orderkey AS problem_text FROM orders""",
-    "r_calls": """SELECT DISTINCT subfield, iter, problem_id, l_suppkey AS tool_id, is_correct FROM r_problems JOIN lineitem ON l_orderkey = problem_id
-        WHERE subfield = CAST(1 + l_suppkey % 5 AS VARCHAR)""",
-    "r_subfield_tools": "SELECT CAST(1 + s_suppkey % 5 AS VARCHAR) AS subfield, s_suppkey AS tool_id FROM supplier",
+    "r_calls": """SELECT DISTINCT subfield, iter, problem_id, l_suppkey AS tool_id, is_correct FROM r_problems JOIN lineitem ON l_orderkey = problem_id""",
+    "r_subfield_tools": "SELECT unnest(['1', '2', '3', '4', '5']) AS subfield, s_suppkey AS tool_id FROM supplier",
     "r_usage": """SELECT subfield, tool_id, iter, sum(f) OVER w AS freq, sum(t) OVER w AS tsr FROM (
         SELECT subfield, tool_id, iter, count(*) AS f, sum(CAST(is_correct AS BIGINT)) AS t FROM r_calls GROUP BY ALL)
         WINDOW w AS (PARTITION BY subfield, tool_id ORDER BY iter)""",
@@ -186,6 +186,12 @@ def attempts(spark: SparkSession, folder: str) -> DataFrame:
     return number_rows(rows, ["question_id", "model"], "event_id", "attempt")
 
 
+def first_attempts(spark: SparkSession, folder: str, n: int) -> DataFrame:
+    """The first n attempts of each question and model."""
+    rows = table(spark, folder, "events").select(F.col("user_id").alias("question_id"), F.expr(MODEL).alias("model"), "event_id", F.expr(CORRECT).alias("correctness"))
+    return metrics.first_attempts(rows, "event_id", n)
+
+
 def with_retrieved(rows: DataFrame) -> DataFrame:
     """Adds the names retrieved in each attempt (``tool_count`` of them)."""
     names = F.when(F.col("tool_count") > 0, F.transform(
@@ -345,15 +351,14 @@ def problems(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def calls(spark: SparkSession, folder: str) -> DataFrame:
-    """Tools called for a problem: the order's suppliers of the problem's subfield."""
-    called = table(spark, folder, "lineitem").select(
-        F.col("l_orderkey").alias("problem_id"), F.col("l_suppkey").alias("tool_id"), (1 + F.col("l_suppkey") % 5).cast("string").alias("subfield")
-    ).distinct()
-    return called.join(problems(spark, folder).drop("problem_text"), ["problem_id", "subfield"])
+    """Tools called for a problem: the suppliers of all the order's lines."""
+    called = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("problem_id"), F.col("l_suppkey").alias("tool_id")).distinct()
+    return called.join(problems(spark, folder).drop("problem_text"), "problem_id")
 
 
 def subfield_tools(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "supplier").select((1 + F.col("s_suppkey") % 5).cast("string").alias("subfield"), F.col("s_suppkey").alias("tool_id"))
+    """Every supplier is a tool of every subfield."""
+    return table(spark, folder, "supplier").select(F.explode(F.array(*[F.lit(str(i)) for i in range(1, 6)])).alias("subfield"), F.col("s_suppkey").alias("tool_id"))
 
 
 def knowledge(spark: SparkSession, folder: str) -> DataFrame:

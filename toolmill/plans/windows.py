@@ -37,7 +37,7 @@ def chunk_sizes(spark, folder):
 @query("w3_successes_in_first_k", """SELECT model, question_id, k, CAST(coalesce(sum(correctness) FILTER (attempt < k), 0) AS BIGINT) AS successes
     FROM (SELECT a.model, a.question_id, a.correctness, a.attempt, ks.k AS k FROM r_attempts a, (SELECT unnest([CAST(1 AS BIGINT), 2, 3, 4]) AS k) ks) GROUP BY ALL""")
 def successes_in_first_k(spark, folder):
-    return metrics.successes_in_first(roles.attempts(spark, folder), [1, 2, 3, 4])
+    return metrics.successes_in_first(roles.first_attempts(spark, folder, 4), [1, 2, 3, 4])
 
 
 @query("w4_last_assistant_message", "SELECT conv_id, max(turn) AS turn, arg_max(content, turn) AS content FROM r_messages WHERE role = 'assistant' AND content <> '' GROUP BY conv_id")
