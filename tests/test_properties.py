@@ -23,10 +23,10 @@ def test_chunks_are_even_and_complete(spark, sizes, maximum):
 
 
 @FEW
-@given(ranges=st.integers(1, 60), data=st.lists(st.tuples(st.integers(0, 2), st.integers(0, 500)), unique_by=lambda r: r[1], min_size=1, max_size=80))
-def test_numbering_in_ranges_is_row_number(spark, ranges, data):
+@given(per_range=st.integers(1, 60), data=st.lists(st.tuples(st.integers(0, 2), st.integers(0, 500)), unique_by=lambda r: r[1], min_size=1, max_size=80))
+def test_numbering_in_ranges_is_row_number(spark, per_range, data):
     df = spark.createDataFrame(data, "k bigint, o bigint")
-    got = sorted((r["k"], r["o"], r["pos0"], r["n"]) for r in ordering.number_rows(df, ["k"], "o", total="n", ranges=ranges).collect())
+    got = sorted((r["k"], r["o"], r["pos0"], r["n"]) for r in ordering.number_rows(df, ["k"], "o", total="n", rows_per_range=per_range).collect())
     expected = []
     for k in {k for k, _ in data}:
         mine = sorted(o for key, o in data if key == k)
@@ -106,11 +106,11 @@ def test_a_hot_key_is_numbered_in_ranges(spark, dense):
     range of a key has more than its share of rows."""
     order = F.col("id") if dense else F.xxhash64("id")
     df = spark.range(9_000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 500).cast("string")).alias("k"), F.when(F.col("id") % 3 != 1, order).alias("o"), F.col("id").alias("v"))
-    numbered = ordering.number_rows(df, ["k"], "o", total="n").collect()
+    numbered = ordering.number_rows(df, ["k"], "o", total="n", rows_per_range=9).collect()
     for key in ("hot", "1", "2"):
         mine = sorted((r["pos0"], r["o"] is None, r["o"] or 0) for r in numbered if r["k"] == key)
         assert [m[0] for m in mine] == list(range(len(mine))) and [m[1:] for m in mine] == sorted(m[1:] for m in mine)
-    cut = ordering._cut(df, "o", ordering.range_splits(df, "o"))
+    cut = ordering._cut(df, "o", ordering.range_splits(df, "o", 9))
     assert max(r["count"] for r in cut.groupBy("k", "_span").count().collect()) <= 20
 
 
@@ -118,7 +118,7 @@ def test_pages_by_running_length(spark):
     """A conversation far over the bound: pages hold it in order, none over the bound and one line."""
     lines = [("a", 10 * i + i % 7, "x" * (i % 90)) for i in range(700)] + [("b", 5, "one"), ("c", 1, ""), ("d", 1, None)]
     df = spark.createDataFrame(lines, "k string, o bigint, t string")
-    got = ordering.pages(df, ["k"], "o", F.col("t"), 500).collect()
+    got = ordering.pages(df, ["k"], "o", F.col("t"), 500, rows_per_range=40).collect()
     mine = sorted((r for r in got if r["k"] == "a"), key=lambda r: r["o"])
     assert [r["page_pos"] for r in mine] == list(range(700)) and {r["n_pages"] for r in mine} == {mine[-1]["page"] + 1}
     held = {}

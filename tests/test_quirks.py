@@ -354,7 +354,7 @@ def test_info_that_is_no_object_stays(rows):
 
 def test_batches_of_sparse_ids(rows):
     ids = [(n * n * 10**12,) for n in range(50)] + [(None,)]
-    batches = ordering.request_batches(rows("id bigint", ids[::-1]), "id", 20)
+    batches = ordering.request_batches(rows("id bigint", ids[::-1]), "id", 20, rows_per_range=7)
     found = [(r["id"], r["batch_id"], r["batch_index"]) for r in batches.orderBy("batch_id", "batch_index").collect()]
     assert found == [(i, n // 20, n % 20) for n, (i,) in enumerate(ids)]
     assert ordering.request_batches(rows("id bigint", []), "id", 20).count() == 0

@@ -79,10 +79,10 @@ def cluster_sizes(members: DataFrame) -> DataFrame:
     return members.groupBy("cluster_id").agg(F.count("*").alias("n_tools"))
 
 
-def split_evenly(members: DataFrame, position: str, maximum: int = fixed.CLUSTER_MAX) -> DataFrame:
+def split_evenly(members: DataFrame, position: str, maximum: int = fixed.CLUSTER_MAX, values: DataFrame | None = None) -> DataFrame:
     """Members with ``cluster_name``: clusters over the maximum become
     ceil(n / maximum) chunks of sizes that differ by at most one, larger first."""
-    placed = number_rows(members, ["cluster_id"], position, "pos0", "cluster_size")
+    placed = number_rows(members, ["cluster_id"], position, "pos0", "cluster_size", values=values)
     n, pos = F.col("cluster_size"), F.col("pos0")
     chunks = F.ceil(n / maximum)
     base, rest = F.floor(n / chunks), n % chunks

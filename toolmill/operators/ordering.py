@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 PAGE_CHARS = 1 << 20
-STEP = 32  # ranges are found in two steps of as many comparisons
-RANGES = STEP * STEP
+ROWS_PER_RANGE = 1 << 20
+RANGES = 1_024  # the most
 
 
 def _listed(values: list, of: str) -> Column:
@@ -20,36 +20,36 @@ def _listed(values: list, of: str) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{of}>")
 
 
-def range_splits(df: DataFrame, order: str, ranges: int = RANGES) -> list[int]:
-    """Borders that cut the values of ``order`` into ``ranges`` parts of about equal row
-    numbers: quantiles of a mergeable sketch over that one column, at most ``ranges`` - 1."""
-    shares = [i / ranges for i in range(1, ranges)]
-    if not shares:
-        return []
-    found = df.select(F.percentile_approx(order, _listed(shares, "double"), 10 * ranges)).first()[0]
-    return sorted(set(found or []))
+def range_splits(df: DataFrame, order: str, rows_per_range: int = ROWS_PER_RANGE) -> list[int]:
+    """Borders that cut the values of ``order`` into parts of about ``rows_per_range`` rows (or a
+    ``RANGES``-th of all, if that is more): quantiles of a mergeable sketch over that one column."""
+    shares = [i / RANGES for i in range(1, RANGES)]
+    rows, found = df.select(F.count(order), F.percentile_approx(order, _listed(shares, "double"), 10 * RANGES)).first()
+    ranges = min(RANGES, -(-rows // rows_per_range))
+    return sorted({found[i * RANGES // ranges - 1] for i in range(1, ranges)})
 
 
 def range_of(value: Column, splits: list[int]) -> Column:
-    """Number of borders at or below ``value``."""
+    """Number of borders at or below ``value``, by halving: ten comparisons for a thousand borders."""
     if not splits:
         return F.lit(0)
-    below = lambda borders: F.size(F.filter(borders, lambda s: s <= value))
-    coarse = below(_listed(splits[STEP - 1 :: STEP], "bigint")) if len(splits) >= STEP else F.lit(0)
-    return coarse * STEP + below(F.slice(_listed(splits, "bigint"), coarse * STEP + 1, F.lit(STEP)))
+    borders = _listed(splits, "bigint")
+    steps = [1 << i for i in reversed(range(len(splits).bit_length()))]
+    return F.aggregate(_listed(steps, "int"), F.lit(0), lambda i, step: i + F.when(value >= F.get(borders, i + step - 1), step).otherwise(0))
 
 
 def _cut(df: DataFrame, order: str, splits: list[int]) -> DataFrame:
     """``df`` with ``_span``, the range of its order, and ``_tie``, a digest of rows without
-    an order, which come last and are cut by that digest."""
+    an order, which come last and are cut into as many parts by that digest."""
     values = [f.name for f in df.schema.fields if f.dataType.typeName() not in ("map", "variant")]
     tie = F.when(F.col(order).isNull(), F.xxhash64(*values))
     ranged = df.withColumn("_tie", tie)
-    return ranged.withColumn("_span", F.when(F.col(order).isNotNull(), range_of(F.col(order), splits)).otherwise(len(splits) + 1 + F.pmod("_tie", F.lit(RANGES))).cast("long"))
+    return ranged.withColumn("_span", F.when(F.col(order).isNotNull(), range_of(F.col(order), splits)).otherwise(len(splits) + 1 + F.pmod("_tie", F.lit(len(splits) + 1))).cast("long"))
 
 
-def number_rows(df: DataFrame, keys: list[str], order: str, out: str = "pos0", total: str | None = None, ranges: int = RANGES) -> DataFrame:
-    """Zero-based position of each row inside its key, by a unique integer column.
+def number_rows(df: DataFrame, keys: list[str], order: str, out: str = "pos0", total: str | None = None, rows_per_range: int = ROWS_PER_RANGE, values: DataFrame | None = None) -> DataFrame:
+    """Zero-based position of each row inside its key, by a unique integer column. The ranges'
+    borders are taken from ``values``, if a table is given that has the column and costs less to read.
 
     A plain window would sort a whole key in one task. Here all rows are cut into
     ranges of ``order`` with about equally many rows, whatever gaps its values have: rows are
@@ -57,7 +57,7 @@ def number_rows(df: DataFrame, keys: list[str], order: str, out: str = "pos0", t
     pre-aggregated counts. Null is a key like any other; rows without an order come last in
     their key, by a digest of the row.
     """
-    cut = _cut(df, order, range_splits(df, order, ranges))
+    cut = _cut(df, order, range_splits(values or df, order, rows_per_range))
     counts = cut.groupBy(*keys, "_span").agg(F.count("*").alias("_rows"))
     by_key = W.partitionBy(*keys)
     before = by_key.orderBy("_span").rowsBetween(W.unboundedPreceding, -1)
@@ -101,11 +101,11 @@ def fixed_batches(df: DataFrame, position: str, size: int) -> DataFrame:
     return df.withColumn("batch_id", F.floor(F.col(position) / size)).withColumn("batch_index", F.col(position) % size)
 
 
-def place_rows(df: DataFrame, order: str, out: str = "pos0", ranges: int = RANGES) -> DataFrame:
+def place_rows(df: DataFrame, order: str, out: str = "pos0", rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """Zero-based position of each row in the whole table, whatever gaps the unique
     ``order`` has; rows without an order come last. Rows are numbered inside ranges of about
     equal row numbers; a range's offset comes from the counts of the ranges before it."""
-    cut = _cut(df, order, range_splits(df, order, ranges))
+    cut = _cut(df, order, range_splits(df, order, rows_per_range))
     counts = cut.groupBy("_span").agg(F.count("*").alias("_rows"))
     before = W.orderBy("_span").rowsBetween(W.unboundedPreceding, -1)  # a row per range
     offsets = counts.select("_span", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
@@ -113,9 +113,9 @@ def place_rows(df: DataFrame, order: str, out: str = "pos0", ranges: int = RANGE
     return cut.join(offsets, "_span").withColumn(out, place).drop("_span", "_tie", "_offset")
 
 
-def request_batches(df: DataFrame, order: str, size: int) -> DataFrame:
+def request_batches(df: DataFrame, order: str, size: int, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """Consecutive batches of ``size`` rows in order, the last one perhaps smaller."""
-    return fixed_batches(place_rows(df, order, "_place"), "_place", size).drop("_place")
+    return fixed_batches(place_rows(df, order, "_place", rows_per_range), "_place", size).drop("_place")
 
 
 def ordered_text(df: DataFrame, keys: list[str], position: str, line: Column, out: str = "text", separator: str = "\n") -> DataFrame:
@@ -126,12 +126,12 @@ def ordered_text(df: DataFrame, keys: list[str], position: str, line: Column, ou
     return rows.groupBy(*keys).agg(F.concat_ws(separator, listed).alias(out))
 
 
-def pages(df: DataFrame, keys: list[str], order: str, line: Column, size: int = PAGE_CHARS) -> DataFrame:
+def pages(df: DataFrame, keys: list[str], order: str, line: Column, size: int = PAGE_CHARS, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """Rows with ``page``, ``n_pages``, ``page_pos`` (the row's place in its key, from 0): a page is
     the lines that begin within ``size`` characters of each other's page, so its text is at
     most ``size`` characters and one line. Running lengths are prefix sums over
     the ranges of ``number_rows``, so no key is laid out in one task."""
-    splits = range_splits(df, order)
+    splits = range_splits(df, order, rows_per_range)
     cut = _cut(df.withColumn("_line", line), order, splits).withColumn("_chars", F.coalesce(F.char_length("_line"), F.lit(0)).cast("long"))
     sums = cut.groupBy(*keys, "_span").agg(F.count("*").alias("_rows"), F.sum("_chars").alias("_held"))
     before = W.partitionBy(*keys).orderBy("_span").rowsBetween(W.unboundedPreceding, -1)

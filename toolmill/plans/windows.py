@@ -25,7 +25,8 @@ def even_chunks(spark, folder):
 
 
 def chunked_members(spark, folder):
-    return cluster.split_evenly(resolved_members(spark, folder), "pos")
+    orders = table(spark, folder, "orders").select(F.col("o_orderkey").alias("pos"))
+    return cluster.split_evenly(resolved_members(spark, folder), "pos", values=orders)
 
 
 @query("w2_chunk_sizes", "SELECT cluster_id, cluster_name, count(*) AS n_tools FROM r_chunks WHERE n >= 50 AND cluster_id NOT LIKE '%}%' GROUP BY ALL")
