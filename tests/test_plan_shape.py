@@ -40,3 +40,8 @@ def test_top_k_is_limited_before_the_shuffle(spark):
 def test_pass_at_k_combines_before_the_shuffle(spark):
     text = plan(QUERIES["a6_pass_at_k"](spark, FOLDER))
     assert "partial_min" in text and "Python" not in text
+
+
+def test_budgets_are_folded_inside_a_row(spark):
+    text = plan(QUERIES["q2_schema_budgets"](spark, FOLDER))
+    assert "Aggregate" not in text and text.count("Exchange") == text.count("REPARTITION_BY_NUM")  # small inputs are dealt to all cores

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from toolmill.functions import code as pycode
 from toolmill.functions import schema, scoring, text, vectors
+from toolmill.functions import text as tools_text
 from toolmill.operators import blocks, catalog, cluster, extraction, metrics, ordering, retrieve, usage
 from toolmill.sources import readers
 
@@ -480,3 +481,45 @@ def test_every_tool_is_listed(spark):
     tools = roles.parsed_tools(spark, folder).count()
     assert sum(text.count("# Function ") for text in rows.values()) == tools
     assert set(range(-(-tools // 20))) < set(rows) and "No tools found in this cluster." in rows.values()
+
+
+def test_calls_have_every_line(spark):
+    from toolmill.plans import roles
+
+    folder = "/root/testdata/sf0.01"
+    lines = spark.read.parquet(f"{folder}/lineitem.parquet").select("l_orderkey", "l_suppkey").distinct()
+    called = roles.calls(spark, folder).select("problem_id", "tool_id")
+    assert called.count() == lines.count() and called.exceptAll(lines).count() == 0
+
+
+def test_blanks_of_any_script(spark):
+    from toolmill.operators import logs
+
+    text = "one two　three  four\x1cfive​six "
+    assert one(spark, logs.word_count(F.col("t")), t=text) == len(text.split()) == 5
+    assert one(spark, tools_text.strip(F.col("t")), t=" 　 x ") == "x"
+
+
+def test_first_character_after_the_last_marker(spark):
+    for response, answer in (("Final Answer: A. Final Answer:  (b)", "("), ("Final Answer: b", "b"), ("Final Answer: ", ""), ("no marker", "n"), ("", "")):
+        assert one(spark, scoring.predicted_first(F.col("r")), r=response) == answer
+
+
+def test_prompt_by_evaluation_type(spark):
+    prompt = scoring.question_prompt(F.col("q"), F.col("e"), {"multiple_choice": "Choose: {question}"}, "Number: {question}")
+    assert one(spark, prompt, q="a {question}?", e="multiple_choice") == "Choose: a {question}?"
+    assert one(spark, prompt, q="x", e=None) == one(spark, prompt, q="x", e="anything") == "Number: x"
+
+
+def test_booleans_may_pass_as_values(rows):
+    info = '{"type":"function","function":{"name":"f","description":"d","parameters":{"type":"object","properties":{"a":{"type":"integer","default":true}}}}}'
+    tools = rows("tool_id bigint, info string", [(1, info)])
+    assert values(schema.schema_errors(tools), "error_type", "property") == [("schema_invalid_value_type", "a")]
+    assert schema.schema_errors(tools, booleans=False).count() == 0
+
+
+def test_texts_that_are_no_tree_are_rejects(rows):
+    deep = '{"a":' * 3_000 + "1" + "}" * 3_000
+    tools = rows("tool_id bigint, parameters string", [(1, '{"type":"object"}'), (2, "{bad"), (3, None), (4, deep)])
+    assert values(schema.unreadable_schemas(tools), "tool_id") == [(2,), (4,)]
+    assert values(schema.schema_budgets(tools), "tool_id", "max_depth") == [(1, 1)]

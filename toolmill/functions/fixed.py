@@ -4,6 +4,7 @@ stated here once and used by name."""
 # --- fixed values: answers -------------------------------------------------
 ANSWER_MARKER = "Final Answer"
 ANSWER_MARKER_COLON = "Final Answer:"
+ANSWER_MARKER_SPACE = "Final Answer: "
 BOXED_OPEN = "boxed{"
 SEARCH_MARKER = "Search Query:"
 CHOICES_A_TO_J = "[A-J]"
@@ -105,4 +106,6 @@ RULE = "=" * 60
 CALLS_HEADING = "\n🔧 TOOL CALLS:"
 
 # --- fixed values: characters stripped as white space -------------------------
-BLANK = " \t\n\r\x0b\x0c"
+BLANK = (
+    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)

@@ -98,8 +98,9 @@ def _issue(test: Column, error_type: str, prop: Column, detail: Column) -> Colum
     return F.when(test, F.struct(F.lit(error_type).alias("error_type"), prop.alias("property"), detail.alias("detail")))
 
 
-def schema_errors(tools: DataFrame, info: str = "info") -> DataFrame:
-    """One row per violation ``(tool_id, error_type, property, detail)`` of the schema texts."""
+def schema_errors(tools: DataFrame, info: str = "info", booleans: bool = True) -> DataFrame:
+    """One row per violation ``(tool_id, error_type, property, detail)`` of the schema texts.
+    ``booleans=False`` lets booleans pass as default, minimum or maximum, as numbers do."""
     nothing = F.lit("")
     v = F.col("_info")
     parameters = F.col("_parameters")
@@ -153,7 +154,7 @@ def schema_errors(tools: DataFrame, info: str = "info") -> DataFrame:
                 lambda e: F.array(
                     _issue(has_type(e["value"], "array") & at(e["value"], "$.items").isNull(), "schema_array_missing_items", e["key"], F.lit("items")),
                     _issue(is_array(at(e["value"], "$.type")), "schema_type_array", e["key"], F.lit("type")),
-                    *[_issue(is_boolean(at(e["value"], f"$.{f}")), "schema_invalid_value_type", e["key"], F.lit(f)) for f in fixed.VALUE_FIELDS],
+                    *[_issue(is_boolean(at(e["value"], f"$.{f}")), "schema_invalid_value_type", e["key"], F.lit(f)) for f in fixed.VALUE_FIELDS if booleans],
                 ),
             )
         )
@@ -172,28 +173,40 @@ def schema_errors(tools: DataFrame, info: str = "info") -> DataFrame:
 
 # --- budgets ------------------------------------------------------------------------------
 
-def schema_nodes(tools: DataFrame, parameters: str = "parameters") -> DataFrame:
-    """Every schema node of a parameters text: ``(tool_id, depth, node)`` through
-    properties, items (one schema or a list of them), compositions and definitions."""
+def _children(n: Column) -> Column:
+    """Schema nodes right below a node: properties, items (one schema or a list of them),
+    compositions and definitions."""
     none = F.array().cast("array<variant>")
+    values = lambda path: F.transform(entries(at(n, path)), lambda e: e["value"])
+    return F.concat(
+        F.when(has_type(n, "object"), values("$.properties")).otherwise(none),
+        F.when(has_type(n, "array") & is_array(at(n, "$.items")), items(at(n, "$.items")))
+        .when(has_type(n, "array") & at(n, "$.items").isNotNull(), F.array(at(n, "$.items")))
+        .otherwise(none),
+        items(at(n, "$.anyOf")),
+        items(at(n, "$.oneOf")),
+        values("$['$defs']"),
+        values("$.definitions"),
+    )
 
-    def children(n: Column) -> Column:
-        values = lambda path: F.transform(entries(at(n, path)), lambda e: e["value"])
-        return F.concat(
-            F.when(has_type(n, "object"), values("$.properties")).otherwise(none),
-            F.when(has_type(n, "array") & is_array(at(n, "$.items")), items(at(n, "$.items")))
-            .when(has_type(n, "array") & at(n, "$.items").isNotNull(), F.array(at(n, "$.items")))
-            .otherwise(none),
-            items(at(n, "$.anyOf")),
-            items(at(n, "$.oneOf")),
-            values("$['$defs']"),
-            values("$.definitions"),
-        )
 
-    def tree(root: Column) -> Column:
-        return unfold(F.when(root.isNotNull(), F.array(root)).otherwise(none), children, "variant", depth_bound(F.col(parameters)))
+def _node_measures(n: Column) -> Column:
+    """What one node (depth, node) adds to the budgets of its tree."""
+    node = n["node"]
+    total = lambda lengths: F.aggregate(lengths, F.lit(0).cast("bigint"), lambda acc, x: acc + x)
+    keys = lambda path: F.transform(entries(at(node, path)), lambda e: F.length(e["key"]))
+    names = F.when(has_type(node, "object"), keys("$.properties")).otherwise(F.array().cast("array<int>"))
+
+    def measures(enum: Column) -> Column:
+        texts = F.transform(F.filter(enum, is_string), lambda x: F.length(F.try_variant_get(x, "$", "string")))
+        large = (F.size(enum) > fixed.SCHEMA_ENUM_COUNT) & (F.size(enum) == F.size(texts))
+        text = total(names) + total(keys("$['$defs']")) + total(keys("$.definitions")) + F.coalesce(F.length(text_at(node, "$.const")), F.lit(0)) + total(texts)
+        return F.struct(
+            n["depth"].cast("bigint").alias("depth"), F.size(names).cast("bigint").alias("props"), text.alias("text"),
+            F.size(enum).cast("bigint").alias("enums"), F.when(large, total(texts)).otherwise(F.lit(0).cast("bigint")).alias("enum_text"),
+        )
 
-    return tools.select("tool_id", F.explode(let(F.try_parse_json(parameters), tree)).alias("_x")).select("tool_id", "_x.*")
+    return let(items(at(node, "$.enum")), measures)
 
 
 def schema_budgets(tools: DataFrame, parameters: str = "parameters") -> DataFrame:
@@ -202,43 +215,32 @@ def schema_budgets(tools: DataFrame, parameters: str = "parameters") -> DataFram
 
 
 def _measured_trees(tools: DataFrame, parameters: str) -> DataFrame:
-    """The budgets of each tree and the text size of each of its enums over the limit."""
-    node = F.col("node")
-    names = F.transform(entries(at(node, "$.properties")), lambda e: e["key"])
-    defs = F.concat(*[F.transform(entries(at(node, p)), lambda e: e["key"]) for p in ("$['$defs']", "$.definitions")])
-    read = schema_nodes(tools, parameters).select(
-        "tool_id",
-        "depth",
-        F.when(has_type(node, "object"), names).otherwise(F.array().cast("array<string>")).alias("names"),
-        defs.alias("defs"),
-        items(at(node, "$.enum")).alias("enum"),
-        F.coalesce(F.length(text_at(node, "$.const")), F.lit(0)).alias("const"),
-    )
-    texts = F.transform(F.filter("enum", is_string), lambda x: F.length(F.try_variant_get(x, "$", "string")))
-    total = lambda lengths: F.aggregate(lengths, F.lit(0).cast("bigint"), lambda acc, n: acc + n)
-    length = lambda column: total(F.transform(column, F.length))
-    measured = read.withColumn("texts", texts).select(
+    """The budgets of each tree and the text size of each of its enums over the limit, folded
+    inside the tree's row. Texts that are no tree give no row (``unreadable_schemas``)."""
+    none = F.array().cast("array<variant>")
+
+    def tree(root: Column) -> Column:
+        return unfold(F.when(root.isNotNull(), F.array(root)).otherwise(none), _children, "variant", depth_bound(F.col(parameters)))
+
+    nodes = tools.select("tool_id", F.transform(let(F.try_parse_json(parameters), tree), _node_measures).alias("_m")).where(F.size("_m") > 0)
+    total = lambda field: F.aggregate("_m", F.lit(0).cast("bigint"), lambda acc, m: acc + m[field])
+    return nodes.select(
         "tool_id",
-        "depth",
-        F.size("names").alias("props"),
-        F.size("enum").alias("enums"),
-        (length("names") + length("defs") + F.col("const")).alias("name_text"),
-        total("texts").alias("enum_text"),
-        (F.size("enum") == F.size("texts")).alias("all_text"),
-    ).select(
-        "tool_id", "depth", "props", "enums", (F.col("name_text") + F.col("enum_text")).alias("text"),
-        F.when((F.col("enums") > fixed.SCHEMA_ENUM_COUNT) & F.col("all_text"), F.col("enum_text")).otherwise(0).alias("enum_text"),
-    )
-    return measured.groupBy("tool_id").agg(
-        F.max("depth").cast("bigint").alias("max_depth"),
-        F.sum("props").alias("total_props"),
-        F.sum("text").alias("total_text"),
-        F.sum("enums").alias("enum_count"),
-        F.max("enum_text").alias("largest_enum_text"),
-        F.collect_list(F.when(F.col("enum_text") > fixed.SCHEMA_ENUM_TEXT, F.col("enum_text"))).alias("enums_over"),
+        F.array_max(F.col("_m.depth")).alias("max_depth"),
+        total("props").alias("total_props"),
+        total("text").alias("total_text"),
+        total("enums").alias("enum_count"),
+        F.array_max(F.col("_m.enum_text")).alias("largest_enum_text"),
+        F.filter(F.col("_m.enum_text"), lambda x: x > fixed.SCHEMA_ENUM_TEXT).alias("enums_over"),
     )
 
 
+def unreadable_schemas(tools: DataFrame, parameters: str = "parameters") -> DataFrame:
+    """Texts that the JSON parser gives up on: no JSON, or deeper than ``JSON_DEPTH`` levels."""
+    text = F.col(parameters)
+    return tools.where(text.isNotNull() & F.try_parse_json(text).isNull()).select("tool_id", F.octet_length(text).cast("bigint").alias("bytes"))
+
+
 def strict_errors(tools: DataFrame, parameters: str = "parameters") -> DataFrame:
     """Root strictness (no additional properties, all properties required) and
     budgets over their limit, one row per violation (of enum text: per enum)."""

@@ -41,6 +41,19 @@ def predicted_plain(response: Column, marker: str = fixed.ANSWER_MARKER_COLON) -
     return F.when(F.contains(response, F.lit(marker)), tail).otherwise("")
 
 
+def predicted_first(response: Column, marker: str = fixed.ANSWER_MARKER_SPACE) -> Column:
+    """First character of the text after the last marker (of the whole text without one)."""
+    return F.substring(strip(F.substring_index(response, marker, -1)), 1, 1)
+
+
+def question_prompt(question: Column, eval_type: Column, templates: dict[str, str], other: str) -> Column:
+    """The template of the evaluation type, or ``other``, with the question for ``{question}``."""
+    template = F.lit(other)
+    for name, text in templates.items():
+        template = F.when(eval_type == name, F.lit(text)).otherwise(template)
+    return F.replace(template, F.lit("{question}"), question)
+
+
 def answer_contained(truth: Column, predicted: Column) -> Column:
     return F.contains(F.lower(predicted), F.lower(truth)).cast("bigint")
 

@@ -9,7 +9,8 @@ from toolmill.functions import fixed
 
 
 def word_count(text: Column) -> Column:
-    return F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
+    """Words between blanks of any script."""
+    return F.regexp_count(text, F.lit(f"[^{fixed.BLANK}]+"))
 
 
 def token_estimate(text: Column) -> Column:

@@ -288,7 +288,7 @@ def coverage_references(spark, folder):
 
 
 @query("a26_token_estimates", """SELECT lang, count(*) AS documents, CAST(sum(t) AS BIGINT) AS tokens, round(sum(t) / 1e6 * 2.0 + sum(t) / 1e6 * 8.0, 6) AS cost_o3, CAST(0 AS DOUBLE) AS cost_other FROM (
-    SELECT lang, CAST(floor(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) * CAST(1.3 AS DOUBLE)) AS BIGINT) AS t FROM documents) GROUP BY lang""")
+    SELECT lang, CAST(floor(len(regexp_extract_all(text, '[^\\x09-\\x0D\\x1C-\\x20\\x{0085}\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+')) * CAST(1.3 AS DOUBLE)) AS BIGINT) AS t FROM documents) GROUP BY lang""")
 def token_estimates(spark, folder):
     tokens = roles.documents(spark, folder).select("lang", logs.token_estimate(F.col("text")).alias("t"))
     sums = tokens.groupBy("lang").agg(F.count("*").alias("documents"), F.sum("t").alias("tokens"))

@@ -55,12 +55,12 @@ def questions_and_results(spark, folder):
     return questions_with_results(spark, folder)
 
 
-@query("j6_new_in_pool", """SELECT DISTINCT question_id, name FROM r_retrievals r WHERE event_type = 'view' AND name IN (SELECT 'tool_' || p_size FROM part)
+@query("j6_new_in_pool", """SELECT DISTINCT question_id, name FROM r_retrievals r WHERE event_type <> 'click' AND name IN (SELECT 'tool_' || p_size FROM part)
     AND NOT EXISTS (SELECT 1 FROM r_retrievals s WHERE s.event_type = 'click' AND s.question_id = r.question_id AND s.name = r.name)""")
 def new_in_pool(spark, folder):
     log = roles.retrievals(spark, folder)
     registered = table(spark, folder, "part").select(F.concat(F.lit("tool_"), F.col("p_size").cast("string")).alias("name")).distinct()
-    return retrieve.new_in_pool(log.where("event_type = 'view'"), registered, log.where("event_type = 'click'"))
+    return retrieve.new_in_pool(log.where("event_type <> 'click'"), registered, log.where("event_type = 'click'"))
 
 
 @query("j7_pending_units", """SELECT DISTINCT cluster_name, sib_index FROM r_cover EXCEPT

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from toolmill.functions import fixed
+from toolmill.functions import fixed, scoring
 from toolmill.functions.code import clean_tool_name, slug
 from toolmill.functions.scoring import correct_training_rows
 from toolmill.functions.text import preview
@@ -151,8 +151,9 @@ NUMBER_PROMPT = "Give one number. Question: {question} End with Final Answer."
 
 @query("p14_question_prompts", f"""SELECT doc_id AS question_id, replace(CASE WHEN doc_id % 2 = 0 THEN '{CHOICE_PROMPT}' ELSE '{NUMBER_PROMPT}' END, '{{question}}', text) AS prompt FROM documents""")
 def question_prompts(spark, folder):
-    template = F.when(F.col("doc_id") % 2 == 0, CHOICE_PROMPT).otherwise(NUMBER_PROMPT)
-    return table(spark, folder, "documents").select(F.col("doc_id").alias("question_id"), F.replace(template, F.lit("{question}"), F.col("text")).alias("prompt"))
+    eval_type = F.when(F.col("doc_id") % 2 == 0, "multiple_choice").otherwise("number")
+    prompt = scoring.question_prompt(F.col("text"), eval_type, {"multiple_choice": CHOICE_PROMPT}, NUMBER_PROMPT)
+    return table(spark, folder, "documents").select(F.col("doc_id").alias("question_id"), prompt.alias("prompt"))
 
 
 @query("p15_expanded_attempts", """SELECT doc_id AS question_id, attempt, doc_id || '_' || attempt AS id, CAST(doc_id AS VARCHAR) AS original_id

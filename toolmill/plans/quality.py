@@ -16,7 +16,7 @@ BAD_WORDS = ", ".join(f"'{w}'" for w in fixed.INVALID_TOP_KEYWORDS)
 PROPERTY = "json_extract(o, '$.properties.\"' || k || '\"')"
 
 
-@query("q1_schema_errors", f"""WITH RECURSIVE f AS (SELECT tool_id, CAST(info AS JSON) AS v, json_extract(info, '$.function') AS fn, json_extract(info, '$.function.parameters') AS p FROM r_tools),
+Q1_SQL = f"""WITH RECURSIVE f AS (SELECT tool_id, CAST(info AS JSON) AS v, json_extract(info, '$.function') AS fn, json_extract(info, '$.function.parameters') AS p FROM r_tools),
     bad AS (SELECT tool_id, string_agg(k, ',' ORDER BY k) AS words FROM (SELECT tool_id, unnest(json_keys(p)) AS k FROM f WHERE json_type(p) = 'OBJECT') WHERE k IN ({BAD_WORDS}) GROUP BY 1),
     objs AS (SELECT tool_id, '' AS path, p AS o FROM f WHERE json_type(p) = 'OBJECT' AND tool_id NOT IN (SELECT tool_id FROM bad)
         UNION ALL SELECT tool_id, path, o FROM (SELECT tool_id, CASE WHEN path = '' THEN k ELSE path || '.' || k END AS path, {PROPERTY} AS o FROM
@@ -33,11 +33,20 @@ PROPERTY = "json_extract(o, '$.properties.\"' || k || '\"')"
     UNION ALL SELECT tool_id, 'schema_missing_field', path, 'properties' FROM objs WHERE json_type(o, '$.properties') IS NULL
     UNION ALL SELECT tool_id, 'schema_array_missing_items', k, 'items' FROM props WHERE json_extract_string(d, '$.type') = 'array' AND json_type(d, '$.items') IS NULL
     UNION ALL SELECT tool_id, 'schema_type_array', k, 'type' FROM props WHERE json_type(d, '$.type') = 'ARRAY'
-    UNION ALL SELECT tool_id, 'schema_invalid_value_type', k, field FROM props, (SELECT unnest(['default', 'minimum', 'maximum']) AS field) WHERE json_type(d, '$.' || field) = 'BOOLEAN'""")
+    UNION ALL SELECT tool_id, 'schema_invalid_value_type', k, field FROM props, (SELECT unnest(['default', 'minimum', 'maximum']) AS field) WHERE json_type(d, '$.' || field) = 'BOOLEAN'"""
+
+
+@query("q1_schema_errors", Q1_SQL)
 def schema_errors(spark, folder):
     return schema.schema_errors(roles.tools(spark, folder))
 
 
+@query("q1_schema_errors_but_booleans", f"SELECT * FROM ({Q1_SQL}) WHERE error_type <> 'schema_invalid_value_type'")
+def schema_errors_but_booleans(spark, folder):
+    """Booleans pass as numbers do."""
+    return schema.schema_errors(roles.tools(spark, folder), booleans=False)
+
+
 NESTED_OPEN = '{"type":"object","properties":{"inner":'
 TREES = f"""CASE p_partkey % 6
  WHEN 0 THEN concat('{NESTED_OPEN * 12}', '{{"type":"string"}}', '{"}}" * 12}')
@@ -253,6 +262,14 @@ def scoring_variants(spark, folder):
     )
 
 
+@query("q8_first_character", f"""SELECT question_id, answer, CAST(contains(lower(answer), lower(ground_truth)) AS BIGINT) AS correct FROM (
+    SELECT question_id, ground_truth, substr(trim(split_part(response, 'Final Answer: ', -1), {B}), 1, 1) AS answer FROM r_replies)""")
+def first_character(spark, folder):
+    """The answer is the first character after the last marker."""
+    predicted = roles.replies(spark, folder).select("question_id", "ground_truth", scoring.predicted_first(F.col("response")).alias("answer"))
+    return predicted.select("question_id", "answer", scoring.answer_contained(F.col("ground_truth"), F.col("answer")).alias("correct"))
+
+
 GRADE_TRUTH = "CASE event_id % 4 WHEN 0 THEN CAST(event_id * 100 AS STRING) WHEN 1 THEN concat('1,', lpad(CAST(event_id % 1000 AS STRING), 3, '0'), '.2500001') WHEN 2 THEN ' none ' ELSE concat(CAST(user_id AS STRING), '.750') END"
 
 
