@@ -195,18 +195,22 @@ def _node_measures(n: Column) -> Column:
     node = n["node"]
     total = lambda lengths: F.aggregate(lengths, F.lit(0).cast("bigint"), lambda acc, x: acc + x)
     keys = lambda path: F.transform(entries(at(node, path)), lambda e: F.length(e["key"]))
-    names = F.when(has_type(node, "object"), keys("$.properties")).otherwise(F.array().cast("array<int>"))
+    texts_of = lambda enum: F.transform(F.filter(enum, is_string), lambda x: F.length(F.try_variant_get(x, "$", "string")))
+    read = F.struct(
+        F.when(has_type(node, "object"), keys("$.properties")).otherwise(F.array().cast("array<int>")).alias("names"),
+        let(items(at(node, "$.enum")), lambda enum: F.struct(F.size(enum).alias("n"), texts_of(enum).alias("texts"))).alias("enum"),
+    )
 
-    def measures(enum: Column) -> Column:
-        texts = F.transform(F.filter(enum, is_string), lambda x: F.length(F.try_variant_get(x, "$", "string")))
-        large = (F.size(enum) > fixed.SCHEMA_ENUM_COUNT) & (F.size(enum) == F.size(texts))
-        text = total(names) + total(keys("$['$defs']")) + total(keys("$.definitions")) + F.coalesce(F.length(text_at(node, "$.const")), F.lit(0)) + total(texts)
+    def measures(r: Column) -> Column:
+        enum = r["enum"]
+        large = (enum["n"] > fixed.SCHEMA_ENUM_COUNT) & (enum["n"] == F.size(enum["texts"]))
+        others = total(keys("$['$defs']")) + total(keys("$.definitions")) + F.coalesce(F.length(text_at(node, "$.const")), F.lit(0))
         return F.struct(
-            n["depth"].cast("bigint").alias("depth"), F.size(names).cast("bigint").alias("props"), text.alias("text"),
-            F.size(enum).cast("bigint").alias("enums"), F.when(large, total(texts)).otherwise(F.lit(0).cast("bigint")).alias("enum_text"),
+            n["depth"].cast("bigint").alias("depth"), F.size(r["names"]).cast("bigint").alias("props"), (total(r["names"]) + others + total(enum["texts"])).alias("text"),
+            enum["n"].cast("bigint").alias("enums"), F.when(large, total(enum["texts"])).otherwise(F.lit(0).cast("bigint")).alias("enum_text"),
         )
 
-    return let(items(at(node, "$.enum")), measures)
+    return let(read, measures)
 
 
 def schema_budgets(tools: DataFrame, parameters: str = "parameters") -> DataFrame:
@@ -222,7 +226,8 @@ def _measured_trees(tools: DataFrame, parameters: str) -> DataFrame:
     def tree(root: Column) -> Column:
         return unfold(F.when(root.isNotNull(), F.array(root)).otherwise(none), _children, "variant", depth_bound(F.col(parameters)))
 
-    nodes = tools.select("tool_id", F.transform(let(F.try_parse_json(parameters), tree), _node_measures).alias("_m")).where(F.size("_m") > 0)
+    measured = F.transform(let(F.try_parse_json(parameters), tree), _node_measures)
+    nodes = tools.select("tool_id", F.explode(F.array(measured)).alias("_m")).where(F.size("_m") > 0)  # a generator is evaluated once, however often its result is read
     total = lambda field: F.aggregate("_m", F.lit(0).cast("bigint"), lambda acc, m: acc + m[field])
     return nodes.select(
         "tool_id",
