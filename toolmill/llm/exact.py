@@ -28,8 +28,7 @@ from toolmill.llm.common import BLANK_RUN, free, shards_for
 from toolmill.session import materialize
 
 ROWS_PER_SHARD = 20_000
-NO_ID = (1 << 63) - 1  # stands for a null id while minima are taken
-INDEX = "shard bigint, levels array<binary>, slots binary, winners array<bigint>, copies array<bigint>"
+INDEX = "shard bigint, levels array<binary>, slots binary, winners array<bigint>, copies array<bigint>"  # a null winner: no row with an id
 GROUPS = "digest binary, keep_id bigint, group_size bigint"
 MAX_LEVELS = 200
 
@@ -97,7 +96,7 @@ def _build_shard(table: pa.Table) -> pa.Table:
     return pa.table({
         "shard": pa.array([table["shard"][0].as_py()], pa.int64()), "levels": pa.array([packed], pa.list_(pa.binary())),
         "slots": pa.array([digest[order].tobytes()], pa.binary()),
-        "winners": pa.array([table["first_id"].to_numpy()[order]], pa.list_(pa.int64())),
+        "winners": pa.array([table["first_id"].take(pa.array(order)).to_pylist()], pa.list_(pa.int64())),
         "copies": pa.array([table["copies"].to_numpy()[order]], pa.list_(pa.int64())),
     })
 
@@ -106,25 +105,36 @@ def _unpack(level: bytes) -> np.ndarray:
     return np.unpackbits(np.frombuffer(level[8:], np.uint8))[: int.from_bytes(level[:8], "little")].astype(bool)
 
 
+def _ids(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids (0 for null) and where there is one, as arrays that may be changed."""
+    return np.array(column.fill_null(0), np.int64), np.array(column.is_valid(), bool)
+
+
 def _look_up(index: pa.Table, arrivals: pa.Table) -> pa.Table:
     held = np.zeros((0, 32), np.uint8)
-    keep, copies = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    winner, copies = pa.array([], pa.int64()), np.zeros(0, np.int64)
     levels: list[np.ndarray] = []
     if index.num_rows:
         row = index.slice(0, 1).to_pylist()[0]
         levels = [_unpack(x) for x in row["levels"]]
         held = np.frombuffer(row["slots"], np.uint8).reshape(-1, 32)
-        keep, copies = np.array(row["winners"], np.int64), np.array(row["copies"], np.int64)
+        winner, copies = pa.array(row["winners"], pa.int64()), np.array(row["copies"], np.int64)
     new = _matrix(arrivals["digest"])
-    first, count = arrivals["first_id"].to_numpy().astype(np.int64), arrivals["copies"].to_numpy().astype(np.int64)
+    keep, named = _ids(winner)
+    first, has_id = _ids(arrivals["first_id"])
+    count = arrivals["copies"].to_numpy().astype(np.int64)
     slot = slots_of(new, levels)
     member = slot >= 0
     member[member] = (held[slot[member]] == new[member]).all(axis=1)  # the byte check
-    keep[slot[member]] = np.minimum(keep[slot[member]], first[member])
+    old, new_id = slot[member], first[member]
+    lower = has_id[member] & (~named[old] | (new_id < keep[old]))
+    keep[old[lower]] = new_id[lower]
+    named[old] |= has_id[member]
     copies[slot[member]] += count[member]
     out = np.concatenate([held, new[~member]])
+    ids = pa.array(np.concatenate([keep, first[~member]]), pa.int64(), mask=~np.concatenate([named, has_id[~member]]))
     return pa.table({
-        "digest": pa.array([x.tobytes() for x in out], pa.binary()), "keep_id": np.concatenate([keep, first[~member]]),
+        "digest": pa.array([x.tobytes() for x in out], pa.binary()), "keep_id": ids,
         "group_size": np.concatenate([copies, count[~member]]),
     })
 
@@ -132,7 +142,7 @@ def _look_up(index: pa.Table, arrivals: pa.Table) -> pa.Table:
 def _distinct(digested: DataFrame, shards: int) -> DataFrame:
     return (
         digested.groupBy("digest")
-        .agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).cast("long").alias("first_id"), F.count("*").alias("copies"))
+        .agg(F.min("doc_id").cast("long").alias("first_id"), F.count("*").alias("copies"))
         .withColumn("shard", F.pmod(F.xxhash64("digest"), F.lit(shards)))
     )
 
@@ -144,8 +154,7 @@ def build_index(history: DataFrame, shards: int) -> DataFrame:
 
 def look_up(index: DataFrame, arrivals: DataFrame, shards: int) -> DataFrame:
     """Every distinct digest of history and ``arrivals`` with its winner and size."""
-    groups = index.groupBy("shard").cogroup(_distinct(arrivals, shards).groupBy("shard")).applyInArrow(_look_up, GROUPS)
-    return groups.withColumn("keep_id", F.nullif("keep_id", F.lit(NO_ID)))
+    return index.groupBy("shard").cogroup(_distinct(arrivals, shards).groupBy("shard")).applyInArrow(_look_up, GROUPS)
 
 
 def duplicate_groups(docs: DataFrame, rows_per_shard: int = ROWS_PER_SHARD) -> tuple[DataFrame, DataFrame]:

@@ -13,8 +13,9 @@ whole: the bordering one is taken in full.
 
 Defined results: a null text has size 0 and takes nothing, like any document without
 words; a null source is a source of its own, last in order; ties of the key go by
-doc_id, null last, and rows that repeat an id share its key and split what is left in
-row order; without words all targets are 0; no rows in, no rows out.
+doc_id, then by a digest of the text; a row without an id has its key from its text, so such rows
+spread over the ranges too; rows of one source that agree in id and text split what is left
+between them, the same amounts in every run; without words all targets are 0; no rows in, no rows out.
 """
 
 from __future__ import annotations
@@ -32,14 +33,17 @@ ROWS_PER_RANGE = 50_000
 SEED = "mix"
 
 
-def key_of(doc_id: Column, seed: str = SEED) -> Column:
-    return F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
+def key_of(doc_id: Column, text: Column, seed: str = SEED) -> Column:
+    """Random key by id; by text where there is no id."""
+    named = F.coalesce(doc_id.cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(text, F.lit("")).cast("binary"))))
+    return F.md5(F.concat(F.lit(seed + ":"), named).cast("binary"))
 
 
 def sized(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """doc_id, source, size in words and random key; the only columns that are shuffled."""
     return docs.select(
-        "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), key_of(F.col("doc_id"), seed).alias("key")
+        "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        key_of(F.col("doc_id"), F.col("text"), seed).alias("key"), F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("digest"),
     )
 
 
@@ -76,7 +80,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     earlier = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(F.col("source").alias("_source"), F.col("range").alias("_range"), F.coalesce(F.sum("range_size").over(earlier), F.lit(0)).alias("offset"))
     placed = laid.join(offsets, F.col("source").eqNullSafe(F.col("_source")) & (F.col("range") == F.col("_range")))
-    inside = Window.partitionBy("source", "range").orderBy("key", F.col("doc_id").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "range").orderBy("key", F.col("doc_id").asc_nulls_last(), "digest").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("offset") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     budget = F.round("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")

@@ -1,7 +1,8 @@
 """Surrogates for personal data.
 
-Mail addresses, phone numbers, IPv4 addresses, card numbers, IBANs, secrets and names
-after a title are found by pattern and check digit. Each distinct entity gets a
+Mail addresses, phone and social-security numbers, IPv4, IPv6 and hardware addresses, card
+numbers, IBANs, secrets and names after a title are found by pattern and check digit; dates,
+spans of years and numbers in groups of thousands are no phone numbers. Each distinct entity gets a
 replacement drawn from a keyed stream (HMAC-SHA256 of key, kind, entity, attempt) that
 keeps type and format: digits stay digits, letters letters of the same case and script,
 separators stay, card numbers keep their length and check digit, names the gender of
@@ -14,7 +15,9 @@ Collisions are checked over the corpus: of the entities of one kind that drew th
 replacement, or one that is itself an entity of the corpus, all but the first by code
 point draw again until none is left, so different entities stay different and equal ones
 equal in every document. Entities are distinct before they are compared, and only those
-in conflict go through another round. Texts are joined with replacements only where they
+in conflict go through another round. Given and family names are compared together.
+Where ``DRAWS`` rounds find no free value, a format is taken as full, and the replacement gets
+longer by a digit each round (an IPv4 address draws on). Texts are joined with replacements only where they
 have entities.
 
 Defined results: null and empty texts come back as they are, with no entity; overlapping
@@ -27,6 +30,7 @@ from __future__ import annotations
 import bisect
 import hashlib
 import hmac
+import itertools
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -38,7 +42,7 @@ from pyspark.sql import types as T
 from toolmill.llm.common import free, slices, text_of
 from toolmill.session import materialize
 
-DRAWS = 50
+DRAWS = 12  # of an entity's own format; then replacements get longer
 
 # Patterns of entities, in order of precedence, and titles by gender.
 PATTERNS = {
@@ -47,15 +51,23 @@ PATTERNS = {
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "card": r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-]|\.\d)",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)",
+    "ssn": r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w-])",
+    "mac": r"(?<![\w:-])(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}(?![\w:-])|(?<![\w:-])(?:[0-9A-Fa-f]{2}-){5}[0-9A-Fa-f]{2}(?![\w:-])",
+    "ip6": r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=(?:[^:]*:){3})(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4})*)?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4})*)?)(?![\w:])",
     "phone": r"(?<![\w.-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,5}){1,4}(?![\w-]|\.\d)|(?<![\w.-])\+\d{8,15}(?!\w)",
-    "name": r"\b(?:Mr|Mrs|Ms|Miss|Mister|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Господин|Госпожа|Κύριος|Κυρία)\b\.?\s+\p{Lu}[\p{L}'’-]+(?:\s+\p{Lu}[\p{L}'’-]+)?",
+    "name": r"\b(?:Dr|Dra|Prof|Doctor|Professor|Mr|Mrs|Ms|Miss|Mister|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Господин|Госпожа|Κύριος|Κυρία)\b\.?\s+\p{Lu}[\p{L}'’-]+(?:\s+\p{Lu}[\p{L}'’-]+)?",
 }
 MALE = frozenset("Mr Mister Herr Monsieur Señor Господин Κύριος".split())
+NEUTRAL = frozenset("Dr Prof Doctor Professor".split())
+# Dates and spans of years, then numbers in groups of thousands, which look like phone numbers.
+DATES = r"(?<!\d)\d{4}([-./])\d{1,2}\1\d{1,2}(?!\d)|(?<!\d)\d{1,2}([-./])\d{1,2}\2\d{4}(?!\d)|(?<![\d(+])(?:1[0-9]|20)\d\d ?[-–] ?(?:1[0-9]|20)\d\d(?![\d-])"
+THOUSANDS = r"(?<![\d(+.-])(?<![\d)][ .-])[1-9]\d{0,2}([ .])\d{3}(?:\1\d{3})+(?![ .-]?\d)"
 VOWELS = {"latin": "aeiou", "cyrillic": "аеиоу", "greek": "αεηιο"}
 CONSONANTS = {"latin": "bcdfglmnprstv", "cyrillic": "бвгдклмнпрст", "greek": "βγδκλμνπρστ"}
 
 _FINDERS = {kind: regex.compile(p) for kind, p in PATTERNS.items()}
-_MAYBE = regex.compile(r"[0-9@]|\b(?:" + "|".join(sorted(MALE | set("Mrs Ms Miss Frau Madame Mme Señora Госпожа Κυρία".split()))) + r")\b|(?i:token|secret|passw|key)")
+_NO_PHONE = [regex.compile(DATES), regex.compile(THOUSANDS)]
+_MAYBE = regex.compile(r"[0-9@]|::|\b(?:" + "|".join(sorted(MALE | NEUTRAL | set("Dra Mrs Ms Miss Frau Madame Mme Señora Госпожа Κυρία".split()))) + r")\b|(?i:token|secret|passw|key)")
 _PIECES = regex.compile(r"(?<![\p{L}\p{M}\p{N}])\p{L}[\p{L}\p{M}]*(?![\p{L}\p{M}\p{N}])")
 _JOINED = frozenset("'’-")
 _ENDING = regex.compile(r"(?i:['’]s)?['’-]*$")  # not of the name
@@ -85,7 +97,7 @@ def canonical(kind: str, text: str) -> str:
         return text.replace(" ", "")
     if kind.startswith("name"):
         return text.lower().replace("’", "'")
-    return text.lower() if kind == "email" else text
+    return text.lower() if kind in ("email", "mac", "ip6") else text
 
 
 def later(text: str, names: list[tuple[str, str, int, int]], used: bytearray) -> list[tuple[str, str, int, int]]:
@@ -114,6 +126,13 @@ def later(text: str, names: list[tuple[str, str, int, int]], used: bytearray) ->
     return out
 
 
+def _without_numbers(text: str) -> str:
+    """The text with line feeds for dates and large numbers, at the same places."""
+    for pattern in _NO_PHONE:
+        text = pattern.sub(lambda m: "\n" * len(m.group()), text)
+    return text
+
+
 def find(text: str) -> list[tuple[str, str, int, int]]:
     """(kind, entity, start, end) of a text, in order and without overlaps."""
     if not text or not _MAYBE.search(text):
@@ -122,7 +141,7 @@ def find(text: str) -> list[tuple[str, str, int, int]]:
     names: list[tuple[str, str, int, int]] = []
     used = bytearray(len(text))
     for kind, finder in _FINDERS.items():
-        for m in finder.finditer(text):
+        for m in finder.finditer(_without_numbers(text) if kind == "phone" else text):
             start, end = m.span()
             found = m.group()
             digits = sum(c.isdigit() for c in found)
@@ -131,7 +150,7 @@ def find(text: str) -> list[tuple[str, str, int, int]]:
             used[start:end] = b"\x01" * (end - start)
             if kind == "name":
                 parts = list(regex.finditer(r"[\p{L}'’-]+", found))
-                gender = "m" if parts[0].group() in MALE else "f"
+                gender = "m" if parts[0].group() in MALE else "n" if parts[0].group() in NEUTRAL else "f"
                 named = parts[1:] if len(parts) > 1 else []
                 for k, part in enumerate(named):
                     what = "name-family" if k == len(named) - 1 else f"name-given-{gender}"
@@ -168,7 +187,7 @@ def draw(key: bytes, kind: str, entity: str, attempt: int) -> str:
         return ".".join(str(1 + (next(source) << 8 | next(source)) % 254) for _ in range(4))
     keep = len(entity) - len(entity.rsplit("@", 1)[-1]) + entity.rsplit("@", 1)[-1].rfind(".") if kind == "email" else len(entity)
     fixed = 1 if kind == "card" else 2 if kind == "iban" else entity.find(" ") + 1 if kind == "phone" else 0  # the network's digit, the country
-    low_hex = kind == "secret" and all(c in "0123456789abcdef" for c in entity)
+    low_hex = kind in ("mac", "ip6") or kind == "secret" and all(c in "0123456789abcdef" for c in entity)
     out = []
     for i, c in enumerate(entity):
         if i < fixed or i >= keep or not c.isalnum():
@@ -180,7 +199,7 @@ def draw(key: bytes, kind: str, entity: str, attempt: int) -> str:
         else:
             letter = pick((VOWELS[script_of(c)] + CONSONANTS[script_of(c)]))
             out.append(letter.upper() if c.isupper() else letter)
-    made = "".join(out)
+    made = "".join(out) + "".join(pick("0123456789") for _ in range(attempt - DRAWS + 1))  # the format is full: longer
     if kind == "card":
         made = made[:-1] + next(d for d in "0123456789" if not luhn(made[:-1] + d))
     return made
@@ -190,10 +209,10 @@ def fitted(replacement: str, kind: str, mention: str) -> str:
     """A replacement in the format of one mention: its separators, its case."""
     if kind in ("card", "phone", "iban"):
         letters = iter([c for c in replacement if c.isalnum()])
-        return "".join(next(letters, c) if c.isalnum() else c for c in mention)
+        return "".join([next(letters, c) if c.isalnum() else c for c in mention]) + "".join(letters)
     if kind.startswith("name"):
         return replacement.upper() if mention.isupper() and len(mention) > 1 else replacement[:1].upper() + replacement[1:]
-    return replacement.upper() if kind == "email" and mention.isupper() else replacement
+    return replacement.upper() if kind in ("email", "mac", "ip6") and mention.isupper() else replacement
 
 
 def drawn(entities: DataFrame, key: bytes) -> DataFrame:
@@ -207,23 +226,23 @@ def drawn(entities: DataFrame, key: bytes) -> DataFrame:
     return entities.select("kind", "entity", "attempt").mapInArrow(run, "kind string, entity string, attempt int, replacement string")
 
 
-def assign(entities: DataFrame, key: bytes, draws: int = DRAWS) -> DataFrame:
+def assign(entities: DataFrame, key: bytes) -> DataFrame:
     """(kind, entity, replacement): different replacements for different entities, none of them an entity itself."""
     entities = materialize(entities.select("kind", "entity").distinct(), "pii-entities")
+    family = F.when(F.startswith("kind", F.lit("name")), "name").otherwise(F.col("kind")).alias("family")
     settled, todo = None, entities.withColumn("attempt", F.lit(0))
-    for attempt in range(draws):
+    for attempt in itertools.count(1):
         made = materialize(drawn(todo, key), "pii-drawn")
-        ours = made.select("kind", "replacement", "entity")
-        first = ours.groupBy("kind", "replacement").agg(F.min("entity").alias("entity"))
-        free = first.join(entities.select("kind", F.col("entity").alias("replacement")), ["kind", "replacement"], "left_anti")
+        ours = made.select(family, "replacement", F.struct("entity", "kind").alias("who"))
+        first = ours.groupBy("family", "replacement").agg(F.min("who").alias("who"))
+        free = first.join(entities.select(family, F.col("entity").alias("replacement")), ["family", "replacement"], "left_anti")
         if settled is not None:
-            free = free.join(settled.select("kind", "replacement"), ["kind", "replacement"], "left_anti")
-        free = materialize(free.select("kind", "entity", "replacement"), "pii-settled")
+            free = free.join(settled.select(family, "replacement"), ["family", "replacement"], "left_anti")
+        free = materialize(free.select("who.kind", "who.entity", "replacement"), "pii-settled")
         settled = free if settled is None else settled.union(free)
-        todo = materialize(made.select("kind", "entity").join(free, ["kind", "entity"], "left_anti").withColumn("attempt", F.lit(attempt + 1)), "pii-todo")
+        todo = materialize(made.select("kind", "entity").join(free, ["kind", "entity"], "left_anti").withColumn("attempt", F.lit(attempt)), "pii-todo")
         if todo.isEmpty():
             return settled
-    raise ValueError(f"entities are left without a free replacement after {draws} draws; their format has too few values")
 
 
 def _mentions(docs: DataFrame, name: str) -> DataFrame:
