@@ -39,21 +39,29 @@ def line_starts(raw: bytes) -> np.ndarray:
     return np.concatenate([[0], ends[ends < len(raw)]]).astype(np.int64)
 
 
-def token_ends(coder: Encoder, words: list[str]) -> np.ndarray:
-    """End of every token in bytes, from the lengths kept with each word."""
+def token_lengths(coder: Encoder, words: list[str]) -> np.ndarray:
+    """Bytes of every token of words that the coder has learned."""
+    return np.frombuffer(b"".join([coder.words[w][3] for w in words]), np.uint8).astype(np.int64)
+
+
+def _learned(coder: Encoder, raws: list[bytes]) -> list[list[str]]:
+    """The words of each text, all of them learned together."""
     if not coder.lengths:
         coder.lengths = True
         coder.words.clear()
-    coder.learn(set(words))
-    return np.cumsum(np.frombuffer(b"".join([coder.words[w][3] for w in words]), np.uint8).astype(np.int64))
+    texts = [coder.pieces(raw.decode()) for raw in raws]
+    coder.learn(set().union(*texts))
+    return texts
 
 
-def allocate(ends: np.ndarray, starts: np.ndarray, rule: str) -> tuple[np.ndarray, int]:
-    """Tokens of each section, and how many tokens cross a border."""
+def allocate(ends: np.ndarray, starts: np.ndarray, rule: str, crossings: bool = True) -> tuple[np.ndarray, int]:
+    """Tokens of each section, and (if asked for) how many tokens cross a border."""
     if not len(starts) or not len(ends):
         return np.zeros(len(starts)), 0
     begins = np.concatenate([[0], ends[:-1]])
     first = np.searchsorted(starts, begins, "right") - 1
+    if rule == "start" and not crossings:
+        return np.bincount(first, minlength=len(starts)).astype(np.float64), 0
     last = np.searchsorted(starts, ends - 1, "right") - 1
     crossing = np.flatnonzero(first != last)
     counts = np.bincount(last if rule == "end" else first, minlength=len(starts)).astype(np.float64)
@@ -66,9 +74,9 @@ def allocate(ends: np.ndarray, starts: np.ndarray, rule: str) -> tuple[np.ndarra
 
 
 def _encoded(coder: Encoder, batch: pa.RecordBatch, sections: Callable[[bytes], np.ndarray]):
-    for raw in text_of(batch.column("text")):
-        raw = raw or b""
-        yield raw, token_ends(coder, coder.pieces(raw.decode())), sections(raw)
+    raws = [raw or b"" for raw in text_of(batch.column("text"))]
+    for raw, words in zip(raws, _learned(coder, raws)):
+        yield raw, np.cumsum(token_lengths(coder, words)), sections(raw)
 
 
 def _checked(rule: str) -> None:
@@ -82,12 +90,18 @@ def by_section(docs: DataFrame, path: str, rule: str = "start", sections: Callab
     vocabulary = load(docs.sparkSession, path)
 
     def one(batch: pa.RecordBatch) -> dict:
-        coder, rows = encoder_of(vocabulary), []
-        for raw, ends, starts in _encoded(coder, batch, sections):
-            rows.append((np.arange(len(starts)), starts, np.diff(np.append(starts, len(raw))), allocate(ends, starts, rule)[0]))
-        of = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
-        out = {name: pa.array(np.concatenate(parts)) for name, parts in zip(("section", "first_byte", "n_bytes", "n_tokens"), zip(*rows))}
-        return out | {"doc_id": batch.column("doc_id").take(pa.array(of, pa.int64()))}
+        # all texts of a slice lie on one line: no token and no section crosses from one to the next
+        coder, raws = encoder_of(vocabulary), [raw or b"" for raw in text_of(batch.column("text"))]
+        ends = np.cumsum(token_lengths(coder, [w for words in _learned(coder, raws) for w in words]))
+        own = [sections(raw) for raw in raws]
+        held, sizes = np.array([len(x) for x in own], np.int64), np.array([len(raw) for raw in raws], np.int64)
+        of, begin = np.repeat(np.arange(len(raws)), held), np.cumsum(sizes) - sizes
+        first = np.concatenate([np.zeros(0, np.int64), *own])
+        starts = first + begin[of]
+        number = np.arange(len(of)) - np.repeat(np.cumsum(held) - held, held)
+        n_bytes = np.diff(np.append(starts, sizes.sum()))
+        tokens, _ = allocate(ends, starts, rule, crossings=False)
+        return {"section": number, "first_byte": first, "n_bytes": n_bytes, "n_tokens": tokens, "doc_id": batch.column("doc_id").take(pa.array(of, pa.int64()))}
 
     return map_texts(docs.select(F.col("doc_id").cast("long"), "text"), one, "doc_id long, section long, first_byte long, n_bytes long, n_tokens double")
 
