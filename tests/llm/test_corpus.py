@@ -258,9 +258,8 @@ def test_near_duplicates(spark, texts, edge, none):
     assert near.drop_duplicates(edge).columns == edge.columns and near.mark(none).count() == 0
 
 
-def test_near_group_around_a_template(spark, monkeypatch):
+def test_near_group_around_a_template(spark):
     """Copies of one text with a few changed words each, many not similar enough to the first."""
-    monkeypatch.setattr(near, "HUB_GROWTH", 4)
     rng = random.Random(5)
     base = [f"b{i}" for i in range(120)]
     docs = [(100, " ".join(base))]
@@ -296,6 +295,48 @@ def test_near_groups_with_links_inside(spark):
     assert got == want and 2 < len({x[2] for x in want.values()}) < len(docs) - 50
 
 
+@pytest.mark.parametrize("shape", ["changed", "passage"])
+def test_near_pairs_of_unlinked_copies_stay_level(spark, monkeypatch, shape):
+    """Copies about half alike, no two of them linked: the sets compared follow the number of documents."""
+    compared = []
+    monkeypatch.setattr(near, "_compared", lambda pairs, sets, real=near._compared: real(compared.append(near.materialize(pairs, "pairs")) or compared[-1], sets))
+    per_document = []
+    for n in (100, 400):
+        rnd, compared[:] = random.Random(8), []
+        base = [f"b{i}" for i in range(200)]
+        docs = []
+        for d in range(n):
+            words = list(base)
+            if shape == "changed":
+                for i in rnd.sample(range(200), 9):
+                    words[i] = f"n{rnd.randrange(10**9)}"
+            else:
+                words[120:] = [f"n{rnd.randrange(10**9)}" for _ in range(90)]
+            docs.append((d, " ".join(words)))
+        rows = near.mark(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+        assert all(r["kept"] for r in rows)
+        per_document.append(sum(c.count() for c in compared) / n)
+    assert per_document[1] < 1.5 * per_document[0] + 1 and per_document[1] < 70
+
+
+def test_near_pairs_of_two_groups(spark):
+    """Documents around a shared passage that the first of a bucket may not resemble, with links among them."""
+    rnd = random.Random(31)
+    passage = [f"p{i}" for i in range(60)]
+    docs = []
+    for d in range(150):
+        own = [f"o{d}x{i}" for i in range(rnd.randrange(30, 110))]
+        docs.append(passage + own)
+        if d % 3 == 0:
+            again = list(docs[-1])
+            again[rnd.randrange(len(again))] = f"z{d}"
+            docs.append(again)
+    rnd.shuffle(docs)
+    docs = [(i, " ".join(w)) for i, w in enumerate(docs)]
+    got = {r["doc_id"]: tuple(r) for r in near.mark(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {x[0]: x for x in near.brute_force(docs)}
+
+
 def test_components_of_a_path(spark):
     order = list(range(200))
     random.Random(2).shuffle(order)

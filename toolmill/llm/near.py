@@ -10,10 +10,10 @@ Equal sets are one class first; only class representatives go on. In a bucket, m
 are compared with its lowest member. Where more than one component is left in a bucket,
 classes that met in such comparisons form groups, and a group's pairs are found by
 their differences from what most of its sets hold (``_group_links``, exact): copies of one
-text that are too far apart to be linked share few of these, so they don't meet. Pairs of one
-bucket but two groups are compared with its next 15 members, the next 240, … until every
-pair was considered: no bucket is capped, and a group of copies costs one comparison per
-member. Pairs are dropped unseen only if their sizes or differences rule a link out, or
+text that are too far apart to be linked share few of these, so they don't meet. Classes of
+buckets that still hold two groups meet in their rarest shingles (``_rest_pairs``, exact): no
+bucket is listed pair by pair or capped, and a group of copies costs one comparison per
+member. Pairs are dropped unseen only if their sizes or what they can share rule a link out, or
 if fewer than ``AGREE`` of all 32 minhashes agree (a link is lost so with probability 1e-5).
 What is left is decided by exact set intersections. Components come from contraction
 by random order, each step a few plain aggregations and joins.
@@ -38,7 +38,6 @@ SIDE = 8
 AGREE = 14
 LINK = (80, 100)  # least share of the union
 WIDTH = 4
-HUB_GROWTH = 16
 MULTIPLIER, INVERSE = 0xD6E8FEB86659FD93, pow(0xD6E8FEB86659FD93, -1, 1 << 64)
 SIGNATURES = "doc_id long, n_shingles long, s1 long, s2 long, u array<long>, v array<long>, sketch array<short>"
 
@@ -188,7 +187,9 @@ def _group_links(apart: DataFrame, heads: DataFrame, labels: DataFrame) -> tuple
     allows it without any shared difference (``inner`` ones). All other pairs need a shared
     difference, and each side knows a least number: 5 c >= weight - |C| for any
     partner, 9 c > weight - lightest for an outer partner. So such pairs meet in the rarest of
-    their differences, all but that number less one (prefix filter)."""
+    their differences, all but that number less one (prefix filter). Only differences that
+    another set has can be shared: from the place where two sets first meet, the shorter
+    rest of such differences (``left``) bounds c, which rules out copies with changes of their own."""
     lightest = apart.groupBy("grp").agg(F.min(F.struct("weight", "cls")).alias("l")).select("grp", F.col("l.weight").alias("least"), F.col("l.cls").alias("star"))
     apart = apart.join(lightest, "grp").withColumn("free", F.col("weight") + F.col("least") <= F.col("n_common"))
     links = apart.where("free AND cls <> star").select(F.col("star").alias("a"), F.col("cls").alias("b"))
@@ -196,44 +197,69 @@ def _group_links(apart: DataFrame, heads: DataFrame, labels: DataFrame) -> tuple
     any_partner = F.greatest(F.lit(1), F.ceil((F.col("weight") - F.col("n_common")) / 5))
     outer_partner = F.greatest(any_partner, F.floor((F.col("weight") - F.col("least")) / 9) + 1)
     held = F.size("only")
-    info = apart.select("grp", "cls", outer.alias("outer"), held.alias("held"), (held - outer_partner + 1).alias("near"), F.when(outer, held - any_partner + 1).otherwise(held - outer_partner + 1).alias("far"))
+    info = apart.select("grp", "cls", "weight", "n_common", outer.alias("outer"), held.alias("held"), (held - outer_partner + 1).alias("near"), F.when(outer, held - any_partner + 1).otherwise(held - outer_partner + 1).alias("far"))
     listed = apart.select("grp", "cls", F.explode("only").alias("h"))
     often = listed.groupBy("grp", "h").agg(F.count("*").alias("n")).where("n > 1")
     ordered = listed.join(often, ["grp", "h"]).groupBy("grp", "cls").agg(F.array_sort(F.collect_list(F.struct("n", "h"))).alias("order"))
     # differences that nobody shares come first in the order and meet no one
     placed = info.join(ordered, ["grp", "cls"]).withColumn("alone", F.col("held") - F.size("order"))
-    entries = placed.select("grp", "cls", "outer", "near", "alone", F.posexplode(F.slice("order", F.lit(1), F.greatest(F.lit(0), F.col("far") - F.col("alone")).cast("int"))).alias("i", "o"))
-    entries = entries.select("grp", "cls", "outer", F.col("o.h").alias("h"), (F.col("alone") + F.col("i") < F.col("near")).alias("near"))
-    known = heads.select("cls", "n_shingles", "sketch").join(labels, F.col("cls") == F.col("node"), "left").select("cls", "n_shingles", "sketch", F.coalesce("label", "cls").alias("label"))
-    entries = materialize(entries.join(known, "cls"), "near-entries")
-    hubs = entries.select("grp", "h", *[F.col(c).alias(f"hub_{c}") for c in ("outer", "near", "sketch", "label")], F.col("n_shingles").alias("hub_n"), F.col("cls").alias("hub"))
+    placed = placed.where(5 * F.size("order") >= F.col("weight") - F.col("n_common"))
+    entries = placed.select("grp", "cls", "weight", "n_common", "outer", "near", "alone", F.size("order").alias("size"), F.posexplode(F.slice("order", F.lit(1), F.greatest(F.lit(0), F.col("far") - F.col("alone")).cast("int"))).alias("i", "o"))
+    entries = entries.select("grp", "cls", "weight", "n_common", "outer", F.col("o.h").alias("h"), (F.col("size") - F.col("i")).alias("left"), (F.col("alone") + F.col("i") < F.col("near")).alias("near"))
+    entries = materialize(entries.join(_known(heads, labels), "cls"), "near-entries")
+    hubs = entries.select("grp", "h", *[F.col(c).alias(f"hub_{c}") for c in ("outer", "near", "weight", "left", "sketch", "label")], F.col("n_shingles").alias("hub_n"), F.col("cls").alias("hub"))
     both = F.col("near") & F.col("hub_near") & (F.col("cls") < F.col("hub"))
-    met = entries.where("outer").join(hubs, (entries["grp"] == hubs["grp"]) & (entries["h"] == hubs["h"]) & (~F.col("hub_outer") | both) & (F.col("label") != F.col("hub_label")) & _alike())
+    enough = 9 * F.least("left", "hub_left") >= F.col("weight") + F.col("hub_weight") - F.col("n_common")
+    met = entries.where("outer").join(hubs, (entries["grp"] == hubs["grp"]) & (entries["h"] == hubs["h"]) & enough & (~F.col("hub_outer") | both) & (F.col("label") != F.col("hub_label")) & _alike())
     return links, met.select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct()
 
 
+def _known(heads: DataFrame, labels: DataFrame) -> DataFrame:
+    """Size, sketch and present component of each class."""
+    return heads.select("cls", "n_shingles", "sketch").join(labels, F.col("cls") == F.col("node"), "left").select("cls", "n_shingles", "sketch", F.coalesce("label", "cls").alias("label"))
+
+
+def _rest_pairs(rest: DataFrame, heads: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of ``rest`` (cls, grp) in two groups and two components that may be linked.
+
+    Linked sets share at least four fifths of either, so they meet in the rarest fifth of
+    their shingles (and one more), and from there both have 4/9 of the sum of their sizes left
+    that other sets hold too. What nobody shares comes first and meets no one."""
+    listed = rest.join(sets, "cls").select("cls", F.explode("hashes").alias("h"))
+    often = listed.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    ordered = listed.join(often, "h").groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("n", "h"))).alias("order"))
+    need = F.ceil(LINK[0] * F.col("n_shingles") / LINK[1])
+    depth = F.greatest(F.lit(0), F.size("order") - need + 1).cast("int")
+    placed = rest.join(_known(heads, labels), "cls").join(ordered, "cls")
+    entries = placed.select("cls", "grp", "n_shingles", "sketch", "label", F.size("order").alias("size"), F.posexplode(F.slice("order", F.lit(1), depth)).alias("i", "o"))
+    entries = materialize(entries.select("cls", "grp", "n_shingles", "sketch", "label", F.col("o.h").alias("h"), (F.col("size") - F.col("i")).alias("left")), "near-rest")
+    hubs = entries.select("h", *[F.col(c).alias(f"hub_{c}") for c in ("grp", "sketch", "label", "left")], F.col("n_shingles").alias("hub_n"), F.col("cls").alias("hub"))
+    enough = (LINK[0] + LINK[1]) * F.least("left", "hub_left") >= LINK[0] * (F.col("n_shingles") + F.col("hub_n"))
+    apart = (F.col("label") != F.col("hub_label")) & (F.col("grp") != F.col("hub_grp"))
+    met = entries.join(hubs, (entries["h"] == hubs["h"]) & (F.col("cls") > F.col("hub")) & enough & apart & _alike())
+    return met.select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct()
+
+
 def _alike() -> Column:
     """Sizes and minhashes of a class and a hub allow a link."""
     agree = F.aggregate(F.zip_with("sketch", "hub_sketch", lambda x, y: (x == y).cast("int")), F.lit(0), lambda x, y: x + y)
     return (LINK[1] * F.least("n_shingles", "hub_n") >= LINK[0] * F.greatest("n_shingles", "hub_n")) & (agree >= AGREE)
 
 
-def _hubs(buckets: DataFrame, low: int, high: int) -> DataFrame:
-    """Members ranked ``low`` < rank <= ``high`` of their bucket, their columns as hub's."""
-    ranked = buckets.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("cls"))).where(F.col("rank") <= high).where(F.col("rank") > low)
-    named = {"cls": "hub", "n_shingles": "hub_n", "key": "key"}
-    return ranked.select(*[F.col(c).alias(named.get(c, f"hub_{c}")) for c in buckets.columns])
+def _firsts(buckets: DataFrame) -> DataFrame:
+    """The lowest member of each bucket, its columns as hub's."""
+    ranked = buckets.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("cls"))).where("rank = 1")
+    return ranked.select("key", F.col("cls").alias("hub"), F.col("n_shingles").alias("hub_n"), F.col("sketch").alias("hub_sketch"))
 
 
-def _still_open(buckets: DataFrame, labels: DataFrame, hubs: int) -> DataFrame:
-    """Rows of the buckets that have pairs beyond their first ``hubs`` members and more than
-    one component, and more than one group if groups are given."""
+def _still_open(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of the buckets that have pairs beyond their first member and more than one component, and more than one group if groups are given."""
     named = buckets.join(labels, buckets["cls"] == labels["node"], "left").withColumn("label", F.coalesce("label", "cls"))
     marks = [c for c in ("label", "grp") if c in named.columns]
     still = named.groupBy("key").agg(F.count("*").alias("members"), *[f(c).alias(f"{n}_{c}") for c in marks for n, f in (("least", F.min), ("most", F.max))])
     for c in marks:
         still = still.where(F.col(f"least_{c}") < F.col(f"most_{c}"))
-    return buckets.join(still.where(F.col("members") > hubs + 1).select("key"), "key", "left_semi")
+    return buckets.join(still.where(F.col("members") > 2).select("key"), "key", "left_semi")
 
 
 def link_classes(docs: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -251,15 +277,13 @@ def link_classes(docs: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataFra
     sets = full_sets(texts).join(wanted.select("s1", "s2", "cls"), ["s1", "s2"]).dropDuplicates(["cls"]).select("cls", "hashes")
     sets = materialize(sets, "near-sets")
 
-    def pairs_with(members: DataFrame, hubs: DataFrame, also: Column) -> DataFrame:
-        met = members.join(hubs, (members["key"] == hubs["key"]) & (F.col("cls") > F.col("hub")) & also & _alike())
-        return met.select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct()
-
     # every member with the first of its bucket
-    known = materialize(_compared(pairs_with(buckets, _hubs(buckets, 0, 1), F.lit(True)), sets).select("a", "b", _is_link().alias("linked")), "near-first")
+    hubs = _firsts(buckets)
+    met = buckets.join(hubs, (buckets["key"] == hubs["key"]) & (F.col("cls") > F.col("hub")) & _alike())
+    known = materialize(_compared(met.select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct(), sets).select("a", "b", _is_link().alias("linked")), "near-first")
     links = known.where("linked").select("a", "b")
     labels = components(links)
-    open_buckets = materialize(_still_open(buckets, labels, 1), "near-open")
+    open_buckets = materialize(_still_open(buckets, labels), "near-open")
     # classes compared with one hub, or with hubs that were, are a group; inside it, differences from what it has in common
     members = open_buckets.select("cls").distinct()
     groups = components(known.join(members, F.col("b") == F.col("cls"), "left_semi"), "near-groups")
@@ -267,19 +291,12 @@ def link_classes(docs: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataFra
     free_links, pairs = _group_links(materialize(_differences(members, sets), "near-apart"), heads, labels)
     links = links.union(materialize(free_links.union(_compared(pairs, sets).where(_is_link()).select("a", "b")), "near-links"))
     labels = components(links)
-    # pairs of one bucket that are in two groups
-    low, high = 1, HUB_GROWTH
-    open_buckets = materialize(_still_open(open_buckets.join(members, "cls"), labels, low), "near-open")
-    while not open_buckets.isEmpty():
-        labelled = open_buckets.join(labels, open_buckets["cls"] == labels["node"], "left").select(*open_buckets.columns, F.coalesce("label", "cls").alias("label"))
-        apart = (F.col("label") != F.col("hub_label")) & (F.col("grp") != F.col("hub_grp"))
-        new = _compared(pairs_with(labelled, _hubs(labelled, low, high), apart), sets)
-        new = materialize(new.where(_is_link()).select("a", "b"), "near-links")
-        if not new.isEmpty():
-            links = links.union(new)
-            labels = components(links)
-        open_buckets = materialize(_still_open(open_buckets, labels, high), "near-open")
-        low, high = high, high * HUB_GROWTH
+    # buckets that still hold two groups
+    rest = _still_open(open_buckets.join(members, "cls"), labels).select("cls", "grp").distinct()
+    pairs = _rest_pairs(materialize(rest, "near-open"), heads, labels, sets)
+    found = materialize(_compared(pairs, sets).where(_is_link()).select("a", "b"), "near-links")
+    if not found.isEmpty():
+        labels = components(links.union(found))
     return classes, labels
 
 
