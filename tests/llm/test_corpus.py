@@ -82,6 +82,24 @@ def test_quality_order_is_by_rejections_per_cost():
     assert not quality.keeps(text, quality.RULES) and "n_repeat_words" not in text.__dict__  # stopped at the first
 
 
+def test_quality_order_counts_what_is_left():
+    """The second rule rejects most, but nothing beyond the first; the third is cheap once the words are split."""
+    rules = quality.RULES[:3]
+    names = [r.name for r in rules]
+    figures = [(names[0], 100, 60, 1.0), (names[1], 100, 50, 1.0), (names[2], 100, 5, 1.0)]
+    broken = {0b000: 35, 0b001: 10, 0b011: 50, 0b100: 5}
+    assert [r.name for r in quality.ordered(rules, figures, {n: 0.1 for n in names}, broken)] == [names[0], names[2], names[1]]
+    assert [r.name for r in quality.ordered(rules, figures)] == names
+
+
+def test_quality_profile_counts_rules_broken_together(spark, none):
+    docs = spark.createDataFrame([("short",), ("# # #",), (" ".join(f"w{i}ord" for i in range(80)),), (None,)], "text string")
+    seen = quality.profile(docs, sample_rows=10_000)
+    assert sum(seen.broken.values()) == 4 and seen.broken[0] == 1 and {f[0]: f[2] for f in seen.figures}["enough_words"] == 3
+    assert all(seconds > 0 for *_, seconds in seen.figures) and set(seen.shared) == {r.name for r in quality.RULES}
+    assert quality.profile(none).broken == {} and quality.cascade_for(none, quality.RULES, 10) == quality.RULES
+
+
 def test_language_held_out(spark, small, edge, none):
     truth = {r["doc_id"]: r["lang"] for r in small.collect()}
     rows = QUERIES["op2_language"](spark, SMALL).collect()

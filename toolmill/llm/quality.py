@@ -1,9 +1,12 @@
 """Quality rules as a short-circuit cascade.
 
-Each rule is timed and its rejections counted on a sample; the rules then run in the
-order of rejections per second, and a document stops at the first rule it breaks. The
+On a sample each rule is timed, alone and with the words already split, and the sets of
+rules that documents break together are counted. The first rule is the one of most
+rejections per second; each next one is chosen by what it rejects among the documents that
+are left, at its cost with shared words. A document stops at the first rule it breaks. The
 measures behind the rules (words, lines, repeated windows) are computed once per
-document and only when a rule asks for them. The verdict is the conjunction of all
+document and only when a rule asks for them; ``judge`` adds the measures that the
+cascade didn't need after its verdict. The verdict is the conjunction of all
 rules, so it doesn't depend on the order.
 
 Defined results: a null text has no words; empty, blank and short texts break
@@ -98,30 +101,66 @@ RULES = BASE + (
 )
 
 
-def profile(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS, seed: int = 17) -> list[tuple[str, int, int, float]]:
-    """(rule, documents, rejected, seconds) on about ``sample_rows`` documents; each rule
-    is timed alone, on fresh measures. The sample only sets the order, never a verdict."""
+@dataclass(frozen=True)
+class Profile:
+    figures: list[tuple[str, int, int, float]]  # rule, documents, rejected, seconds alone
+    shared: dict[str, float]  # seconds of each rule where the words are split already
+    broken: dict[int, int]  # documents by the set of rules they break, as bits: 2 ** rules sets at most
+
+
+def profile(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS, seed: int = 17) -> Profile:
+    """Costs and rejections on about ``sample_rows`` documents. The sample only sets the order, never a verdict."""
     total = docs.count()
 
     def time_rules(batch: pa.RecordBatch) -> dict:
         texts = text_of(batch.column("text"))
-        rejected, spent = [], []
-        for rule in rules:
-            start = time.perf_counter()
-            rejected.append(sum(1 for t in texts if not rule.keeps(Measures(t))))
-            spent.append(time.perf_counter() - start)
-        return {"rule": list(range(len(rules))), "n": [len(texts)] * len(rules), "rejected": rejected, "spent": spent}
+        broken, alone, shared = [0] * len(texts), [], []
+        for i, rule in enumerate(rules):
+            for split_before, spent in ((False, alone), (True, shared)):
+                fresh = [Measures(t) for t in texts]
+                if split_before:
+                    for m in fresh:
+                        m.n_words  # noqa: B018
+                start = time.perf_counter()
+                kept = [rule.keeps(m) for m in fresh]
+                spent.append(time.perf_counter() - start)
+            broken = [bits | (not ok) << i for bits, ok in zip(broken, kept)]
+        sets = Counter(broken)
+        n = len(rules)
+        return {"rule": [*range(n), *[None] * len(sets)], "broken": [*[None] * n, *sets], "n": [*[0] * n, *sets.values()], "alone": [*alone, *[0.0] * len(sets)], "shared": [*shared, *[0.0] * len(sets)]}
 
     sample = docs.select("text").sample(min(1.0, sample_rows / max(total, 1)), seed)
-    rows = map_texts(sample, time_rules, "rule int, n long, rejected long, spent double").groupBy("rule").agg(F.sum("n"), F.sum("rejected"), F.sum("spent")).collect()
-    seen = {r[0]: r[1:] for r in rows}
-    return [(rule.name, *seen.get(i, (0, 0, 0.0))) for i, rule in enumerate(rules)]
-
-
-def ordered(rules: tuple[Rule, ...], figures: list[tuple[str, int, int, float]]) -> tuple[Rule, ...]:
-    """Most rejections per second of work first; ties keep the given order."""
-    rate = {name: rejected / max(spent, 1e-9) for name, _, rejected, spent in figures}
-    return tuple(sorted(rules, key=lambda r: -rate.get(r.name, 0.0)))
+    timed = map_texts(sample, time_rules, "rule int, broken int, n long, alone double, shared double")
+    rows = timed.groupBy("rule", "broken").agg(F.sum("n").alias("n"), F.sum("alone").alias("alone"), F.sum("shared").alias("shared")).collect()
+    seconds = {r["rule"]: r for r in rows if r["rule"] is not None}
+    broken = {r["broken"]: r["n"] for r in rows if r["rule"] is None}
+    n = sum(broken.values())
+    figures = [(rule.name, n, sum(k for bits, k in broken.items() if bits >> i & 1), seconds[i]["alone"] if seconds else 0.0) for i, rule in enumerate(rules)]
+    return Profile(figures, {rule.name: seconds[i]["shared"] for i, rule in enumerate(rules)} if seconds else {}, broken)
+
+
+def ordered(rules: tuple[Rule, ...], figures: list[tuple[str, int, int, float]], shared: dict[str, float] | None = None, broken: dict[int, int] | None = None) -> tuple[Rule, ...]:
+    """Most rejections per second of work first; ties keep the given order. With ``shared`` and
+    ``broken`` every rule after the first is judged by its further cost and rejections."""
+    cost = {name: spent for name, _, _, spent in figures}
+    rejected = {name: k for name, _, k, _ in figures}
+    bit = {rule.name: 1 << i for i, rule in enumerate(rules)}
+    out: list[Rule] = []
+    while len(out) < len(rules):
+        rest = [r for r in rules if r not in out]
+        best = max(rest, key=lambda r: rejected.get(r.name, 0) / max(cost.get(r.name, 0.0), 1e-9))  # max keeps the first of equals
+        out.append(best)
+        if len(out) == 1:
+            cost |= shared or {}
+        if broken is not None:
+            done = sum(bit[r.name] for r in out)
+            rejected = {r.name: sum(k for bits, k in broken.items() if bits & bit[r.name] and not bits & done) for r in rest}
+    return tuple(out)
+
+
+def cascade_for(docs: DataFrame, rules: tuple[Rule, ...], sample_rows: int) -> tuple[Rule, ...]:
+    seen = profile(docs, rules, sample_rows)
+    return ordered(rules, seen.figures, seen.shared, seen.broken)
 
 
 def keeps(m: Measures, cascade: tuple[Rule, ...]) -> bool:
@@ -130,15 +169,16 @@ def keeps(m: Measures, cascade: tuple[Rule, ...]) -> bool:
 
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """Base measures and verdict of every document, dropped ones too."""
-    cascade = ordered(rules, profile(docs, rules, sample_rows))
+    cascade = cascade_for(docs, rules, sample_rows)
 
     def one(batch: pa.RecordBatch) -> dict:
         out: dict[str, object] = {"doc_id": batch.column("doc_id")}
         found = [Measures(t) for t in text_of(batch.column("text"))]
+        passed = [keeps(m, cascade) for m in found]
         for name in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"):
             out[name] = [getattr(m, name) for m in found]
         out["base_failed"] = [not keeps(m, BASE) for m in found]
-        out["kept"] = [not failed and keeps(m, cascade) for m, failed in zip(found, out["base_failed"])]
+        out["kept"] = [ok and not failed for ok, failed in zip(passed, out["base_failed"])]
         return out
 
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean"
@@ -147,7 +187,7 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = S
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The documents that pass every rule, with all their columns."""
-    cascade = ordered(rules, profile(docs, rules, sample_rows))
+    cascade = cascade_for(docs, rules, sample_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
