@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from toolmill.operators.cluster import apply_operations
+from toolmill.plans import streams
 from toolmill.streaming import live
 
 
@@ -63,3 +64,35 @@ def test_hierarchy_versions(spark, tmp_path):
     log = spark.createDataFrame(parts[0] + parts[1], schema)
     expected = [sorted(map(str, t.collect())) for t in apply_operations(nodes, edges, log)]
     assert got == expected
+
+
+def test_compaction_changes_no_result_and_batches_cost_their_own_rows(spark, tmp_path):
+    path, data, checkpoint = (str(tmp_path / n) for n in ("tree", "in", "checkpoint"))
+    schema = "seq bigint, action string, node_id string, level bigint, parent string, add_children array<string>"
+    nodes = spark.range(2_000).selectExpr("concat('n', id) AS id", "id % 5 AS level", "CAST(NULL AS string) AS parent")
+    live.save_hierarchy(nodes, spark.createDataFrame([], "parent string, child string, seq bigint"), path, 0)
+    parts = [[(i, "ADD_NODE", f"a{i}", 1, f"n{i}", None), (i + 10, "MODIFY_NODE", f"n{i}", None, None, [f"x{i}", "shared"])] for i in range(3)]
+    for part in parts:
+        spark.createDataFrame(part, schema).write.mode("append").parquet(data)
+        live.hierarchy_updates(source(spark, data, schema), path, checkpoint).awaitTermination()
+    live.hierarchy_updates(source(spark, data, schema), path, checkpoint).awaitTermination()  # a restart without news
+    folded = [sorted(map(str, t.collect())) for t in live.read_hierarchy(spark, path, 3)]
+    live.compact(spark, path, 2)
+    assert [sorted(map(str, t.collect())) for t in live.read_hierarchy(spark, path, 3, 2)] == folded
+    assert [r["count"] for r in spark.read.parquet(f"{path}/log").groupBy("batch_id").count().collect()] == [2, 2, 2]
+
+
+def test_bounded_batches_with_a_restart(spark, tmp_path):
+    """Many small batches, some before and some after a restart: totals stay right, state is a row per model."""
+    folder, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
+    rows = spark.range(400).selectExpr("concat('m', id % 3) AS model", "id % 2 AS correctness")
+    batches = 0
+    for part in (0, 200):
+        rows.where(f"correctness = {part // 200}").repartition(4).write.mode("append").parquet(f"{folder}/attempts.parquet")
+        run = live.write_updates(live.running_totals(streams.stream(spark, folder, "attempts", 1)), out, checkpoint)
+        run.awaitTermination()
+        assert run.lastProgress["stateOperators"][0]["numRowsTotal"] == 3
+        assert run.lastProgress["batchId"] >= batches + 3
+        batches = run.lastProgress["batchId"] + 1
+    got = {r["model"]: (r["total"], r["correct"]) for r in live.latest(spark, out, ["model"]).collect()}
+    assert got == {r["model"]: (r["n"], r["c"]) for r in rows.groupBy("model").agg(F.count("*").alias("n"), F.sum("correctness").alias("c")).collect()}

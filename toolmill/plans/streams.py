@@ -14,14 +14,14 @@ from toolmill.sources.readers import table
 from toolmill.streaming import live
 
 
-def stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A given table (one file, or a folder of files) as a stream of its files."""
-    rows = table(spark, folder, name)
-    first = rows.select(F.col("_metadata.file_path").alias("path")).first()
-    reader = spark.readStream.schema(rows.schema)
-    if first and first["path"].endswith(f"/{name}.parquet"):
-        return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
-    return reader.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+BATCH_BYTES = 4 << 30  # of files in one micro-batch
+
+
+def stream(spark: SparkSession, folder: str, name: str, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    """A given table (one file, or a folder of files) as a stream of its files, in
+    micro-batches of at most ``batch_bytes`` (one file at least)."""
+    reader = spark.readStream.schema(table(spark, folder, name).schema).option("maxBytesPerTrigger", str(batch_bytes))
+    return reader.parquet(f"{folder.rstrip('/')}/{name}.parque[t]")  # a pattern finds a file as well as a folder
 
 
 @query("r1_running_totals", "SELECT model, count(*) AS total, CAST(sum(correctness) AS BIGINT) AS correct FROM r_attempts GROUP BY model")
@@ -44,13 +44,13 @@ def appended_results(spark, folder):
 
 def updated_hierarchy(spark, folder):
     """The log arrives in three parts; the stream stops after each part and starts
-    again from its checkpoint for the next."""
+    again from its checkpoint for the next. After the second part the log is compacted."""
     path = run_folder(spark, "r3")
     log = operations(spark, folder)
     last = log.agg(F.max("seq")).first()[0]
     nodes, edges = base(spark, folder)
     live.save_hierarchy(nodes, edges.withColumn("seq", F.lit(-1).cast("bigint")), f"{path}/hierarchy", 0)
-    version = 0
+    version = base_version = 0
     for part in range(3):
         arrived = log.where((F.col("seq") * 3 > last * part) if part else F.lit(True)).where(F.col("seq") * 3 <= last * (part + 1))
         arrived.write.mode("append").parquet(f"{path}/operations")
@@ -58,7 +58,10 @@ def updated_hierarchy(spark, folder):
         run = live.hierarchy_updates(arriving, f"{path}/hierarchy", f"{path}/checkpoint")
         run.awaitTermination()
         version = run.lastProgress["batchId"] + 1
-    return live.read_hierarchy(spark, f"{path}/hierarchy", version)
+        if part == 1:
+            live.compact(spark, f"{path}/hierarchy", version)
+            base_version = version
+    return live.read_hierarchy(spark, f"{path}/hierarchy", version, base_version)
 
 
 @query("r3_streamed_nodes", NODES_SQL)

@@ -58,27 +58,36 @@ def version_path(path: str, version: int) -> str:
     return f"{path}/version={version}"
 
 
-def read_hierarchy(spark: SparkSession, path: str, version: int) -> tuple[DataFrame, DataFrame]:
-    at = version_path(path, version)
-    return spark.read.parquet(f"{at}/nodes"), spark.read.parquet(f"{at}/edges")
-
-
 def save_hierarchy(nodes: DataFrame, edges: DataFrame, path: str, version: int) -> None:
     nodes.write.mode("overwrite").parquet(f"{version_path(path, version)}/nodes")
     edges.write.mode("overwrite").parquet(f"{version_path(path, version)}/edges")
 
 
+def read_hierarchy(spark: SparkSession, path: str, version: int, base: int = 0) -> tuple[DataFrame, DataFrame]:
+    """The hierarchy after ``version`` batches: the saved version ``base`` with the
+    logged batches from there on applied in their order."""
+    at = version_path(path, base)
+    nodes, edges = spark.read.parquet(f"{at}/nodes"), spark.read.parquet(f"{at}/edges")
+    if version == base:
+        return nodes, edges
+    log = spark.read.parquet(f"{path}/log").where(F.col("batch_id").between(base, version - 1))
+    return apply_operations(nodes, edges, log.drop("batch_id"))
+
+
+def compact(spark: SparkSession, path: str, version: int, base: int = 0) -> None:
+    """Saves the hierarchy after ``version`` batches, so that later reads fold only newer ones."""
+    save_hierarchy(*read_hierarchy(spark, path, version, base), path, version)
+
+
 def hierarchy_updates(operations: DataFrame, path: str, checkpoint: str):
-    """Applies each batch of operations to the hierarchy version before it and
-    writes the next one. Version n + 1 is always written from version n, so a
-    repeated batch gives the same table. Version 0 must exist."""
+    """Appends each batch of operations to the change log, in a folder of its own: a batch
+    costs what it holds, however large the tree, and a repeated one overwrites itself.
+    Version 0 of the hierarchy must exist."""
 
-    def update(batch: DataFrame, batch_id: int) -> None:
-        nodes, edges = read_hierarchy(batch.sparkSession, path, batch_id)
-        new_nodes, new_edges = apply_operations(nodes, edges, batch)
-        save_hierarchy(new_nodes, new_edges, path, batch_id + 1)
+    def save(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/log/batch_id={batch_id}")
 
     return (
-        operations.writeStream.foreachBatch(update).option("checkpointLocation", checkpoint)
+        operations.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
