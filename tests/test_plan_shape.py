@@ -13,7 +13,7 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-PYTHON = ("a12_", "a13_", "a29_", "a32_", "j9_", "j10_", "w1_", "u1_matched", "t1_", "q3_", "q5_", "q10_")
+PYTHON = ("a12_", "a13_", "a29_", "a32_", "j9_", "j10_", "w1_", "u1_matched", "t1_", "q5_", "q10_")
 
 
 @pytest.mark.parametrize("name", [n for n in QUERIES if not n.startswith(EAGER)])

@@ -346,6 +346,35 @@ def test_repair(rows):
     assert tree["properties"]["param_1"] == {"minimum": 1, "oneOf": [{"type": "a"}, {"type": "b"}]}
 
 
+@pytest.mark.parametrize(("broken", "want"), [
+    (None, {"type": "object", "properties": {}, "required": []}),
+    ("null", {"type": "object", "properties": {}, "required": []}),
+    ("3", {"type": "object", "properties": {}, "required": []}),
+    ("{not json", {"type": "object", "properties": {}, "required": []}),
+    ("[]", {"type": "object", "properties": {}, "required": []}),
+    ("{}", {}),
+    ('{"type":"object"}', {"type": "object"}),
+    ('{"properties":[1]}', {"properties": [1]}),
+    ('{"anyOf":[{"type":"x"}],"description":"d"}', {"description": "d", "type": "object", "properties": {}}),
+    ('{"anyOf":[],"type":"array","properties":{"a":{"default":true}}}', {"type": "array", "properties": {"a": {"default": True}}}),
+    ('[{"type":"array"},"x",{"type":null},{"y":1},{"type":["s",null],"oneOf":[1]}]',
+     {"type": "object", "properties": {"param_1": {"type": "array"}, "param_3": {"type": None}, "param_5": {"oneOf": [{"type": "s"}, {"type": None}]}}, "required": ["param_1", "param_3", "param_5"]}),
+    ('{"type":"object","properties":{"a":{"type":"array","default":false},"b":7,"c":{"minimum":false,"maximum":true,"default":0},"d":{"type":[]},"e":{"type":"array","items":null}},"required":["a"],"x":{"default":true}}',
+     {"type": "object", "properties": {"a": {"type": "array", "items": {"type": "string"}}, "b": 7, "c": {"minimum": 0, "maximum": 1, "default": 0}, "d": {"oneOf": []}, "e": {"type": "array", "items": None}}, "required": ["a"], "x": {"default": True}}),
+])
+def test_repair_of_each_shape(spark, broken, want):
+    import json
+
+    assert json.loads(one(spark, schema.repair_parameters(F.col("s")), s=broken)) == want
+
+
+def test_repair_keeps_the_order_of_a_list(spark):
+    import json
+
+    listed = json.dumps([{"type": "string"}] * 12)
+    assert json.loads(one(spark, schema.repair_parameters(F.col("s")), s=listed))["required"] == [f"param_{n}" for n in range(1, 13)]
+
+
 def test_info_that_is_no_object_stays(rows):
     listed = '[{"function":{"name":"n","parameters":{"type":"object","properties":{}}}}]'
     tools = rows("tool_id bigint, info string", [(1, listed), (2, None), (3, "{}"), (4, '"x"'), (5, '{"type":"function"}')])

@@ -5,12 +5,8 @@ bounded), so the rules need no join and no shuffle."""
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from toolmill.functions import fixed
 from toolmill.functions.text import let
@@ -283,41 +279,92 @@ def strict_errors(tools: DataFrame, parameters: str = "parameters") -> DataFrame
 
 # --- repair -----------------------------------------------------------------------------------
 
-def _clean(prop: dict, add_items: bool) -> dict:
-    out = dict(prop)
-    if isinstance(out.get("type"), list):
-        out["oneOf"] = [{"type": t} for t in out.pop("type")]
-    for bound in ("minimum", "maximum"):
-        if isinstance(out.get(bound), bool):
-            out[bound] = int(out[bound])
-    if isinstance(out.get("default"), bool):
-        del out["default"]
-    if add_items and out.get("type") == "array":
-        out.setdefault("items", {"type": "string"})
-    return out
-
-
-def _repair(text: str | None) -> str:
-    empty = {"type": "object", "properties": {}, "required": []}
-    tree = json.loads(text) if text else empty
-    if isinstance(tree, list):
-        kept = {f"param_{i}": _clean(p, False) for i, p in enumerate(tree, 1) if isinstance(p, dict) and "type" in p}
-        return json.dumps({"type": "object", "properties": kept, "required": list(kept)})
-    if not isinstance(tree, dict):
-        return json.dumps(empty)
-    if any(word in tree for word in fixed.INVALID_TOP_KEYWORDS):
-        tree = {k: v for k, v in tree.items() if k not in fixed.INVALID_TOP_KEYWORDS}
-        tree.setdefault("type", "object")
-        tree.setdefault("properties", {})
-    elif isinstance(tree.get("properties"), dict):
-        tree["properties"] = {k: _clean(p, True) if isinstance(p, dict) else p for k, p in tree["properties"].items()}
-    return json.dumps(tree)
-
-
-@F.pandas_udf(T.StringType())
-def repair_parameters(texts: pd.Series) -> pd.Series:
-    """Parameters JSON with the common errors fixed; absent text becomes an empty object schema."""
-    return texts.map(_repair)
+EMPTY_TREE = '{"properties":{},"required":[],"type":"object"}'
+
+
+def _constant(json_text: str) -> Column:
+    return F.parse_json(F.lit(json_text))
+
+
+def _member(key: Column | str, value: Column) -> Column:
+    return F.struct((F.lit(key) if isinstance(key, str) else key).alias("key"), value.alias("value"))
+
+
+def _members(test: Column, *members: Column) -> Column:
+    """The members if ``test`` holds, else none."""
+    return F.when(test, F.array(*members)).otherwise(F.array().cast("array<struct<key:string,value:variant>>"))
+
+
+def _object(members: Column) -> Column:
+    """A VARIANT object of (key, value) members; its keys come sorted."""
+    return F.to_variant_object(F.map_from_entries(members))
+
+
+def _repaired_property(prop: Column, add_items: bool) -> Column:
+    """One property, rewritten member by member: listed types become ``oneOf``, boolean
+    bounds numbers, a boolean default goes, and an array without items gets text items."""
+    listed = is_array(at(prop, "$.type"))
+
+    def kept(e: Column) -> Column:
+        return ~(e["key"].isin("type", "oneOf") & listed) & ~((e["key"] == "default") & is_boolean(e["value"]))
+
+    def numbered(e: Column) -> Column:
+        truth = F.when(F.try_variant_get(e["value"], "$", "boolean"), _constant("1")).otherwise(_constant("0"))
+        return _member(e["key"], F.when(e["key"].isin("minimum", "maximum") & is_boolean(e["value"]), truth).otherwise(e["value"]))
+
+    choices = F.to_variant_object(F.transform(items(at(prop, "$.type")), lambda t: F.to_variant_object(F.struct(t.alias("type")))))
+    without_items = F.lit(add_items) & has_type(prop, "array") & at(prop, "$.items").isNull()
+    return _object(F.concat(
+        F.transform(F.filter(entries(prop), kept), numbered),
+        _members(listed, _member("oneOf", choices)),
+        _members(without_items, _member("items", _constant('{"type":"string"}'))),
+    ))
+
+
+def _tree_of_list(listed: Column) -> Column:
+    """Parameters given as a list: its objects with a type, named by their position."""
+    numbered = F.transform(listed, lambda p, i: _member(F.concat(F.lit("param_"), (i + 1).cast("string")), p))
+    kept = F.filter(numbered, lambda e: is_object(e["value"]) & at(e["value"], "$.type").isNotNull())
+
+    def tree(found: Column) -> Column:
+        properties = _object(F.transform(found, lambda e: _member(e["key"], _repaired_property(e["value"], False))))
+        required = F.to_variant_object(F.transform(found, lambda e: e["key"]))
+        return _object(F.array(_member("type", _constant('"object"')), _member("properties", properties), _member("required", required)))
+
+    return let(kept, tree)
+
+
+def _tree_of_object(tree: Column) -> Column:
+    """Keywords that no root may have go, with defaults for what a root needs; a root without
+    them keeps its members, with its properties repaired."""
+    bad = F.exists(entries(tree), lambda e: e["key"].isin(*fixed.INVALID_TOP_KEYWORDS))
+    allowed = F.concat(
+        F.filter(entries(tree), lambda e: ~e["key"].isin(*fixed.INVALID_TOP_KEYWORDS)),
+        _members(at(tree, "$.type").isNull(), _member("type", _constant('"object"'))),
+        _members(at(tree, "$.properties").isNull(), _member("properties", _constant("{}"))),
+    )
+
+    def repaired(e: Column) -> Column:
+        return _member(e["key"], F.when(is_object(e["value"]), _repaired_property(e["value"], True)).otherwise(e["value"]))
+
+    def with_properties(e: Column) -> Column:
+        rewritten = _object(F.transform(entries(e["value"]), repaired))
+        return _member(e["key"], F.when((e["key"] == "properties") & is_object(e["value"]), rewritten).otherwise(e["value"]))
+
+    return _object(F.when(bad, allowed).otherwise(F.transform(entries(tree), with_properties)))
+
+
+def repair_tree(tree: Column) -> Column:
+    """Parameters (VARIANT) with the common errors fixed, as JSON text. Absent trees and those
+    that are neither object nor list become an empty object schema."""
+    return let(tree, lambda v: F.coalesce(
+        F.when(is_array(v), F.to_json(_tree_of_list(items(v)))).when(is_object(v), F.to_json(_tree_of_object(v))), F.lit(EMPTY_TREE)
+    ))
+
+
+def repair_parameters(text: Column) -> Column:
+    """``repair_tree`` of a JSON text; a text that is no JSON counts as absent."""
+    return repair_tree(F.try_parse_json(text))
 
 
 def repair_function(info: Column, tool_id: Column) -> Column:
@@ -326,6 +373,6 @@ def repair_function(info: Column, tool_id: Column) -> Column:
     repaired = F.struct(
         F.coalesce(text_at(info, "$.function.name"), F.concat(F.lit("tool_function_"), tool_id)).alias("name"),
         F.coalesce(text_at(info, "$.function.description"), F.lit(fixed.AUTO_DESCRIPTION)).alias("description"),
-        repair_parameters(F.to_json(at(info, "$.function.parameters"))).alias("parameters"),
+        repair_tree(at(info, "$.function.parameters")).alias("parameters"),
     )
     return F.when(F.size(entries(info)) > 0, repaired)
