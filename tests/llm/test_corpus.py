@@ -192,6 +192,46 @@ def test_hmm_recursions():
     assert all(np.allclose(a, b, rtol=1e-4) for a, b in zip(counts, want))
 
 
+def test_hmm_classes_of_rare_words(spark):
+    """Counts by class, the same class in Spark and in Python, and shares that sum to one."""
+    counts = {b"a": 9, b"of": 7, b"\n": 6, "é".encode(): 2, b"walking": 2, b"talking": 1, b"xy": 1, "日本語".encode(): 1, b"\xff\xfe": 1, b"": 1}
+    vocab = spark.createDataFrame([(bytearray(w), c) for w, c in counts.items()], "word binary, c long")
+    top, cut = hmm.frequent(vocab, 3)
+    assert top == [(b"a", 9), (b"of", 7), (b"\n", 6)] and cut == 2
+    tail = {w: c for w, c in counts.items() if c <= cut}
+    n, v = hmm.rare_classes(vocab, cut, 4)
+    for k in range(4):
+        members = [c for w, c in tail.items() if hmm.class_of(w, 4) == k]
+        assert (n[k], v[k]) == (sum(members), len(members))
+        assert math.isclose(sum((c + 1) / (n[k] + v[k] + 1) for c in members) + 1 / (n[k] + v[k] + 1), 1)
+    assert hmm.class_of(b"walking", 997) == hmm.class_of(b"talking", 997)
+    symbols = hmm.Symbols(top, 4)
+    found, rare = symbols.of(b"a walking OF new")
+    assert rare == [b"walking", b"new"] and found.tolist() == [0, 3 + hmm.class_of(b"walking", 4), 1, 3 + hmm.class_of(b"new", 4), 2]
+
+
+def test_hmm_score_is_emission_times_share(spark):
+    """One state makes the score a product of shares: emission of the symbol, share within its class."""
+    docs = spark.createDataFrame([(i, "b a a dog cat" if i % 2 else "a mat") for i in range(40)] + [(100, "a new cat")], "doc_id long, text string")
+    rows = hmm.score(docs, states=1, n_frequent=2).collect()
+    training = [w for r in docs.collect() if held(r["doc_id"], 7) != 2 for w in [*r["text"].split(), "\n"]]
+    seen = collections.Counter(training)
+    level = sorted(seen.values(), reverse=True)
+    cut = next((c for c in sorted(set(level), reverse=True) if sum(x >= c for x in level) > 2), 1)
+    top = [w for w in seen if seen[w] > cut]
+    classes = max(1, math.isqrt(len(seen) - len(top)))
+    symbol = lambda w: w if w in top else hmm.class_of(w.encode(), classes)
+    n, v = collections.Counter(map(symbol, training)), collections.Counter(map(symbol, seen))
+    emit = {k: n[k] + hmm.FLOOR for k in [*top, *range(classes)]}
+    for r in rows:
+        text = next(d["text"] for d in docs.collect() if d["doc_id"] == r["doc_id"])
+        want = 0.0
+        for w in [*text.split(), "\n"]:
+            k = symbol(w)
+            want += math.log10(emit[k] / sum(emit.values())) + (0 if w in top else math.log10((seen[w] + 1) / (n[k] + v[k] + 1)))
+        assert math.isclose(r["score"], want, rel_tol=1e-4), (text, r["score"], want)
+
+
 def test_hmm_symbol_probabilities_sum_to_one():
     model = hmm.first_model([np.array([0, 1, 2])] * 3, np.array([3.0, 3, 3, 2]), 2, 3)
     assert np.allclose(model[2].sum(axis=0), 1) and np.allclose(model[1].sum(axis=1), 1) and np.isclose(model[0].sum(), 1)
