@@ -16,6 +16,7 @@ LARGEST = (1 << 63) - 1
 @pytest.mark.parametrize(("text", "kinds"), [
     ("Built 2024-01-15 in 1914-1918.", []), ("12.05.2020 10 000 000", []), ("call 555-123-4567 on 2024-01-15", ["phone"]), ("15/03/1999, 1.234.567 euros, 2019/2020", []),
     ("SSN 123-45-6789", ["ssn"]), ("at 00:1A:2b:3C:4d:5E", ["mac"]), ("2001:db8::ff00:42:8329 and fe80:0:0:0:0:0:0:1, std::vector", ["ip6", "ip6"]),
+    ("fe80::1 up, std::vector, x[1::2]: a: b:", ["ip6"]),
     ("Dr. Jane Doe came", ["name-given-n", "name-family"]), ("(030) 123 456, 020 123 456 789", ["phone", "phone"]),
 ])
 def test_what_is_an_entity(text, kinds):
