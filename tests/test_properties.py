@@ -90,6 +90,33 @@ def test_top_k_over_many_small_batches(spark, monkeypatch):
     assert sorted((r["query_id"], r["tool_id"], r["rank"]) for r in got) == brute_force(tools, queries, 4)
 
 
+@pytest.mark.parametrize(("pivots", "cell_rows"), [(1, 4), (8, 4)])
+def test_top_k_in_bounded_blocks(spark, monkeypatch, pivots, cell_rows):
+    """Many slices and groups, the same result; a block sends k rows a query, not k for every cell."""
+    rng = np.random.default_rng(6)
+    base = rng.integers(-2, 3, size=(120, 5)).astype(float)
+    base[7] = 0
+    tools = [(i, v.tolist()) for i, v in enumerate(base)]
+    queries = tools[:40]
+    t = spark.createDataFrame(tools, "tool_id bigint, vec array<float>").repartition(3)
+    q = spark.createDataFrame(queries, "query_id bigint, vec array<double>")
+    first, _, rest = retrieve._phases(t, q, 3, pivots, cell_rows)
+    sent = first.unionByName(rest).where("tool_id IS NOT NULL").groupBy("query_id").count().agg({"count": "max"}).first()[0]
+    assert sent <= 2 * 3  # one slice: a row of results in each phase
+    monkeypatch.setattr(retrieve, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(retrieve, "TOOL_CHUNK", 7)
+    assert retrieve._parts(120) == 8
+    got = retrieve.top_k(t, q, 3, pivots, cell_rows).collect()
+    assert sorted((r["query_id"], r["tool_id"], r["rank"]) for r in got) == brute_force(tools, queries, 3)
+
+
+def test_top_k_takes_slices_of_balanced_size():
+    spans = [(64, 0, 0.0, 1.0, 200_000), (64, 1, 0.0, 1.0, 10), (64, 2, 0.0, 1.0, 12), (32, 0, 0.0, 1.0, 5)]
+    slices = retrieve._slices(spans)
+    assert slices[64, 0] == (0, 7) and slices[64, 1] == slices[64, 2] == (7, 1) and slices[32, 0] == (8, 1)
+    assert np.bincount(retrieve._dealt(200_000, 7, 1)).max() <= retrieve.BLOCK_ROWS
+
+
 @FEW
 @given(data=st.lists(st.lists(st.booleans(), min_size=4, max_size=6), min_size=1, max_size=8))
 def test_pass_at_k_grows_with_k(spark, data):

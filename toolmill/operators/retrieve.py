@@ -6,6 +6,7 @@ don't depend on how rows are dealt."""
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,11 +22,15 @@ from toolmill.operators.ordering import top_per_group
 PIVOTS = 32
 CELL_ROWS = 1_024
 QUERY_CHUNK = 512
+TOOL_CHUNK = 2_048
+BLOCK_ROWS = 32_768  # the most queries, and about the most tools, that one task multiplies
 ZERO = -1  # the pivot of zero vectors
 NO_SCORE = -2.0  # below every cosine
 SLACK = 2e-6  # scores are rounded to six places
-CELL = "width int, pivot int, low double, high double, tool_ids array<bigint>, tool_rows binary"
-ASKED = "width int, pivot int, query_ids array<bigint>, query_rows binary, least array<double>"
+EPSILON = 2.0**-24  # of a rounding to float
+SPAN = "width int, pivot int, low double, high double, n bigint"
+TOOLS = "slice int, width int, pivot int, ids array<bigint>, rows binary"
+ASKED = "block int, width int, ids array<bigint>, rows binary, home array<int>, least array<double>"
 RESULT = "query_id bigint, tool_id bigint, score double, multiplied bigint"
 SCORED = pa.schema([("query_id", pa.int64()), ("tool_id", pa.int64()), ("score", pa.float64()), ("multiplied", pa.int64())])
 
@@ -53,10 +58,15 @@ def dimension_errors(embeddings: DataFrame, dimension: int) -> DataFrame:
 
 # --- top-k -----------------------------------------------------------------------------
 #
-# Tools are dealt to the nearest of a few pivots and packed into cells: rows of one pivot with
+# Tools are dealt to the nearest of a few pivots and cut into cells: rows of one pivot with
 # the interval of their angles to it. A query at angle t to a pivot has an angle of at least
 # t - high or low - t to every vector of a cell, so a cell whose best possible cosine is
 # below the k-th score the query already has is skipped. No skip changes a result.
+#
+# What travels are blocks: all tools are cut into slices (whole pivots, or parts of a large one)
+# and all queries into groups, and a task gets one group's queries with one slice's tools. It
+# carries the k best of a few hundred queries over the slice, so its memory and the rows it sends do
+# not depend on the size of the tables, and no row is copied for a cell.
 
 @dataclass(frozen=True)
 class Pivots:
@@ -85,16 +95,21 @@ class Pivots:
         return np.where(unit.any(axis=1), best, 0.0)
 
 
-def _by_width(batch: pa.RecordBatch, key: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(positions, ids, unit rows; zero rows stay zero) of a batch for each width in it."""
+def _unit(rows: np.ndarray) -> np.ndarray:
+    """Rows of length one in doubles; zero rows stay zero."""
+    rows = rows.astype(np.float64)
+    rows = rows / np.maximum(np.abs(rows).max(axis=1), 1e-300)[:, None]  # so that no square over- or underflows
+    length = np.sqrt(np.einsum("ij,ij->i", rows, rows))
+    return rows / np.where(length == 0, 1.0, length)[:, None]
+
+
+def _by_width(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(positions, rows as they are) of a batch for each width in it."""
     width = np.asarray(pa.compute.list_value_length(batch.column("vec")))
     for w in np.unique(width).tolist():
         at = np.flatnonzero(width == w)
-        part = batch.take(pa.array(at))
-        rows = part.column("vec").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), w)
-        rows = rows / np.maximum(np.abs(rows).max(axis=1), 1e-300)[:, None]  # so that no square over- or underflows
-        length = np.sqrt(np.einsum("ij,ij->i", rows, rows))
-        yield at, part.column(key).to_numpy(zero_copy_only=False), rows / np.where(length == 0, 1.0, length)[:, None]
+        flat = batch.column("vec").take(pa.array(at)).flatten().to_numpy(zero_copy_only=False)
+        yield at, (flat if flat.dtype == np.float32 else flat.astype(np.float64)).reshape(len(at), w)
 
 
 def choose_pivots(tools: DataFrame, count: int) -> Pivots:
@@ -102,7 +117,8 @@ def choose_pivots(tools: DataFrame, count: int) -> Pivots:
     drawn = tools.orderBy(F.xxhash64("tool_id"), "tool_id").select("tool_id", "vec").limit(16 * count).toArrow().combine_chunks()
     rows = {}
     for batch in drawn.to_batches():
-        for _, _, unit in _by_width(batch, "tool_id"):
+        for _, found in _by_width(batch):
+            unit = _unit(found)
             unit = unit[unit.any(axis=1)]
             if not len(unit):
                 continue
@@ -114,101 +130,210 @@ def choose_pivots(tools: DataFrame, count: int) -> Pivots:
     return Pivots(rows)
 
 
-def _packed(pivot: np.ndarray, angle: np.ndarray, most: int) -> Iterator[np.ndarray]:
-    """Positions by pivot and angle, cut into runs of one pivot with at most ``most`` rows."""
-    order = np.lexsort((angle, pivot))
-    for run in np.split(order, np.flatnonzero(np.diff(pivot[order])) + 1):
-        yield from (run[i : i + most] for i in range(0, len(run), most))
-
+def _spans(tools: DataFrame, pivots: Pivots) -> list[tuple[int, int, float, float, int]]:
+    """Angles that occur at each pivot and its number of tools: a row per pivot and width."""
 
-def _cells(tools: DataFrame, pivots: Pivots, most: int) -> DataFrame:
-    """Each task packs its own batches: no tool is shuffled before it is in a cell."""
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def span(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute  # noqa: F401
 
         for batch in batches:
-            for _, ids, unit in _by_width(batch, "tool_id"):
-                near, angle = pivots.nearest(unit)
-                runs = list(_packed(near, angle, most))
+            for _, rows in _by_width(batch):
+                near, angle = pivots.nearest(_unit(rows))
+                found = [(p, angle[near == p]) for p in np.unique(near).tolist()]
                 yield pa.RecordBatch.from_pydict({
-                    "width": pa.array([unit.shape[1]] * len(runs), pa.int32()), "pivot": pa.array([near[r[0]] for r in runs], pa.int32()),
-                    "low": pa.array([angle[r[0]] for r in runs], pa.float64()), "high": pa.array([angle[r[-1]] for r in runs], pa.float64()),
-                    "tool_ids": pa.array([ids[r] for r in runs], pa.list_(pa.int64())), "tool_rows": pa.array([unit[r].tobytes() for r in runs], pa.binary()),
+                    "width": pa.array([rows.shape[1]] * len(found), pa.int32()), "pivot": pa.array([p for p, _ in found], pa.int32()),
+                    "low": pa.array([x.min() for _, x in found], pa.float64()), "high": pa.array([x.max() for _, x in found], pa.float64()), "n": pa.array([len(x) for _, x in found], pa.int64()),
                 })
 
-    return tools.select("tool_id", "vec").mapInArrow(pack, CELL)
+    spans = tools.select("vec").mapInArrow(span, SPAN).groupBy("width", "pivot")
+    return [tuple(r) for r in spans.agg(F.min("low"), F.max("high"), F.sum("n")).orderBy("width", "pivot").collect()]
+
 
+def _parts(rows: int) -> int:
+    """Into how many parts a table is cut: of ``BLOCK_ROWS`` rows, and a few if it is small."""
+    return max(1, -(-rows // BLOCK_ROWS), min(6, rows // 1_024))
 
-def _intervals(cells: DataFrame) -> list[tuple[int, int, float, float]]:
-    """Angles that occur at each pivot: a row per pivot and width."""
-    return [tuple(r) for r in cells.groupBy("width", "pivot").agg(F.min("low"), F.max("high")).collect()]
 
+def _slices(spans: list[tuple[int, int, float, float, int]]) -> dict[tuple[int, int], tuple[int, int]]:
+    """First slice and number of slices of each (width, pivot): small pivots of a width share one."""
+    total = sum(s[4] for s in spans)
+    size = max(1, -(-total // _parts(total)))
+    out, number, held, of = {}, -1, 0, None
+    for width, pivot, _, _, n in spans:
+        if of != width or held + n > size:
+            number, held, of = number + 1, 0, width
+        parts = max(1, -(-n // size))
+        out[width, pivot] = (number, parts)
+        number, held = number + parts - 1, held + n
+    return out
 
-def _asked(queries: DataFrame, pivots: Pivots, intervals: list[tuple[int, int, float, float]], further: bool) -> DataFrame:
-    """Queries packed by the pivots whose cells they need: at first their nearest pivot that
-    has tools, then (``further``) all others that may hold a score of at least ``least``."""
+
+def _dealt(n: int, parts: int, salt: int) -> np.ndarray:
+    """A part for each of ``n`` rows: runs of equal length; few rows begin at a part by ``salt``."""
+    at = np.arange(n)
+    return at * parts // max(n, 1) if n >= parts else (at + zlib.crc32(str(salt).encode())) % parts
+
+
+def _tool_packs(tools: DataFrame, pivots: Pivots, slices: dict[tuple[int, int], tuple[int, int]]) -> DataFrame:
+    """Tools of a batch packed by slice and pivot, in the order of their angles."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute  # noqa: F401
 
         for batch in batches:
-            for at, ids, unit in _by_width(batch, "query_id"):
-                width = unit.shape[1]
-                here = [i[1:] for i in intervals if i[0] == width]
-                if not here:
-                    continue
-                bounds = np.stack([pivots.bound(unit, *i) for i in here], axis=1)
-                home = bounds.argmax(axis=1)
-                least = np.asarray(batch.column("least"), np.float64)[at]
-                out: dict[str, list] = {f: [] for f in ("width", "pivot", "query_ids", "query_rows", "least")}
-                for j, (pivot, _, _) in enumerate(here):
-                    wanted = np.flatnonzero((home != j) & (bounds[:, j] + SLACK >= least) if further else home == j)
-                    for start in range(0, len(wanted), QUERY_CHUNK):
-                        part = wanted[start : start + QUERY_CHUNK]
-                        for name, value in (("width", width), ("pivot", pivot), ("query_ids", ids[part]), ("query_rows", unit[part].tobytes()), ("least", least[part])):
-                            out[name].append(value)
+            for at, rows in _by_width(batch):
+                near, angle = pivots.nearest(_unit(rows))
+                ids, out = batch.column("tool_id").to_numpy()[at], []
+                for p in np.unique(near).tolist():
+                    run = np.flatnonzero(near == p)
+                    run = run[np.argsort(angle[run], kind="stable")]
+                    first, parts = slices[rows.shape[1], p]
+                    part = _dealt(len(run), parts, ids[run[0]])
+                    out += [(first + j, p, run[part == j]) for j in np.unique(part).tolist()]
                 yield pa.RecordBatch.from_pydict({
-                    "width": pa.array(out["width"], pa.int32()), "pivot": pa.array(out["pivot"], pa.int32()), "query_ids": pa.array(out["query_ids"], pa.list_(pa.int64())),
-                    "query_rows": pa.array(out["query_rows"], pa.binary()), "least": pa.array(out["least"], pa.list_(pa.float64())),
+                    "slice": pa.array([o[0] for o in out], pa.int32()), "width": pa.array([rows.shape[1]] * len(out), pa.int32()), "pivot": pa.array([o[1] for o in out], pa.int32()),
+                    "ids": pa.array([ids[o[2]] for o in out], pa.list_(pa.int64())), "rows": pa.array([rows[o[2]].tobytes() for o in out], pa.binary()),
                 })
 
-    return queries.select("query_id", "vec", "least").mapInArrow(pack, ASKED)
+    return tools.select("tool_id", "vec").mapInArrow(pack, TOOLS)
 
 
-def _scores(queries: np.ndarray, tools: np.ndarray) -> np.ndarray:
-    return np.round(queries @ tools.T, SCORE_PLACES) + 0.0
+def _asked(queries: DataFrame, pivots: Pivots, spans: list[tuple[int, int, float, float, int]], slices: dict[tuple[int, int], tuple[int, int]], groups: int, further: bool) -> DataFrame:
+    """Queries packed by the blocks they need: at first the slices of their nearest pivot that has
+    tools (``home``), then (``further``) those of all others that may hold a score of at least ``least``."""
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.compute  # noqa: F401
 
-def _candidates(scores: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Cells of a score block (queries by tools) that can be among the k best, ties with the k-th included."""
-    if scores.shape[1] > k:
-        least = np.maximum(least, np.partition(scores, -k, axis=1)[:, -k])
-    return np.nonzero(scores >= least[:, None])
-
-
-def _met(asked: DataFrame, cells: DataFrame) -> DataFrame:
-    return asked.join(cells, ["width", "pivot"])
-
+        for batch in batches:
+            for at, rows in _by_width(batch):
+                width, unit = rows.shape[1], _unit(rows)
+                here = [s for s in spans if s[0] == width]
+                if not here:
+                    continue
+                bounds = np.stack([pivots.bound(unit, *s[1:4]) for s in here], axis=1)
+                best = bounds.argmax(axis=1)
+                home = np.array([s[1] for s in here])[best]
+                ids, least = batch.column("query_id").take(pa.array(at)), np.asarray(batch.column("least"), np.float64)[at]
+                group = np.empty(len(at), np.int64)
+                group[np.argsort(best, kind="stable")] = _dealt(len(at), groups, ids[0].as_py())
+                wanted: dict[int, np.ndarray] = {}
+                for j, (_, pivot, *_) in enumerate(here):
+                    rows_of = (best != j) & (bounds[:, j] + SLACK >= least) if further else best == j
+                    first, parts = slices[width, pivot]
+                    for number in range(first, first + parts) if rows_of.any() else ():
+                        wanted[number] = wanted.get(number, False) | rows_of
+                for number, rows_of in wanted.items():
+                    packs = [np.flatnonzero(rows_of & (group == g)) for g in range(groups)]
+                    packs = [(g, x) for g, x in enumerate(packs) if len(x)]
+                    yield pa.RecordBatch.from_pydict({
+                        "block": pa.array([number * groups + g for g, _ in packs], pa.int32()), "width": pa.array([width] * len(packs), pa.int32()),
+                        "ids": pa.array([ids.take(pa.array(x)).to_pylist() for _, x in packs], pa.list_(pa.int64())), "rows": pa.array([rows[x].tobytes() for _, x in packs], pa.binary()),
+                        "home": pa.array([home[x] for _, x in packs], pa.list_(pa.int32())), "least": pa.array([least[x] for _, x in packs], pa.list_(pa.float64())),
+                    })
 
-def _products(met: DataFrame, pivots: Pivots, k: int) -> DataFrame:
-    """Scores of each pack of queries with a cell, without the queries that the cell can't
-    serve; and a row without a tool that counts the pairs."""
+    return queries.select("query_id", "vec", "least").mapInArrow(pack, ASKED)
 
-    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                queries = np.frombuffer(row["query_rows"]).reshape(-1, row["width"])
-                least, ids = np.array(row["least"]), np.array(row["query_ids"], np.int64)
-                open_rows = np.flatnonzero(pivots.bound(queries, row["pivot"], row["low"], row["high"]) + SLACK >= least)
-                tools, tool_ids = np.frombuffer(row["tool_rows"]).reshape(-1, row["width"]), np.array(row["tool_ids"], np.int64)
-                scores = _scores(queries[open_rows], tools)
-                qi, ti = _candidates(scores, least[open_rows], k)
-                count = pa.RecordBatch.from_pylist([{"multiplied": scores.size}], schema=SCORED)  # no candidate: a row of its own
-                yield count
-                yield pa.RecordBatch.from_arrays([pa.array(ids[open_rows[qi]], pa.int64()), pa.array(tool_ids[ti], pa.int64()), pa.array(scores[qi, ti], pa.float64()), pa.nulls(len(qi), pa.int64())], schema=SCORED)
 
-    return met.select("width", "pivot", "low", "high", "tool_ids", "tool_rows", "query_ids", "query_rows", "least").mapInArrow(multiply, RESULT)
+def _unpacked(packs: pa.Table) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Unit rows of a block, the pack of each, and the ids."""
+    width = packs.column("width")[0].as_py()
+    lists = packs.column("ids").combine_chunks()
+    counts = np.asarray(lists.value_lengths())
+    rows = [np.frombuffer(b.as_buffer(), np.float32 if len(b.as_buffer()) == 4 * n * width else np.float64).reshape(n, width) for b, n in zip(packs.column("rows"), counts.tolist())]
+    return _unit(np.concatenate(rows)), np.repeat(np.arange(len(counts)), counts), lists.flatten()
+
+
+class _Best:
+    """The ``k`` best tools of each of some queries, and the least score that still counts."""
+
+    def __init__(self, least: np.ndarray, k: int):
+        self.k, self.least = k, least.copy()
+        self.query, self.tool, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+    def add(self, query: np.ndarray, tool: np.ndarray, score: np.ndarray) -> None:
+        query, tool, score = np.append(self.query, query), np.append(self.tool, tool), np.append(self.score, score)
+        order = np.lexsort((tool, -score, query))
+        first = np.searchsorted(query[order], np.arange(len(self.least)))
+        order = order[np.arange(len(order)) - first[query[order]] < self.k]
+        self.query, self.tool, self.score = query[order], tool[order], score[order]
+        full = np.flatnonzero(np.bincount(self.query, minlength=len(self.least)) == self.k)
+        self.least[full] = np.maximum(self.least[full], self.score[np.searchsorted(self.query, full, "right") - 1])
+
+
+class _Cells:
+    """Tools of one pivot by angle, in cells of ``size`` rows."""
+
+    def __init__(self, unit: np.ndarray, ids: np.ndarray, angle: np.ndarray, size: int):
+        order = np.argsort(angle, kind="stable")
+        self.unit, self.ids, self.size = unit[order], ids[order], size
+        self.single = self.unit.astype(np.float32)
+        starts = np.arange(0, len(order), size)
+        self.low, self.high = angle[order][starts], angle[order][np.minimum(starts + size, len(order)) - 1]
+
+    def reached(self, angle: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and last cell (not included) that may hold a score of ``least`` for each query at ``angle``."""
+        reach = np.arccos(np.clip(least - SLACK, -1, 1))
+        return np.searchsorted(self.high, angle - reach, "left"), np.searchsorted(self.low, angle + reach, "right")
+
+
+def _multiplied(unit: np.ndarray, single: np.ndarray, rows: np.ndarray, cells: _Cells, start: int, end: int, best: _Best) -> None:
+    """Scores of query ``rows`` with tools ``start`` to ``end``: a product in floats rules out what can't be
+    among the k best within its error, the rest is scored in doubles."""
+    error = (unit.shape[1] + 4) * EPSILON
+    for i in range(start, end, TOOL_CHUNK):
+        near = single[rows] @ cells.single[i : min(end, i + TOOL_CHUNK)].T
+        least = best.least[rows] - SLACK - error
+        if near.shape[1] > best.k and (best.least[rows] == NO_SCORE).any():
+            least = np.maximum(least, np.partition(near, -best.k, axis=1)[:, -best.k] - SLACK - 2 * error)
+        q, t = np.divmod(np.flatnonzero(near >= least[:, None].astype(np.float32)), near.shape[1])
+        q, t = rows[q], t + i
+        score = np.round(np.einsum("ij,ij->i", unit[q], cells.unit[t]), SCORE_PLACES) + 0.0
+        kept = score >= best.least[q]
+        if kept.any():
+            best.add(q[kept], cells.ids[t[kept]], score[kept])
+
+
+def _block(queries: pa.Table, tools: pa.Table, pivots: Pivots, k: int, cell_rows: int, chunk: int, further: bool) -> pa.Table:
+    """The k best tools of a slice for each query of a group, and a row without a tool that counts the pairs."""
+    if not queries.num_rows or not tools.num_rows:
+        return SCORED.empty_table()
+    unit, pack, ids = _unpacked(tools)
+    pivot, angle = np.asarray(tools.column("pivot"))[pack], np.arccos(np.clip(unit @ pivots.of(unit.shape[1]).T, -1, 1))
+    numbers = ids.to_numpy()
+    cells = {p: _Cells(unit[at], numbers[at], angle[at, p] if p != ZERO else np.zeros(len(at)), cell_rows) for p in np.unique(pivot).tolist() for at in [np.flatnonzero(pivot == p)]}
+    asked, _, query_ids = _unpacked(queries)
+    home, least = (np.asarray(queries.column(c).combine_chunks().flatten()) for c in ("home", "least"))
+    order, count, out = np.argsort(home, kind="stable"), 0, []
+    for at in (order[i : i + chunk] for i in range(0, len(order), chunk)):
+        rows, best = asked[at], _Best(least[at], k)
+        single, angle = rows.astype(np.float32), np.arccos(np.clip(rows @ pivots.of(rows.shape[1]).T, -1, 1))
+        blank = ~rows.any(axis=1)
+        for p, held in cells.items():
+            first, last = held.reached(angle[:, p] if p != ZERO else np.zeros(len(at)), best.least)
+            if p == ZERO:  # similar to nothing: score 0
+                first, last = np.zeros_like(first), np.full_like(last, len(held.low))
+            else:
+                first, last = np.where(blank, 0, first), np.where(blank, len(held.low), last)
+            nought = blank | (p == ZERO)
+            mine = np.flatnonzero(((home[at] != p) if further else (home[at] == p)) & (first < last) & (~nought | (best.least <= SLACK)))
+            if len(mine):
+                start, end = first[mine].min() * held.size, min(len(held.ids), last[mine].max() * held.size)
+                _multiplied(rows, single, mine, held, start, end, best)
+                count += len(mine) * int(end - start)
+        out.append(pa.Table.from_arrays([query_ids.take(pa.array(at[best.query])), pa.array(best.tool), pa.array(best.score), pa.nulls(len(best.tool), pa.int64())], schema=SCORED))
+    return pa.concat_tables([*out, pa.Table.from_pylist([{"multiplied": count}], schema=SCORED)])
+
+
+def _products(asked: DataFrame, packs: DataFrame, pivots: Pivots, k: int, cell_rows: int, groups: int, n_slices: int, further: bool) -> DataFrame:
+    """Each group of queries with each slice it needs: a block is bounded, so it is one call."""
+    blocks, chunk = 2 * groups * n_slices, QUERY_CHUNK
+
+    def multiply(queries: pa.Table, tools: pa.Table) -> pa.Table:
+        return _block(queries, tools, pivots, k, cell_rows, chunk, further)
+
+    copies = packs.withColumn("block", F.explode(F.sequence(F.col("slice") * groups, F.col("slice") * groups + (groups - 1))))
+    return asked.repartition(blocks, "block").groupBy("block").cogroup(copies.repartition(blocks, "block").groupBy("block")).applyInArrow(multiply, RESULT)
 
 
 def _phases(tools: DataFrame, queries: DataFrame, k: int, n_pivots: int, cell_rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -216,14 +341,21 @@ def _phases(tools: DataFrame, queries: DataFrame, k: int, n_pivots: int, cell_ro
     tools = tools.where(is_finite(F.col("vec")) & F.col("tool_id").isNotNull()).select("tool_id", "vec")
     queries = queries.where(is_finite(F.col("vec"))).select("query_id", "vec")
     pivots = choose_pivots(tools, n_pivots)
-    cells = _cells(tools, pivots, cell_rows)
-    intervals = _intervals(cells)
+    spans = _spans(tools, pivots)
+    slices, groups = _slices(spans), _parts(queries.count())
+    n_slices = max([1, *(first + parts for first, parts in slices.values())])
+    packs = _tool_packs(tools, pivots, slices)
     nothing = F.lit(NO_SCORE)
-    first = _products(_met(_asked(queries.withColumn("least", nothing), pivots, intervals, False), cells), pivots, k)
+
+    def scored(asking: DataFrame, further: bool) -> DataFrame:
+        return _products(_asked(asking, pivots, spans, slices, groups, further), packs, pivots, k, cell_rows, groups, n_slices, further)
+
+    first = scored(queries.withColumn("least", nothing), False)
     best = top_per_group(first.where("tool_id IS NOT NULL"), ["query_id"], [F.desc("score"), F.col("tool_id")], k)
     reached = best.where(F.col("rank") == k).select(F.col("query_id").alias("_id"), F.col("score").alias("least"))
-    known = queries.join(reached, F.col("query_id") == F.col("_id"), "left").select("query_id", "vec", F.coalesce("least", nothing).alias("least"))
-    return first, best, _products(_met(_asked(known, pivots, intervals, True), cells), pivots, k)
+    # null-safe: a filter on the ids would keep Spark from using the first scores twice
+    known = queries.join(reached, F.col("query_id").eqNullSafe(F.col("_id")), "left").select("query_id", "vec", F.coalesce("least", nothing).alias("least"))
+    return first, best, scored(known, True)
 
 
 def top_k(tools: DataFrame, queries: DataFrame, k: int, pivots: int = PIVOTS, cell_rows: int = CELL_ROWS) -> DataFrame:
