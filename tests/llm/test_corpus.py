@@ -237,6 +237,28 @@ def test_hmm_symbol_probabilities_sum_to_one():
     assert np.allclose(model[2].sum(axis=0), 1) and np.allclose(model[1].sum(axis=1), 1) and np.isclose(model[0].sum(), 1)
 
 
+def test_hmm_counts_the_neighbours_of_all_documents(spark):
+    """The model doesn't depend on how rows are dealt, as one from a sample of them does."""
+    classes = np.array([0, 1, hmm.NEIGHBOURS - 2])
+    found = hmm.neighbours([np.array([0, 2, 1]), np.array([2]), np.array([0, 1])], classes)
+    before, after = found[:, : hmm.NEIGHBOURS], found[:, hmm.NEIGHBOURS :]
+    none, other = hmm.NEIGHBOURS - 1, hmm.NEIGHBOURS - 2
+    want_before, want_after = np.zeros_like(before), np.zeros_like(after)
+    for symbol, c in ((0, none), (2, 0), (1, other), (2, none), (0, none), (1, 0)):
+        want_before[symbol, c] += 1
+    for symbol, c in ((0, other), (2, 1), (1, none), (2, none), (0, 1), (1, none)):
+        want_after[symbol, c] += 1
+    assert (before == want_before).all() and (after == want_after).all()
+    rng = np.random.default_rng(2)
+    words = [f"{'xy'[i % 2]}{j}" for i in range(2) for j in range(40)]
+    docs = [(i, " ".join(rng.choice(words[40 * (i % 2) : 40 * (i % 2) + 40], 8))) for i in range(4_000)]
+    one, other = (
+        {r["doc_id"]: r["score"] for r in hmm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(n), states=2).collect()}
+        for rows, n in ((docs, 2), (docs[::-1], 5))
+    )
+    assert all(math.isclose(one[i], other[i], rel_tol=1e-3) for i in one)
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

@@ -4,8 +4,9 @@ Words are reduced to symbols: each of the (at most) ``SYMBOLS`` most frequent tr
 tokens that occur twice or more is one; all rarer tokens, and those never seen, are dealt into classes by a
 hash of their last ``ENDING`` bytes, as endings tell word forms and languages apart. There are as many classes as
 the square root of the number of rarer training words, so the model grows with the vocabulary
-(32 thousand classes for a billion words). Baum-Welch starts from a model fitted on a bounded
-sample and then runs ``ROUNDS`` full rounds: every partition runs scaled forward and
+(32 thousand classes for a billion words). No part of the model comes from a sample: it starts
+from the neighbours of every symbol, counted over all training documents in ``NEIGHBOURS``
+classes, and Baum-Welch then runs ``ROUNDS`` full rounds: every partition runs scaled forward and
 backward recursions over its training documents and sends expected counts, which are
 summed by symbol. A document's score is the log10 probability of its token sequence: the
 scaled forward recursion over symbols, and for each rare token its smoothed share of its
@@ -26,7 +27,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,9 +41,9 @@ STATES = 6
 SYMBOLS = 40_000
 ENDING = 3  # bytes that decide a rare word's class
 ROUNDS = 2
-SAMPLE_DOCUMENTS = 1_500
-SAMPLE_ROUNDS = 25
-SAMPLE_TOKENS = 400_000  # of the sample; whole documents until it is reached
+NEIGHBOURS = 16  # classes of neighbours: the most frequent symbols, all others, and none for a text's ends
+START_ROUNDS = 25
+STAY = 0.9  # at the start: a text keeps to its language longer than two neighbours tell
 FLUSH_WORDS = 300_000
 SLICE = 8 << 20  # bytes of text at once: more rows of like length share a recursion
 BATCH_CELLS = 400_000  # documents x steps of one recursion
@@ -186,19 +187,54 @@ def zeros(symbols: int, states: int) -> Model:
     return np.zeros(states), np.zeros((states, states)), np.zeros((symbols, states))
 
 
-def first_model(texts: list[np.ndarray], counts: np.ndarray, states: int, rounds: int, seed: int = 7) -> Model:
-    """Baum-Welch on a sample from frequencies shaken by a fixed random factor."""
+def neighbours(texts: list[np.ndarray], classes: np.ndarray) -> np.ndarray:
+    """Of each symbol (rows), how often each class stands before it and after it."""
+    none = NEIGHBOURS - 1
+    here = np.concatenate([np.zeros(0, np.int64), *texts])
+    before, after = (np.full(len(here), none) for _ in range(2))
+    edge = np.cumsum([0, *(len(t) for t in texts)])
+    inner = np.ones(len(here) + 1, bool)
+    inner[edge] = False
+    at = np.flatnonzero(inner)  # two symbols of one text meet before these
+    before[at], after[at - 1] = classes[here[at - 1]], classes[here[at]]
+    size = (len(classes), NEIGHBOURS)
+    count = lambda c: np.bincount(here * NEIGHBOURS + c, minlength=size[0] * size[1]).reshape(size)
+    return np.concatenate([count(before), count(after)], axis=1).astype(np.float64)
+
+
+def neighbour_classes(counts: np.ndarray) -> np.ndarray:
+    """Class of each symbol: its own for the most frequent, one for all others."""
+    classes = np.full(len(counts), NEIGHBOURS - 2)
+    top = np.argsort(-counts, kind="stable")[: NEIGHBOURS - 2]
+    classes[top] = np.arange(len(top))
+    return classes
+
+
+def start_model(found: np.ndarray, counts: np.ndarray, states: int, rounds: int, seed: int = 7) -> Model:
+    """The model in which symbols with like neighbours share a state: expectation
+    maximisation of P(neighbour | symbol) = sum of P(state | symbol) P(neighbour | state), from random shares."""
     rng = np.random.RandomState(seed)
-    emit = (counts[:, None] + 1.0) * rng.uniform(0.2, 1.8, (len(counts), states))
-    steps = np.full((states, states), 1.0) + 4 * np.eye(states)
-    model = (np.full(states, 1 / states), steps / steps.sum(axis=1, keepdims=True), emit / emit.sum(axis=0, keepdims=True))
-    smooth = emit / emit.sum()  # symbols that the sample lacks keep their frequency
-    for _ in range(rounds if texts else 0):
-        found = zeros(len(counts), states)
-        expected(texts, model, found)
-        found[2][:] += smooth * max(1, len(texts))
-        model = normalised(found)
-    return model
+    classes = neighbour_classes(counts)
+    share = rng.uniform(0.2, 1.8, (len(counts), states))
+    share /= share.sum(axis=1, keepdims=True)
+    kinds = share.T @ found + FLOOR
+    kinds /= kinds.sum(axis=1, keepdims=True)
+    for _ in range(rounds):
+        ratio = found / np.maximum(share @ kinds, 1e-300)
+        share, kinds = share * (ratio @ kinds.T) + FLOOR, kinds * (share.T @ ratio) + FLOOR
+        share /= share.sum(axis=1, keepdims=True)
+        kinds /= kinds.sum(axis=1, keepdims=True)
+    held = (counts[:, None] + 1.0) * share
+    of_class = np.stack([held[classes == c].sum(axis=0) + FLOOR for c in range(NEIGHBOURS - 1)])
+    of_class /= of_class.sum(axis=1, keepdims=True)
+    before, after = found[:, :NEIGHBOURS], found[:, NEIGHBOURS:]
+    start, steps, emit = normalised((share.T @ before[:, -1], share.T @ after[:, :-1] @ of_class, held))
+    return start, (1 - STAY) * steps + STAY * np.eye(states), emit
+
+
+def first_model(texts: list[np.ndarray], counts: np.ndarray, states: int, rounds: int, seed: int = 7) -> Model:
+    """``start_model`` of texts in memory."""
+    return start_model(neighbours(texts, neighbour_classes(counts)), counts, states, rounds, seed)
 
 
 class Symbols:
@@ -226,33 +262,39 @@ def symbols_of(shared) -> Symbols:
     return kept_with(shared, "symbols", lambda value: Symbols(value["top"], value["classes"]))
 
 
-def train(training: DataFrame, symbols, n_symbols: int, frequencies: np.ndarray, total: int, states: int = STATES, rounds: int = ROUNDS) -> Model:
+def _summed(training: DataFrame, count: Callable[[list[np.ndarray]], np.ndarray], symbols, shape: tuple[int, int]) -> np.ndarray:
+    """Sum of a table of numbers over all training documents, ``count`` adding up those of some symbol
+    sequences: as many rows are collected as the model has, whatever the corpus."""
+    names = [f"c{i}" for i in range(shape[1])]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(shape)
+        for part in slices(batches, limit=SLICE):
+            table += count([symbols_of(symbols).of(t)[0] for t in text_of(part.column("text"))])
+        used = np.flatnonzero(table.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), *(pa.array(table[used, i]) for i in range(shape[1]))], names=["row", *names])
+
+    rows = training.select("text").mapInArrow(task, "row long, " + ", ".join(f"{n} double" for n in names)).groupBy("row").agg(*(F.sum(n).alias(n) for n in names))
+    out = np.zeros(shape)
+    for row in rows.collect():
+        out[row[0]] = row[1:]
+    return out
+
+
+def train(training: DataFrame, symbols, n_symbols: int, frequencies: np.ndarray, states: int = STATES, rounds: int = ROUNDS) -> Model:
     """Baum-Welch over all training documents; ``symbols`` is the broadcast of the frequent tokens."""
-    spark = training.sparkSession
-    sample, held = [], 0
-    for row in training.select("text").sample(min(1.0, SAMPLE_DOCUMENTS / max(1, total)), 5).limit(SAMPLE_DOCUMENTS).toLocalIterator():
-        sample.append(symbols_of(symbols).of(None if row[0] is None else row[0].encode())[0])
-        held += len(sample[-1])
-        if held >= SAMPLE_TOKENS:
-            break
-    model = first_model(sample, frequencies, states, SAMPLE_ROUNDS)
-    names = [f"s{s}" for s in range(states)]
+    classes = neighbour_classes(frequencies)
+    found = _summed(training, lambda texts: neighbours(texts, classes), symbols, (n_symbols, 2 * NEIGHBOURS))
+    model = start_model(found, frequencies, states, START_ROUNDS)
     for _ in range(rounds):
-        shared = spark.sparkContext.broadcast(model)
+        shared = training.sparkSession.sparkContext.broadcast(model)
 
-        def count(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def count(texts: list[np.ndarray], shared=shared) -> np.ndarray:
             counts = zeros(n_symbols, states)
-            for part in slices(batches, limit=SLICE):
-                expected([symbols_of(symbols).of(t)[0] for t in text_of(part.column("text"))], shared.value, counts)
-            # rows 0…M-1: symbols, then the steps from each state, then the start
-            table = np.concatenate([counts[2], counts[1], counts[0][None]])
-            used = np.flatnonzero(table.any(axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), *(pa.array(table[used, s]) for s in range(states))], names=["row", *names])
-
-        sums = training.select("text").mapInArrow(count, "row long, " + ", ".join(f"{n} double" for n in names)).groupBy("row").agg(*(F.sum(n).alias(n) for n in names))
-        table = np.zeros((n_symbols + states + 1, states))
-        for row in sums.collect():  # as many rows as the model has, whatever the corpus
-            table[row[0]] = row[1:]
+            expected(texts, shared.value, counts)
+            return np.concatenate([counts[2], counts[1], counts[0][None]])  # symbols, then the steps from each state, then the start
+
+        table = _summed(training, count, symbols, (n_symbols + states + 1, states))
         model = normalised((table[-1], table[n_symbols:-1], table[:n_symbols]))
         shared.unpersist()
     return model
@@ -270,8 +312,7 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, states: int = STATES,
     rare_n, rare_v = rare_classes(vocab, cut, n_classes)
     symbols = spark.sparkContext.broadcast({"top": top, "classes": n_classes})
     frequencies = np.array([*(c for _, c in top), *rare_n], np.float64)
-    total = next((c for w, c in top if w == END), 0)
-    start, steps, emit = train(training, symbols, len(frequencies), frequencies, total, states, rounds)
+    start, steps, emit = train(training, symbols, len(frequencies), frequencies, states, rounds)
     # a rare word's share of its class is (c + 1) / (N_k + V_k + 1): the divisor here, c + 1 after the join
     model = spark.sparkContext.broadcast((start, steps, emit / np.append(np.ones(len(top)), rare_n + rare_v + 1)[:, None]))
     base_floor = float(np.log10(n + v + 1))
