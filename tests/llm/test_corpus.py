@@ -417,6 +417,34 @@ def test_near_pairs_of_two_groups(spark):
     assert got == {x[0]: x for x in near.brute_force(docs)}
 
 
+def test_near_counts_are_looked_up_once_for_a_group(spark, monkeypatch):
+    """Two groups of copies around one passage: shingles that both groups hold are joined with
+    their counts once for a group, not for each copy, and links across groups are found."""
+    from pyspark.sql import functions as F
+
+    rows = {}
+    monkeypatch.setattr(near, "materialize", lambda df, name, real=near.materialize: rows.update({name: (kept := real(df, name)).count()}) or kept)
+    rnd = random.Random(12)
+    sets, groups, held = [], 40, 60
+    for g in range(2):
+        template = [f"t{i}" for i in range(held)] + [f"g{g}x{i}" for i in range(15)]
+        for c in range(groups):
+            own = list(template)
+            own[rnd.randrange(len(own))] = f"n{g}x{c}"
+            sets.append((g, own))
+    docs = [(i, " ".join(w)) for i, (_, w) in enumerate(sets)]
+    frame = near.signatures(spark.createDataFrame(docs, "doc_id long, text string"))
+    heads = frame.select(F.col("doc_id").alias("cls"), "n_shingles", "sketch")
+    full = spark.createDataFrame([(i, [int(h) for h in x.view("int64")]) for i, x in enumerate(near.shingle_sets([t.encode() for _, t in docs]))], "cls long, hashes array<long>")
+    rest = spark.createDataFrame([(i, g) for i, (g, _) in enumerate(sets)], "cls long, grp long")
+    labels = spark.createDataFrame([], "node long, label long")
+    found = {tuple(sorted(r)) for r in near._rest_pairs(rest, heads, labels, full).collect()}
+    hashes = {r["cls"]: set(r["hashes"]) for r in full.collect()}
+    linked = {(a, b) for a in range(groups) for b in range(groups, 2 * groups) if 10 * len(hashes[a] & hashes[b]) >= 8 * len(hashes[a] | hashes[b])}
+    assert linked <= found and all(sets[a][0] != sets[b][0] for a, b in found)
+    assert rows["near-shared"] <= 4 * held
+
+
 def test_components_of_a_path(spark):
     order = list(range(200))
     random.Random(2).shuffle(order)

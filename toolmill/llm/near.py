@@ -224,14 +224,28 @@ def _rest_pairs(rest: DataFrame, heads: DataFrame, labels: DataFrame, sets: Data
 
     Linked sets share at least four fifths of either, so they meet in the rarest fifth of
     their shingles (and one more), and from there both have 4/9 of the sum of their sizes left
-    that other sets hold too. What nobody shares comes first and meets no one."""
-    listed = rest.join(sets, "cls").select("cls", F.explode("hashes").alias("h"))
-    often = listed.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    ordered = listed.join(often, "h").groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("n", "h"))).alias("order"))
+    that other groups hold too. What no other group holds comes first and meets no one. Counts are
+    looked up once for a group, not for each of its sets: a set is what over half of its
+    group holds (``common``), less what it ``lacks``, and what it ``adds``."""
+    held = rest.join(sets, "cls")
+    sizes = rest.groupBy("grp").agg(F.count("*").alias("members"))
+    counts = materialize(held.select("grp", F.explode("hashes").alias("h")).groupBy("grp", "h").agg(F.count("*").alias("here")), "near-counts")
+    often = counts.groupBy("h").agg(F.sum("here").alias("n"), F.count("*").alias("groups")).where("groups > 1").select("h", "n")
+    shared = materialize(counts.join(often, "h"), "near-shared")
+    common = shared.join(sizes, "grp").where("2 * here > members").groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("n", "h"))).alias("common"))
+    no_counts = F.array().cast("array<struct<n:bigint,h:bigint>>")
+    apart = held.join(common, "grp", "left").withColumn("_common", F.coalesce(F.col("common.h"), F.array().cast("array<bigint>")))
+    apart = materialize(apart.select("cls", "grp", F.array_except("_common", "hashes").alias("lacks"), F.array_except("hashes", "_common").alias("adds")), "near-rest-apart")
+    added = apart.select("cls", "grp", F.explode("adds").alias("h")).join(shared, ["grp", "h"])
+    added = added.groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("n", "h"))).alias("added"))
+    placed = apart.select("cls", "grp", "lacks").join(common, "grp", "left").join(added, "cls", "left").join(_known(heads, labels), "cls")
+    placed = placed.withColumn("common", F.coalesce("common", no_counts)).withColumn("added", F.coalesce("added", no_counts))
+    placed = placed.withColumn("size", F.size("common") - F.size("lacks") + F.size("added"))
     need = F.ceil(LINK[0] * F.col("n_shingles") / LINK[1])
-    depth = F.greatest(F.lit(0), F.size("order") - need + 1).cast("int")
-    placed = rest.join(_known(heads, labels), "cls").join(ordered, "cls")
-    entries = placed.select("cls", "grp", "n_shingles", "sketch", "label", F.size("order").alias("size"), F.posexplode(F.slice("order", F.lit(1), depth)).alias("i", "o"))
+    placed = placed.withColumn("depth", F.greatest(F.lit(0), F.col("size") - need + 1).cast("int"))
+    kept = F.filter(F.slice("common", F.lit(1), F.col("depth") + F.size("lacks")), lambda o: ~F.array_contains("lacks", o["h"]))
+    first = F.slice(F.array_sort(F.concat(kept, F.slice("added", F.lit(1), F.col("depth")))), F.lit(1), F.col("depth"))
+    entries = placed.where("depth > 0").select("cls", "grp", "n_shingles", "sketch", "label", "size", F.posexplode(first).alias("i", "o"))
     entries = materialize(entries.select("cls", "grp", "n_shingles", "sketch", "label", F.col("o.h").alias("h"), (F.col("size") - F.col("i")).alias("left")), "near-rest")
     hubs = entries.select("h", *[F.col(c).alias(f"hub_{c}") for c in ("grp", "sketch", "label", "left")], F.col("n_shingles").alias("hub_n"), F.col("cls").alias("hub"))
     enough = (LINK[0] + LINK[1]) * F.least("left", "hub_left") >= LINK[0] * (F.col("n_shingles") + F.col("hub_n"))
