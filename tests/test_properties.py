@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from toolmill.operators import cluster, metrics, ordering, retrieve
+from toolmill.plans import QUERIES
 
 FEW = settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 
@@ -110,6 +111,28 @@ def test_top_k_in_bounded_blocks(spark, monkeypatch, pivots, cell_rows):
     assert sorted((r["query_id"], r["tool_id"], r["rank"]) for r in got) == brute_force(tools, queries, 3)
 
 
+def test_top_k_scores_copies_of_one_vector_in_bounded_pieces(spark, monkeypatch):
+    """Every pair of copies ties at the best score: pairs are scored a bounded number at a time, the lowest ids stay."""
+    scored = []
+    unit = np.ones((200, 4)) / 2
+    cells = retrieve._Cells(unit, np.arange(200)[::-1].copy(), np.zeros(200), 64)
+    best = retrieve._Best(np.full(50, retrieve.NO_SCORE), 3)
+    monkeypatch.setattr(retrieve, "PAIR_CHUNK", 128, raising=False)
+    monkeypatch.setattr(np, "einsum", lambda *a, real=np.einsum: scored.append(len(a[1])) or real(*a))
+    retrieve._multiplied(unit[:50], unit[:50].astype(np.float32), np.arange(50), cells, 0, 200, best)
+    assert best.tool.reshape(50, 3).tolist() == [[0, 1, 2]] * 50 and (best.score == 1).all()
+    assert max(scored) <= 128
+
+
+@pytest.mark.parametrize("name", ["a12_tool_recall", "a13_recall_at_k", "j10_truth_hits", "u1_matched_names"])
+def test_first_scores_of_top_k_are_computed_once(spark, name):
+    """What a query joins its results with adds no filter that would make the first phase run twice."""
+    found = QUERIES[name](spark, "/root/testdata/sf0.001")
+    found.collect()
+    final = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0]
+    assert final.count("FlatMapCoGroupsInArrow") == 2
+
+
 def test_top_k_takes_slices_of_balanced_size():
     spans = [(64, 0, 0.0, 1.0, 200_000), (64, 1, 0.0, 1.0, 10), (64, 2, 0.0, 1.0, 12), (32, 0, 0.0, 1.0, 5)]
     slices = retrieve._slices(spans)

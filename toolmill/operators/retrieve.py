@@ -24,6 +24,7 @@ CELL_ROWS = 1_024
 QUERY_CHUNK = 512
 TOOL_CHUNK = 2_048
 BLOCK_ROWS = 32_768  # the most queries, and about the most tools, that one task multiplies
+PAIR_CHUNK = 16_384  # pairs scored in doubles at a time
 ZERO = -1  # the pivot of zero vectors
 NO_SCORE = -2.0  # below every cosine
 SLACK = 2e-6  # scores are rounded to six places
@@ -286,12 +287,14 @@ def _multiplied(unit: np.ndarray, single: np.ndarray, rows: np.ndarray, cells: _
         least = best.least[rows] - SLACK - error
         if near.shape[1] > best.k and (best.least[rows] == NO_SCORE).any():
             least = np.maximum(least, np.partition(near, -best.k, axis=1)[:, -best.k] - SLACK - 2 * error)
-        q, t = np.divmod(np.flatnonzero(near >= least[:, None].astype(np.float32)), near.shape[1])
-        q, t = rows[q], t + i
-        score = np.round(np.einsum("ij,ij->i", unit[q], cells.unit[t]), SCORE_PLACES) + 0.0
-        kept = score >= best.least[q]
-        if kept.any():
-            best.add(q[kept], cells.ids[t[kept]], score[kept])
+        found = np.flatnonzero(near >= least[:, None].astype(np.float32))
+        for j in range(0, len(found), PAIR_CHUNK):  # copies of one vector may all be found
+            q, t = np.divmod(found[j : j + PAIR_CHUNK], near.shape[1])
+            q, t = rows[q], t + i
+            score = np.round(np.einsum("ij,ij->i", unit[q], cells.unit[t]), SCORE_PLACES) + 0.0
+            kept = score >= best.least[q]
+            if kept.any():
+                best.add(q[kept], cells.ids[t[kept]], score[kept])
 
 
 def _block(queries: pa.Table, tools: pa.Table, pivots: Pivots, k: int, cell_rows: int, chunk: int, further: bool) -> pa.Table:
@@ -299,9 +302,12 @@ def _block(queries: pa.Table, tools: pa.Table, pivots: Pivots, k: int, cell_rows
     if not queries.num_rows or not tools.num_rows:
         return SCORED.empty_table()
     unit, pack, ids = _unpacked(tools)
-    pivot, angle = np.asarray(tools.column("pivot"))[pack], np.arccos(np.clip(unit @ pivots.of(unit.shape[1]).T, -1, 1))
-    numbers = ids.to_numpy()
-    cells = {p: _Cells(unit[at], numbers[at], angle[at, p] if p != ZERO else np.zeros(len(at)), cell_rows) for p in np.unique(pivot).tolist() for at in [np.flatnonzero(pivot == p)]}
+    pivot, numbers, cells = np.asarray(tools.column("pivot"))[pack], ids.to_numpy(), {}
+    for p in np.unique(pivot).tolist():
+        at = np.flatnonzero(pivot == p)
+        angle = np.arccos(np.clip(unit[at] @ pivots.of(unit.shape[1])[p], -1, 1)) if p != ZERO else np.zeros(len(at))
+        cells[p] = _Cells(unit[at], numbers[at], angle, cell_rows)
+    del unit
     asked, _, query_ids = _unpacked(queries)
     home, least = (np.asarray(queries.column(c).combine_chunks().flatten()) for c in ("home", "least"))
     order, count, out = np.argsort(home, kind="stable"), 0, []
@@ -351,7 +357,8 @@ def _phases(tools: DataFrame, queries: DataFrame, k: int, n_pivots: int, cell_ro
         return _products(_asked(asking, pivots, spans, slices, groups, further), packs, pivots, k, cell_rows, groups, n_slices, further)
 
     first = scored(queries.withColumn("least", nothing), False)
-    best = top_per_group(first.where("tool_id IS NOT NULL"), ["query_id"], [F.desc("score"), F.col("tool_id")], k)
+    # numbered by a struct: no filter on the ids that a caller's join infers gets below, so both uses of the first scores are one
+    best = top_per_group(first.where("tool_id IS NOT NULL").withColumn("_key", F.struct("query_id")), ["_key"], [F.desc("score"), F.col("tool_id")], k).drop("_key")
     reached = best.where(F.col("rank") == k).select(F.col("query_id").alias("_id"), F.col("score").alias("least"))
     # null-safe: a filter on the ids would keep Spark from using the first scores twice
     known = queries.join(reached, F.col("query_id").eqNullSafe(F.col("_id")), "left").select("query_id", "vec", F.coalesce("least", nothing).alias("least"))
