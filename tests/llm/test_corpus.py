@@ -445,6 +445,27 @@ def test_near_counts_are_looked_up_once_for_a_group(spark, monkeypatch):
     assert rows["near-shared"] <= 4 * held
 
 
+def test_near_members_of_a_group_travel_with_its_counts(spark, monkeypatch):
+    """What over half of a group holds is found without a join of its shingles with its size, once."""
+    plans = {}
+
+    def kept(df, name, real=near.materialize):
+        plans.setdefault(name, []).append(df._jdf.queryExecution().optimizedPlan().toString())
+        return real(df, name)
+
+    monkeypatch.setattr(near, "materialize", kept)
+    shared = [f"t{i}" for i in range(60)]
+    docs = [(10 * g + c, " ".join([*shared, *(f"g{g}x{i}" for i in range(4)), f"n{g}x{c}"])) for g in range(2) for c in range(3)] + [(90, " ".join([*shared, "u1 u2 u3"]))]
+    frame = near.signatures(spark.createDataFrame(docs, "doc_id long, text string")).localCheckpoint()
+    sets = spark.createDataFrame([(i, [int(h) for h in near.shingle_sets([t.encode()])[0].view("int64")]) for i, t in docs], "cls long, hashes array<long>")
+    rest = spark.createDataFrame([(i, i // 10) for i, _ in docs], "cls long, grp long")
+    found = near._rest_pairs(rest, frame.select(frame.doc_id.alias("cls"), "n_shingles", "sketch"), spark.createDataFrame([], "node long, label long"), sets)
+    hashes = {r["cls"]: set(r["hashes"]) for r in sets.collect()}
+    linked = {(a, b) for a in hashes for b in hashes if a < b and a // 10 != b // 10 and 10 * len(hashes[a] & hashes[b]) >= 8 * len(hashes[a] | hashes[b])}
+    assert linked and linked <= {tuple(sorted(r)) for r in found.collect()}
+    assert len(plans["near-common"]) == 1 and "Join" not in plans["near-common"][0]
+
+
 def test_components_of_a_path(spark):
     order = list(range(200))
     random.Random(2).shuffle(order)

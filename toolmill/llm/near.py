@@ -169,11 +169,11 @@ def _differences(members: DataFrame, sets: DataFrame) -> DataFrame:
     """Of each class (cls, grp): what its set and its group's common set have alone
     (``only``), and ``weight``, 5 for each element it lacks and 4 for each it adds.
     Common is what over half of a group's sets hold: at most twice their mean size."""
-    held = members.join(sets, "cls")
     sizes = members.groupBy("grp").agg(F.count("*").alias("members")).where("members > 1")
-    counts = held.select("grp", F.explode("hashes").alias("h")).groupBy("grp", "h").agg(F.count("*").alias("n"))
-    common = counts.join(sizes, "grp").where("2 * n > members").groupBy("grp").agg(F.collect_list("h").alias("common"))
-    found = held.join(sizes.select("grp"), "grp", "left_semi").join(common, "grp", "left").withColumn("common", F.coalesce("common", F.array().cast("array<long>")))
+    held = members.join(sizes, "grp").join(sets, "cls")
+    counts = held.select("grp", "members", F.explode("hashes").alias("h")).groupBy("grp", "members", "h").agg(F.count("*").alias("n"))
+    common = counts.where("2 * n > members").groupBy("grp").agg(F.collect_list("h").alias("common"))
+    found = held.join(common, "grp", "left").withColumn("common", F.coalesce("common", F.array().cast("array<long>")))
     found = found.withColumn("lacks", F.array_except("common", "hashes")).withColumn("adds", F.array_except("hashes", "common"))
     weight = (5 * F.size("lacks") + 4 * F.size("adds")).cast("long")
     return found.select("grp", "cls", F.size("common").cast("long").alias("n_common"), weight.alias("weight"), F.concat("lacks", "adds").alias("only"))
@@ -227,12 +227,14 @@ def _rest_pairs(rest: DataFrame, heads: DataFrame, labels: DataFrame, sets: Data
     that other groups hold too. What no other group holds comes first and meets no one. Counts are
     looked up once for a group, not for each of its sets: a set is what over half of its
     group holds (``common``), less what it ``lacks``, and what it ``adds``."""
-    held = rest.join(sets, "cls")
     sizes = rest.groupBy("grp").agg(F.count("*").alias("members"))
-    counts = materialize(held.select("grp", F.explode("hashes").alias("h")).groupBy("grp", "h").agg(F.count("*").alias("here")), "near-counts")
+    held = rest.join(sizes, "grp").join(sets, "cls")
+    listed = held.select("grp", "members", F.explode("hashes").alias("h"))
+    counts = materialize(listed.groupBy("grp", "members", "h").agg(F.count("*").alias("here")), "near-counts")
     often = counts.groupBy("h").agg(F.sum("here").alias("n"), F.count("*").alias("groups")).where("groups > 1").select("h", "n")
     shared = materialize(counts.join(often, "h"), "near-shared")
-    common = shared.join(sizes, "grp").where("2 * here > members").groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("n", "h"))).alias("common"))
+    common = shared.where("2 * here > members").groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("n", "h"))).alias("common"))
+    common = materialize(common, "near-common")
     no_counts = F.array().cast("array<struct<n:bigint,h:bigint>>")
     apart = held.join(common, "grp", "left").withColumn("_common", F.coalesce(F.col("common.h"), F.array().cast("array<bigint>")))
     apart = materialize(apart.select("cls", "grp", F.array_except("_common", "hashes").alias("lacks"), F.array_except("hashes", "_common").alias("adds")), "near-rest-apart")
