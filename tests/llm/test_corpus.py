@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from oracle import compare, connect
 
@@ -237,6 +238,19 @@ def test_hmm_symbol_probabilities_sum_to_one():
     assert np.allclose(model[2].sum(axis=0), 1) and np.allclose(model[1].sum(axis=1), 1) and np.isclose(model[0].sum(), 1)
 
 
+def test_hmm_rounds_read_symbols(spark, monkeypatch):
+    """Texts are split into symbols once; neighbours and rounds read these. Runs of symbols keep every row."""
+    frames = []
+    monkeypatch.setattr(hmm, "_summed", lambda training, *rest, real=hmm._summed: frames.append(training) or real(training, *rest))
+    docs = spark.createDataFrame([(i, f"a b{i} c") for i in range(20)], "doc_id long, text string")
+    assert hmm.score(docs, states=2).count() == 20 and len(frames) == 1 + hmm.ROUNDS
+    assert all("symbols" in f.columns and "text" not in f.columns and f.count() == sum(held(i, 7) != 2 for i in range(20)) for f in frames)
+    batch = pa.record_batch({"symbols": pa.array([[0] * 3, [], [1] * hmm.RUN, [2] * 5, [3]], pa.list_(pa.int32())), "row": pa.array(range(5))})
+    found = list(hmm.runs([batch.slice(1), batch.slice(0, 2)]))
+    assert [p.column("row").to_pylist() for p, _ in found] == [[1, 2], [3, 4], [0, 1]]
+    assert [[len(t) for t in texts] for _, texts in found] == [[0, hmm.RUN], [5, 1], [3, 0]]
+
+
 def test_hmm_counts_the_neighbours_of_all_documents(spark):
     """The model doesn't depend on how rows are dealt, as one from a sample of them does."""
     classes = np.array([0, 1, hmm.NEIGHBOURS - 2])

@@ -13,6 +13,9 @@ scaled forward recursion over symbols, and for each rare token its smoothed shar
 class k, (c + 1) / (N_k + 1 * (V_k + 1)). Probabilities of symbols sum to one in every
 state and those of the rare words of a class, with one slot for any unknown word, do too.
 
+Texts are split twice: for the vocabulary, then once more into symbol sequences, a table of numbers that
+the neighbour counts, every round and the scores read.
+
 The vocabulary is a table; only its ``SYMBOLS`` top rows and a row per class travel to all tasks. Rare tokens
 of a document (distinct, with counts) are joined with it on the word, so no single word
 gathers many rows, and summed by document.
@@ -45,7 +48,8 @@ NEIGHBOURS = 16  # classes of neighbours: the most frequent symbols, all others,
 START_ROUNDS = 25
 STAY = 0.9  # at the start: a text keeps to its language longer than two neighbours tell
 FLUSH_WORDS = 300_000
-SLICE = 8 << 20  # bytes of text at once: more rows of like length share a recursion
+SLICE = 8 << 20  # bytes of text at once
+RUN = 1_500_000  # symbols at once: more rows of like length share a recursion
 BATCH_CELLS = 400_000  # documents x steps of one recursion
 FLOOR = 1e-3  # pseudo-count of every symbol and step
 END = b"\n"  # no word holds a line feed
@@ -262,29 +266,59 @@ def symbols_of(shared) -> Symbols:
     return kept_with(shared, "symbols", lambda value: Symbols(value["top"], value["classes"]))
 
 
-def _summed(training: DataFrame, count: Callable[[list[np.ndarray]], np.ndarray], symbols, shape: tuple[int, int]) -> np.ndarray:
+def encoded(docs: DataFrame, symbols, base_floor: float) -> DataFrame:
+    """Each document's symbols, once for all that reads them, with its rare tokens, their numbers, and the base score of the others."""
+
+    def parts(batch: pa.RecordBatch) -> dict:
+        known = symbols_of(symbols)
+        own = np.append(np.log10(known.counts + 1) - base_floor, np.zeros(known.n_classes))
+        texts, rare = zip(*(known.of(t) for t in text_of(batch.column("text"))))
+        tallies = [Counter(r) for r in rare]
+        return {
+            "doc_id": batch.column("doc_id"), "n_tokens": [len(t) for t in texts], "n_frequent": [len(t) - len(r) for t, r in zip(texts, rare)],
+            "base": [float(own[t].sum()) for t in texts], "symbols": [t.astype(np.int32) for t in texts],
+            "rare": [list(c) for c in tallies], "times": [list(c.values()) for c in tallies],
+        }
+
+    schema = "doc_id long, n_tokens long, n_frequent long, base double, symbols array<int>, rare array<binary>, times array<long>"
+    return materialize(map_texts(docs, parts, schema, SLICE).withColumn("row", F.monotonically_increasing_id()), "hmm-symbols")
+
+
+def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Rows of at most ``RUN`` symbols together (one row at least), and their sequences."""
+    for batch in batches:
+        lists = batch.column("symbols")
+        edge, held = np.asarray(lists.offsets), lists.values.to_numpy()
+        start = 0
+        while start < batch.num_rows:
+            end = max(start + 1, int(np.searchsorted(edge, edge[start] + RUN, "right")) - 1)
+            yield batch.slice(start, end - start), [held[a:b] for a, b in zip(edge[start:end].tolist(), edge[start + 1 : end + 1].tolist())]
+            start = end
+
+
+def _summed(training: DataFrame, count: Callable[[list[np.ndarray]], np.ndarray], shape: tuple[int, int]) -> np.ndarray:
     """Sum of a table of numbers over all training documents, ``count`` adding up those of some symbol
     sequences: as many rows are collected as the model has, whatever the corpus."""
     names = [f"c{i}" for i in range(shape[1])]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(shape)
-        for part in slices(batches, limit=SLICE):
-            table += count([symbols_of(symbols).of(t)[0] for t in text_of(part.column("text"))])
+        for _, texts in runs(batches):
+            table += count(texts)
         used = np.flatnonzero(table.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), *(pa.array(table[used, i]) for i in range(shape[1]))], names=["row", *names])
 
-    rows = training.select("text").mapInArrow(task, "row long, " + ", ".join(f"{n} double" for n in names)).groupBy("row").agg(*(F.sum(n).alias(n) for n in names))
+    rows = training.select("symbols").mapInArrow(task, "row long, " + ", ".join(f"{n} double" for n in names)).groupBy("row").agg(*(F.sum(n).alias(n) for n in names))
     out = np.zeros(shape)
     for row in rows.collect():
         out[row[0]] = row[1:]
     return out
 
 
-def train(training: DataFrame, symbols, n_symbols: int, frequencies: np.ndarray, states: int = STATES, rounds: int = ROUNDS) -> Model:
-    """Baum-Welch over all training documents; ``symbols`` is the broadcast of the frequent tokens."""
+def train(training: DataFrame, n_symbols: int, frequencies: np.ndarray, states: int = STATES, rounds: int = ROUNDS) -> Model:
+    """Baum-Welch over the symbols of all training documents."""
     classes = neighbour_classes(frequencies)
-    found = _summed(training, lambda texts: neighbours(texts, classes), symbols, (n_symbols, 2 * NEIGHBOURS))
+    found = _summed(training, lambda texts: neighbours(texts, classes), (n_symbols, 2 * NEIGHBOURS))
     model = start_model(found, frequencies, states, START_ROUNDS)
     for _ in range(rounds):
         shared = training.sparkSession.sparkContext.broadcast(model)
@@ -294,7 +328,7 @@ def train(training: DataFrame, symbols, n_symbols: int, frequencies: np.ndarray,
             expected(texts, shared.value, counts)
             return np.concatenate([counts[2], counts[1], counts[0][None]])  # symbols, then the steps from each state, then the start
 
-        table = _summed(training, count, symbols, (n_symbols + states + 1, states))
+        table = _summed(training, count, (n_symbols + states + 1, states))
         model = normalised((table[-1], table[n_symbols:-1], table[:n_symbols]))
         shared.unpersist()
     return model
@@ -312,25 +346,19 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, states: int = STATES,
     rare_n, rare_v = rare_classes(vocab, cut, n_classes)
     symbols = spark.sparkContext.broadcast({"top": top, "classes": n_classes})
     frequencies = np.array([*(c for _, c in top), *rare_n], np.float64)
-    start, steps, emit = train(training, symbols, len(frequencies), frequencies, states, rounds)
+    base_floor = float(np.log10(n + v + 1))
+    split = encoded(docs, symbols, base_floor)
+    start, steps, emit = train(split.where(fold(folds) != held), len(frequencies), frequencies, states, rounds)
     # a rare word's share of its class is (c + 1) / (N_k + V_k + 1): the divisor here, c + 1 after the join
     model = spark.sparkContext.broadcast((start, steps, emit / np.append(np.ones(len(top)), rare_n + rare_v + 1)[:, None]))
-    base_floor = float(np.log10(n + v + 1))
 
-    def parts(batch: pa.RecordBatch) -> dict:
-        known = symbols_of(symbols)
-        own = np.append(np.log10(known.counts + 1) - base_floor, np.zeros(known.n_classes))
-        texts, rare = zip(*(known.of(t) for t in text_of(batch.column("text"))))
-        tallies = [Counter(r) for r in rare]
-        return {
-            "doc_id": batch.column("doc_id"), "n_tokens": [len(t) for t in texts], "n_frequent": [len(t) - len(r) for t, r in zip(texts, rare)],
-            "base": [float(own[t].sum()) for t in texts], "chain": forward(list(texts), model.value).tolist(),
-            "rare": [list(c) for c in tallies], "times": [list(c.values()) for c in tallies],
-        }
+    def chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in runs(batches):
+            yield part.set_column(part.num_columns - 1, "chain", pa.array(forward(texts, model.value)))
 
-    schema = "doc_id long, n_tokens long, n_frequent long, base double, chain double, rare array<binary>, times array<long>"
-    scored = materialize(map_texts(docs, parts, schema, SLICE).withColumn("row", F.monotonically_increasing_id()), "hmm-scored")
-    rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
+    chained = split.select("row", "doc_id", "n_tokens", "n_frequent", "base", "symbols").mapInArrow(chains, "row long, doc_id long, n_tokens long, n_frequent long, base double, chain double")
+    scored = materialize(chained, "hmm-scored")
+    rare = split.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
     seen = rare.join(vocab, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     log_c = F.col("times") * F.log10(F.col("c") + 1)
     summed = seen.groupBy("row").agg(
